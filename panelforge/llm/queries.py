@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, cdc, packing, sharding, simhash, token_counts
+from . import byte_bpe, cdc, packing, secrets, sharding, simhash, token_counts
 from .common import table
 
 
@@ -22,6 +22,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), vocabulary))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train(docs))
+    base = F.sha2(secrets.written(F.col("base")), 256)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.edited_likeness(table(spark, sf_dir, "documents"))
 
