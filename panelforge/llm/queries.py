@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, cdc, packing, secrets, sharding, simhash, token_counts
+from . import byte_bpe, cdc, langid, packing, secrets, sharding, simhash, token_counts
 from .common import table
 
 
@@ -29,6 +29,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.edited_likeness(table(spark, sf_dir, "documents"))
 
