@@ -23,11 +23,17 @@ UNKNOWN = "und"
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> dict[bytes, int]:
-    """Pieces of a rank file by id from 1 (0: not a piece), short ones only; every single byte is one."""
+def vocabulary(path: str) -> np.ndarray:
+    """The short pieces of a rank file as sorted big-endian integers; a piece's id is its place from 1. Every byte is one."""
     with open(path, "rb") as f:
         pieces = [base64.b64decode(line.split()[0]) for line in f]
-    return {p: i for i, p in enumerate((p for p in pieces if len(p) <= LONGEST_PIECE), start=1)}
+    return np.unique(np.array([int.from_bytes(p, "big") for p in pieces if len(p) <= LONGEST_PIECE], dtype=np.uint64))
+
+
+def find(keys: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    """Piece ids of packed bytes; 0: not a piece."""
+    at = np.minimum(np.searchsorted(pieces, keys), len(pieces) - 1)
+    return np.where(pieces[at] == keys, at + 1, 0)
 
 
 def words(text: str) -> list[str]:
@@ -41,27 +47,30 @@ def parts(word: str) -> list[bytes]:
     return [raw[i : i + LONGEST_WORD] for i in range(0, len(raw), LONGEST_WORD)]
 
 
-def lattices(units: list[bytes], pieces: dict[bytes, int]) -> Iterator[tuple[np.ndarray, int, list[tuple[int, int]], np.ndarray]]:
-    """Units of one length together: ``(their places, length, spans by end, piece id of each unit's spans)``."""
+def lattices(units: list[bytes], pieces: np.ndarray) -> Iterator[tuple[np.ndarray, int, list[tuple[int, int]], np.ndarray]]:
+    """Units of one length together: ``(their places, length, spans by end, piece ids: spans x units)``."""
     by_length = defaultdict(list)
     for i, unit in enumerate(units):
         by_length[len(unit)].append(i)
-    find = pieces.get
     for n, places in by_length.items():
+        letters = np.frombuffer(b"".join([units[i] for i in places]), dtype=np.uint8).reshape(-1, n).T.astype(np.uint64)
         spans = [(a, b) for b in range(1, n + 1) for a in range(max(0, b - LONGEST_PIECE), b)]
-        yield np.array(places), n, spans, np.array([[find(units[i][a:b], 0) for a, b in spans] for i in places])
+        keys, packed = np.empty((len(spans), len(places)), dtype=np.uint64), [np.zeros(len(places), dtype=np.uint64)] * n
+        for s, (a, b) in enumerate(spans):  # spans with one start come in order of their ends
+            packed[a] = keys[s] = (packed[a] << np.uint64(8)) | letters[b - 1]
+        yield np.array(places), n, spans, find(keys, pieces)
 
 
 def forward(n: int, spans: list[tuple[int, int]], ids: np.ndarray, chances: np.ndarray) -> np.ndarray:
     """Probability of all segmentations of every prefix: (units, n + 1, languages)."""
-    alpha = np.zeros((len(ids), n + 1, chances.shape[1]))
+    alpha = np.zeros((ids.shape[1], n + 1, chances.shape[1]))
     alpha[:, 0] = 1.0
     for s, (a, b) in enumerate(spans):
-        alpha[:, b] += alpha[:, a] * chances[ids[:, s]]
+        alpha[:, b] += alpha[:, a] * chances[ids[s]]
     return alpha
 
 
-def log_likelihoods(units: list[bytes], pieces: dict[bytes, int], chances: np.ndarray) -> np.ndarray:
+def log_likelihoods(units: list[bytes], pieces: np.ndarray, chances: np.ndarray) -> np.ndarray:
     """log P(unit) by language, all segmentations summed."""
     out = np.zeros((len(units), chances.shape[1]))
     for places, n, spans, ids in lattices(units, pieces):
@@ -69,19 +78,19 @@ def log_likelihoods(units: list[bytes], pieces: dict[bytes, int], chances: np.nd
     return out
 
 
-def expected_pieces(units: list[bytes], counts: np.ndarray, pieces: dict[bytes, int], chances: np.ndarray) -> np.ndarray:
+def expected_pieces(units: list[bytes], counts: np.ndarray, pieces: np.ndarray, chances: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in ``units`` seen ``counts`` times, by forward and backward sums."""
     used = np.zeros(len(chances))
     for places, n, spans, ids in lattices(units, pieces):
         alpha = forward(n, spans, ids, chances[:, None])[:, :, 0]
-        beta = np.zeros((len(ids), n + 1))
+        beta = np.zeros((ids.shape[1], n + 1))
         beta[:, n] = 1.0
         for s in range(len(spans) - 1, -1, -1):
             a, b = spans[s]
-            beta[:, a] += chances[ids[:, s]] * beta[:, b]
+            beta[:, a] += chances[ids[s]] * beta[:, b]
         scale = counts[places] / alpha[:, n]
-        for s, (a, b) in enumerate(spans):
-            used += np.bincount(ids[:, s], weights=alpha[:, a] * chances[ids[:, s]] * beta[:, b] * scale, minlength=len(used))
+        shares = np.stack([alpha[:, a] * chances[ids[s]] * beta[:, b] * scale for s, (a, b) in enumerate(spans)])
+        used += np.bincount(ids.ravel(), weights=shares.ravel(), minlength=len(used))
     used[0] = 0.0
     return used
 
@@ -135,13 +144,13 @@ def train(
     for _ in range(rounds):
 
         def expect(batches: Iterator[pa.RecordBatch], chances: np.ndarray = chances) -> Iterator[pa.RecordBatch]:
-            find = vocabulary(path)
+            known = vocabulary(path)
             for batch in batches:
                 rows = defaultdict(list)
                 for k, w, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n"))):
                     rows[k] += [(u, n) for u in parts(w)]
                 for k, own in rows.items():
-                    used = expected_pieces([u for u, _ in own], np.array([n for _, n in own], dtype=float), find, chances[:, column[k]])
+                    used = expected_pieces([u for u, _ in own], np.array([n for _, n in own], dtype=float), known, chances[:, column[k]])
                     at = np.nonzero(used)[0]
                     yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(used[at])], names=["lang", "piece", "used"])
 
