@@ -6,10 +6,10 @@ from collections.abc import Callable
 from uuid import uuid4
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, cdc, langid, packing, secrets, sharding, simhash, token_counts
+from . import byte_bpe, cdc, langid, packing, pii, secrets, sharding, simhash, token_counts
 from .common import table
 
 
@@ -53,6 +53,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.scan(docs, pii.train(docs))
+    base = F.filter("spans", lambda s: s["kind"] < 4)
+    counts = [F.size(F.filter("spans", _is(i))).cast("long").alias(f"n_{pii.KINDS[i]}") for i in range(4)]
+    return found.select("doc_id", *counts, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
+def _is(kind: int) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == kind
+
+
 def _new_cache(spark: SparkSession) -> str | None:
     """A cache of this call alone, so that a query's work never depends on an earlier call."""
     shared = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
