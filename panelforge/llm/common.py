@@ -16,14 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs a re-read.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests) is a temporary one used.
-    """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder, so that a lost executor costs a re-read, not the work before."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
