@@ -143,7 +143,7 @@ view("tb_trade", """
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as ticks of twenty symbols."""
-    return table(spark, sf_dir, "events").select((F.col("user_id") % 20).cast("string").alias("symbol"), "ts", F.col("value").alias("price"), "event_id")
+    return table(spark, sf_dir, "events").select((F.col("user_id") % 20).cast("string").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), "event_id")
 
 
 view("tb_ticks", "SELECT CAST(user_id % 20 AS VARCHAR) AS symbol, ts, value AS price, event_id FROM events")
