@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 DAY = 86_400
@@ -110,3 +112,9 @@ def param_audit(keys: DataFrame, param: DataFrame) -> DataFrame:
     on = [c for c in ("ts", "symbol") if c in param.columns]
     blank = keys.join(param.where("v is null").select(*on).distinct(), on, "left_semi").select("ts", "symbol", F.lit("missing value").alias("reason"))
     return blank if out is None else out.unionByName(blank)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, under the session's ``spark.checkpoint.dir`` (a temporary one if unset)."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{base}/{name}-{uuid4().hex}"
