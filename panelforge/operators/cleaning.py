@@ -230,7 +230,8 @@ def null_bad_adjclose(bars: DataFrame, saved: DataFrame | None = None, **how) ->
     """
     if saved is None:
         return bars.groupBy("symbol").applyInPandas(lambda own: repair_adjclose(own, **how), bars.schema)
-    lent = saved.select("symbol", "ts", "open", "close", "return")
+    # fresh columns: the two sides may come from one table
+    lent = saved.select(*(F.col(c).alias(c) for c in ("symbol", "ts", "open", "close", "return")))
     return bars.groupBy("symbol").cogroup(lent.groupBy("symbol")).applyInPandas(lambda own, old: repair_adjclose(own, old, **how), bars.schema)
 
 
