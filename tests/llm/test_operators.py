@@ -1,0 +1,477 @@
+"""Each operator against brute force on a small table, and on messy and empty ones."""
+
+import base64
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from .conftest import SF, messy_rows, messy_text
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from panelforge.llm import byte_bpe, cdc, langid, packing, pii, queries, secrets, sharding, simhash, token_counts, webp
+from panelforge.llm.common import components
+
+JSON = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+@pytest.fixture(scope="module")
+def hf():
+    return Tokenizer.from_file(JSON)
+
+
+@pytest.fixture(scope="module")
+def tik():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_names():
+    assert [n.split("_")[0] for n in queries.queries()] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+
+
+# 1 -------------------------------------------------------------------------------------------------------------------
+
+
+def check_shards(got, sizes):
+    assert Counter((r["doc_id"], r["size"]) for r in got) == sizes
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r)
+        assert r["law"] == "bytes" and r["grown_shard"] is None and 0 <= r["shard"] < 24
+    for own in by.values():
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+    weights = [sum(r["size"] for r in by[s]) for s in range(24)]
+    assert max(weights) - sum(weights) / 24 <= max(r["size"] for r in got)
+
+
+def test_shards(spark, texts):
+    got = rows(queries.queries()["op1_sharding"](spark, SF))
+    check_shards(got, Counter((i, len(t.encode()) + 8) for i, t in texts.items()))
+    assert all(r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in got)
+
+
+def test_shards_messy(messy, nothing):
+    check_shards(rows(sharding.assign_shards(messy)), Counter((i, len((t or "").encode()) + 8) for i, t, *_ in messy_rows()))
+    assert rows(sharding.assign_shards(nothing)) == []
+
+
+def test_rows_that_repeat_everything_are_split(spark):
+    one = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    got = rows(sharding.assign_shards(one))
+    counts = Counter(r["shard"] for r in got)
+    assert len(counts) == 24 and max(counts.values()) - min(counts.values()) <= 2
+
+
+def test_written_shards_hold_whole_rows(messy, spark, tmp_path):
+    sharding.write_shards(messy.drop("shard"), str(tmp_path / "s"), shards=4)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(str, (r["text"] for r in rows(back)))) == sorted(map(str, (r[1] for r in messy_rows())))
+
+
+# 2 -------------------------------------------------------------------------------------------------------------------
+
+
+def check_packing(got, ids):
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for r in got:
+        by_doc[r["doc_id"]].append(r)
+        by_seq[r["sequence_id"]].append(r)
+    assert set(by_doc) == set(ids)
+    for doc, own in by_doc.items():
+        at = 0
+        for k, r in enumerate(sorted(own, key=lambda r: r["piece"])):
+            assert (r["piece"], r["start"]) == (k, at) and r["length"] <= 1024 and (k == 0 or r["length"] == 1024)
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[doc][at : at + r["length"]], "<u4").tobytes())
+            at += r["length"]
+        assert at == len(ids[doc])
+    for own in by_seq.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 1024
+    total = sum(r["length"] for r in got)
+    assert len(by_seq) <= total / 1024 * 1.02 + 2
+
+
+def test_packing(spark, texts, hf):
+    ids = {i: hf.encode(t, add_special_tokens=False).ids + [2] for i, t in texts.items()}
+    check_packing(rows(queries.queries()["op2_best_fit_packing"](spark, SF)), ids)
+
+
+def test_packing_messy(messy, nothing, hf):
+    once = messy.where("doc_id is not null").dropDuplicates(["doc_id"])
+    ids = {i: hf.encode(t, add_special_tokens=False).ids + [2] for i, t in messy_text().items() if i is not None}
+    check_packing(rows(packing.pack(packing.pieces(once, JSON))), ids)
+    assert len(rows(packing.pack(packing.pieces(messy, JSON)))) == len(rows(packing.pieces(messy, JSON)))
+    assert rows(packing.pack(packing.pieces(nothing, JSON))) == []
+
+
+def naive_best_fit(lengths, capacity):
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fits = [r for r in rooms if r >= n]
+        if fits:
+            rooms.remove(min(fits))
+            rooms.append(min(fits) - n)
+        else:
+            rooms.append(capacity - n)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_plan_is_best_fit(seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(1, 101, 300).tolist()
+    slots = packing.plan(Counter(lengths), 100)
+    used = defaultdict(int)
+    for n, _, ranks, first, per, _ in slots:
+        for j in range(ranks):
+            used[first + j // per] += n
+    assert sum(used.values()) == sum(lengths) and max(used.values()) <= 100
+    assert len(used) == naive_best_fit(lengths, 100)
+
+
+# 3 -------------------------------------------------------------------------------------------------------------------
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_secrets(s):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(s) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", s) if len(m[0]) >= 16]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", s) if len(m[0]) >= 32])
+
+
+def check_secrets(got, texts):
+    for r in got:
+        want = base_secrets(texts[r["doc_id"]])
+        assert [tuple(s) for s in r["base"]] == want
+        assert set(map(tuple, r["spans"])) >= set(want)
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(x[1] == k for x in want) for k in range(3)]
+
+
+def test_secrets(documents, texts, messy, nothing):
+    model = secrets.train(documents)
+    check_secrets(rows(secrets.scan(documents, model)), texts)
+    check_secrets([r for r in rows(secrets.scan(messy, model)) if r["doc_id"] is not None], messy_text())
+    assert rows(secrets.scan(nothing, secrets.train(nothing))) == []
+
+
+def test_random_tokens_are_found_and_names_are_not(spark, documents):
+    model = secrets.train(documents)
+    secret = base64.b64encode(hashlib.sha256(b"q").digest()).decode()
+    cases = [(1, f"use {secret} here"), (2, "the longIdentifierNameForTesting123 is plain"), (3, "password=short token: password=longenough1"), (4, "queelleaiierelletion 1234567890123456789012")]
+    got = {r["doc_id"]: r for r in rows(secrets.scan(spark.createDataFrame(cases, "doc_id long, text string"), model))}
+    assert [tuple(s) for s in got[1]["spans"]] == [(4, 3, 4 + len(secret))]
+    assert got[2]["spans"] == [] and got[4]["spans"] == []
+    assert [tuple(s) for s in got[3]["base"]] == base_secrets(cases[2][1])
+
+
+# 4 -------------------------------------------------------------------------------------------------------------------
+
+
+def test_segmentations_are_summed():
+    pieces = np.unique(np.array([int.from_bytes(p, "big") for p in (b"a", b"b", b"ab", b"ba", b"aba")], dtype=np.uint64))
+    chances = np.concatenate([[[0.0]], np.full((5, 1), 0.2)])
+    got = langid.log_likelihoods([b"aba"], pieces, chances)[0, 0]
+    assert got == pytest.approx(np.log(0.2**3 + 2 * 0.2**2 + 0.2))  # a|b|a, ab|a, a|ba, aba
+
+
+def test_expected_uses_against_enumeration():
+    pieces = np.unique(np.array([int.from_bytes(p, "big") for p in (b"a", b"b", b"ab")], dtype=np.uint64))
+    chances = np.zeros(4)
+    at = {p: int(langid.find(np.array([int.from_bytes(p, "big")], dtype=np.uint64), pieces)[0]) for p in (b"a", b"b", b"ab")}
+    chances[at[b"a"]], chances[at[b"b"]], chances[at[b"ab"]] = 0.5, 0.3, 0.2
+    used = langid.expected_pieces([b"ab"], np.array([2.0]), pieces, chances)
+    split = 0.15 / 0.35
+    assert used[at[b"a"]] == pytest.approx(2 * split) and used[at[b"ab"]] == pytest.approx(2 * (1 - split))
+
+
+def test_languages(spark, messy, nothing):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs, RANKS)
+    got = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 3 == 1)).all()
+    assert (got[got.held_out].lang_pred == got[got.held_out].lang).mean() > 0.98
+    assert got.score.between(0, 1).all()
+    odd = {r["doc_id"]: r for r in rows(langid.predict(messy, model))}
+    assert [odd[i]["lang_pred"] for i in (0, 1, 2, 4)] == ["und"] * 4
+    assert len(rows(langid.predict(messy, model))) == len(messy_rows())
+    assert rows(langid.predict(nothing, langid.train(nothing, RANKS))) == []
+    kept = langid.keep_known(messy, model)
+    assert kept.schema == messy.schema and 0 not in {r["doc_id"] for r in rows(kept)}
+
+
+# 5 -------------------------------------------------------------------------------------------------------------------
+
+
+def naive_chunks(raw):
+    """Boundaries by walking the gear hash byte by byte."""
+    gears, h, begun, out = cdc.gears().tolist(), 0, 0, []
+    for i, b in enumerate(raw):
+        h = ((h << 1) + gears[b]) & 0xFFFFFFFF
+        size = i + 1 - begun
+        if i + 1 >= cdc.WINDOW and size >= cdc.LEAST and h >> (32 - (cdc.EASY_BITS if size >= cdc.WANTED else cdc.HARD_BITS)) == 0 or size == cdc.MOST:
+            out.append(i + 1)
+            begun = i + 1
+    return out + [len(raw)] * (begun < len(raw))
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 64, 5000, 20000])
+def test_boundaries_against_a_walk(n):
+    raw = np.random.default_rng(n).integers(97, 123, n, dtype=np.uint8).tobytes() + b"z" * (n // 4)
+    (got,) = cdc.boundaries(np.frombuffer(raw, dtype=np.uint8), [0], [len(raw)])
+    assert got == naive_chunks(raw)
+
+
+def test_fingerprints(spark, texts, messy, nothing):
+    got = {r["doc_id"]: r for r in rows(queries.queries()["op5_document_fingerprints"](spark, SF))}
+    order = sorted(texts, reverse=True)
+    for i, nxt in zip(order, order[1:] + order[:1]):
+        t, r = texts[i], got[i]
+        edited = t[: len(t) - len(t) // 2] + texts[nxt][: len(t) // 2]
+        own, other, after = (cdc.chunk_sets([x.encode()])[0] for x in (t, edited, texts[nxt]))
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (cdc.written(own), cdc.written(other))
+        assert (r["near_edited"], r["near_next"]) == (cdc.contained(own, other), cdc.contained(own, after))
+    long = [r["near_edited"] for i, r in got.items() if len(texts[i]) > 2000]
+    assert 0.35 < np.mean(long) < 0.65
+    assert len(rows(cdc.edited_likeness(messy))) == len(messy_rows())
+    assert rows(cdc.edited_likeness(nothing)) == [] and len(rows(cdc.edited_likeness(messy.where("doc_id = 5")))) == 1
+
+
+def test_containment_column(spark, documents, texts):
+    f = cdc.fingerprints(documents.limit(20)).toDF("a", "fa").crossJoin(cdc.fingerprints(documents.limit(5)).toDF("b", "fb"))
+    for r in rows(f.withColumn("c", cdc.containment(F.col("fa"), F.col("fb")))):
+        a, b = (cdc.chunk_sets([texts[r[k]].encode()])[0] for k in ("a", "b"))
+        assert r["c"] == pytest.approx(cdc.contained(a, b))
+
+
+# 6, 7 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_byte_bpe(spark, texts, tik, messy, nothing):
+    for r in rows(queries.queries()["op6_byte_bpe"](spark, SF)):
+        ids = tik.encode_ordinary(texts[r["doc_id"]])
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+    own = messy_text()
+    for r in rows(byte_bpe.encode(messy, RANKS)):
+        if r["doc_id"] is not None:
+            t = own[r["doc_id"]]
+            assert r["ids"] == tik.encode_ordinary(t)
+            pieces = [tik.decode_single_token_bytes(i) for i in r["ids"]]
+            assert r["offsets"] == np.append(0, np.cumsum([len(p) for p in pieces]))[:-1].tolist()
+    assert rows(byte_bpe.decode(byte_bpe.encode(nothing, RANKS), RANKS)) == []
+
+
+def test_byte_bpe_on_odd_strings(tik):
+    rng = np.random.default_rng(0)
+    parts = ["'", "s", "re", "ll", " ", "  ", "\n", "\t", "a", "Z", "é", "日", "1", "٣", "!", " ", "​", "😀", "́", "\x1c", "'S", "\r"]
+    cases = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(4000)] + ["a" * 3000, " " * 700 + "x"]
+    for t, ids in zip(cases, byte_bpe.bpe(RANKS).encode(cases)):
+        assert ids.tolist() == tik.encode_ordinary(t), repr(t)
+
+
+def test_token_counts(spark, texts, hf, messy, nothing, tmp_path):
+    for r in rows(queries.queries()["op7_token_counts"](spark, SF)):
+        n = len(hf.encode(texts[r["doc_id"]], add_special_tokens=False).ids)
+        assert (r["n_tokens"], r["over_limit"], r["n_bytes"]) == (n, n > 1024, len(texts[r["doc_id"]].encode()))
+    cache = str(tmp_path / "cache")
+    first = rows(token_counts.token_counts(messy.where("doc_id < 20"), JSON, cache))
+    stored = spark.read.parquet(cache).count()
+    got = rows(token_counts.token_counts(messy, JSON, cache))
+    assert len(got) == len(messy_rows()) and len(first) == messy.where("doc_id < 20").count()
+    own = messy_text()
+    assert all(r["n_tokens"] == len(hf.encode(own[r["doc_id"]], add_special_tokens=False).ids) for r in got if r["doc_id"] is not None)
+    kept = spark.read.parquet(cache)
+    assert kept.count() == kept.select("digest").distinct().count() > stored  # only misses were added
+    assert rows(token_counts.token_counts(nothing, JSON)) == []
+
+
+def test_fast_ids_equal_the_library(hf):
+    from panelforge.llm.encoding import encoder
+
+    own = encoder(JSON)
+    for t in [*messy_text().values(), "<|endoftext|>", "a<|endoftext|> b", "ſͅǅ ༳ ", " 　x", "𝔘𝟙"]:
+        assert own.ids(t).tolist() == hf.encode(t, add_special_tokens=False).ids
+
+
+# 8 -------------------------------------------------------------------------------------------------------------------
+
+
+def naive_print(s):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), s))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def naive_components(prints):
+    """prints: node -> fingerprint; node -> least node reachable over distances of at most two bits."""
+    boss = {k: k for k in prints}
+
+    def find(x):
+        while boss[x] != x:
+            x = boss[x]
+        return x
+
+    keys = sorted(prints)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= 2:
+                x, y = sorted((find(a), find(b)))
+                boss[y] = x
+    return {k: find(k) for k in keys}
+
+
+def test_simhash(spark, texts, messy, nothing):
+    got = {r["doc_id"]: r for r in rows(queries.queries()["op8_simhash"](spark, SF))}
+    prints = {i: naive_print(t) for i, t in texts.items()}
+    want = naive_components(prints)
+    assert {i: (int(r["fingerprint"], 16), r["component_id"]) for i, r in got.items()} == {i: (prints[i], want[i]) for i in texts}
+    odd = rows(simhash.near_duplicates(messy))
+    assert len(odd) == len(messy_rows())
+    own = messy_text()
+    named = {i: naive_print(t) for i, t in own.items() if i is not None}
+    want = naive_components(named)
+    assert {r["doc_id"]: r["component_id"] for r in odd if r["doc_id"] is not None} == want
+    assert rows(simhash.near_duplicates(nothing)) == []
+    kept = rows(simhash.keep_one(messy))
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(set(want.values()))
+
+
+@pytest.mark.parametrize("cap", [0, 2, 64])
+def test_links_keep_components_whole(spark, cap):
+    """Chains and crowds within two bits, with every cap on paired buckets."""
+    rng = np.random.default_rng(cap)
+    seeds = rng.integers(0, 1 << 63, 6, dtype=np.uint64).tolist()
+    values = set(seeds)
+    for s in seeds[:3]:
+        for _ in range(60):
+            s ^= (1 << int(rng.integers(0, 64))) | (1 << int(rng.integers(0, 64)))
+            values.add(s)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    links = simhash.close_links(spark.createDataFrame([(v,) for v in signed], "fp long"), bucket_cap=cap)
+    got = {r["node"]: r["label"] for r in rows(components(links))}
+    want = naive_components({v: v & ((1 << 64) - 1) for v in signed})
+    assert {v: got.get(v, v) for v in signed} == want
+
+
+# 9 -------------------------------------------------------------------------------------------------------------------
+
+
+def test_media(spark, texts, messy, nothing):
+    for r in rows(queries.queries()["op9_webp_media"](spark, SF)):
+        raw = texts[r["doc_id"]].encode()
+        padded = raw + b"\0" * (-len(raw) % 64 or (64 if not raw else 0))
+        assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(padded))
+        assert r["payload_sha256"] == hashlib.sha256(padded).hexdigest() and r["tail_crc32"] == zlib.crc32(padded[-64:])
+    got = rows(webp.from_media(webp.to_media(messy)))
+    own = messy_text()
+    assert len(got) == len(messy_rows())
+    assert all(r["payload_sha256"] == hashlib.sha256(webp.payload(own[r["doc_id"]].encode())).hexdigest() for r in got if r["doc_id"] is not None)
+    assert rows(webp.from_media(webp.to_media(nothing))) == []
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_every_feature_round_trips(seed):
+    """Predictors, cross-colour, subtract green, palettes, back-references and colour caches of any size."""
+    rng = np.random.default_rng(seed)
+    height, width = rng.integers(1, 40, 2)
+    top = [256, 3, 16, 50][seed % 4]
+    image = rng.integers(0, top, (height, width, 4), dtype=np.uint8)
+    if seed % 3 == 0 and height > 2:
+        image[height // 2 :] = image[: height - height // 2]  # repeats
+    size = int(rng.integers(2, 5))
+    blocks = (-(-height >> size), -(-width >> size))
+    steps = [(webp.PREDICTOR, rng.integers(0, 14, blocks), size), (webp.CROSS_COLOUR, rng.integers(0, 256, (*blocks, 3)).astype(np.uint8), size), (webp.SUBTRACT_GREEN,)]
+    steps = [steps[i] for i in rng.permutation(3)[: int(rng.integers(0, 4))]]
+    if len(np.unique(webp._argb(image))) <= 256 and seed % 2:
+        steps = [(webp.PALETTE,)]
+    data = webp.encode(image, steps, int(rng.integers(0, 9)))
+    np.testing.assert_array_equal(webp.decode(data), image)
+
+
+def test_known_file():
+    """A one-pixel lossless file, written by hand from the format's description: five simple codes, one pixel."""
+    fields = [(0x2F, 8), (0, 14), (0, 14), (1, 1), (0, 3), (0, 1), (0, 1), (0, 1)]
+    for symbol in (20, 10, 30, 128, 0):  # green, red, blue, alpha, distance
+        fields += [(1, 1), (0, 1), (1, 1), (symbol, 8)]
+    body = webp.pack_bits(np.array([v for v, _ in fields]), np.array([w for _, w in fields]))
+    chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) % 2)
+    data = b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
+    assert webp.decode(data).tolist() == [[[128, 10, 20, 30]]]
+
+
+def test_short_distances_are_those_of_the_format():
+    assert webp.near_places()[:12] == [(0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2)]
+    assert len(webp.near_places()) == 120 and webp.near_places()[-1] == (8, 7)
+
+
+# 10 ------------------------------------------------------------------------------------------------------------------
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+BASE = [
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda g: True),
+    (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda g: all(int(p) <= 255 for p in g.split("."))),
+    (r"[0-9]([\x20-]?[0-9])+", lambda g: 13 <= len(re.sub("[^0-9]", "", g)) <= 19 and luhn(re.sub("[^0-9]", "", g))),
+    (r"\+[0-9][\x20().0-9-]+[0-9]", lambda g: 9 <= len(re.sub("[^0-9]", "", g)) <= 15),
+]
+
+
+def base_personal(s):
+    return [(k, m.start(), m.end()) for k, (p, ok) in enumerate(BASE) for m in re.finditer(p, s) if ok(m[0])]
+
+
+def test_base_formats_on_odd_strings():
+    rng = np.random.default_rng(1)
+    parts = ["a", "@", ".", "1", "25", "256", "4", "-", " ", "+", "(", ")", "b.c", "0", "4952935900253052", "é", "٣", "%", "@@", ".."]
+    for _ in range(6000):
+        s = "".join(rng.choice(parts, rng.integers(0, 24)))
+        assert pii.base_spans(s) == base_personal(s), s
+
+
+def test_personal_data(spark, texts, messy, nothing):
+    got = rows(queries.queries()["op10_pii"](spark, SF))
+    for r in got:
+        want = base_personal(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(x[0] == k for x in want) for k in range(4)]
+    assert len(rows(pii.scan(messy, pii.Model()))) == len(messy_rows())
+    assert rows(pii.scan(nothing, pii.train(nothing))) == []
+
+
+def test_disguised_data_is_found_and_plain_numbers_are_not(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = pii.train(docs)
+    assert model.trees
+    cases = ["mail joe.bloggs (at) mail3.example.com soon", "call 212-555-0175 now", "version 4.0.1 of 2021-03-04 costs 12,000", "call (212) 555-0175 now"]
+    found = [[(c[a:b]) for _, a, b, _ in f] for c, f in zip(cases, pii.find(cases, model))]
+    assert found[0] == ["joe.bloggs (at) mail3.example.com"] and found[1] == ["212-555-0175"] and found[2] == [] and "212) 555-0175" in found[3][0]
+
+
+def test_redaction_keeps_the_rest(messy, nothing):
+    out = pii.redact(messy, pii.Model())
+    assert out.schema == messy.schema and rows(pii.redact(nothing, pii.Model())) == []
+    before, after = ({r["doc_id"]: r for r in rows(d)} for d in (messy, out))
+    changed = [i for i in before if before[i]["text"] != after[i]["text"]]
+    assert changed == [80] and after[80]["text"] == "write to [EMAIL] or [PHONE], card [CARD], host [IP]"
+    assert after[80]["n_chars"] == len(after[80]["text"]) and after[0]["text"] is None
