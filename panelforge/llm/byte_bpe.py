@@ -13,7 +13,7 @@ import heapq
 import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +107,7 @@ def slice_starts(codes: np.ndarray) -> np.ndarray:
 class Bpe:
     """Ranks of a byte-level vocabulary, with a bounded cache of encoded slices."""
 
-    def __init__(self, ranks: dict[bytes, int], cached: int = 300_000, long_slice: int = 256) -> None:
+    def __init__(self, ranks: dict[bytes, int], cached: int = 150_000, long_slice: int = 256) -> None:
         self.ranks, self.cached, self.long_slice = ranks, cached, long_slice
         size = max(ranks.values()) + 1
         self.size = np.zeros(size, dtype=np.int64)
@@ -117,33 +117,46 @@ class Bpe:
         ordered = sorted(ranks.items(), key=lambda x: x[1])
         self.bytes = np.frombuffer(b"".join(p for p, _ in ordered), dtype=np.uint8)
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        pairs = {
-            (ranks[p[:k]] << 32) | ranks[p[k:]]: i for p, i in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks
-        }
-        self.pairs = np.array(sorted(pairs), dtype=np.int64)
-        self.merged = np.array([pairs[k] for k in self.pairs.tolist()], dtype=np.int64)
-        self.pair = pairs
         self.none = np.int64(1 << 40)
         self._reset()
 
+    @cached_property
+    def merges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys of all mergeable pairs of ids, and what they merge to; a worker that only decodes never builds them."""
+        ranks = self.ranks
+        keys, merged = [], []
+        for p, i in ranks.items():
+            for k in range(1, len(p)):
+                if p[:k] in ranks and p[k:] in ranks:
+                    keys.append((ranks[p[:k]] << 32) | ranks[p[k:]])
+                    merged.append(i)
+        order = np.argsort(np.array(keys, dtype=np.int64))
+        return np.array(keys, dtype=np.int64)[order], np.array(merged, dtype=np.int64)[order]
+
     def _reset(self) -> None:
         self.at: dict[bytes, int] = {}
         self.flat, self.starts, self.counts = [np.zeros(0, np.int64)] * 3
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The id that each pair merges to, or ``none``."""
-        if not len(self.pairs):
+        pairs, merged = self.merges
+        if not len(pairs):
             return np.full(len(left), self.none)
         key = (left << 32) | right
-        i = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where(self.pairs[i] == key, self.merged[i], self.none)
+        i = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        return np.where(pairs[i] == key, merged[i], self.none)
+
+    def _pair(self, left: int, right: int) -> int | None:
+        pairs, merged = self.merges
+        i = int(np.searchsorted(pairs, (left << 32) | right))
+        return int(merged[i]) if i < len(pairs) and pairs[i] == (left << 32) | right else None
 
     def _merge_long(self, piece: bytes) -> list[int]:
         """Lowest pair first, leftmost on ties, by a heap over a linked list: for slices of any length."""
         n = len(piece)
         ids = [int(self.of_byte[b]) for b in piece]
         ahead, behind = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pair.get((ids[i] << 32) | ids[i + 1])) is not None]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self._pair(ids[i], ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
@@ -155,7 +168,7 @@ class Bpe:
             if ahead[j] < n:
                 behind[ahead[j]] = i
             for x in (behind[i], i):
-                if x >= 0 and ahead[x] < n and (m := self.pair.get((ids[x] << 32) | ids[ahead[x]])) is not None:
+                if x >= 0 and ahead[x] < n and (m := self._pair(ids[x], ids[ahead[x]])) is not None:
                     heapq.heappush(heap, (m, x, ids[x], ids[ahead[x]]))
         return [i for i in ids if i >= 0]
 
@@ -265,7 +278,7 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe(ranks)
-        for batch in small_batches(batches, "text", 2_000_000):
+        for batch in small_batches(batches, "text", 1_000_000):
             ids = own.encode(as_text(batch, "text"))
             lists = [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))]
             lists.append(pa.array([own.offsets(x)[:-1].astype(np.int32) for x in ids], pa.list_(pa.int32())))
