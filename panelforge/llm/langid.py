@@ -20,6 +20,7 @@ WORD = regex.compile(r"\p{L}+")
 LONGEST_PIECE = 8
 LONGEST_WORD = 40  # bytes; a longer run is scored in parts, so that no product of probabilities underflows
 UNKNOWN = "und"
+LEAST = 0.3  # a short text of a known language may be in doubt between several; it is kept
 
 
 @lru_cache(maxsize=2)
@@ -225,7 +226,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return chosen.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST) -> DataFrame:
     """The rows of ``docs`` whose text is in a learned language with a score of at least ``least``, all columns kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

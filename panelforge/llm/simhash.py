@@ -115,7 +115,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     All columns of ``docs`` are returned. Rows without an id belong to no component and stay; of rows that repeat an
     id, one stays.
     """
-    spark_rows = docs.where(F.col(id_col).isNotNull())
-    winners = near_duplicates(spark_rows, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col))
-    kept = spark_rows.join(winners.distinct(), id_col, "left_semi").dropDuplicates([id_col])
+    named = docs.where(F.col(id_col).isNotNull())
+    winners = near_duplicates(named, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col))
+    kept = named.join(winners.distinct(), id_col, "left_semi").dropDuplicates([id_col])
     return kept.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))

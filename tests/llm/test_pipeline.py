@@ -14,7 +14,7 @@ def test_pipeline(spark, texts, documents):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     model = langid.train(documents, path)
     scores = dict(zip(texts, langid.Scorer(model).score(list(texts.values()))))
-    known = {i: t for i, t in texts.items() if scores[i][0] != "und" and scores[i][1] >= 0.5}
+    known = {i: t for i, t in texts.items() if scores[i][0] != "und" and scores[i][1] >= langid.LEAST}
     groups = naive_components({i: naive_print(t) for i, t in known.items()})
     kept = {i: t for i, t in known.items() if groups[i] == i}
     assert len(kept) < len(texts) and len(known) >= len(texts) - 3
