@@ -63,12 +63,16 @@ def token_counts(docs: DataFrame, vocabulary: str, cache: str | None = None, lim
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
         if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
             stored = spark.read.schema(CACHE).parquet(cache)
+    # one row a digest, even if two runs stored it; materialised, so that the last join's sides are plain exchanges, which
+    # adaptive execution can split where a digest is hot
     stored = stored.where(F.col("version") == key).select("digest", "n_tokens")
+    if cache is not None:
+        stored = cut(stored.dropDuplicates(["digest"]))
     distinct = marked.groupBy("digest").agg(F.first("text").alias("text"))
     misses = distinct if cache is None else distinct.join(stored.select("digest"), "digest", "left_anti")
     fresh = cut(encode_counts(misses, vocabulary))
     if cache is not None:
         fresh.select(F.lit(key).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    known = fresh if cache is None else fresh.union(stored).dropDuplicates(["digest"])
+    known = fresh if cache is None else fresh.union(stored)
     narrow = marked.select("doc_id", "digest", "n_bytes")
     return narrow.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
