@@ -226,3 +226,33 @@ def _(spark, sf):
 def _(spark, sf):
     out = st.stream_rolling(tb.ticks(spark, sf), "4 hours", "1 hour")
     return out.select("symbol", F.unix_seconds("ts").alias("t"), rnd("mean", 8).alias("mean"), rnd("rms", 8).alias("rms"), "n")
+
+
+@query("leverage", f"{BD} {r('leverage', digits=7)} FROM tb_nav", "tb_nav")
+def _(spark, sf):
+    return shown(navs(spark, sf), P, "ts", "leverage", digits=7)
+
+
+@query("growth_rates", f"{BD} {r('growth', digits=8)} FROM tb_rel", "tb_rel")
+def _(spark, sf):
+    return shown(a.returns(navs(spark, sf)), P, "ts", "growth", digits=8)
+
+
+@query("information_ratio", f", s AS (SELECT portfolio_id, avg(active) * 12 / (stddev_pop(active) * sqrt(12) + 1e-8) AS information_ratio FROM tb_rel GROUP BY 1) SELECT portfolio_id, {r('information_ratio', digits=6)} FROM s", "tb_rel")
+def _(spark, sf):
+    return shown(a.summary(rel(spark, sf)), P, "information_ratio", digits=6)
+
+
+@query("parameter_ladder", f"SELECT portfolio_id, gamma, {r('avg(ret) - gamma * avg(ret * ret)', 'score', 7)} FROM tb_rel, (SELECT pow(2.0, k) AS gamma FROM range(-2, 3) t(k)) GROUP BY 1, 2", "tb_rel")
+def _(spark, sf):
+    own = rel(spark, sf).groupBy(P).agg(F.avg("ret").alias("m"), F.avg(F.col("ret") * F.col("ret")).alias("q"))
+    scored = own.crossJoin(F.broadcast(a.ladder(spark, "gamma", 2.0, -2, 2))).withColumn("score", F.col("m") - F.col("gamma") * F.col("q"))
+    return shown(scored, P, "gamma", "score", digits=7)
+
+
+@query("cut_bankrupt", f"SELECT portfolio_id, symbol, {D}, {r(f'h + {SHIFT}', 'h', 4)} FROM tb_shorted s LEFT JOIN (SELECT portfolio_id, min(ts) AS since FROM (SELECT portfolio_id, ts FROM tb_shorted GROUP BY 1, 2 HAVING sum(h) <= 0) GROUP BY 1) b USING (portfolio_id) WHERE since IS NULL OR ts <= since", "tb_shorted")
+def _(spark, sf):
+    from ..operators.trades import cut_bankrupt
+
+    h = tb.holdings(spark, sf).withColumn("h", F.when(F.col("is_cash"), F.col("h") - 9e5).otherwise(F.col("h")))
+    return shown(cut_bankrupt(h).withColumn("h", F.col("h") + SHIFT), P, "symbol", "ts", "h", digits=4)

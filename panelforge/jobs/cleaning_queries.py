@@ -230,3 +230,11 @@ def _(spark, sf):
 def _(spark, sf):
     out = c.clean_bars(tb.dirty_bars(spark, sf)).withColumn("ret", rnd("return")).drop("return")
     return shown(out)
+
+
+@query("null_anomalous_saved", f"""
+    , past AS (SELECT symbol, ts, open, close FROM tb_dirty WHERE ts < TIMESTAMP '1999-01-01'), both_ AS (SELECT symbol, ts, open, close, 1 AS own FROM tb_dirty WHERE ts >= TIMESTAMP '1999-01-01' UNION ALL SELECT *, 0 FROM past),
+    {_score_sql(GAP, 'both_', c.WINDOWS)} SELECT symbol, CAST(ts AS DATE) AS ts, round(CASE WHEN score > 5 THEN NULL ELSE open END, 9) + 0.0 AS open FROM scored WHERE own = 1""", "tb_dirty")
+def _(spark, sf):
+    bars = tb.dirty_bars(spark, sf)
+    return shown(c.null_anomalous(bars.where("ts >= '1999-01-01'"), "open", 5.0, saved=bars.where("ts < '1999-01-01'")), "symbol", "ts", "open")

@@ -343,3 +343,16 @@ def _(spark, sf):
 def _(spark, sf):
     param = tb.membership(spark, sf).where("symbol <> 'Brand#2'").withColumn("v", F.when(F.col("tradable"), 1.0)).drop("tradable")
     return shown(param_audit(tb.panel(spark, sf).select("ts", "symbol"), param))
+
+
+@query("read_write_series", f"SELECT fmt, 'rate' AS symbol, CAST(ts AS DATE) AS ts, rate AS value FROM tb_rate, (SELECT unnest(['parquet', 'orc', 'json', 'csv']) AS fmt)", "tb_rate")
+def _(spark, sf):
+    """The rate series stored in four formats and read back with exact types."""
+    from ..functions.core import shared_folder
+
+    series, folder, out = tb.rates(spark, sf).select(F.lit("rate").alias("symbol"), "ts", F.col("rate").alias("value")), shared_folder(spark, "series"), None
+    for fmt in ("parquet", "orc", "json", "csv"):
+        s.write_series(series, f"{folder}/{fmt}", fmt)
+        back = s.read_series(spark, f"{folder}/{fmt}", fmt).select(F.lit(fmt).alias("fmt"), "symbol", F.to_date("ts").alias("ts"), "value")
+        out = back if out is None else out.unionByName(back)
+    return out
