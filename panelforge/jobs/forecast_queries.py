@@ -145,10 +145,12 @@ def _(spark, sf):
     return shown(factors.psd_factor(_cov_at_dates(spark, sf)))
 
 
-@query("psd_factor_product", BLOCKED.format(r("avg(a.ret * b.ret)", "value", 6)).replace("count(*) AS n, ", "") + " HAVING count(*) > 0 AND CAST(d.ts AS DATE) >= DATE '2000-01-01'", "tb_panel", "tb_cal")
+@query("psd_factor_product", f"""SELECT CAST(d.ts AS DATE) AS ts, a.symbol AS sym_i, b.symbol AS sym_j, {r('avg(coalesce(a.ret, 0) * coalesce(b.ret, 0))', 'value', 6)} FROM tb_dense a JOIN tb_dense b
+    ON a.ts = b.ts AND a.symbol <= b.symbol JOIN (SELECT ts FROM tb_cal WHERE month(ts) = 1 AND year(ts) >= 2000) d ON a.ts < d.ts GROUP BY 1, 2, 3""", "tb_dense", "tb_cal")
 def _(spark, sf):
-    """F'F gives back each covariance once histories are long enough for it to be positive."""
-    own = factors.psd_factor(_cov_at_dates(spark, sf).where("ts >= '2000-01-01'"))
+    """F'F gives back each covariance of returns without gaps, which is positive."""
+    whole = s.dense(tb.panel(spark, sf)).withColumn("ret", F.coalesce("ret", F.lit(0.0)))
+    own = factors.psd_factor(f.covariance_blocked(whole, _dates(spark, sf).where("year(ts) >= 2000")))
     a, b = own.toDF("ts", "factor", "sym_i", "fi"), own.toDF("ts", "factor", "sym_j", "fj")
     pairs = a.join(b, ["ts", "factor"]).where("sym_i <= sym_j").groupBy("ts", "sym_i", "sym_j").agg(F.sum(F.col("fi") * F.col("fj")).alias("value"))
     return shown(pairs, digits=6)
