@@ -97,8 +97,11 @@ def param_lookup(keys: DataFrame, param: DataFrame | float, name: str = "v", aso
         return keys.withColumn(name, F.lit(float(param)))
     param = param.withColumnRenamed("v", name)
     on = [c for c in ("ts", "symbol") if c in param.columns]
+    if asof and on == ["ts"]:  # looked up once for each distinct time, not for each row
+        times = asof_join(keys.select("ts").distinct(), param, [name])
+        return keys.join(times, "ts", "left").select(*keys.columns, name)
     if asof and "ts" in on:
-        return asof_join(keys, param, [name], by=[c for c in on if c != "ts"])
+        return asof_join(keys, param, [name], by=["symbol"])
     return keys.join(param.select(*on, name), on, "left").select(*keys.columns, name)
 
 

@@ -11,7 +11,10 @@ from . import testbeds as tb
 
 
 def strategy_report(spark: SparkSession, sf_dir: str, longs: int = 5, shorts: int = 5, leverage: float = 0.02) -> DataFrame:
-    """One row per look-back: annualised return, volatility, Sharpe ratio and worst drawdown of ranking brands by trailing means."""
+    """One row per look-back: annualised return, volatility, Sharpe ratio and worst drawdown of ranking brands by trailing means.
+
+    A portfolio that loses everything in a period is ``bankrupt``; its path ends with that period.
+    """
     panel = tb.panel(spark, sf_dir)
     cash = add_cash(panel, tb.rates(spark, sf_dir), 12.0)
     everything = with_cash_rows(panel, cash).select("ts", "symbol", "ret")
@@ -21,11 +24,13 @@ def strategy_report(spark: SparkSession, sf_dir: str, longs: int = 5, shorts: in
         own = weights.w_rank_long_short(signal, longs, shorts, leverage).withColumn("portfolio_id", F.lit(f"look-back {days} days"))
         books = own if books is None else books.unionByName(own)
     period = books.join(everything, ["ts", "symbol"]).groupBy("portfolio_id", "ts").agg(F.sum(F.col("w") * F.coalesce("ret", F.lit(0.0))).alias("r"))
-    growth = F.exp(F.coalesce(F.sum(F.log1p("r")).over(Window.partitionBy("portfolio_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    navs = period.withColumn("v", growth).select("portfolio_id", "ts", "v")
+    before = Window.partitionBy("portfolio_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    solvent = period.withColumn("least", F.min("r").over(before)).where("least is null or least > -1")
+    growth = F.exp(F.coalesce(F.sum(F.log1p("r")).over(before), F.lit(0.0)))
+    navs = solvent.withColumn("v", growth).select("portfolio_id", "ts", "v", "r")
     bench = panel.groupBy("ts").agg((F.avg("ret") / 1000).alias("bm_ret"))
     periods = navs.select("portfolio_id", "ts").join(F.broadcast(cash), "ts").join(F.broadcast(bench), "ts", "left")
     relative = analytics.drawdown(analytics.relative_returns(navs, periods))
-    worst = relative.groupBy("portfolio_id").agg(F.count("*").alias("periods"), F.min("drawdown").alias("min_drawdown"))
+    worst = relative.groupBy("portfolio_id").agg(F.count("*").alias("periods"), F.min("drawdown").alias("min_drawdown"), F.max(F.col("r") <= -1).alias("bankrupt"))
     report = analytics.summary(relative).select("portfolio_id", "ann_ret", "ann_vol_ret", "sharpe")
     return worst.join(report, "portfolio_id").orderBy("portfolio_id")

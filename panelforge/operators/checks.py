@@ -147,7 +147,7 @@ def _factor(weights: DataFrame, exposures: DataFrame, name: str, op: str, limits
     on = [c for c in ("ts", "symbol") if c in exposures.columns]
     w = F.abs("w") if gross else F.col("w")
     own = weights.where("not is_cash").join(exposures, on).groupBy(*BOOK, "factor").agg(F.sum(w * F.col("f")).alias("y"))
-    own = own.join(F.broadcast(limits), "factor") if isinstance(limits, DataFrame) else own.withColumn("limit", F.lit(float(limits)))
+    own = own.join(limits, "factor") if isinstance(limits, DataFrame) else own.withColumn("limit", F.lit(float(limits)))
     return check(own.withColumnRenamed("factor", "symbol"), name, F.col("y"), op, F.col("limit"))
 
 
@@ -173,9 +173,9 @@ def chk_factor_neutral(weights: DataFrame, exposures: DataFrame) -> DataFrame:
 
 
 def chk_market_neutral(weights: DataFrame, benchmark: DataFrame, cov: DataFrame) -> DataFrame:
-    """w_b' S w = 0: the benchmark's covariances ``(sym_i, sym_j, value)``, i <= j, become one exposure per symbol."""
+    """w_b' S w = 0: the benchmark's covariances ``(sym_i, sym_j, value)``, i <= j, become one exposure per symbol; pairs are not forced into a broadcast."""
     both = cov.select("sym_i", "sym_j", "value").union(cov.where("sym_i <> sym_j").select("sym_j", "sym_i", "value"))
-    beta = benchmark.select("ts", F.col("symbol").alias("sym_i"), "w").join(F.broadcast(both), "sym_i").groupBy("ts", F.col("sym_j").alias("symbol")).agg(F.sum(F.col("w") * F.col("value")).alias("f"))
+    beta = benchmark.select("ts", F.col("symbol").alias("sym_i"), "w").join(both, "sym_i").groupBy("ts", F.col("sym_j").alias("symbol")).agg(F.sum(F.col("w") * F.col("value")).alias("f"))
     return _factor(weights, beta.withColumn("factor", F.lit("market")), "market neutral", "=", 0.0)
 
 

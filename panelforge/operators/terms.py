@@ -102,12 +102,15 @@ def cash_return(weights: DataFrame, forecast: DataFrame) -> DataFrame:
 
 
 def risk_full(weights: DataFrame, cov: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
-    """(w - w_b)' S (w - w_b) with ``cov(ts?, sym_i, sym_j, value)``, i <= j. Zero weights leave before the join."""
+    """(w - w_b)' S (w - w_b) with ``cov(ts?, sym_i, sym_j, value)``, i <= j. Zero weights leave before the join.
+
+    Pairs grow with the square of the symbols, so their join is left to the optimiser, which broadcasts them by size alone.
+    """
     own = _beside(weights, benchmark).where("w <> 0")
     on = ["ts"] if "ts" in cov.columns else []
     a = own.select(*BOOK, F.col("symbol").alias("sym_i"), F.col("w").alias("wi"))
     b = own.select(*BOOK, F.col("symbol").alias("sym_j"), F.col("w").alias("wj"))
-    pairs = a.join(F.broadcast(cov) if not on else cov, [*on, "sym_i"]).join(b, [*BOOK, "sym_j"])
+    pairs = a.join(cov, [*on, "sym_i"]).join(b, [*BOOK, "sym_j"])
     twice = F.when(F.col("sym_i") == F.col("sym_j"), 1.0).otherwise(2.0)
     return _sum(pairs, twice * F.col("wi") * F.col("wj") * F.col("value"))
 
