@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics, forecasts, weights
 from ..operators.panel import add_cash, with_cash_rows
+from ..schemas import CASH
 from . import testbeds as tb
 
 
@@ -16,21 +17,19 @@ def strategy_report(spark: SparkSession, sf_dir: str, longs: int = 5, shorts: in
     A portfolio that loses everything in a period is ``bankrupt``; its path ends with that period.
     """
     panel = tb.panel(spark, sf_dir)
-    cash = add_cash(panel, tb.rates(spark, sf_dir), 12.0)
-    everything = with_cash_rows(panel, cash).select("ts", "symbol", "ret")
-    books = None
-    for days in (180, 365, 730):
-        signal = forecasts.mean_return(panel, name="signal", rolling=days * 86_400.0).select("ts", "symbol", "signal")
-        own = weights.w_rank_long_short(signal, longs, shorts, leverage).withColumn("portfolio_id", F.lit(f"look-back {days} days"))
-        books = own if books is None else books.unionByName(own)
-    period = books.join(everything, ["ts", "symbol"]).groupBy("portfolio_id", "ts").agg(F.sum(F.col("w") * F.coalesce("ret", F.lit(0.0))).alias("r"))
+    everything = with_cash_rows(panel, add_cash(panel, tb.rates(spark, sf_dir), 12.0)).select("ts", "symbol", "ret")
+    signals = panel.select("symbol", "ts", "ret")
+    names = {f"look-back {days} days": days for days in (180, 365, 730)}
+    for name, days in names.items():  # frames of one window: one exchange by symbol for all look-backs
+        signals = forecasts.mean_return(signals, name=name, rolling=days * 86_400.0)
+    long = signals.unpivot(["ts", "symbol"], [*names], "portfolio_id", "signal")
+    books = weights.w_rank_long_short(long, longs, shorts, leverage, by=["portfolio_id", "ts"])
+    cash = F.max(F.when(F.col("symbol") == CASH, F.col("ret")))
+    period = books.join(everything, ["ts", "symbol"]).groupBy("portfolio_id", "ts").agg(F.sum(F.col("w") * F.coalesce("ret", F.lit(0.0))).alias("r"), cash.alias("cash_ret"))
     before = Window.partitionBy("portfolio_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     solvent = period.withColumn("least", F.min("r").over(before)).where("least is null or least > -1")
     growth = F.exp(F.coalesce(F.sum(F.log1p("r")).over(before), F.lit(0.0)))
-    navs = solvent.withColumn("v", growth).select("portfolio_id", "ts", "v", "r")
-    bench = panel.groupBy("ts").agg((F.avg("ret") / 1000).alias("bm_ret"))
-    periods = navs.select("portfolio_id", "ts").join(F.broadcast(cash), "ts").join(F.broadcast(bench), "ts", "left")
-    relative = analytics.drawdown(analytics.relative_returns(navs, periods))
-    worst = relative.groupBy("portfolio_id").agg(F.count("*").alias("periods"), F.min("drawdown").alias("min_drawdown"), F.max(F.col("r") <= -1).alias("bankrupt"))
-    report = analytics.summary(relative).select("portfolio_id", "ann_ret", "ann_vol_ret", "sharpe")
-    return worst.join(report, "portfolio_id").orderBy("portfolio_id")
+    navs = solvent.select("portfolio_id", "ts", "r", "cash_ret", F.lit(None).cast("double").alias("bm_ret"), growth.alias("v"))
+    path = analytics.drawdown(analytics.relative_returns(navs))
+    report = analytics.summary(path, periods=F.count("*"), min_drawdown=F.min("drawdown"), bankrupt=F.max(F.col("r") <= -1))
+    return report.select("portfolio_id", "periods", "bankrupt", "min_drawdown", "ann_ret", "ann_vol_ret", "sharpe").orderBy("portfolio_id")

@@ -58,9 +58,11 @@ def returns(navs: DataFrame) -> DataFrame:
     return out.withColumn("growth", F.log1p("ret"))
 
 
-def relative_returns(navs: DataFrame, periods: DataFrame) -> DataFrame:
-    """:func:`returns` with excess and active ones, against the cash and benchmark returns of ``periods``."""
-    own = returns(navs).join(periods.select(*BOOK, "cash_ret", "bm_ret"), BOOK, "left")
+def relative_returns(navs: DataFrame, periods: DataFrame | None = None) -> DataFrame:
+    """:func:`returns` with excess and active ones, against ``cash_ret`` and ``bm_ret`` of ``periods`` (without: of ``navs``)."""
+    own = returns(navs)
+    if periods is not None:
+        own = own.join(periods.select(*BOOK, "cash_ret", "bm_ret"), BOOK, "left")
     excess, active = F.col("ret") - F.col("cash_ret"), F.col("ret") - F.col("bm_ret")
     return own.withColumns({"excess": excess, "active": active}).withColumns({"excess_growth": F.log1p("excess"), "active_growth": F.log1p("active")})
 
@@ -80,12 +82,12 @@ def _ppy() -> Column:
 SERIES = ("ret", "growth", "excess", "excess_growth", "active", "active_growth")
 
 
-def summary(relative: DataFrame) -> DataFrame:
+def summary(relative: DataFrame, **more: Column) -> DataFrame:
     """One row per portfolio: averages, annualised averages, volatilities (population), quadratic risks, Sharpe and information ratio.
 
-    All aggregates come from one pass over :func:`relative_returns`.
+    All aggregates, and those in ``more`` by their names, come from one pass over :func:`relative_returns`.
     """
-    aggregates = [_ppy().alias("ppy")]
+    aggregates = [_ppy().alias("ppy"), *(c.alias(k) for k, c in more.items())]
     for c in SERIES:
         aggregates.append(F.avg(c).alias(f"avg_{c}"))
     for c in ("ret", "excess", "active"):
@@ -119,12 +121,12 @@ def result_report(holdings: DataFrame, trades: DataFrame, periods: DataFrame) ->
     """
     navs = nav(holdings)
     rel = drawdown(relative_returns(navs, periods)).join(turnover(trades, navs), BOOK, "left")
-    extra = rel.groupBy("portfolio_id").agg(
-        F.count("*").alias("periods"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.min_by("v", "ts").alias("initial"), F.max_by("v", "ts").alias("final"),
-        F.avg("drawdown").alias("avg_drawdown"), F.min("drawdown").alias("min_drawdown"), F.avg("leverage").alias("avg_leverage"), F.max("leverage").alias("max_leverage"),
-        F.avg("turnover").alias("avg_turnover"), F.max("turnover").alias("max_turnover"),
+    out = summary(
+        rel, periods=F.count("*"), first=F.min("ts"), last=F.max("ts"), initial=F.min_by("v", "ts"), final=F.max_by("v", "ts"),
+        avg_drawdown=F.avg("drawdown"), min_drawdown=F.min("drawdown"), avg_leverage=F.avg("leverage"), max_leverage=F.max("leverage"),
+        avg_turnover=F.avg("turnover"), max_turnover=F.max("turnover"),
     )
-    return extra.withColumn("profit", F.col("final") - F.col("initial")).join(summary(rel), "portfolio_id")
+    return out.withColumn("profit", F.col("final") - F.col("initial"))
 
 
 def top_weights(weighted: DataFrame, k: int = 7) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.core import asof_join, divided
@@ -13,14 +13,14 @@ from ..schemas import CASH
 YEAR = 365.24 * 86_400
 
 
-def _at() -> Window:
-    return Window.partitionBy("ts")
+def _at(by: Sequence[str] = ("ts",)) -> WindowSpec:
+    return Window.partitionBy(*by)
 
 
-def _with_cash(weights: DataFrame, cash: Column) -> DataFrame:
+def _with_cash(weights: DataFrame, cash: Column, by: Sequence[str] = ("ts",)) -> DataFrame:
     """Adds each time's cash row; ``cash`` is an aggregate of its other weights."""
-    rows = weights.groupBy("ts").agg(cash.alias("w")).select("ts", F.lit(CASH).alias("symbol"), "w")
-    return weights.select("ts", "symbol", "w").unionByName(rows)
+    rows = weights.groupBy(*by).agg(cash.alias("w")).select(*by, F.lit(CASH).alias("symbol"), "w")
+    return weights.select(*by, "symbol", "w").unionByName(rows)
 
 
 def w_uniform(universe: DataFrame, leverage: float = 1.0) -> DataFrame:
@@ -42,23 +42,26 @@ def w_market(panel: DataFrame, rolling: float = YEAR) -> DataFrame:
     return _with_cash(own, F.lit(0.0) + 0 * F.count("*"))
 
 
-def _ranked(signal: DataFrame, longs: int, shorts: int) -> Column:
+def _ranked(longs: int, shorts: int, by: Sequence[str] = ("ts",)) -> Column:
     """+1 for the highest ``longs``, else -1 for the lowest ``shorts``, else 0; equal signals by symbol."""
-    up = F.row_number().over(_at().orderBy("signal", "symbol"))
-    down = F.row_number().over(_at().orderBy(F.col("signal").desc(), F.col("symbol").desc()))
+    up = F.row_number().over(_at(by).orderBy("signal", "symbol"))
+    down = F.row_number().over(_at(by).orderBy(F.col("signal").desc(), F.col("symbol").desc()))
     return F.when(down <= longs, 1.0).when(up <= shorts, -1.0).otherwise(0.0)
 
 
-def w_rank_long_short(signal: DataFrame, longs: int = 1, shorts: int = 1, leverage: float = 1.0) -> DataFrame:
-    """Equal long and short weights by rank of ``signal(ts, symbol, signal)``; the cash weight is 1 by definition."""
-    own = signal.where("signal is not null").withColumn("s", _ranked(signal, longs, shorts))
-    own = own.withColumn("w", divided(F.col("s"), F.sum(F.abs("s")).over(_at())) * leverage)
-    return _with_cash(own, F.lit(1.0) + 0 * F.count("*"))
+def w_rank_long_short(signal: DataFrame, longs: int = 1, shorts: int = 1, leverage: float = 1.0, by: Sequence[str] = ("ts",)) -> DataFrame:
+    """Equal long and short weights by rank of ``signal(ts, symbol, signal)``; the cash weight is 1 by definition.
+
+    ``by`` names the columns of one cross-section, e.g. portfolio and time.
+    """
+    own = signal.where("signal is not null").withColumn("s", _ranked(longs, shorts, by))
+    own = own.withColumn("w", divided(F.col("s"), F.sum(F.abs("s")).over(_at(by))) * leverage)
+    return _with_cash(own, F.lit(1.0) + 0 * F.count("*"), by)
 
 
 def z_rank_turnover(signal: DataFrame, longs: int, shorts: int, turnover: float) -> DataFrame:
     """The same ranks as trades of gross size 2 * turnover, paid from cash: rows ``(ts, symbol, z)``."""
-    own = signal.where("signal is not null").withColumn("s", _ranked(signal, longs, shorts))
+    own = signal.where("signal is not null").withColumn("s", _ranked(longs, shorts))
     own = own.withColumn("w", divided(F.col("s"), F.sum(F.abs("s")).over(_at())) * (2 * turnover))
     return _with_cash(own, -F.sum("w")).withColumnRenamed("w", "z")
 
