@@ -475,3 +475,12 @@ def test_redaction_keeps_the_rest(messy, nothing):
     changed = [i for i in before if before[i]["text"] != after[i]["text"]]
     assert changed == [80] and after[80]["text"] == "write to [EMAIL] or [PHONE], card [CARD], host [IP]"
     assert after[80]["n_chars"] == len(after[80]["text"]) and after[0]["text"] is None
+
+
+FORMS = ["jane.doe [ at ] example.com", "jane.doe ( at ) example.com", "jane AT example DOT com", "jane.doe[AT]example[DOT]com", "jane.doe { At } example { Dot } com", "jane at example\tdot\ncom", "jane.doe\t(at)\texample.com"]
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_disguised_addresses_are_proposed_without_an_at_sign(form):
+    for text in (f"write to {form}, soon", f"write to {form}, soon, or to me@home"):
+        assert form in [text[a:b] for k, a, b in pii.candidates(text) if k == 4], text
