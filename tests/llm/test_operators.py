@@ -484,3 +484,23 @@ FORMS = ["jane.doe [ at ] example.com", "jane.doe ( at ) example.com", "jane AT
 def test_disguised_addresses_are_proposed_without_an_at_sign(form):
     for text in (f"write to {form}, soon", f"write to {form}, soon, or to me@home"):
         assert form in [text[a:b] for k, a, b in pii.candidates(text) if k == 4], text
+
+
+@pytest.mark.parametrize("text", ["call 555-123-4567 555-987-6543 now", "12 555-123-4567", "2024-05-01 (555) 123-4567", "host 10.0.0.1 555-123-4567", "7 " * 40 + "555-123-4567 " + "12 " * 40])
+def test_numbers_are_proposed_apart_from_their_neighbours(text):
+    free = pii.clear_of(text, pii.candidates(text), pii.base_spans(text))
+    spans = {text[a:b] for k, a, b in free if k == 5}
+    assert {s for s in ("555-123-4567", "555-987-6543", "(555) 123-4567") if s in text} <= spans
+    assert not any(a < y and x < b for _, a, b in free for _, x, y in pii.base_spans(text))
+
+
+def test_addresses_are_cut_at_fixed_formats():
+    text = "joe [at] mail [dot] home [dot] 10.0.0.1"
+    assert [text[a:b] for _, a, b in pii.clear_of(text, pii.candidates(text), pii.base_spans(text))] == ["joe [at] mail [dot] home"]
+
+
+def test_neighbouring_numbers_are_found(spark):
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    cases = ["call 555-123-4567 555-987-6543 now", "12 555-123-4567", "2024-05-01 (555) 123-4567", "host 10.0.0.1 555-123-4567"]
+    found = [[c[a:b].lstrip("(") for _, a, b, _ in f] for c, f in zip(cases, pii.find(cases, model))]
+    assert found == [["555-123-4567", "555-987-6543"], ["555-123-4567"], ["555) 123-4567"], ["10.0.0.1", "555-123-4567"]]
