@@ -21,7 +21,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest id."""
+    """One document of each SimHash component: the one with the smallest id. Links are op8's, so edited copies mostly stay (README: recall)."""
     return simhash.keep_one(docs)
 
 
