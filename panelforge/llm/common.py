@@ -17,9 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+
+    Where none is set, a temporary one serves a local master alone; a cluster whose machines share none is an error.
+    """
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
 
@@ -40,6 +45,22 @@ def constant(values: object, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), kind)
 
 
+def drawn_texts(docs: DataFrame, text_col: str, target: int, salt: str, by: str | None = None) -> DataFrame:
+    """About ``target`` distinct texts, chosen by their hash: rows ``(text)``, or with ``by`` ``(by, text)`` and the target for each of its values.
+
+    Copies count once, both in the share and in the draw, so a text that a third of all rows hold is one draw at most and the
+    sample is bounded whatever the table's size and skew. Null texts (and null values of ``by``) are left out. Distinct texts are
+    estimated to some hundredths, in one pass with partial sums.
+    """
+    keys = [F.col(by).alias("by")] if by else []
+    rows = docs.select(*keys, F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.col("by").isNotNull() if by else F.lit(True)))
+    sizes = rows.groupBy(*(["by"] if by else [])).agg(F.approx_count_distinct(F.xxhash64("text"), 0.03).alias("n")).collect()
+    shares = {x["by"] if by else "": min(1.0, target / max(1, x["n"])) for x in sizes}
+    share = F.coalesce(F.element_at(constant(shares, "map<string, double>"), F.col("by").cast("string")), F.lit(0.0)) if by else F.lit(shares[""])
+    picked = F.pmod(F.xxhash64("text", F.lit(salt)), F.lit(1_000_003)) < share * 1_000_003
+    return rows.where(picked).distinct().withColumnsRenamed({"by": by} if by else {})
+
+
 def as_bytes(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     """A string column's UTF-8 bytes; ill-formed strings cannot fail here."""
     return batch.column(column).cast(pa.binary()).to_pylist()

@@ -11,30 +11,50 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, constant, cut, small_batches
+from .common import as_text, cut, drawn_texts, small_batches
 
 WORD = regex.compile(r"\p{L}+")
-LONGEST_PIECE = 8
-LONGEST_WORD = 40  # bytes; a longer run is scored in parts, so that no product of probabilities underflows
 UNKNOWN = "und"
-LEAST = 0.3  # a short text of a known language may be in doubt between several; it is kept
+RESCALED = 16  # bytes between rescalings, so that no product of probabilities underflows, however long a word is
+TOGETHER = 16_384  # words that one pass works on
+CELLS = 2_000_000  # numbers that one pass of the training keeps
 
 
-@lru_cache(maxsize=2)
-def vocabulary(path: str) -> np.ndarray:
-    """The short pieces of a rank file as sorted big-endian integers; a piece's id is its place from 1. Every byte is one."""
-    with open(path, "rb") as f:
-        pieces = [base64.b64decode(line.split()[0]) for line in f]
-    return np.unique(np.array([int.from_bytes(p, "big") for p in pieces if len(p) <= LONGEST_PIECE], dtype=np.uint64))
+class Pieces:
+    """All pieces of a rank file as a trie: ``step`` walks it for many words at once, ``piece`` gives a node's piece (0: none).
+
+    Nodes are numbered by length, then bytes (the root is 0), so that the keys (parent, byte) of all other nodes are sorted.
+    Every byte is a piece, so every word has a segmentation.
+    """
 
+    def __init__(self, pieces: list[bytes]) -> None:
+        prefixes = sorted({p[:i] for p in pieces for i in range(1, len(p) + 1)}, key=lambda p: (len(p), p))
+        number = {b"": 0} | {p: i for i, p in enumerate(prefixes, 1)}
+        self.keys = np.array([number[p[:-1]] * 256 + p[-1] for p in prefixes], dtype=np.int64)
+        self.piece = np.zeros(len(number), dtype=np.int64)
+        self.piece[[number[p] for p in sorted(set(pieces))]] = np.arange(1, len(set(pieces)) + 1)
+        self.count, self.longest = len(set(pieces)), max(map(len, pieces))
+        near = np.arange(257 * 256)  # the first two steps are a table
+        self.near = self._find(near)
 
-def find(keys: np.ndarray, pieces: np.ndarray) -> np.ndarray:
-    """Piece ids of packed bytes; 0: not a piece."""
-    at = np.minimum(np.searchsorted(pieces, keys), len(pieces) - 1)
-    return np.where(pieces[at] == keys, at + 1, 0)
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at + 1, 0)
+
+    def step(self, nodes: np.ndarray, letters: np.ndarray, depth: int) -> np.ndarray:
+        """The nodes that the next letters lead to; 0: no piece begins so."""
+        keys = nodes * 256 + letters
+        return self.near[keys] if depth <= 2 else self._find(keys)
+
+
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Pieces:
+    """All pieces of a rank file."""
+    with open(path, "rb") as f:
+        return Pieces([base64.b64decode(line.split()[0]) for line in f])
 
 
 def words(text: str) -> list[str]:
@@ -42,56 +62,110 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def parts(word: str) -> list[bytes]:
+def unit(word: str) -> bytes:
     """A word as the vocabulary writes it, after a blank."""
-    raw = b" " + word.encode("utf-8")
-    return [raw[i : i + LONGEST_WORD] for i in range(0, len(raw), LONGEST_WORD)]
-
-
-def lattices(units: list[bytes], pieces: np.ndarray) -> Iterator[tuple[np.ndarray, int, list[tuple[int, int]], np.ndarray]]:
-    """Units of one length together: ``(their places, length, spans by end, piece ids: spans x units)``."""
-    by_length = defaultdict(list)
-    for i, unit in enumerate(units):
-        by_length[len(unit)].append(i)
-    for n, places in by_length.items():
-        letters = np.frombuffer(b"".join([units[i] for i in places]), dtype=np.uint8).reshape(-1, n).T.astype(np.uint64)
-        spans = [(a, b) for b in range(1, n + 1) for a in range(max(0, b - LONGEST_PIECE), b)]
-        keys, packed = np.empty((len(spans), len(places)), dtype=np.uint64), [np.zeros(len(places), dtype=np.uint64)] * n
-        for s, (a, b) in enumerate(spans):  # spans with one start come in order of their ends
-            packed[a] = keys[s] = (packed[a] << np.uint64(8)) | letters[b - 1]
-        yield np.array(places), n, spans, find(keys, pieces)
-
-
-def forward(n: int, spans: list[tuple[int, int]], ids: np.ndarray, chances: np.ndarray) -> np.ndarray:
-    """Probability of all segmentations of every prefix: (units, n + 1, languages)."""
-    alpha = np.zeros((ids.shape[1], n + 1, chances.shape[1]))
-    alpha[:, 0] = 1.0
-    for s, (a, b) in enumerate(spans):
-        alpha[:, b] += alpha[:, a] * chances[ids[s]]
-    return alpha
-
-
-def log_likelihoods(units: list[bytes], pieces: np.ndarray, chances: np.ndarray) -> np.ndarray:
-    """log P(unit) by language, all segmentations summed."""
+    return b" " + word.encode("utf-8")
+
+
+class Batch:
+    """Words of any lengths side by side, longest first: the pieces that begin at one place in all of them."""
+
+    def __init__(self, units: list[bytes], pieces: Pieces) -> None:
+        self.pieces = pieces
+        self.length = np.array([len(u) for u in units])
+        self.start = np.cumsum(self.length) - self.length
+        self.letters = np.frombuffer(b"".join(units), dtype=np.uint8).astype(np.int64)
+
+    def alive(self, at: int) -> int:
+        """How many words are longer than ``at``."""
+        return int(np.searchsorted(-self.length, -at, side="left"))
+
+    def beginning(self, at: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``(length, words, piece ids)`` of the pieces that begin at byte ``at``."""
+        own = np.arange(self.alive(at))
+        nodes = np.zeros(len(own), dtype=np.int64)
+        for size in range(1, self.pieces.longest + 1):
+            inside = self.alive(at + size - 1)
+            if inside < len(self.length):
+                own = own[: np.searchsorted(own, inside)]
+                nodes = nodes[: len(own)]
+            nodes = self.pieces.step(nodes, self.letters[self.start[own] + (at + size - 1)], size)
+            on = nodes > 0
+            own, nodes = own[on], nodes[on]
+            if not len(own):
+                return
+            ids = self.pieces.piece[nodes]
+            whole = ids > 0
+            yield size, own[whole], ids[whole]
+
+
+def grouped(units: list[bytes], most: int, cells: int | None = None) -> Iterator[np.ndarray]:
+    """Places of ``units``, longest first, in groups of at most ``most`` words (and ``cells`` bytes, the longest word counted for each)."""
+    order = np.argsort([-len(u) for u in units], kind="stable")
+    begun = 0
+    while begun < len(order):
+        own = most if cells is None else max(1, min(most, cells // (len(units[order[begun]]) + 1)))
+        yield order[begun : begun + own]
+        begun += own
+
+
+def log_likelihoods(units: list[bytes], pieces: Pieces, chances: np.ndarray) -> np.ndarray:
+    """log P(unit) by language, all segmentations summed by the forward algorithm; units are not empty and may have any length."""
     out = np.zeros((len(units), chances.shape[1]))
-    for places, n, spans, ids in lattices(units, pieces):
-        out[places] = np.log(forward(n, spans, ids, chances)[:, n])
+    for places in grouped(units, TOGETHER):
+        batch, ring = Batch([units[i] for i in places], pieces), pieces.longest + 1
+        ahead = np.zeros((ring, len(places), chances.shape[1]))  # sums of the places ahead, over exp(logs)
+        logs = np.zeros((len(places), chances.shape[1]))
+        ahead[0] = 1.0
+        for at in range(int(batch.length[0])):
+            live = batch.alive(at)
+            if at and at % RESCALED == 0:
+                scale = ahead[at % ring, :live].copy()
+                ahead[:, :live] /= scale
+                logs[:live] += np.log(scale)
+            now = ahead[at % ring]
+            for size, own, ids in batch.beginning(at):
+                ahead[(at + size) % ring, own] += now[own] * chances[ids]
+            ahead[at % ring] = 0.0
+            ended = batch.alive(at + 1)
+            logs[ended:live] += np.log(ahead[(at + 1) % ring, ended:live])
+        out[places] = logs
     return out
 
 
-def expected_pieces(units: list[bytes], counts: np.ndarray, pieces: np.ndarray, chances: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece in ``units`` seen ``counts`` times, by forward and backward sums."""
+def expected_pieces(units: list[bytes], counts: np.ndarray, pieces: Pieces, chances: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece in ``units`` seen ``counts`` times, by forward and backward sums. Memory grows with the longest word."""
     used = np.zeros(len(chances))
-    for places, n, spans, ids in lattices(units, pieces):
-        alpha = forward(n, spans, ids, chances[:, None])[:, :, 0]
-        beta = np.zeros((ids.shape[1], n + 1))
-        beta[:, n] = 1.0
-        for s in range(len(spans) - 1, -1, -1):
-            a, b = spans[s]
-            beta[:, a] += chances[ids[s]] * beta[:, b]
-        scale = counts[places] / alpha[:, n]
-        shares = np.stack([alpha[:, a] * chances[ids[s]] * beta[:, b] * scale for s, (a, b) in enumerate(spans)])
-        used += np.bincount(ids.ravel(), weights=shares.ravel(), minlength=len(used))
+    for places in grouped(units, TOGETHER, CELLS):
+        batch, ring = Batch([units[i] for i in places], pieces), pieces.longest + 1
+        n, m = int(batch.length[0]), len(places)
+        alpha, scales = np.zeros((n + 1, m)), np.zeros((n + 1, m))  # the sum to a place is alpha times exp(scales)
+        alpha[0] = 1.0
+        for at in range(n):
+            live = batch.alive(at)
+            if at and at % RESCALED == 0:
+                scale = alpha[at, :live].copy()
+                alpha[at : at + ring, :live] /= scale
+                scales[at:, :live] += np.log(scale)
+            for size, own, ids in batch.beginning(at):
+                alpha[at + size, own] += alpha[at, own] * chances[ids]
+        row = np.arange(m)
+        total = np.log(alpha[batch.length, row]) + scales[batch.length, row]
+        beta, after = np.zeros((ring, m)), np.zeros(m)
+        for at in range(n - 1, -1, -1):
+            live = batch.alive(at)
+            ended = slice(batch.alive(at + 1), live)
+            beta[(at + 1) % ring, ended] = 1.0
+            beta[at % ring, :live] = 0.0
+            weight = np.exp(scales[at, :live] + after[:live] - total[:live]) * alpha[at, :live] * counts[places[:live]]
+            for size, own, ids in batch.beginning(at):
+                rest = chances[ids] * beta[(at + size) % ring, own]
+                beta[at % ring, own] += rest
+                used += np.bincount(ids, weights=weight[own] * rest, minlength=len(used))
+            if at % RESCALED == 0:
+                scale = beta[at % ring, :live].copy()
+                beta[:, :live] /= scale
+                after[:live] += np.log(scale)
     used[0] = 0.0
     return used
 
@@ -105,7 +179,7 @@ class Model:
     chances: np.ndarray
 
 
-def held_out(id_col: str = "doc_id"):
+def held_out(id_col: str = "doc_id") -> Column:
     """Whether a document is kept from learning: the CRC of its id as text is 1 modulo 3."""
     return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % 3 == 1
 
@@ -115,20 +189,14 @@ def train(
 ) -> Model:
     """Fit piece probabilities by expectation maximisation over the words of labelled documents.
 
-    Learns from rows whose id is not held out and whose label is not null, about ``docs_per_language`` of each language, chosen
-    by a hash of the text: the documented bound of the fit. Word counts of that sample are one Spark table; every round
-    sums expected piece uses over it (at most pieces x languages rows reach the driver). ``floor`` pseudo-uses of each
+    Learns from rows whose id is not held out and whose label is not null, about ``docs_per_language`` distinct texts of each
+    language, chosen by a hash of the text: the documented bound of the fit. Word counts of that sample are one Spark table; every
+    round sums expected piece uses over it (at most pieces x languages rows reach the driver). ``floor`` pseudo-uses of each
     piece keep every word possible in every language. No labelled row: a model without languages.
     """
-    labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    labelled = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    pieces = len(vocabulary(path)) + 1
-    sizes = {x["lang"]: x["n"] for x in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(sizes)
-    if not languages:
-        return Model(path, [], np.zeros((pieces, 0)))
-    share = F.element_at(constant({k: min(1.0, docs_per_language / n) for k, n in sizes.items()}, "map<string, double>"), F.col("lang"))
-    drawn = labelled.where(F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1_000_003)) < share * 1_000_003)
+    labelled = docs.where(~held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    drawn = drawn_texts(labelled, "text", docs_per_language, "langid", by="lang")
+    pieces = vocabulary(path).count + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -139,6 +207,9 @@ def train(
             yield pa.RecordBatch.from_pylist([{"lang": k, "word": w, "n": n} for k, w, n in rows], SEEN)
 
     table = cut(drawn.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    languages = sorted(x["lang"] for x in table.select("lang").distinct().collect())
+    if not languages:
+        return Model(path, [], np.zeros((pieces, 0)))
     column = {k: i for i, k in enumerate(languages)}
     chances = np.full((pieces, len(languages)), 1.0 / (pieces - 1))
     chances[0] = 0.0
@@ -149,7 +220,7 @@ def train(
             for batch in batches:
                 rows = defaultdict(list)
                 for k, w, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n"))):
-                    rows[k] += [(u, n) for u in parts(w)]
+                    rows[k].append((unit(w), n))
                 for k, own in rows.items():
                     used = expected_pieces([u for u, _ in own], np.array([n for _, n in own], dtype=float), known, chances[:, column[k]])
                     at = np.nonzero(used)[0]
@@ -177,42 +248,49 @@ class Scorer:
 
     def _reset(self) -> None:
         self.at: dict[str, int] = {}
+        self.held = 0
         self.values = np.zeros((0, len(self.model.languages)))
 
-    def score(self, texts: list[str]) -> list[tuple[str, float]]:
-        """Language and score of each text: the language's posterior, all words counted, as from ``evidence`` words at most."""
-        if not self.model.languages:
-            return [(UNKNOWN, 0.0)] * len(texts)
-        if len(self.at) > self.remembered:
+    def sums(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
+        """Words and log-likelihoods of each text, all words counted."""
+        if self.held > 10 * self.remembered or len(self.at) > self.remembered:
             self._reset()
         split = [words(t) for t in texts]
         new = list(dict.fromkeys(w for ws in split for w in ws if w not in self.at))
         if new:
-            units = [parts(w) for w in new]
-            owner = np.repeat(np.arange(len(new)), [len(u) for u in units])
-            logs = log_likelihoods([p for u in units for p in u], self.pieces, self.model.chances)
-            sums = np.zeros((len(new), logs.shape[1]))
-            np.add.at(sums, owner, logs)
+            logs = log_likelihoods([unit(w) for w in new], self.pieces, self.model.chances)
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-            self.values = np.concatenate([self.values, sums])
-        out, at = [], self.at
-        for ws in split:
+            self.held += sum(map(len, new))
+            self.values = np.concatenate([self.values, logs])
+        return [(ws, self.values[[self.at[w] for w in ws]].sum(axis=0)) for ws in split]
+
+    def score(self, texts: list[str]) -> list[tuple[str, float]]:
+        """Language and score of each text: the language's posterior, all words counted, as from ``evidence`` words at most."""
+        if not self.model.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        out = []
+        for ws, logs in self.sums(texts):
             if not ws:
                 out.append((UNKNOWN, 0.0))
                 continue
-            logs = self.values[[at[w] for w in ws]].sum(axis=0)
-            logs *= min(1.0, self.evidence / len(ws))
+            logs = logs * min(1.0, self.evidence / len(ws))
             chance = np.exp(logs - logs.max())
             best = int(chance.argmax())
             out.append((self.model.languages[best], float(chance[best] / chance.sum())))
         return out
 
+    def explained(self, texts: list[str]) -> list[bool]:
+        """Whether a learned language explains a text's words better than bytes drawn with equal chances do; never without a letter."""
+        if not self.model.languages:
+            return [False] * len(texts)
+        return [bool(ws and logs.max() > -np.log(256) * sum(len(unit(w)) for w in ws)) for ws, logs in self.sums(texts)]
+
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``(doc_id, held_out, lang_pred, score)``, one per document, from its whole text alone.
 
     ``und`` with score 0 where the text is null or has no letter, or where nothing was learned. Ties go to the first language
-    in order. No shuffle; extra columns are ignored; an empty table gives an empty result.
+    in order. Repeated rows stay repeated, null ids stay null. No shuffle; extra columns are ignored; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,13 +304,31 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return chosen.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` whose text is in a learned language with a score of at least ``least``, all columns kept."""
+def measured(predicted: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
+    """Rows ``(lang, n, recall, precision)`` over held-out documents with a label, one per label; ids are taken as unique.
+
+    A label that was never predicted has a null precision. Rows of ``labels`` without an id or a label count for nothing.
+    """
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
+    pairs = predicted.where("held_out").select("doc_id", "lang_pred").join(known, "doc_id").groupBy("lang", "lang_pred").agg(F.count("*").alias("n"))
+    true = pairs.groupBy("lang").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("lang") == F.col("lang_pred"), F.col("n")).otherwise(0)).alias("hit"))
+    said = pairs.groupBy(F.col("lang_pred").alias("lang")).agg(F.sum("n").alias("said"))
+    out = true.join(said, "lang", "left")
+    return out.select("lang", "n", (F.col("hit") / F.col("n")).alias("recall"), F.try_divide(F.col("hit"), F.col("said")).alias("precision"))
+
+
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text a learned language explains, all columns kept.
+
+    What goes: null texts, texts without a letter, texts whose words equally likely bytes explain at least as well as
+    every learned language does (noise, unlearned scripts; a test that does not depend on how many languages there are), and all rows if nothing was learned. Every row is
+    judged by its whole text alone: repeated rows stay or go together, ids and other columns (whatever their names) are not looked at. An empty
+    table gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in small_batches(batches, text_col, 2_000_000):
-            found = scorer.score(as_text(batch, text_col))
-            yield batch.filter(pa.array([k != UNKNOWN and s >= least for k, s in found], pa.bool_()))
+            yield batch.filter(pa.array(scorer.explained(as_text(batch, text_col)), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .common import as_bytes, components, cut, small_batches
@@ -37,16 +38,22 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """Rows ``(doc_id, fp)``: one per document, ``fp`` the SimHash as a signed long. Other columns are ignored."""
+def with_fingerprint(docs: DataFrame, text_col: str, name: str, shingle: int = 3) -> DataFrame:
+    """All columns of ``docs`` and, as ``name``, the SimHash of ``text_col`` as a signed long. One narrow pass; long texts come in small batches."""
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
-            fps = pa.array([fingerprint(t, shingle) for t in as_bytes(batch, "text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], names=["doc_id", "fp"])
+        for batch in small_batches(batches, text_col):
+            fps = pa.array([fingerprint(t, shingle) for t in as_bytes(batch, text_col)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, fps], names=[*columns, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """Rows ``(doc_id, fp)``: one per document, ``fp`` the SimHash as a signed long. Other columns are ignored."""
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, fp long")
+    return with_fingerprint(chosen, "text", "fp", shingle).select("doc_id", "fp")
 
 
 def _signed(mask: int) -> int:
@@ -91,6 +98,13 @@ def fp_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+def labelled(marked: DataFrame, blocks: int = 4, bucket_cap: int = 64) -> DataFrame:
+    """``(fp, least, label)`` of the distinct fingerprints of ``marked(doc_id, fp)``: the smallest id of each, and its component's label."""
+    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    labels = components(close_links(nodes.select("fp"), blocks, bucket_cap)).withColumnRenamed("node", "fp")
+    return nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, blocks: int = 4, bucket_cap: int = 64
 ) -> DataFrame:
@@ -101,21 +115,23 @@ def near_duplicates(
     repeated rows stay repeated; an empty table gives an empty result; other columns are ignored.
     """
     marked = cut(fingerprints(docs, id_col, text_col, shingle))
-    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = components(close_links(nodes.select("fp"), blocks, bucket_cap)).withColumnRenamed("node", "fp")
-    named = nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    named = labelled(marked, blocks, bucket_cap)
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
     groups = cut(named.join(names, "label").select("fp", "component_id"))
     return marked.join(groups, "fp").select("doc_id", fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near copies: of each component the row with its smallest id stays.
+    """The documents without near copies: of each component one row with its smallest id stays.
 
-    All columns of ``docs`` are returned. Rows without an id belong to no component and stay; of rows that repeat an
-    id, one stays.
+    All columns of ``docs`` are returned, whatever their names. A row is known by its id and fingerprint: unlike texts under one id are judged
+    apart, of rows that repeat both one stays, and of unlike texts in one component under its smallest id the one with the least fingerprint. Rows
+    without an id belong to no component and stay. Null and empty texts are alike (fingerprint zero). An empty table gives an empty one.
     """
-    named = docs.where(F.col(id_col).isNotNull())
-    winners = near_duplicates(named, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col))
-    kept = named.join(winners.distinct(), id_col, "left_semi").dropDuplicates([id_col])
+    fp = next(n for n in (f"fp_{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    named = with_fingerprint(docs.where(F.col(id_col).isNotNull()), text_col, fp)
+    marked = cut(named.select(F.col(id_col).cast("long").alias("doc_id"), F.col(fp).alias("fp")))
+    winners = labelled(marked).groupBy("label").agg(F.min(F.struct("least", "fp")).alias("w"))
+    winners = cut(winners.select(F.col("w.least").alias(id_col), F.col("w.fp").alias(fp)))
+    kept = named.dropDuplicates([id_col, fp]).join(winners, [id_col, fp], "left_semi")
     return kept.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
