@@ -289,16 +289,23 @@ def test_words_of_any_length_and_script_are_summed_whole(whole_vocabulary):
             assert used[at] == pytest.approx(slope, rel=1e-3, abs=1e-4)
 
 
-def plain_language(text, model, pieces, memory={}):
+def plain_total(found, model, pieces):
+    """Words' log chances in every language: a plain sum over all pieces that end at each byte (words are short here)."""
+    total = np.zeros(len(model.languages))
+    for w in found:
+        unit = b" " + w.encode()
+        sums = [np.ones(len(model.languages))]
+        for b in range(1, len(unit) + 1):
+            sums.append(sum(sums[a] * model.chances[pieces[unit[a:b]]] for a in range(max(0, b - 33), b) if unit[a:b] in pieces))
+        total += np.log(sums[-1])
+    return total
+
+
+def plain_language(text, model, pieces):
     found = regex.findall(r"\p{L}+", text.lower())
     if not found:
         return "und", 0.0
-    total = np.zeros(len(model.languages))
-    for w in found:
-        if w not in memory:
-            memory[w] = np.array([plain_log(b" " + w.encode(), pieces, model.chances[:, k]) for k in range(len(model.languages))])
-        total += memory[w]
-    total *= min(1.0, 20 / len(found))
+    total = plain_total(found, model, pieces) * min(1.0, 20 / len(found))
     chance = np.exp(total - total.max())
     return model.languages[int(chance.argmax())], float(chance.max() / chance.sum())
 
