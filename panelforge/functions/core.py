@@ -53,6 +53,35 @@ def rows_from_end(df: DataFrame, keys: Sequence[str] = ("symbol",), name: str =
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("ts").desc())))
 
 
+def sorted_position(values: Column, key: Column, inclusive: bool = True, field: str | None = None) -> Column:
+    """How many elements of a sorted array (or their ``field``) are at most, or without ``inclusive`` less than, ``key``: a binary search."""
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(31))))
+
+    def step(at: Column, s: Column) -> Column:
+        x = F.try_element_at(values, at + s)
+        x = x if field is None else x[field]
+        inside = (at + s <= F.size(values)) & ((x <= key) if inclusive else (x < key))
+        return F.when(F.coalesce(inside, F.lit(False)), at + s).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def seen_from(panel: DataFrame, dates: DataFrame, days: int) -> DataFrame:
+    """Each row of ``panel`` once for every date of ``dates(ts)`` (a calendar-sized list), as ``at``, that sees it among its past ``days``.
+
+    The dates are one sorted array beside the rows; a row finds its own by binary search, so no range join compares all pairs.
+    """
+    listed = dates.select("ts").where("ts is not null").distinct().agg(F.sort_array(F.collect_list("ts")).alias("dates_"))
+    after = sorted_position(F.col("dates_"), F.col("ts"))
+    upto = sorted_position(F.col("dates_"), F.timestamp_micros(F.unix_micros("ts") + micros(days * DAY)))
+    own = panel.join(F.broadcast(listed), how="left").withColumns({"after_": after, "upto_": upto})
+    return own.withColumn("at", F.explode(F.slice("dates_", F.col("after_") + 1, F.col("upto_") - F.col("after_")))).drop("dates_", "after_", "upto_")
+
+
+#: Rows of a right side that asof_join looks up as one array.
+ARRAY_ROWS = 100_000
+
+
 def asof_join(
     left: DataFrame, right: DataFrame, values: Sequence[str], by: Sequence[str] = (), forward: bool = False, exclusive: bool = False, on: str = "ts"
 ) -> DataFrame:
@@ -60,19 +89,23 @@ def asof_join(
 
     The two sides are stacked and one window per key carries values along, so a row is shuffled once and no range join
     multiplies rows. ``exclusive`` leaves out right rows at the same time. Missing right values are skipped over as
-    rows without news; repeated right times: the greatest value wins. Without ``by`` the right side must be small
-    (a calendar-like table): it is then looked up as one sorted array by a broadcast, not by an unpartitioned window.
+    rows without news; repeated right times: the greatest value wins (looking ahead: the least).
+
+    Without ``by`` a right side of up to ``ARRAY_ROWS`` rows (a calendar; they are counted) is looked up as one sorted array, by binary search. A
+    larger one is joined inside days, and where a day has nothing, by the last (first) row of the other days, which are an array again.
     """
     by = list(by)
     packed = F.struct(F.col(on).alias("t"), *(F.col(v).alias(v) for v in values))
     if not by:
-        table = right.where(F.col(on).isNotNull()).agg(F.sort_array(F.collect_list(packed)).alias("asof_rows"))
-        before = (lambda x: x["t"] < F.col(on)) if exclusive and not forward else (lambda x: x["t"] <= F.col(on))
-        after = (lambda x: x["t"] > F.col(on)) if exclusive else (lambda x: x["t"] >= F.col(on))
-        found = F.filter("asof_rows", after if forward else before)
-        found = F.try_element_at(found, F.lit(1 if forward else -1))
-        joined = left.join(F.broadcast(table), how="left").withColumn("asof_row", found)
-        return joined.select(*left.columns, *(F.col(f"asof_row.{v}").alias(v) for v in values))
+        known = right.where(F.col(on).isNotNull())
+        if known.limit(ARRAY_ROWS + 1).count() <= ARRAY_ROWS:
+            return _asof_array(left, known.select(on, *values), values, forward, exclusive, on)
+        day = F.floor(F.unix_micros(on) / float(micros(DAY)))
+        inner = asof_join(left.withColumn("asof_day", day), known.select(day.alias("asof_day"), on, F.struct(*values).alias("asof_in")), ["asof_in"], ["asof_day"], forward, exclusive, on)
+        edge = (F.min if forward else F.max)(packed).alias("x")
+        days = known.groupBy(day.alias("asof_day")).agg(edge).select("asof_day", F.struct(*(F.col(f"x.{v}").alias(v) for v in values)).alias("asof_out"))
+        outer = _asof_array(inner, days, ["asof_out"], forward, True, "asof_day")
+        return outer.select(*left.columns, *(F.coalesce("asof_in", "asof_out")[v].alias(v) for v in values))
     # ties: the right row stands before the left one looking back (after it if exclusive), and behind it looking ahead
     side = 1 if exclusive != forward else -1
     stacked = left.withColumns({"asof_row": F.lit(None), "asof_side": F.lit(0)}).unionByName(
@@ -87,6 +120,16 @@ def asof_join(
     return out.select(*left.columns, *(F.col(f"asof_row.{v}").alias(v) for v in values))
 
 
+def _asof_array(left: DataFrame, right: DataFrame, values: Sequence[str], forward: bool, exclusive: bool, on: str) -> DataFrame:
+    """:func:`asof_join` with a counted right side as one sorted array beside the left rows."""
+    packed = F.struct(F.col(on).alias("t"), *(F.col(v).alias(v) for v in values))
+    table = right.agg(F.sort_array(F.collect_list(packed)).alias("asof_rows"))
+    at = sorted_position(F.col("asof_rows"), F.col(on), inclusive=exclusive == forward, field="t")
+    at = at + 1 if forward else F.nullif(at, F.lit(0))
+    joined = left.join(F.broadcast(table), how="left").withColumn("asof_row", F.when(F.col(on).isNotNull(), F.try_element_at("asof_rows", at)))
+    return joined.select(*left.columns, *(F.col(f"asof_row.{v}").alias(v) for v in values))
+
+
 def param_lookup(keys: DataFrame, param: DataFrame | float, name: str = "v", asof: bool = False) -> DataFrame:
     """``keys(ts, symbol, …)`` with a user parameter as column ``name``.
 
@@ -118,6 +161,10 @@ def param_audit(keys: DataFrame, param: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, under the session's ``spark.checkpoint.dir`` (a temporary one if unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
+    """A new folder that driver and executors share, under the session's ``spark.checkpoint.dir``; where it is unset, a temporary one for a local master alone."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-shared-")
     return f"{base}/{name}-{uuid4().hex}"

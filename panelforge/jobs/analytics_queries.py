@@ -202,11 +202,12 @@ def _(spark, sf):
 
 
 @query("reconcile_holdings", f"""
-    , q AS (SELECT ts, symbol, w FROM tb_target WHERE portfolio_id = 'BUILDING' AND month(ts) % 4 = 0), x AS (SELECT c.ts, s.ts AS snap FROM tb_cal c ASOF LEFT JOIN (SELECT DISTINCT ts FROM q) s ON c.ts >= s.ts),
-    o AS (SELECT u.ts, u.symbol, coalesce(w, 0) AS w FROM tb_univ u JOIN x ON x.ts = u.ts LEFT JOIN q ON q.ts = x.snap AND q.symbol = u.symbol)
-    SELECT {D}, symbol, {r('w', digits=8)} FROM (SELECT * FROM o UNION ALL SELECT ts, 'cash', 1 - sum(w) FROM o GROUP BY 1)""", "tb_target", "tb_cal", "tb_univ")
+    , q AS (SELECT portfolio_id, ts, symbol, w FROM tb_target WHERE month(ts) % 4 = 0), y AS (SELECT portfolio_id, ts FROM (SELECT DISTINCT portfolio_id FROM q), tb_cal),
+    x AS (SELECT y.portfolio_id, y.ts, s.ts AS snap FROM y ASOF LEFT JOIN (SELECT DISTINCT portfolio_id, ts FROM q) s ON y.portfolio_id = s.portfolio_id AND y.ts >= s.ts),
+    o AS (SELECT x.portfolio_id, u.ts, u.symbol, coalesce(w, 0) AS w FROM tb_univ u JOIN x ON x.ts = u.ts LEFT JOIN q ON q.portfolio_id = x.portfolio_id AND q.ts = x.snap AND q.symbol = u.symbol)
+    SELECT portfolio_id, {D}, symbol, {r('w', digits=8)} FROM (SELECT * FROM o UNION ALL SELECT portfolio_id, ts, 'cash', 1 - sum(w) FROM o GROUP BY 1, 2)""", "tb_target", "tb_cal", "tb_univ")
 def _(spark, sf):
-    goals = target(spark, sf).where(f"{P} = 'BUILDING' AND month(ts) % 4 = 0").drop(P)
+    goals = target(spark, sf).where("month(ts) % 4 = 0")
     return shown(a.reconcile_holdings(tb.panel(spark, sf).select("ts"), goals, universe(spark, sf)), digits=8)
 
 

@@ -84,6 +84,28 @@ def _(spark, sf):
     return shown(f.ew_recursive(tb.panel(spark, sf), HL))
 
 
+FAST = 1_200.0  # a half-life of twenty minutes: the ticks span more than two thousand
+TICKS = f"""SELECT a.symbol, a.event_id, {{}} FROM tb_ticks a LEFT JOIN tb_ticks b ON b.symbol = a.symbol AND b.ts < a.ts {{}} GROUP BY 1, 2"""
+AGE = f"pow(2.0, (epoch_us(b.ts) - epoch_us(a.ts)) / {FAST * 1e6})"
+TICK_SUMS = f"{r(f'sum({AGE} * b.price) / nullif(sum({AGE}), 0)', 'mean', 6)}, {r(f'coalesce(sum({AGE}), 0)', 'n')}"
+
+
+def _ticks(spark, sf, **how):
+    """Exponential means over ticks whose history is thousands of half-lives long."""
+    out = f.moments(tb.ticks(spark, sf).select("symbol", "ts", "price", "event_id"), "price", FAST, **how)
+    return shown(out.select("symbol", "event_id", F.try_divide("w1", "w0").alias("mean"), F.coalesce("w0", F.lit(0.0)).alias("n")).withColumn("mean", F.round("mean", 6)))
+
+
+@query("ew_long_history", TICKS.format(TICK_SUMS, ""), "tb_ticks")
+def _(spark, sf):
+    return _ticks(spark, sf)
+
+
+@query("rolling_ew_long_history", TICKS.format(TICK_SUMS, "AND b.ts >= a.ts - INTERVAL 5 HOUR"), "tb_ticks")
+def _(spark, sf):
+    return _ticks(spark, sf, rolling=5 * 3_600.0)
+
+
 LAST = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)"
 
 
@@ -191,14 +213,23 @@ def _(spark, sf):
     return shown(factors.linear_regression_return(tb.panel(spark, sf), _arrays(spark, sf), "2000-01-01"), digits=6)
 
 
-@query("regression_mean")
+# ridge of one standardised regressor and an intercept, in closed form
+view("tb_z1", """
+    SELECT ts, (rate - avg(rate) OVER ()) / stddev_pop(rate) OVER () AS z FROM (SELECT c.ts, rate FROM tb_cal c ASOF LEFT JOIN tb_rate r ON c.ts >= r.ts) WHERE rate IS NOT NULL AND ts <= TIMESTAMP '2000-01-01'""", "tb_cal", "tb_rate")
+view("tb_ridge", """
+    SELECT (now - m) / (q + 0.1 - m * m) AS b, 1 - m * (now - m) / (q + 0.1 - m * m) AS a FROM (
+      SELECT avg(z * z) FILTER (ts < TIMESTAMP '2000-01-01') AS q, avg(z) FILTER (ts < TIMESTAMP '2000-01-01') AS m, arg_max(z, ts) AS now FROM tb_z1)""", "tb_z1")
+ZPAIRS = "tb_panel a JOIN tb_panel b ON a.ts = b.ts AND a.symbol <= b.symbol AND a.ret IS NOT NULL AND b.ret IS NOT NULL JOIN tb_z1 x ON x.ts = a.ts AND x.ts < TIMESTAMP '2000-01-01'"
+
+
+@query("regression_mean", f"SELECT symbol, {r('avg(ret * z) * (SELECT b FROM tb_ridge) + avg(ret) * (SELECT a FROM tb_ridge)', 'forecast', 6)} FROM tb_panel p JOIN tb_z1 x ON x.ts = p.ts AND x.ts < TIMESTAMP '2000-01-01' WHERE ret IS NOT NULL GROUP BY 1", "tb_panel", "tb_ridge")
 def _(spark, sf):
-    return shown(factors.regression_mean(tb.panel(spark, sf), _arrays(spark, sf), "2000-01-01"), digits=8)
+    return shown(factors.regression_mean(tb.panel(spark, sf), _arrays(spark, sf), "2000-01-01"), digits=6)
 
 
-@query("regression_covariance")
+@query("regression_covariance", f"SELECT a.symbol AS sym_i, b.symbol AS sym_j, {r('avg(a.ret * b.ret * z) * (SELECT b FROM tb_ridge) + avg(a.ret * b.ret) * (SELECT a FROM tb_ridge)', 'value', 6)} FROM {ZPAIRS} GROUP BY 1, 2", "tb_panel", "tb_ridge")
 def _(spark, sf):
-    return shown(factors.regression_covariance(tb.panel(spark, sf), _arrays(spark, sf), "2000-01-01"), digits=8)
+    return shown(factors.regression_covariance(tb.panel(spark, sf), _arrays(spark, sf), "2000-01-01"), digits=6)
 
 
 @query("decayed_forecast", f"SELECT symbol, {D}, CAST(k AS INT) AS step, {r(f'{MEAN} * pow(0.5, k)', 'mean')} FROM m_all, range(4) t(k)", "m_all")

@@ -47,10 +47,10 @@ def _(spark, sf):
     return shown(s.unpivot_panel(s.to_wide(tb.panel(spark, sf), "ret", BRANDS)))
 
 
-@query("to_wide", "SELECT CAST(ts AS DATE) AS ts, " + ", ".join(f"""round(max(CASE WHEN symbol = '{b}' THEN price END), 9) + 0.0 AS "{b}\"""" for b in BRANDS[:6]) + " FROM tb_panel GROUP BY 1", "tb_panel")
+@query("to_wide", "SELECT CAST(ts AS DATE) AS ts, " + ", ".join(f"""round(max(CASE WHEN symbol = '{b}' THEN price END), 9) + 0.0 AS "{b}\"""" for b in BRANDS) + " FROM tb_panel GROUP BY 1", "tb_panel")
 def _(spark, sf):
-    wide = s.to_wide(tb.panel(spark, sf), "price", BRANDS[:6])
-    return wide.select(F.to_date("ts").alias("ts"), *((F.round(F.col(f"`{b}`"), 9) + 0.0).alias(b) for b in BRANDS[:6]))
+    wide = s.to_wide(tb.panel(spark, sf), "price", BRANDS)
+    return wide.select(F.to_date("ts").alias("ts"), *((F.round(F.col(f"`{b}`"), 9) + 0.0).alias(b) for b in BRANDS))
 
 
 @query("read_index_csv", f"SELECT 'rate' AS symbol, CAST(ts AS DATE) AS ts, CASE WHEN month(ts) = 4 THEN NULL ELSE rate END AS value FROM tb_rate", "tb_rate")
@@ -60,10 +60,9 @@ def _(spark, sf):
     return out.select("symbol", F.to_date("ts").alias("ts"), "value")
 
 
-@query("read_snapshots", f"SELECT symbol, {D}, {r('h', digits=4)} FROM tb_hold WHERE portfolio_id = 'BUILDING'", "tb_hold")
+@query("read_snapshots", f"SELECT portfolio_id, symbol, {D}, {r('h', digits=4)} FROM tb_hold", "tb_hold")
 def _(spark, sf):
-    h = tb.holdings(spark, sf).where("portfolio_id = 'BUILDING'")
-    return shown(s.read_snapshots(s.write_snapshots(h)), digits=4)
+    return shown(s.read_snapshots(s.write_snapshots(tb.holdings(spark, sf), by=["portfolio_id"])), digits=4)
 
 
 @query("write_snapshots", """
@@ -315,18 +314,25 @@ def _(spark, sf):
     return shown(p.fx_convert(tb.panel(spark, sf), tb.rates(spark, sf).withColumnRenamed("rate", "fx")), "symbol", "ts", "ret", "price")
 
 
-@query("asof_join", "SELECT a.symbol, a.event_id, b.event_id AS other FROM (SELECT * FROM tb_ticks WHERE event_id % 2 = 0) a ASOF LEFT JOIN (SELECT * FROM tb_ticks WHERE event_id % 2 = 1) b ON a.symbol = b.symbol AND a.ts >= b.ts", "tb_ticks")
+view("tb_marks", "SELECT arg_max(event_id, ts) AS event_id, symbol, max(ts) AS ts FROM tb_ticks GROUP BY symbol, date_trunc('hour', ts)", "tb_ticks")
+
+
+def _marks(ticks):
+    """The last tick of every hour."""
+    own = ticks.groupBy("symbol", F.date_trunc("hour", "ts")).agg(F.max_by("event_id", "ts").alias("other"), F.max("ts").alias("ts"))
+    return own.select("symbol", "ts", "other")
+
+
+@query("asof_join", "SELECT a.symbol, a.event_id, b.event_id AS other FROM tb_ticks a ASOF LEFT JOIN tb_marks b ON a.symbol = b.symbol AND a.ts >= b.ts", "tb_ticks", "tb_marks")
 def _(spark, sf):
     ticks = tb.ticks(spark, sf)
-    right = ticks.where("event_id % 2 = 1").withColumn("other", F.col("event_id"))
-    return asof_join(ticks.where("event_id % 2 = 0"), right, ["other"], by=["symbol"]).select("symbol", "event_id", "other")
+    return asof_join(ticks, _marks(ticks), ["other"], by=["symbol"]).select("symbol", "event_id", "other")
 
 
-@query("asof_join_forward", "SELECT a.symbol, a.event_id, b.event_id AS other FROM (SELECT * FROM tb_ticks WHERE event_id % 2 = 0) a ASOF LEFT JOIN (SELECT * FROM tb_ticks WHERE event_id % 2 = 1) b ON a.symbol = b.symbol AND a.ts <= b.ts", "tb_ticks")
+@query("asof_join_forward", "SELECT a.symbol, a.event_id, b.event_id AS other FROM tb_ticks a ASOF LEFT JOIN tb_marks b ON a.symbol = b.symbol AND a.ts <= b.ts", "tb_ticks", "tb_marks")
 def _(spark, sf):
     ticks = tb.ticks(spark, sf)
-    right = ticks.where("event_id % 2 = 1").withColumn("other", F.col("event_id"))
-    return asof_join(ticks.where("event_id % 2 = 0"), right, ["other"], by=["symbol"], forward=True).select("symbol", "event_id", "other")
+    return asof_join(ticks, _marks(ticks), ["other"], by=["symbol"], forward=True).select("symbol", "event_id", "other")
 
 
 @query("param_lookup", f"SELECT symbol, CAST(p.ts AS DATE) AS ts, m.tradable AS exact, a.tradable AS known FROM tb_panel p LEFT JOIN tb_member m USING (symbol, ts) ASOF LEFT JOIN tb_member a ON p.symbol = a.symbol AND p.ts >= a.ts".replace("SELECT symbol", "SELECT p.symbol"), "tb_panel", "tb_member")

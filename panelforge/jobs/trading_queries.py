@@ -97,21 +97,22 @@ def _(spark, sf):
 
 
 def _goals(spark, sf):
-    return target(spark, sf).where(f"{P} = 'BUILDING' AND month(ts) = 6").drop(P)
+    return target(spark, sf).where("month(ts) = 6")
 
 
 @query("w_proportional_to_target", f"""
-    , c AS (SELECT ts, row_number() OVER (ORDER BY ts) AS n FROM (SELECT DISTINCT ts FROM tb_w)), q AS (SELECT DISTINCT ts FROM tb_target WHERE portfolio_id = 'BUILDING' AND month(ts) = 6),
-    a AS (SELECT c.ts, c.n, q.ts AS goal_ts FROM c ASOF LEFT JOIN q ON c.ts <= q.ts), l AS (SELECT a.ts, goal_ts, d.n - a.n AS k FROM a LEFT JOIN c d ON d.ts = goal_ts)
-    SELECT w.portfolio_id, w.symbol, CAST(w.ts AS DATE) AS ts, {r('w.w + CASE WHEN k > 0 THEN (coalesce(g.w, 0) - w.w) / k ELSE 0 END', 'w')} FROM tb_w w JOIN l ON l.ts = w.ts
-    LEFT JOIN tb_target g ON g.portfolio_id = 'BUILDING' AND g.ts = l.goal_ts AND g.symbol = w.symbol""", "tb_w", "tb_target")
+    , c AS (SELECT ts, row_number() OVER (ORDER BY ts) AS n FROM (SELECT DISTINCT ts FROM tb_w)), q AS (SELECT DISTINCT portfolio_id, ts FROM tb_target WHERE month(ts) = 6),
+    b AS (SELECT DISTINCT portfolio_id, c.ts, n FROM tb_w w JOIN c ON c.ts = w.ts), a AS (SELECT b.portfolio_id, b.ts, b.n, q.ts AS goal_ts FROM b ASOF LEFT JOIN q ON b.portfolio_id = q.portfolio_id AND b.ts <= q.ts),
+    l AS (SELECT a.portfolio_id, a.ts, goal_ts, d.n - a.n AS k FROM a LEFT JOIN c d ON d.ts = goal_ts)
+    SELECT w.portfolio_id, w.symbol, CAST(w.ts AS DATE) AS ts, {r('w.w + CASE WHEN k > 0 THEN (coalesce(g.w, 0) - w.w) / k ELSE 0 END', 'w')} FROM tb_w w JOIN l ON l.portfolio_id = w.portfolio_id AND l.ts = w.ts
+    LEFT JOIN tb_target g ON g.portfolio_id = w.portfolio_id AND g.ts = l.goal_ts AND g.symbol = w.symbol""", "tb_w", "tb_target")
 def _(spark, sf):
     return shown(w.w_proportional_to_target(weights(spark, sf), _goals(spark, sf)), P, "symbol", "ts", "w")
 
 
-@query("target_faults", f"SELECT {D}, round(sum(w), 6) + 0.0 AS total FROM (SELECT ts, CASE WHEN month(ts) = 4 THEN w / 2 ELSE w END AS w FROM tb_target WHERE portfolio_id = 'BUILDING') GROUP BY ts HAVING abs(sum(w) - 1) > 1e-9", "tb_target")
+@query("target_faults", f"SELECT portfolio_id, {D}, round(sum(w), 6) + 0.0 AS total FROM (SELECT portfolio_id, ts, CASE WHEN month(ts) = 4 THEN w / 2 ELSE w END AS w FROM tb_target) GROUP BY 1, ts HAVING abs(sum(w) - 1) > 1e-9", "tb_target")
 def _(spark, sf):
-    own = target(spark, sf).where(f"{P} = 'BUILDING'").withColumn("w", F.when(F.month("ts") == 4, F.col("w") / 2).otherwise(F.col("w")))
+    own = target(spark, sf).withColumn("w", F.when(F.month("ts") == 4, F.col("w") / 2).otherwise(F.col("w")))
     return shown(w.target_faults(own), digits=6)
 
 
@@ -247,9 +248,18 @@ def _(spark, sf):
     return shown(t.is_bankrupt(h))
 
 
-@query("benchmark_return", f"SELECT CAST(t.ts AS DATE) AS ts, {r('sum(w * ret)', 'bm_ret')} FROM tb_target t JOIN tb_ret_cash r ON r.ts = t.ts AND r.symbol = t.symbol WHERE portfolio_id = 'BUILDING' GROUP BY 1", "tb_target", "tb_ret_cash")
+BM = "SELECT portfolio_id, CAST(t.ts AS DATE) AS ts, {} FROM tb_target t LEFT JOIN tb_ret_cash r ON r.ts = t.ts AND r.symbol = t.symbol GROUP BY 1, 2"
+
+
+@query("benchmark_return", BM.format(r("sum(w * coalesce(ret, 0))", "bm_ret")), "tb_target", "tb_ret_cash")
+def _(spark, sf):
+    whole = returns_with_cash(spark, sf).withColumn("ret", F.coalesce("ret", F.lit(0.0)))
+    return shown(t.benchmark_return(target(spark, sf), whole, by=[P]))
+
+
+@query("benchmark_return_gaps", BM.format(r("CASE WHEN count(*) = count(ret) THEN sum(w * ret) END", "bm_ret")), "tb_target", "tb_ret_cash")
 def _(spark, sf):
-    return shown(t.benchmark_return(target(spark, sf).where(f"{P} = 'BUILDING'"), returns_with_cash(spark, sf)))
+    return shown(t.benchmark_return(target(spark, sf), returns_with_cash(spark, sf), by=[P]))
 
 
 view("tb_mix", "SELECT 'a' AS portfolio_id, 'Brand#1' AS symbol, 0.05::DOUBLE AS w UNION ALL SELECT 'a', 'Brand#2', 0.04 UNION ALL SELECT 'a', 'cash', 0.91 UNION ALL SELECT 'b', 'Brand#3', 0.02 UNION ALL SELECT 'b', 'cash', 0.98")

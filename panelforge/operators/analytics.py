@@ -196,10 +196,15 @@ def strategy_vs_index(navs: DataFrame, index: DataFrame) -> DataFrame:
 def reconcile_holdings(days: DataFrame, targets: DataFrame, universe: DataFrame) -> DataFrame:
     """The latest target at or before each day, on the day's universe: absent weights are 0, cash is what is left.
 
-    ``days(ts)``, ``targets(ts, symbol, w)``, ``universe(ts, symbol)``; returns ``(ts, symbol, w)`` with a cash row.
+    ``days(ts)``, ``targets(ts, symbol, w)``, ``universe(ts, symbol)``; returns ``(ts, symbol, w)`` with a cash row. With a ``portfolio_id`` in
+    ``targets`` every portfolio has its own targets on every day.
     """
-    snaps = targets.select(F.col("ts").alias("snap")).distinct().withColumn("ts", F.col("snap"))
-    picked = asof_join(days.select("ts").distinct(), snaps, ["snap"])
-    wanted = universe.join(F.broadcast(picked), "ts").join(targets.select(F.col("ts").alias("snap"), "symbol", "w"), ["snap", "symbol"], "left")
-    own = wanted.select("ts", "symbol", F.coalesce("w", F.lit(0.0)).alias("w"))
-    return own.unionByName(own.groupBy("ts").agg((1 - F.sum("w")).alias("w")).select("ts", F.lit("cash").alias("symbol"), "w"))
+    by = [c for c in ("portfolio_id",) if c in targets.columns]
+    snaps = targets.select(*by, F.col("ts").alias("snap")).distinct().withColumn("ts", F.col("snap"))
+    dates = days.select("ts").distinct()
+    if by:  # as many rows as the answer has cash rows
+        dates = targets.select(*by).distinct().join(F.broadcast(dates))
+    picked = asof_join(dates, snaps, ["snap"], by=by)
+    wanted = universe.join(picked, "ts").join(targets.select(*by, F.col("ts").alias("snap"), "symbol", "w"), [*by, "snap", "symbol"], "left")
+    own = wanted.select(*by, "ts", "symbol", F.coalesce("w", F.lit(0.0)).alias("w"))
+    return own.unionByName(own.groupBy(*by, "ts").agg((1 - F.sum("w")).alias("w")).select(*by, "ts", F.lit("cash").alias("symbol"), "w"))

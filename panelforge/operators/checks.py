@@ -1,15 +1,17 @@
 """Compliance checks: who breaks which rule, when, and by how much.
 
 Every check returns ``(portfolio_id, ts, symbol, name, lhs, op, rhs, slack, ok)``; ``symbol`` is null for rules on a whole book.
+What cannot be checked, since a volume, value or exposure is missing, has a null ``ok`` and counts as a violation.
 Weights tables are ``(portfolio_id, ts, symbol, is_cash, w)`` after trading; trade weights have ``z``; values ``(portfolio_id, ts, v)``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import divided, param_lookup
+from .terms import loads_of
 
 BOOK = ["portfolio_id", "ts"]
 Limit = DataFrame | float
@@ -25,7 +27,8 @@ def check(df: DataFrame, name: str, lhs: Column, op: str, rhs: Column, tol: floa
 
 
 def violations(checks: DataFrame) -> DataFrame:
-    return checks.where("not ok")
+    """Rows that break their limit, or of which it is not known."""
+    return checks.where("not coalesce(ok, false)")
 
 
 def _each(df: DataFrame, name: str, column: str, op: str, limit: Limit, asof: bool = False, cash: bool = False) -> DataFrame:
@@ -46,7 +49,7 @@ def _cash_weight() -> Column:
 
 
 def _over_value(limit: float, values: DataFrame, df: DataFrame) -> DataFrame:
-    return df.join(values, BOOK).withColumn("limit", divided(F.lit(limit), F.col("v")))
+    return df.join(values, BOOK, "left").withColumn("limit", divided(F.lit(limit), F.col("v")))
 
 
 def chk_long_only(weights: DataFrame, cash: bool = False) -> DataFrame:
@@ -87,9 +90,10 @@ def chk_turnover(trades: DataFrame, limit: Limit) -> DataFrame:
 
 
 def chk_participation(trades: DataFrame, values: DataFrame, volumes: DataFrame, share: float) -> DataFrame:
-    """v |z| is at most ``share`` of the mean value volume ``(ts, symbol, mean_volume)``."""
-    own = trades.where("not is_cash").join(values, BOOK).join(volumes.select("ts", "symbol", "mean_volume"), ["ts", "symbol"])
-    return check(own, "participation", F.col("v") * F.abs("z"), "<=", share * F.col("mean_volume"))
+    """v |z| is at most ``share`` of the mean value volume ``(ts, symbol, mean_volume)``; no trade needs no volume."""
+    own = trades.where("not is_cash").join(values, BOOK, "left").join(volumes.select("ts", "symbol", "mean_volume"), ["ts", "symbol"], "left")
+    out = check(own, "participation", F.col("v") * F.abs("z"), "<=", share * F.col("mean_volume"))
+    return out.withColumn("ok", F.when(F.col("lhs") == 0, True).otherwise(F.col("ok")))
 
 
 def chk_max_weights(weights: DataFrame, limit: Limit) -> DataFrame:
@@ -143,11 +147,17 @@ def chk_min_bm_deviation(weights: DataFrame, benchmark: DataFrame, limit: Limit)
 
 
 def _factor(weights: DataFrame, exposures: DataFrame, name: str, op: str, limits: DataFrame | float, gross: bool = False) -> DataFrame:
-    """Exposure of each book to each factor of ``exposures(ts?, factor, symbol, f)``; the factor stands in ``symbol``."""
-    on = [c for c in ("ts", "symbol") if c in exposures.columns]
-    w = F.abs("w") if gross else F.col("w")
-    own = weights.where("not is_cash").join(exposures, on).groupBy(*BOOK, "factor").agg(F.sum(w * F.col("f")).alias("y"))
-    own = own.join(limits, "factor") if isinstance(limits, DataFrame) else own.withColumn("limit", F.lit(float(limits)))
+    """Exposure of each book to each factor of ``exposures(ts?, factor, symbol, f)``; the factor stands in ``symbol``.
+
+    A held symbol without any exposure makes all of its book's exposures unknown, and adds a row without a factor. Factors without a limit are not checked.
+    """
+    own = loads_of(weights.where("not is_cash"), exposures, F.abs("w") if gross else F.col("w"))
+    lost = F.max(F.col("factor").isNull()).over(Window.partitionBy(*BOOK))
+    own = own.withColumn("lost", lost).withColumn("y", F.when(~F.col("lost"), F.col("y")))
+    if isinstance(limits, DataFrame):
+        own = own.join(limits, "factor", "left").where("limit is not null or factor is null")
+    else:
+        own = own.withColumn("limit", F.lit(float(limits)))
     return check(own.withColumnRenamed("factor", "symbol"), name, F.col("y"), op, F.col("limit"))
 
 
@@ -173,10 +183,16 @@ def chk_factor_neutral(weights: DataFrame, exposures: DataFrame) -> DataFrame:
 
 
 def chk_market_neutral(weights: DataFrame, benchmark: DataFrame, cov: DataFrame) -> DataFrame:
-    """w_b' S w = 0: the benchmark's covariances ``(sym_i, sym_j, value)``, i <= j, become one exposure per symbol; pairs are not forced into a broadcast."""
+    """w_b' S w = 0: the benchmark's covariances ``(sym_i, sym_j, value)``, i <= j, become one exposure per symbol; pairs are not forced into a broadcast.
+
+    A symbol that lacks a covariance with one of the benchmark's has no known exposure. Times without a benchmark are not checked.
+    """
     both = cov.select("sym_i", "sym_j", "value").union(cov.where("sym_i <> sym_j").select("sym_j", "sym_i", "value"))
-    beta = benchmark.select("ts", F.col("symbol").alias("sym_i"), "w").join(both, "sym_i").groupBy("ts", F.col("sym_j").alias("symbol")).agg(F.sum(F.col("w") * F.col("value")).alias("f"))
-    return _factor(weights, beta.withColumn("factor", F.lit("market")), "market neutral", "=", 0.0)
+    held = benchmark.where("w <> 0")
+    beta = held.select("ts", F.col("symbol").alias("sym_i"), "w").join(both, "sym_i").groupBy("ts", F.col("sym_j").alias("symbol")).agg(F.sum(F.col("w") * F.col("value")).alias("f"), F.count("value").alias("k"))
+    whole = held.groupBy("ts").agg(F.count("*").alias("n"))
+    beta = beta.join(F.broadcast(whole), "ts").select("ts", "symbol", F.when(F.col("k") == F.col("n"), F.col("f")).alias("f"))
+    return _factor(weights.join(F.broadcast(whole), "ts", "left_semi"), beta.withColumn("factor", F.lit("market")), "market neutral", "=", 0.0)
 
 
 def chk_no_trade(trades: DataFrame, asset: str, times: DataFrame) -> DataFrame:

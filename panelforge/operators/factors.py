@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import asof_join, micros
+from ..functions.core import asof_join, divided, seen_from
 
 FACTORS = "ts timestamp, factor string, symbol string, f double"
 MODEL = "ts timestamp, part string, factor string, symbol string, value double"
@@ -69,8 +69,7 @@ def factor_model_svd(panel: DataFrame, dates: DataFrame, k: int, days: int, iter
 
     A negative idiosyncratic variance (too many gaps) is reported as missing, for the caller to reject.
     """
-    d = F.broadcast(dates.select(F.col("ts").alias("at")))
-    seen = panel.join(d, (F.col("ts") < F.col("at")) & (F.unix_micros("ts") >= F.unix_micros("at") - micros(days * 86_400)))
+    seen = seen_from(panel, dates, days)
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         wide = own.pivot(index="ts", columns="symbol", values="ret").sort_index().dropna(axis=1, how="all")
@@ -94,8 +93,8 @@ def factor_model_monthly(panel: DataFrame, k: int = 15, days: int = 730) -> Data
 
     Parts: ``exposure`` (unit vectors), ``factor_variance`` (their variances) and ``idio``. Symbols with a gap are left out.
     """
-    months = panel.select("ts").distinct().groupBy(F.date_trunc("month", "ts")).agg(F.min("ts").alias("at")).select("at")
-    seen = panel.join(F.broadcast(months), (F.col("ts") < F.col("at")) & (F.unix_micros("ts") >= F.unix_micros("at") - micros(days * 86_400)))
+    months = panel.select("ts").distinct().groupBy(F.date_trunc("month", "ts")).agg(F.min("ts").alias("ts")).select("ts")
+    seen = seen_from(panel, months, days)
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         wide = own.pivot(index="ts", columns="symbol", values="ret").dropna(axis=1)
@@ -126,42 +125,42 @@ def linear_regression_return(panel: DataFrame, regressors: DataFrame, at: str) -
     cells = rows.select("symbol", "ret", "x", F.posexplode("x").alias("i", "xi"))
     xty = cells.groupBy("symbol", "i").agg(F.sum(F.col("xi") * F.col("ret")).alias("b"))
     xtx = cells.select("symbol", "i", "xi", F.posexplode("x").alias("j", "xj")).groupBy("symbol", "i", "j").agg(F.sum(F.col("xi") * F.col("xj")).alias("a"))
-    packed = xtx.groupBy("symbol").agg(F.collect_list(F.struct("i", "j", "a")).alias("a")).join(xty.groupBy("symbol").agg(F.collect_list(F.struct("i", "b")).alias("b")), "symbol")
-    packed = packed.join(F.broadcast(last), how="left")
+    flat = lambda df, *order: df.groupBy("symbol").agg(F.transform(F.sort_array(F.collect_list(F.struct(*order))), lambda c: c[order[-1]]).alias(order[-1]))
+    packed = flat(xtx, "i", "j", "a").join(flat(xty, "i", "b"), "symbol").join(F.broadcast(last), how="left")
 
     @F.pandas_udf("double")
     def solve(a: pd.Series, b: pd.Series, last: pd.Series) -> pd.Series:
-        out = []
-        for aa, bb, x in zip(a, b, last):
-            matrix, right = np.zeros((len(x), len(x))), np.zeros(len(x))
-            for c in aa:
-                matrix[c["i"], c["j"]] = c["a"]
-            for c in bb:
-                right[c["i"]] = c["b"]
-            out.append(float(np.asarray(x) @ np.linalg.lstsq(matrix, right, rcond=None)[0]))
-        return pd.Series(out)
+        """All systems of a batch in one call: least squares by the pseudo-inverse."""
+        if not len(a):
+            return pd.Series([], dtype=float)
+        right, now = np.stack(b.to_list()), np.stack(last.to_list())
+        k = right.shape[1]
+        inverse = np.linalg.pinv(np.stack(a.to_list()).reshape(-1, k, k), rcond=k * np.finfo(float).eps, hermitian=True)
+        return pd.Series(np.einsum("nk,nkj,nj->n", now, inverse, right))
 
     return packed.select("symbol", solve("a", "b", "last").alias("forecast"))
 
 
-def _standardised(panel: DataFrame, regressors: DataFrame, at: str) -> tuple[pd.DataFrame, np.ndarray]:
-    """Standardised regressors by time with their intercept, and the solved weights. Calendar-sized, so on the driver."""
-    now = pd.Timestamp(at)
-    times = asof_join(panel.where(F.col("ts") <= F.lit(at).cast("timestamp")).select("ts").distinct(), regressors, ["x"]).where("x is not null").orderBy("ts").toPandas()
-    x = np.array(times["x"].tolist())
-    x = (x - x.mean(axis=0)) / np.sqrt(((x - x.mean(axis=0)) ** 2).mean(axis=0))
-    x = np.column_stack([x, np.ones(len(x))])
-    past = (times["ts"] < now).to_numpy()
-    return pd.DataFrame({"ts": times["ts"][past], "x": x[past].tolist()}), x
-
-
 def regression_weights(panel: DataFrame, regressors: DataFrame, at: str, gamma: float = 0.1) -> tuple[DataFrame, list[float]]:
-    """``(ts, x)`` of standardised past regressors, and the ridge weights of the current ones (intercept not penalised)."""
-    past, x = _standardised(panel, regressors, at)
-    rows = np.array(past["x"].tolist())
-    k = rows.shape[1]
-    weights = np.linalg.solve(rows.T @ rows / len(rows) + np.diag([gamma] * (k - 1) + [0.0]), x[-1])
-    return panel.sparkSession.createDataFrame(past, "ts timestamp, x array<double>"), weights.tolist()
+    """``(ts, x)`` of standardised past regressors and an intercept, and the ridge weights of the current ones (intercept not penalised).
+
+    Means, deviations and second moments are summed by Spark; the driver sees one row of regressors squared sums, whatever the calendar.
+    """
+    now = F.lit(at).cast("timestamp")
+    times = asof_join(panel.where(F.col("ts") <= now).select("ts").distinct(), regressors, ["x"]).where("x is not null")
+    cells = times.select("ts", F.posexplode("x").alias("i", "x"))
+    scale = cells.groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    z = cells.join(F.broadcast(scale), "i").select("ts", F.struct("i", divided(F.col("x") - F.col("m"), F.col("s")).alias("z")).alias("c"))
+    rows = z.groupBy("ts").agg(F.sort_array(F.collect_list("c")).alias("c")).select("ts", F.concat(F.transform("c", lambda c: c["z"]), F.array(F.lit(1.0))).alias("x"))
+    past = rows.where(F.col("ts") < now)
+    pairs = past.select(F.posexplode("x").alias("i", "xi"), "x").select("i", "xi", F.posexplode("x").alias("j", "xj"))
+    moments = pairs.groupBy("i", "j").agg(F.avg(F.col("xi") * F.col("xj")).alias("a")).collect()  # regressors squared
+    current = rows.agg(F.max_by("x", "ts").alias("x")).first()["x"]
+    k = len(current)
+    matrix = np.diag([gamma] * (k - 1) + [0.0])
+    for c in moments:
+        matrix[c["i"], c["j"]] += c["a"]
+    return past, np.linalg.solve(matrix, np.array(current)).tolist()
 
 
 def regression_mean(panel: DataFrame, regressors: DataFrame, at: str, gamma: float = 0.1) -> DataFrame:

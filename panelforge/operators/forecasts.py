@@ -1,8 +1,8 @@
 """Trailing forecasts without look-ahead: at t only rows before t count, whatever the window.
 
-``half_life`` and ``rolling`` are seconds; either, both or none. Weights are 2^((ts - t) / half_life), relative to t. Running
-sums are anchored at a symbol's first time, which is exact while its history is shorter than about 500 half-lives (a double
-overflows at 1,024); :func:`ew_recursive` takes longer ones.
+``half_life`` and ``rolling`` are seconds; either, both or none. Weights are 2^((ts - t) / half_life), relative to t, for histories of any
+length: rows are summed in blocks of ``BLOCK`` half-lives, each block with its rows and those of the block before. What is older has faded to
+less than 2^-BLOCK and is left out.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.core import YEAR_DAYS, asof_join, by_symbol, divided, micros, seconds
+from ..functions.core import YEAR_DAYS, asof_join, by_symbol, divided, micros, seconds, seen_from
 
 LOW_COUNT = 5
+BLOCK = 400  # half-lives
 
 
 def trailing(rolling: float | None = None) -> WindowSpec:
@@ -26,23 +27,32 @@ def trailing(rolling: float | None = None) -> WindowSpec:
     return keyed.rangeBetween(Window.unboundedPreceding if rolling is None else -micros(rolling), -1)
 
 
-def _anchored(half_life: float | None) -> tuple[Column, Column]:
-    """A row's weight relative to the symbol's first time, and what turns such sums into weights relative to t."""
-    if half_life is None:
-        return F.lit(1.0), F.lit(1.0)
-    first = F.min("ts").over(Window.partitionBy("symbol"))
-    halvings = (seconds("ts") - seconds(first)) / float(micros(half_life))
-    return F.pow(F.lit(2.0), halvings), F.pow(F.lit(2.0), -halvings)
+def _blocks(panel: DataFrame, half_life: float) -> tuple[DataFrame, Column]:
+    """Rows dealt to their block of time, and lent to the next one if the symbol has rows later, with their age in half-lives from the block's begin.
+
+    Blocks begin at fixed times, so weights stay between 2^-BLOCK and 2^BLOCK. The exchange by symbol serves both windows.
+    """
+    length = BLOCK * micros(half_life)
+    own = panel.withColumn("k_", F.floor(seconds("ts") / float(length)).cast("long"))
+    later = F.max("k_").over(Window.partitionBy("symbol")) > F.col("k_")
+    deals = F.array(F.struct("k_", F.lit(True).alias("own")), F.struct((F.col("k_") + 1).alias("k_"), F.lit(False).alias("own")))
+    own = own.withColumn("later_", later).withColumn("d_", F.explode(F.when(F.col("later_"), deals).otherwise(F.slice(deals, F.lit(1), F.lit(1)))))
+    return own, (seconds("ts") - F.col("d_.k_") * F.lit(length)) / float(micros(half_life))
 
 
 def moments(panel: DataFrame, value: str = "ret", half_life: float | None = None, rolling: float | None = None) -> DataFrame:
     """Adds ``w0``, ``w1``, ``w2``: weighted count, sum and sum of squares of the past known values. One exchange by symbol."""
-    weight, back = _anchored(half_life)
     x, over = F.col(value), trailing(rolling)
-    own = panel.withColumns({"w_": F.when(x.isNotNull(), weight), "b_": back})
+    if half_life is None:
+        sums = {"w0": F.sum(F.when(x.isNotNull(), 1.0)), "w1": F.sum(x), "w2": F.sum(x * x)}
+        return panel.withColumns({k: s.over(over) for k, s in sums.items()})
+    own, age = _blocks(panel, half_life)
+    own = own.withColumns({"w_": F.when(x.isNotNull(), F.pow(F.lit(2.0), age)), "b_": F.pow(F.lit(2.0), -age), "block_": F.col("d_.k_"), "own_": F.col("d_.own")})
+    keyed = Window.partitionBy("symbol", "block_").orderBy(seconds("ts"))
+    over = keyed.rangeBetween(Window.unboundedPreceding if rolling is None else -micros(rolling), -1)
     sums = {"w0": F.sum("w_"), "w1": F.sum(F.col("w_") * x), "w2": F.sum(F.col("w_") * x * x)}
-    out = own.withColumns({k: s.over(over) for k, s in sums.items()})
-    return out.withColumns({k: F.col(k) * F.col("b_") for k in sums}).drop("w_", "b_")
+    out = own.withColumns({k: s.over(over) for k, s in sums.items()}).where("own_")
+    return out.withColumns({k: F.col(k) * F.col("b_") for k in sums}).drop("w_", "b_", "k_", "d_", "later_", "block_", "own_")
 
 
 def _variance(kelly: bool) -> Column:
@@ -159,10 +169,9 @@ def stress_indicator(benchmark: DataFrame, n: int = 252, scale: float = 0.05, lo
 def forecast_at(panel: DataFrame, dates: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], days: int) -> DataFrame:
     """``(ts, symbol, value)`` of a user's function of the past ``days`` of returns (times x symbols) at each of ``dates``.
 
-    Rows meet the dates that see them (broadcast: a list of dates), and each date is one pandas group of bounded history.
+    Rows find the dates that see them by search; each date is one pandas group, of ``days`` times the universe, since the function wants the whole.
     """
-    d = F.broadcast(dates.select(F.col("ts").alias("at")))
-    seen = panel.join(d, (F.col("ts") < F.col("at")) & (F.unix_micros("ts") >= F.unix_micros("at") - micros(days * 86_400)))
+    seen = seen_from(panel, dates, days)
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         out = fn(own.pivot(index="ts", columns="symbol", values="ret").sort_index())

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import divided
+from .terms import strict_sum
 
 
 def book() -> Window:
@@ -95,9 +98,10 @@ def cut_bankrupt(holdings: DataFrame) -> DataFrame:
     return holdings.join(since, "portfolio_id", "left").where("since is null or ts <= since").select(*holdings.columns)
 
 
-def benchmark_return(weights: DataFrame, returns: DataFrame) -> DataFrame:
-    """``(ts, bm_ret)``: the sum of weights times returns, cash included."""
-    return weights.join(returns.select("ts", "symbol", "ret"), ["ts", "symbol"]).groupBy("ts").agg(F.sum(F.col("w") * F.col("ret")).alias("bm_ret"))
+def benchmark_return(weights: DataFrame, returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, ts, bm_ret)``: the sum of weights times returns, cash included; null where a held symbol has no return."""
+    own = weights.join(returns.select("ts", "symbol", "ret"), ["ts", "symbol"], "left")
+    return own.groupBy(*by, "ts").agg(strict_sum(F.when(F.col("w") == 0, 0.0).otherwise(F.col("w") * F.col("ret"))).alias("bm_ret"))
 
 
 def _growth(ret: Column | str, *keys: str) -> Column:

@@ -95,21 +95,24 @@ def rebalance_dates(calendar: DataFrame, unit: str) -> DataFrame:
 def w_proportional_to_target(current: DataFrame, targets: DataFrame) -> DataFrame:
     """One step of an even path to the next target: w + (target - w) / trading times left.
 
-    ``targets(ts, symbol, w)``. Unchanged where no target is ahead, or the target is now. The calendar is that of ``current``.
+    ``targets(ts, symbol, w)`` are for all portfolios, or ``targets(portfolio_id, ts, symbol, w)`` for each its own. Unchanged where no target is
+    ahead, or the target is now. The calendar is that of ``current``.
     """
+    by = [c for c in ("portfolio_id",) if c in targets.columns]
     times = current.select("ts").distinct().withColumn("n", F.row_number().over(Window.orderBy("ts")))
-    goals = targets.select("ts").distinct().withColumn("goal_ts", F.col("ts"))
-    ahead = asof_join(times, goals, ["goal_ts"], forward=True)
-    reach = ahead.join(times.select(F.col("ts").alias("goal_ts"), F.col("n").alias("goal_n")), "goal_ts", "left").select("ts", "goal_ts", (F.col("goal_n") - F.col("n")).alias("left"))
-    goal = targets.select(F.col("ts").alias("goal_ts"), "symbol", F.col("w").alias("goal"))
-    out = current.join(F.broadcast(reach), "ts").join(goal, ["goal_ts", "symbol"], "left")
+    books = current.select(*by, "ts").distinct().join(F.broadcast(times), "ts") if by else times
+    goals = targets.select(*by, "ts").distinct().withColumn("goal_ts", F.col("ts"))
+    ahead = asof_join(books, goals, ["goal_ts"], by=by, forward=True)
+    reach = ahead.join(F.broadcast(times.select(F.col("ts").alias("goal_ts"), F.col("n").alias("goal_n"))), "goal_ts", "left").select(*by, "ts", "goal_ts", (F.col("goal_n") - F.col("n")).alias("left"))
+    goal = targets.select(*by, F.col("ts").alias("goal_ts"), "symbol", F.col("w").alias("goal"))
+    out = current.join(reach, [*by, "ts"]).join(goal, [*by, "goal_ts", "symbol"], "left")
     step = F.when(F.col("left") > 0, (F.coalesce("goal", F.lit(0.0)) - F.col("w")) / F.col("left"))
     return out.withColumn("w", F.col("w") + F.coalesce(step, F.lit(0.0))).select(*current.columns)
 
 
 def target_faults(targets: DataFrame, tol: float = 1e-9) -> DataFrame:
-    """Target times whose weights do not sum to one."""
-    return targets.groupBy("ts").agg(F.sum("w").alias("total")).where(F.abs(F.col("total") - 1) > tol)
+    """Target times (of each portfolio, if there are several) whose weights do not sum to one."""
+    return targets.groupBy(*(c for c in ("portfolio_id",) if c in targets.columns), "ts").agg(F.sum("w").alias("total")).where(F.abs(F.col("total") - 1) > tol)
 
 
 def _to_target_if(current: DataFrame, target: DataFrame, trigger: Callable[[DataFrame], Column]) -> DataFrame:

@@ -87,16 +87,17 @@ def fix_last_open_time(bars: DataFrame, announced: DataFrame) -> DataFrame:
 
 
 def read_snapshots(raw: DataFrame, column: str = "raw", value: str = "h") -> DataFrame:
-    """JSON ``{time: {symbol: value}}`` as rows ``(ts, symbol, value)``."""
-    times = raw.select(F.explode(F.from_json(column, schemas.SNAPSHOTS)).alias("t", "m"))
-    return times.select("t", F.explode("m").alias("symbol", value)).select(F.to_timestamp("t").alias("ts"), "symbol", value)
+    """JSON ``{time: {symbol: value}}`` as rows ``(ts, symbol, value)``, with the other columns of ``raw`` (but a ``ts``) before them."""
+    keys = [c for c in raw.columns if c not in (column, "ts")]
+    times = raw.select(*keys, F.explode(F.from_json(column, schemas.SNAPSHOTS)).alias("t", "m"))
+    return times.select(*keys, "t", F.explode("m").alias("symbol", value)).select(*keys, F.to_timestamp("t").alias("ts"), "symbol", value)
 
 
-def write_snapshots(rows: DataFrame, value: str = "h") -> DataFrame:
-    """Rows ``(ts, raw)``: one JSON object ``{time: {symbol: value}}`` for every time."""
+def write_snapshots(rows: DataFrame, value: str = "h", by: Sequence[str] = ()) -> DataFrame:
+    """Rows ``(*by, ts, raw)``: one JSON object ``{time: {symbol: value}}`` for every time (of each portfolio, say)."""
     own = F.map_from_entries(F.sort_array(F.collect_list(F.struct("symbol", value))))
     time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    return rows.groupBy("ts").agg(own.alias("m")).select("ts", F.to_json(F.create_map(time, "m")).alias("raw"))
+    return rows.groupBy(*by, "ts").agg(own.alias("m")).select(*by, "ts", F.to_json(F.create_map(time, "m")).alias("raw"))
 
 
 def stale_symbols(series: DataFrame, now: str, grace_seconds: int) -> DataFrame:

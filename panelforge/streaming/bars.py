@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,18 +45,37 @@ def stream_clean(ticks: DataFrame) -> DataFrame:
 def stream_append_only(rows: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes"):
     """Appends each (symbol, ts) once to the Parquet table at ``path``, never rows at or before a symbol's last stored one.
 
-    Returns the started query (available-now trigger). The last stored times are read from the table itself, so that a repeated batch
-    adds nothing.
+    Returns the started query (available-now trigger). Every micro-batch overwrites its own folder ``run=…/batch=…`` (the run is the
+    checkpoint's), so a batch that is tried again leaves its rows once. A symbol's last stored times are a small table beside the rows, one
+    version a batch: a batch reads the version before it, never the rows, and drops the ones that no retry can ask for.
     """
     unique = rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["symbol", "ts"])
+    run = sha256(checkpoint.encode()).hexdigest()[:12]
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            upto = spark.read.schema(batch.schema).parquet(path).groupBy("symbol").agg(F.max("ts").alias("upto"))
-            batch = batch.join(upto, "symbol", "left").where("upto is null or ts > upto").select(*batch.columns)
-        batch.write.mode("append").parquet(path)
+        mine, version = f"run={run}/batch={number}", lambda n: f"{path}/_upto/run={run}/batch={n}"
+        files = spark.sparkContext._jvm.org.apache.hadoop.fs
+        store_of = files.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        exists = lambda p: store_of.exists(files.Path(p))
+        kind = "symbol string, upto timestamp"
+        if number and exists(version(number - 1)):
+            before = spark.read.schema(kind).parquet(version(number - 1))
+        elif exists(f"{path}/_upto"):
+            stored = spark.read.schema(f"{kind}, run string, batch long").parquet(f"{path}/_upto")
+            before = stored.where((F.col("run") != run) | (F.col("batch") < number)).select("symbol", "upto")
+        else:
+            before = spark.createDataFrame([], kind)
+        before = before.groupBy("symbol").agg(F.max("upto").alias("upto"))
+        new = batch.join(before, "symbol", "left").where("upto is null or ts > upto").select(*batch.columns).persist()
+        try:
+            new.write.mode("overwrite").parquet(f"{path}/{mine}")
+            last = before.unionByName(new.select("symbol", F.col("ts").alias("upto"))).groupBy("symbol").agg(F.max("upto").alias("upto"))
+            last.write.mode("overwrite").parquet(version(number))
+        finally:
+            new.unpersist()
+        if number > 1:
+            store_of.delete(files.Path(version(number - 2)), True)
 
     return unique.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge import schemas
+from panelforge.functions import core
 from panelforge.functions.core import asof_join, resample_return
-from panelforge.operators import cleaning, factors, forecasts, panel as panels, trades, weights
+from panelforge.operators import checks, cleaning, factors, forecasts, panel as panels, terms, trades, weights
 from panelforge.sources import files
 from panelforge.streaming import bars as st
 
@@ -52,6 +53,29 @@ def test_long_history_keeps_recursion_finite(spark):
     np.testing.assert_allclose(got[1:], wide.to_numpy()[:-1])
 
 
+@pytest.mark.parametrize("hours", [None, 30])
+def test_exponential_sums_over_thousands_of_half_lives(spark, hours):
+    """Hourly rows, a half-life of twelve minutes, gaps of up to 300 half-lives: 7,500 half-lives in all."""
+    rng = np.random.default_rng(11)
+    at = np.sort(rng.choice(1500, 700, replace=False))
+    at = at[(at < 400) | (at > 455)]
+    x = rng.normal(0, 0.02, len(at))
+    rows = [("s", START + timedelta(hours=int(h)), float(v), 1.0, 1.0) for h, v in zip(at, x)]
+    panel = spark.createDataFrame(rows, schemas.PANEL)
+    how = {} if hours is None else {"rolling": hours * 3600.0}
+    got = forecasts.moments(panel, half_life=720.0, **how).orderBy("ts").toPandas()
+    for i, h in enumerate(at):
+        past = [j for j in range(i) if hours is None or h - at[j] <= hours]
+        w = 2.0 ** ((at[past] - h) * 5.0)
+        if len(past):
+            np.testing.assert_allclose(got[["w0", "w1", "w2"]].iloc[i].to_numpy(float), [w.sum(), (w * x[past]).sum(), (w * x[past] ** 2).sum()], rtol=1e-9)
+        else:
+            assert got.w0.isna().iloc[i]
+    if hours is None:
+        same = forecasts.ew_recursive(panel, 720.0).orderBy("ts").toPandas()
+        np.testing.assert_allclose((got.w1 / got.w0).to_numpy(float), same["mean"].to_numpy(float), rtol=1e-9)
+
+
 def test_no_look_ahead(spark):
     wide, panel = make_panel(spark)
     later = F.col("ts") >= F.lit(START + timedelta(days=30))
@@ -229,6 +253,77 @@ def test_asof_edges(spark):
     assert pick(forward=True, exclusive=True) == [("a", 1, 2), ("a", 3, None), ("b", 1, None)]
 
 
+@pytest.mark.parametrize("forward", [False, True])
+@pytest.mark.parametrize("exclusive", [False, True])
+def test_asof_without_a_key(spark, monkeypatch, forward, exclusive):
+    """The array, and the way for right sides too large for one, against a loop."""
+    rng = np.random.default_rng(2)
+    left = [(START + timedelta(hours=int(h)), i) for i, h in enumerate(rng.integers(-50, 900, 120))] + [(None, 999)]
+    right = [(START + timedelta(hours=int(h)), None if k % 7 == 0 else k) for k, h in enumerate(rng.choice(800, 60, replace=False))]
+    want = {}
+    for t, i in left:
+        ok = [r for r in right if t is not None and ((r[0] > t or r[0] == t and not exclusive) if forward else (r[0] < t or r[0] == t and not exclusive))]
+        want[i] = (min if forward else max)(ok, key=lambda r: r[0])[1] if ok else None
+    a, b = spark.createDataFrame(left, "ts timestamp, i long"), spark.createDataFrame(right, "ts timestamp, k long")
+    for most in (100, 10):
+        monkeypatch.setattr(core, "ARRAY_ROWS", most)
+        assert {r.i: r.k for r in asof_join(a, b, ["k"], forward=forward, exclusive=exclusive).collect()} == want
+
+
+def test_rows_find_the_dates_that_see_them(spark):
+    panel = spark.createDataFrame([(START + timedelta(days=d),) for d in range(40)], "ts timestamp")
+    dates = [START + timedelta(days=d) for d in (0, 3, 10, 39, 60)]
+    got = {(r.ts, r.at) for r in core.seen_from(panel, spark.createDataFrame([(d,) for d in dates], "ts timestamp"), 7).collect()}
+    assert got == {(d - timedelta(days=k), d) for d in dates for k in range(1, 8) if 0 <= (d - timedelta(days=k) - START).days < 40}
+
+
+def test_a_batch_tried_again_leaves_its_rows_once(spark, tmp_path):
+    """The sink's own folder of the last batch is written again after a failure behind it."""
+    import shutil
+
+    source, table, checkpoint = tmp_path / "in", str(tmp_path / "table"), tmp_path / "check"
+    source.mkdir()
+    schema = "symbol string, ts timestamp, price double"
+    rows = lambda a, b: spark.createDataFrame([(s, START + timedelta(minutes=m), float(m)) for s in "ab" for m in range(a, b)], schema)
+    want = []
+    for k in range(4):
+        rows(10 * k - (k > 0), 10 * k + 10).coalesce(1).write.mode("append").parquet(str(source))
+        for again in range(2):
+            stream = spark.readStream.schema(schema).parquet(str(source))
+            st.stream_append_only(stream, table, str(checkpoint)).awaitTermination()
+            want = sorted((s, START + timedelta(minutes=m)) for s in "ab" for m in range(10 * k + 10))
+            assert sorted((r.symbol, r.ts) for r in spark.read.parquet(table).collect()) == want
+            if not again:  # as if the batch had failed after its write: the commit is lost, and the batch comes again
+                last = max((checkpoint / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+                last.unlink()
+                (checkpoint / "commits" / f".{last.name}.crc").unlink(missing_ok=True)
+    st.stream_append_only(spark.readStream.schema(schema).parquet(str(source)), table, str(tmp_path / "other")).awaitTermination()
+    assert sorted((r.symbol, r.ts) for r in spark.read.parquet(table).collect()) == want
+    shutil.rmtree(checkpoint)
+
+
+def test_what_is_missing_never_vanishes(spark):
+    """An unpriced position makes its book unknown; zero positions need nothing."""
+    book = [("p", START, s, False, w, w) for s, w in (("a", 0.5), ("b", 0.4), ("z", 0.0))] + [("q", START, "a", False, 1.0, 1.0)]
+    own = spark.createDataFrame(book, "portfolio_id string, ts timestamp, symbol string, is_cash boolean, w double, u double")
+    one = spark.createDataFrame([(START, "a", 2.0)], "ts timestamp, symbol string, value double")
+    market = one.select("ts", "symbol", F.col("value").alias("sigma"), F.lit(1e6).alias("valuevolume"), F.lit(3.0).alias("price"))
+    cov = spark.createDataFrame([("a", "a", 2.0), ("b", "b", 1.0)], "sym_i string, sym_j string, value double")
+    loads = one.select("ts", F.lit("f").alias("factor"), "symbol", F.col("value").alias("f"))
+    for out in (
+        terms.transaction_cost(own, market, 0.1, 1.0), terms.returns_forecast(own, one), terms.returns_error(own, one), terms.risk_full(own, cov), terms.risk_diagonal(own, one),
+        terms.risk_forecast_error(own, one), terms.risk_factor_model(own, loads, one.withColumnRenamed("value", "d")),
+    ):
+        got = {r.portfolio_id: r.value for r in out.collect()}
+        assert got["p"] is None and got["q"] > 0
+    bad = checks.violations(checks.chk_factor_max(own, loads, 5.0)).collect()
+    assert {r.portfolio_id for r in bad} == {"p"}
+    values = spark.createDataFrame([("p", START, 10.0), ("q", START, 10.0)], "portfolio_id string, ts timestamp, v double")
+    part = checks.chk_participation(own.withColumnRenamed("u", "z"), values, one.withColumnRenamed("value", "mean_volume"), 100.0)
+    assert [(r.portfolio_id, r.symbol) for r in checks.violations(part).collect()] == [("p", "b")]
+    assert [(r.symbol, r.input) for r in terms.missing_inputs(own, one, ["value"]).collect()] == [("b", "value")]
+
+
 def test_resampled_return_compounds(spark):
     r = spark.range(1).select(resample_return(F.lit(0.1), 12.0)).first()[0]
     assert (1 + r) ** 12 == pytest.approx(1.1)
