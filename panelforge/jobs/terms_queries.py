@@ -173,9 +173,8 @@ for _gaps in ("", "_gaps"):
     _register(_gaps)
 
 
-@query("missing_inputs", """
-    SELECT portfolio_id, CAST(t.ts AS DATE) AS ts, t.symbol, unnest(list_filter([CASE WHEN sigma IS NULL THEN 'sigma' END, CASE WHEN valuevolume IS NULL THEN 'valuevolume' END, CASE WHEN price IS NULL THEN 'price' END], x -> x IS NOT NULL)) AS input
-    FROM tb_asset t LEFT JOIN tb_mkt_gaps m ON m.ts = t.ts AND m.symbol = t.symbol WHERE u <> 0""", "tb_asset", "tb_mkt_gaps")
+@query("missing_inputs", " UNION ALL ".join(f"""SELECT portfolio_id, CAST(t.ts AS DATE) AS ts, t.symbol, '{_input}' AS input FROM tb_asset t
+    LEFT JOIN tb_mkt_gaps m ON m.ts = t.ts AND m.symbol = t.symbol WHERE u <> 0 AND {_input} IS NULL""" for _input in ("sigma", "valuevolume", "price")), "tb_asset", "tb_mkt_gaps")
 def _(spark, sf):
     return shown(c.missing_inputs(tb.trades(spark, sf), holes(market(spark, sf), "sigma"), ["sigma", "valuevolume", "price"], "u"))
 
