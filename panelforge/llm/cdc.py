@@ -5,8 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from math import ceil
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -106,7 +104,11 @@ def containment(own: Column, other: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``(doc_id, fingerprint)``, one per document; null text is empty text and has the empty fingerprint."""
+    """Rows ``(doc_id, fingerprint)``, one per document; null text is empty text and has the empty fingerprint.
+
+    Equal texts have equal fingerprints; repeated rows stay repeated, null ids stay null. Whole texts in small batches, no shuffle; extra columns are
+    ignored whatever their names; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -118,12 +120,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return chosen.mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def with_following(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 32_000_000) -> DataFrame:
+def with_following(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``(r, lent, doc_id, text)`` dealt so that a task reads, range by range, each document and then its follower.
 
     Documents are ordered by descending id (null ids last, repeated ids by their text's hash). Sampled splitters cut
     that order into ranges of like bytes; the first row of every range is also lent to the range before it (the first
-    range's to the last), so no window spans the table. Ranges follow one another inside a task, in sorted order.
+    range's to the last), so no window spans the table. There are four ranges to a shuffle task whatever the table's size, so boundaries and
+    lent rows' keys are as few on any table; a range is sorted outside memory and read as a stream. Ranges follow one another inside a task.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
@@ -131,15 +134,14 @@ def with_following(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = F.struct(F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)).alias("h"), F.xxhash64("text").alias("id"))
     rows = rows.withColumn("key", key)
     keys = cut(rows.select("key", (F.octet_length("text") + 8).cast("long").alias("size"), F.lit(0).alias("tie")))
-    total = keys.agg(F.sum("size").alias("s")).first()["s"] or 0
-    ranges = max(4 * shuffle_tasks(docs.sparkSession), ceil(total / range_bytes))
-    bounds = splitters(keys, ranges)
+    bounds = splitters(keys, 4 * shuffle_tasks(docs.sparkSession))
     place = _position(constant(bounds, f"array<{KEY}>"), len(bounds), F.col("key"))
     firsts = keys.withColumn("r", place).groupBy("r").agg(F.min("key").alias("key")).orderBy("r").collect()
     before = {x["r"]: y["r"] for x, y in zip(firsts, [firsts[-1], *firsts[:-1]])} if firsts else {}
-    lenders = [{"h": x["key"]["h"], "id": x["key"]["id"], "to": before[x["r"]]} for x in firsts]
-    lent = constant({str(x["r"]): y for x, y in zip(firsts, lenders)}, "map<string, struct<h: bigint, id: bigint, to: int>>")
-    mine = F.try_element_at(lent, F.col("r").cast("string"))
+    lenders: list[dict | None] = [None] * (len(bounds) + 1)
+    for x in firsts:
+        lenders[x["r"]] = {"h": x["key"]["h"], "id": x["key"]["id"], "to": before[x["r"]]}
+    mine = F.element_at(constant(lenders, "array<struct<h: bigint, id: bigint, to: int>>"), F.col("r") + 1)
     first = (mine["h"] == F.col("key.h")) & (mine["id"] == F.col("key.id"))
     own = F.struct(F.col("r").alias("r"), F.lit(False).alias("lent"))
     deals = F.when(first, F.array(own, F.struct(mine["to"].alias("r"), F.lit(True).alias("lent")))).otherwise(F.array(own))

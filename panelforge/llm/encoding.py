@@ -24,8 +24,8 @@ class Encoder:
     """Ids as ``tokenizers`` gives them for the file at ``path``, without added special tokens.
 
     A byte-level file whose ids follow its merge order is equally a rank file, which ``tiktoken`` encodes several times
-    faster; that engine is used for texts of long-settled code points. All other files, and texts outside those, go through
-    ``tokenizers`` itself. A special token's string inside a text is that token, the library's default.
+    faster; that engine is used for texts of long-settled code points. All other files (other splitting, merges or added tokens that look at what
+    surrounds them), and texts outside those, go through ``tokenizers`` itself. A special token's string inside a text is that token, the library's default.
     """
 
     def __init__(self, path: str, pattern: str) -> None:
@@ -43,11 +43,16 @@ class Encoder:
         model, byte = spec["model"], _bytes_of()
         vocab = {k: v for k, v in model["vocab"].items() if k not in special}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
+        before = spec.get("pre_tokenizer") or {}
+        odd = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
         plain = (
             model.get("type", "BPE") == "BPE"
+            and not any(model.get(k) for k in odd)
             and not spec.get("normalizer")
-            and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
-            and not (spec.get("pre_tokenizer") or {}).get("add_prefix_space")
+            and before.get("type") == "ByteLevel"
+            and before.get("use_regex", True)
+            and not before.get("add_prefix_space")
+            and not any(x.get(k) for x in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word"))
             and all(c in byte for k in vocab for c in k)
             and sorted(vocab[c] for c in byte if c in vocab) == list(range(256))
             and [vocab.get(a + b) for a, b in merges] == list(range(256, 256 + len(merges)))

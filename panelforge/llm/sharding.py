@@ -30,10 +30,11 @@ def _position(splitters: Column, count: int, key: Column) -> Column:
 
 
 def splitters(rows: DataFrame, ranges: int, per_range: int = 48) -> list[dict]:
-    """Range boundaries from size-weighted key samples: ``rows(key, size)`` to at most ``ranges - 1`` sorted keys.
+    """Range boundaries from size-weighted key samples: ``rows(key, size, tie)`` to at most ``ranges - 1`` sorted keys.
 
     A row is drawn with probability proportional to its size (at most 1), about ``ranges * per_range`` in all, and
-    stands for size / probability bytes; boundaries are the quantiles of that weight. Only boundaries reach the driver.
+    stands for size / probability bytes; boundaries are the quantiles of that weight. ``ranges`` is set by the tasks, not by the table, so
+    the samples, which one window ranks, and the boundaries, which alone reach the driver, stay as few on any table.
     """
     total = rows.agg(F.sum("size").alias("s")).first()["s"] or 0
     if total <= 0:
@@ -50,26 +51,33 @@ def splitters(rows: DataFrame, ranges: int, per_range: int = 48) -> list[dict]:
     return [{"h": x["key"]["h"], "id": x["key"]["id"]} for x in firsts.where("r > 0").select("key").distinct().orderBy("key").collect()]
 
 
-def assign_shards(
-    docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, rows_per_range: int = 250_000
-) -> DataFrame:
+def _at_text_edges(bounds: list[dict]) -> list[dict]:
+    """Boundaries moved to the first row of their text, but where a text is so large that several fall into it."""
+    out: list[dict] = []
+    for k, x in enumerate(bounds):
+        alone = (k == 0 or bounds[k - 1]["h"] != x["h"]) and (k + 1 == len(bounds) or bounds[k + 1]["h"] != x["h"])
+        out.append({"h": x["h"], "id": None} if alone else x)
+    return out
+
+
+def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, whole: float = 1 / 256) -> DataFrame:
     """Put every row into one of ``shards`` shards of near-equal bytes (law ``bytes``).
 
     Returns ``(doc_id, size, text_crc32, law, shard, slot, grown_shard)``, one row per input row: ``size`` is the text's
     UTF-8 bytes plus 8, ``slot`` runs from 0 without gaps in each shard, ``grown_shard`` is null under this law. With
     ``carry`` a struct column ``record`` holds the input row, for :func:`write_shards`.
 
-    Rows are ordered by (hash of the text, id), so that equal texts are neighbours: a group of copies lies in one shard or,
-    where it crosses a boundary, in consecutive ones. Size-weighted samples give splitters; each range is then measured
-    exactly, and ranges overfull in bytes or rows are subdivided by a row hash (that also splits rows which repeat key
-    and id). Prefix sums over the measured ranges turn positions inside a range into global byte offsets, and a row
-    belongs to the shard in which its middle byte falls; so shards differ by no more than the largest row.
+    Rows are ordered by (hash of the text, id). Size-weighted samples give splitters at the edges of texts; each range is then measured
+    exactly, and where the rows of one key overfill theirs they are subdivided by a row hash, before the range's other keys. Prefix sums over
+    the measured ranges turn positions inside a range into global byte offsets. A group of equal texts of up to ``whole`` of a shard's fair share
+    goes whole into the shard in which its middle byte falls; of larger groups, which may cross into the next shards, each row goes by its own. So shards
+    differ from the fair share by no more than the larger of that and the largest row, and equal texts are in one shard or in consecutive ones.
 
     Null text: size 8, CRC 0. Null id: allowed, first in its group. Ties and repeated rows: split by row number. Empty
     table: empty result. Extra columns are ignored unless carried.
 
-    Scale: narrow rows (no text) are shuffled twice and sorted inside ranges of bounded size; the driver sees only the
-    boundaries and two sums per range (their number grows with rows / ``rows_per_range``).
+    Scale: narrow rows (no text) are shuffled once and sorted inside ranges, whose number is a few times that of shards or shuffle tasks
+    whatever the table's size; the driver sees the boundaries and two sums per range.
     """
     text = F.col(text_col)
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long")
@@ -79,30 +87,35 @@ def assign_shards(
     rows = docs.select(size.alias("size"), crc.alias("crc"), key.alias("key"), F.monotonically_increasing_id().alias("tie"), *record)
     rows = cut(rows)
 
-    count = rows.count()
-    parts = shuffle_tasks(docs.sparkSession)
-    ranges = max(8 * shards, 4 * parts, ceil(count / rows_per_range))
-    bounds = splitters(rows.select("key", "size", "tie"), ranges)
+    ranges = max(8 * shards, 4 * shuffle_tasks(docs.sparkSession))
+    bounds = _at_text_edges(splitters(rows.select("key", "size", "tie"), ranges))
     rows = rows.withColumn("r", _position(constant(bounds, f"array<{KEY}>"), len(bounds), F.col("key")))
+    # a key that overfills a range begins it, since several quantiles fall on it; the rest of the range stays together behind it
+    edge = F.try_element_at(constant(bounds, f"array<{KEY}>"), F.nullif(F.col("r"), F.lit(0)))
+    rows = rows.withColumn("hot", F.col("r").cast("boolean") & F.col("key").eqNullSafe(edge))
 
-    measured = rows.groupBy("r").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
-    total = sum(x["bytes"] for x in measured)
+    measured = rows.groupBy("r", "hot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
+    total, count = sum(x["bytes"] for x in measured), sum(x["rows"] for x in measured)
     fair_bytes, fair_rows = max(1.0, 2 * total / ranges), max(1.0, 2 * count / ranges)
     pieces = [1] * (len(bounds) + 1)
     for x in measured:
-        pieces[x["r"]] = ceil(max(1, x["bytes"] / fair_bytes, x["rows"] / fair_rows))
+        if x["hot"]:
+            pieces[x["r"]] = ceil(max(1, x["bytes"] / fair_bytes, x["rows"] / fair_rows))
     many = F.element_at(constant(pieces, "array<int>"), F.col("r") + 1)
-    rows = rows.withColumn("q", F.pmod(F.xxhash64("tie", F.lit("piece")), many))
+    rows = rows.withColumn("q", F.when(F.col("hot"), F.pmod(F.xxhash64("tie", F.lit("piece")), many)).otherwise(many)).drop("hot")
 
-    # At most about two pieces a range, plus one per fair share: bounded by 3 * ranges rows, so broadcast below.
+    # One key alone or with its range's others: bounded by a few times the ranges, so broadcast below.
     sums = rows.groupBy("r", "q").agg(F.sum("size").alias("bytes"))
     before = Window.orderBy("r", "q").rowsBetween(Window.unboundedPreceding, -1)
     starts = F.broadcast(cut(sums.select("r", "q", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("start"))))
-    inside = Window.partitionBy("r", "q").orderBy("key", "tie")
+    inside, group = Window.partitionBy("r", "q").orderBy("key", "tie"), Window.partitionBy("r", "q", "key.h")
+    fair = total / shards
+    placed = rows.withColumns({"end": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "rn": F.row_number().over(inside)})
+    placed = placed.withColumns({"first": F.min(F.col("end") - F.col("size")).over(group), "last": F.max("end").over(group)})
+    own = F.when(F.col("last") - F.col("first") <= whole * fair, (F.col("first") + F.col("last")) / 2).otherwise(F.col("end") - F.col("size") / 2)
     placed = (
-        rows.withColumns({"end": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "rn": F.row_number().over(inside)})
-        .join(starts, ["r", "q"])
-        .withColumn("middle", F.col("start") + F.col("end") - F.col("size") / 2)
+        placed.join(starts, ["r", "q"])
+        .withColumn("middle", F.col("start") + own)
         .withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.col("middle") * (shards / max(total, 1)))).cast("int"))
     )
     placed = cut(placed.select("size", "crc", "key", "r", "q", "rn", "shard", *(["record"] if carry else [])))
@@ -122,7 +135,11 @@ def assign_shards(
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write whole rows under ``path/shard=N``, each task one part of a shard, in slot order."""
+    """Write whole rows under ``path/shard=N``, each task one part of a shard, in slot order.
+
+    All columns of ``docs`` but one named ``shard``, which the folders' name would shadow, are read back as they were; null, repeated and empty rows are
+    rows like others. An empty table writes no folder.
+    """
     out = assign_shards(docs, shards, id_col, text_col, carry=True).select("shard", "slot", "record.*")
     pieces = F.floor(F.col("slot") / 100_000)
     (out.repartition("shard", pieces).sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path))
