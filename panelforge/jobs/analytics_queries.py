@@ -74,17 +74,21 @@ def _(spark, sf):
     return shown(a.drawdown(navs(spark, sf)), P, "ts", "drawdown", digits=8)
 
 
-def _summary_sql() -> str:
+def _summary_parts() -> tuple[str, str]:
+    """The summary's aggregates of tb_rel, and what is shown of them."""
     inner = [f"avg({c}) AS avg_{c}" for c in a.SERIES]
     inner += [f"stddev_pop({c}) AS vol_{c}, avg({c} * {c}) AS quad_{c}" for c in ("ret", "excess", "active")]
     ppy = "round_even(count(*) / ((epoch(max(ts)) - epoch(min(ts))) / (86400 * 365.24)), 0)"
     outer = [r("ppy", digits=6)] + [r(f"avg_{c}", digits=6) for c in a.SERIES] + [r(f"vol_{c}", digits=6) + ", " + r(f"quad_{c}", digits=6) for c in ("ret", "excess", "active")]
     outer += [r(f"avg_{c} * ppy", f"ann_{c}", 6) for c in a.SERIES] + [r(f"vol_{c} * sqrt(ppy)", f"ann_vol_{c}", 6) for c in ("ret", "excess", "active")]
     outer += [r("avg_excess * ppy / (vol_excess * sqrt(ppy) + 1e-8)", "sharpe", 6), r("avg_active * ppy / (vol_active * sqrt(ppy) + 1e-8)", "information_ratio", 6)]
-    return f", s AS (SELECT portfolio_id, {ppy} AS ppy, {', '.join(inner)} FROM tb_rel GROUP BY 1) SELECT portfolio_id, {', '.join(outer)} FROM s"
+    return f"SELECT portfolio_id, {ppy} AS ppy, {', '.join(inner)} FROM tb_rel GROUP BY 1", ", ".join(outer)
 
 
-@query("summary", _summary_sql(), "tb_rel")
+INNER, OUTER = _summary_parts()
+
+
+@query("summary", f", s AS ({INNER}) SELECT portfolio_id, {OUTER} FROM s", "tb_rel")
 def _(spark, sf):
     return shown(a.summary(rel(spark, sf)), digits=6)
 
@@ -118,17 +122,26 @@ def _(spark, sf):
 
 
 REPORT = ["avg_drawdown", "min_drawdown", "avg_leverage", "max_leverage", "avg_turnover", "max_turnover"]
+COSTS = ["spread", "short"]
+MONEY = ["initial", "final", "profit"]
+TIMES = ["avg_policy_s", "avg_simulator_s", "total_s"]
+BP = [f"{k}_bp_{n}" for n in COSTS for k in ("avg", "max")]
+POINTS = ", ".join(f"{k}(CASE WHEN cost = '{n}' THEN value / v * 1e4 END) AS {k}_bp_{n}" for n in COSTS for k in ("avg", "max"))
 
 
 @query("result_report", f"""
     , d AS (SELECT *, v / max(v) OVER (PARTITION BY portfolio_id ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM tb_nav LEFT JOIN tb_turn USING (portfolio_id, ts)),
-    s AS (SELECT portfolio_id, avg(ret) * 12 AS ann_ret, stddev_pop(ret) * sqrt(12) AS ann_vol_ret, avg(excess) * 12 / (stddev_pop(excess) * sqrt(12) + 1e-8) AS sharpe FROM tb_rel GROUP BY 1),
-    e AS (SELECT portfolio_id, count(*) AS periods, CAST(min(ts) AS DATE) AS "first", CAST(max(ts) AS DATE) AS "last", avg(dd) AS avg_drawdown, min(dd) AS min_drawdown, avg(leverage) AS avg_leverage, max(leverage) AS max_leverage, avg(turnover) AS avg_turnover, max(turnover) AS max_turnover FROM d GROUP BY 1)
-    SELECT portfolio_id, periods, "first", "last", {', '.join(r(x, digits=6) for x in [*REPORT, 'ann_ret', 'ann_vol_ret', 'sharpe'])} FROM e JOIN s USING (portfolio_id)""", "tb_nav", "tb_turn", "tb_rel")
+    s AS ({INNER}), k AS (SELECT portfolio_id, {POINTS} FROM tb_cost JOIN tb_nav USING (portfolio_id, ts) GROUP BY 1),
+    e AS (SELECT portfolio_id, count(*) AS periods, CAST(min(ts) AS DATE) AS "first", CAST(max(ts) AS DATE) AS "last", avg(dd) AS avg_drawdown, min(dd) AS min_drawdown, avg(leverage) AS avg_leverage, max(leverage) AS max_leverage, avg(turnover) AS avg_turnover, max(turnover) AS max_turnover,
+      arg_min(v, ts) + {SHIFT} AS initial, arg_max(v, ts) + {SHIFT} AS final, arg_max(v, ts) - arg_min(v, ts) + {SHIFT} AS profit, avg(month(ts) / 10) AS avg_policy_s, avg(year(ts) / 1000) AS avg_simulator_s, sum(month(ts) / 10 + year(ts) / 1000) AS total_s FROM d GROUP BY 1)
+    SELECT portfolio_id, periods, "first", "last", {', '.join(r(x, digits=6) for x in [*REPORT, *BP, *TIMES])}, {', '.join(r(x, digits=4) for x in MONEY)}, {OUTER} FROM e JOIN s USING (portfolio_id) JOIN k USING (portfolio_id)""", "tb_nav", "tb_turn", "tb_rel", "tb_cost")
 def _(spark, sf):
     periods = tb.period(spark, sf).withColumn("bm_ret", F.col("bm_ret") / 1000)
-    out = a.result_report(tb.holdings(spark, sf), tb.trades(spark, sf), periods)
-    return shown(out, P, "periods", "first", "last", *REPORT, "ann_ret", "ann_vol_ret", "sharpe", digits=6)
+    holdings = tb.holdings(spark, sf)
+    times = holdings.where("is_cash").select(P, "ts", (F.month("ts") / 10).alias("policy_s"), (F.year("ts") / 1000).alias("simulator_s"))
+    out = a.result_report(holdings, tb.trades(spark, sf), periods, costs(spark, sf), COSTS, times)
+    own = [c for c in out.columns if c not in MONEY]
+    return shown(out, *own, digits=6).join(out.select(P, *(rnd(F.col(c) + SHIFT, 4).alias(c) for c in MONEY)), P)
 
 
 @query("top_weights", f", m AS (SELECT portfolio_id, symbol, avg(abs(w)) AS x FROM tb_w GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY x DESC, symbol) AS rank FROM m) SELECT portfolio_id, symbol, {r('x', 'mean_abs', 7)}, CAST(rank AS INT) AS rank FROM k WHERE rank <= 7", "tb_w")

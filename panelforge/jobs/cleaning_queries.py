@@ -215,9 +215,66 @@ def _(spark, sf):
     return shown(c.cleaning_summary(raw, c.open_to_open_return(some.where("close is not null"))))
 
 
-@query("null_bad_adjclose")
+VALUES = ("open", "low", "high", "close", "adjclose", "volume")
+
+
+def repair_views(prefix: str, source: str, threshold: float, above: float, passes: int) -> str:
+    """Views of the repair of adjusted closes, its passes one after the other; the last one's name. A pass that finds nothing changes nothing."""
+    for k in range(passes):
+        view(f"{prefix}_step{k}", f"SELECT *, log10(f) - lag(log10(f)) {W} AS step FROM (SELECT *, last_value(adjclose IGNORE NULLS) {SOFAR} AS f FROM {source})", source)
+        values = ", ".join(f"CASE WHEN NOT (wild OR coalesce(lead(wild) {W}, false)) THEN {x} END AS {x}" for x in VALUES)
+        wild = f"coalesce(score > {threshold}, false) OR coalesce(abs(step) > {above} AND ts < TIMESTAMP '2000-01-01', false)"
+        view(f"{prefix}_pass{k}", f"SELECT symbol, ts, {values} FROM (WITH {_score_sql('step', f'{prefix}_step{k}', c.WINDOWS)} SELECT *, {wild} AS wild FROM scored)", f"{prefix}_step{k}")
+        source = f"{prefix}_pass{k}"
+    return source
+
+
+def clean_views(prefix: str, source: str, dividend: float, run: int, anomalous: float, threshold: float, above: float, passes: int = 6) -> str:
+    """Views of the whole cleaning of ``source``; the last one's name."""
+    at, number = source, 0
+
+    def step(text: str, *needs: str) -> None:
+        nonlocal at, number
+        name, number = f"{prefix}_{number}", number + 1
+        view(name, text.replace("{src}", at), at, *needs)
+        at = name
+
+    def scored(price: str) -> str:
+        gap = f"CASE WHEN close > 0 THEN ln(close) END - CASE WHEN {price} > 0 THEN ln({price}) END"
+        return f"SELECT * EXCLUDE (a, score, {', '.join(f's{w}' for w in c.WINDOWS)}) REPLACE (CASE WHEN score > {anomalous} THEN NULL ELSE {price} END AS {price}) FROM (WITH {_score_sql(gap, '{src}', c.WINDOWS)} SELECT * FROM scored)"
+
+    missing = f"SELECT * EXCLUDE (hit, last_hit) FROM (SELECT *, max(CASE WHEN hit THEN ts END) OVER (PARTITION BY symbol) AS last_hit FROM (SELECT *, sum(CASE WHEN adjclose IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts ROWS {run - 1} PRECEDING) = {run} AS hit FROM {{src}})) WHERE last_hit IS NULL OR ts > last_hit"
+    step("SELECT symbol, ts, " + ", ".join(f"{FINITE.format(x)} AS {x}" for x in VALUES) + " FROM {src}")
+    step("SELECT * REPLACE (CASE WHEN adjclose > 0 THEN adjclose END AS adjclose) FROM {src}")
+    log = "CASE WHEN {0} > 0 THEN ln({0}) END"
+    step(f"""SELECT * EXCLUDE (fa, fc, gap, jump, last_bad) FROM (SELECT *, max(CASE WHEN jump < -1e-5 OR jump > ln(1 + {dividend}) THEN ts END) OVER (PARTITION BY symbol) AS last_bad FROM (
+        SELECT *, gap - lag(gap) {W} AS jump FROM (SELECT *, {log.format('fa')} - {log.format('fc')} AS gap FROM (
+          SELECT *, last_value(adjclose IGNORE NULLS) {SOFAR} AS fa, last_value(close IGNORE NULLS) {SOFAR} AS fc FROM {{src}})))) WHERE last_bad IS NULL OR ts > last_bad""")
+    step(missing)
+    at = repair_views(prefix, at, threshold, above, passes)
+    step(missing)
+    step(f"SELECT * FROM (SELECT * REPLACE (last_value(adjclose IGNORE NULLS) {SOFAR} AS adjclose) FROM {{src}}) WHERE adjclose IS NOT NULL")
+    step("SELECT * REPLACE (" + ", ".join(f"CASE WHEN {x} > 0 THEN {x} END AS {x}" for x in c.PRICES) + ") FROM {src}")
+    step(f"SELECT * REPLACE (last_value(close IGNORE NULLS) {SOFAR} AS close) FROM {{src}}")
+    step("SELECT * REPLACE (coalesce(CASE WHEN volume >= 0 THEN volume END, 0) AS volume, CASE WHEN open < low OR open > high THEN NULL ELSE open END AS open) FROM {src}")
+    step(scored("open"))
+    step(f"SELECT * REPLACE (coalesce(open, lag(close) {W}) AS open) FROM {{src}}")
+    step("SELECT * REPLACE (CASE WHEN low > close OR low > open THEN NULL ELSE low END AS low, CASE WHEN high < close OR high < open THEN NULL ELSE high END AS high) FROM {src}")
+    step(scored("low"))
+    step("SELECT * REPLACE (coalesce(low, least(open, close)) AS low) FROM {src}")
+    step(scored("high"))
+    step("SELECT * REPLACE (coalesce(high, greatest(open, close)) AS high) FROM {src}")
+    step(f"SELECT *, {TOTAL} AS ret FROM {{src}}")
+    return at
+
+
+REPAIRED = repair_views("tb_fix", "tb_dirty", 4.0, 3.0, 6)
+SHOWN = ", ".join(r(x) for x in ("open", "low", "close", "adjclose", "volume")) + ", " + r(FINITE.format("high"), "high")
+
+
+@query("null_bad_adjclose", sql(SHOWN, REPAIRED), REPAIRED)
 def _(spark, sf):
-    return shown(c.null_bad_adjclose(tb.dirty_bars(spark, sf)), *ALL)
+    return shown(c.null_infinite(c.null_bad_adjclose(tb.dirty_bars(spark, sf), threshold=4.0, false_above=3.0)), *ALL)
 
 
 @query("null_bad_adjclose_saved")
@@ -226,7 +283,28 @@ def _(spark, sf):
     return shown(c.null_bad_adjclose(tb.dirty_bars(spark, sf).where("ts >= '1998-01-01'"), saved), *ALL)
 
 
-@query("clean_bars")
+# the test bed's prices leap, so its jumps of a factor of three are no faults; six passes are two more than any of its symbols takes
+BED = {"max_dividend": 0.5, "threshold": 4.0, "false_above": 3.0}
+CLEANED = clean_views("tb_cb", "tb_dirty", 0.5, 20, 20.0, 4.0, 3.0)
+MILD = {"max_dividend": 3.0, "missing_run": 12, "anomalous": 5.0, "threshold": 4.0, "false_above": 3.0}
+MILDLY = clean_views("tb_cm", "tb_dirty", 3.0, 12, 5.0, 4.0, 3.0)
+LANDED = clean_views("tb_cl", "tb_landed", 3.0, 12, 5.0, 4.0, 3.0)
+CLEAN_SHOWN = ", ".join(r(x) for x in ("open", "low", "high", "close", "volume", "ret"))
+
+
+@query("clean_bars", sql(CLEAN_SHOWN, CLEANED), CLEANED)
+def _(spark, sf):
+    out = c.clean_bars(tb.dirty_bars(spark, sf), **BED).withColumn("ret", rnd("return")).drop("return")
+    return shown(out)
+
+
+@query("clean_bars_thresholds", sql(CLEAN_SHOWN, MILDLY), MILDLY)
+def _(spark, sf):
+    out = c.clean_bars(tb.dirty_bars(spark, sf), **MILD).withColumn("ret", rnd("return")).drop("return")
+    return shown(out)
+
+
+@query("clean_bars_defaults")
 def _(spark, sf):
     out = c.clean_bars(tb.dirty_bars(spark, sf)).withColumn("ret", rnd("return")).drop("return")
     return shown(out)

@@ -1,6 +1,6 @@
 """All queries of the library outside the optional subpackages."""
 
-from . import analytics_queries, cleaning_queries, forecast_queries, panel_queries, streaming_queries, terms_queries, trading_queries  # noqa: F401
+from . import analytics_queries, cleaning_queries, daily_queries, forecast_queries, panel_queries, streaming_queries, terms_queries, trading_queries  # noqa: F401
 from .cleaning_queries import r
 from .forecast_queries import MEAN, moments_view
 from .registry import ORACLES, QUERIES, query, rnd, view

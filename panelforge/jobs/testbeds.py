@@ -37,22 +37,23 @@ view("tb_bars", f"""
 _FAULT = "(CAST(substr(symbol, 7) AS INT) * 7 + (year(ts) * 12 + month(ts)) * 3) % 41"
 
 
-def dirty_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """:func:`bars` with one kind of fault in some cells, and early adjusted closes of some brands halved."""
+def dirty_bars(spark: SparkSession, sf_dir: str, closes: bool = True) -> DataFrame:
+    """:func:`bars` with one kind of fault in some cells, and early adjusted closes of some brands halved; without ``closes`` both closes stay sound."""
     k = F.expr(_FAULT)
     b = bars(spark, sf_dir).withColumn("k", k)
     halved = (F.expr("CAST(substr(symbol, 7) AS INT) % 5 = 0")) & (F.col("ts") < "1996-01-01")
-    return b.select(
-        "symbol", "ts",
-        F.when(F.col("k") == 0, -F.col("open")).when(F.col("k") == 3, F.col("high") * 1.5).when(F.col("k") == 7, F.col("low") / 100).otherwise(F.col("open")).alias("open"),
-        F.when(F.col("k") != 2, F.when(F.col("k") == 9, F.col("close") * 1.2).otherwise(F.col("low"))).alias("low"),
-        F.when(F.col("k") == 4, F.lit(float("inf"))).when(F.col("k") == 11, F.col("close") * 0.5).otherwise(F.col("high")).alias("high"),
-        F.when(F.col("k") != 10, F.when(F.col("k") == 1, 0.0).otherwise(F.col("close"))).alias("close"),
-        F.when(F.col("k") != 8, F.when(halved, F.col("adjclose") / 2).otherwise(F.col("adjclose"))).alias("adjclose"),
-        F.when(F.col("k") != 6, F.when(F.col("k") == 5, -F.col("volume")).otherwise(F.col("volume"))).alias("volume"),
-    )
-
-
+    faulty = {
+        "open": F.when(F.col("k") == 0, -F.col("open")).when(F.col("k") == 3, F.col("high") * 1.5).when(F.col("k") == 7, F.col("low") / 100).otherwise(F.col("open")),
+        "low": F.when(F.col("k") != 2, F.when(F.col("k") == 9, F.col("close") * 1.2).otherwise(F.col("low"))),
+        "high": F.when(F.col("k") == 4, F.lit(float("inf"))).when(F.col("k") == 11, F.col("close") * 0.5).otherwise(F.col("high")),
+        "close": F.when(F.col("k") != 10, F.when(F.col("k") == 1, 0.0).otherwise(F.col("close"))) if closes else F.col("close"),
+        "adjclose": F.when(F.col("k") != 8, F.when(halved, F.col("adjclose") / 2).otherwise(F.col("adjclose"))) if closes else F.col("adjclose"),
+        "volume": F.when(F.col("k") != 6, F.when(F.col("k") == 5, -F.col("volume")).otherwise(F.col("volume"))),
+    }
+    return b.select("symbol", "ts", *(x.alias(n) for n, x in faulty.items()))
+
+
+view("tb_landed", "SELECT d.symbol, d.ts, d.open, d.low, d.high, b.close, b.adjclose, d.volume FROM tb_dirty d JOIN tb_bars b ON b.symbol = d.symbol AND b.ts = d.ts", "tb_dirty", "tb_bars")
 view("tb_dirty", f"""
     SELECT symbol, ts, CASE k WHEN 0 THEN -open WHEN 3 THEN high * 1.5 WHEN 7 THEN low / 100 ELSE open END AS open,
            CASE k WHEN 2 THEN NULL WHEN 9 THEN close * 1.2 ELSE low END AS low,
@@ -159,3 +160,33 @@ def period(spark: SparkSession, sf_dir: str) -> DataFrame:
 view("tb_period", """
     SELECT portfolio_id, h.ts, CAST(0.002 AS DOUBLE) AS cash_ret, bm_ret FROM tb_hold h LEFT JOIN (SELECT ts, avg(ret) AS bm_ret FROM tb_panel GROUP BY 1) b ON h.ts = b.ts
     WHERE is_cash""", "tb_hold", "tb_panel")
+
+
+def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of every supplier: symbols, and with them rows, grow with the scale factor."""
+    lines = table(spark, sf_dir, "lineitem").select(*ORDER)
+    price, order = F.col("l_extendedprice") / F.col("l_quantity"), F.struct(*ORDER)
+    close = F.max_by(price, order)
+    out = lines.groupBy(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"), F.date_trunc("day", "l_shipdate").alias("ts"))
+    return out.agg(
+        F.min_by(price, order).alias("open"), F.min(price).alias("low"), F.max(price).alias("high"), close.alias("close"), close.alias("adjclose"), F.sum("l_quantity").alias("volume")
+    )
+
+
+view("tb_daily", f"""
+    SELECT 'S' || l_suppkey AS symbol, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS ts,
+           arg_min(l_extendedprice / l_quantity, row({', '.join(ORDER)})) AS open, min(l_extendedprice / l_quantity) AS low,
+           max(l_extendedprice / l_quantity) AS high, arg_max(l_extendedprice / l_quantity, row({', '.join(ORDER)})) AS close,
+           arg_max(l_extendedprice / l_quantity, row({', '.join(ORDER)})) AS adjclose, sum(l_quantity) AS volume
+    FROM lineitem GROUP BY 1, 2""")
+
+
+def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns, value volumes and prices of :func:`daily_bars`."""
+    from ..operators.cleaning import open_to_open_return, value_volume
+
+    b = value_volume(open_to_open_return(daily_bars(spark, sf_dir)))
+    return b.select("symbol", "ts", F.col("return").alias("ret"), "valuevolume", F.col("open").alias("price"))
+
+
+view("tb_daily_panel", "SELECT symbol, ts, lead(open) OVER (PARTITION BY symbol ORDER BY ts) / open - 1 AS ret, volume * open AS valuevolume, open AS price FROM tb_daily", "tb_daily")

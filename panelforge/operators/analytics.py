@@ -114,17 +114,29 @@ def period_stats(navs: DataFrame, turnovers: DataFrame, times: DataFrame) -> Dat
     )
 
 
-def result_report(holdings: DataFrame, trades: DataFrame, periods: DataFrame) -> DataFrame:
+def result_report(holdings: DataFrame, trades: DataFrame, periods: DataFrame, costs: DataFrame | None = None, cost_names: Sequence[str] = (), times: DataFrame | None = None) -> DataFrame:
     """One row per portfolio with everything above; active columns are null without a benchmark.
 
-    Holdings and trades are summed to (portfolio, time) once each; the rest works on those small rows, by portfolio.
+    ``costs(portfolio_id, ts, cost, value)`` add, for each of ``cost_names``, average and largest cost in basis points of value as
+    ``avg_bp_<cost>`` and ``max_bp_<cost>``; ``times(portfolio_id, ts, policy_s, simulator_s)`` add average and total run times.
+    Holdings, trades and costs are summed to (portfolio, time) once each; the rest works on those small rows, by portfolio, in one pass.
     """
     navs = nav(holdings)
     rel = drawdown(relative_returns(navs, periods)).join(turnover(trades, navs), BOOK, "left")
+    more: dict[str, Column] = {}
+    if costs is not None:
+        each = {f"cost_{n}": F.sum(F.when(F.col("cost") == n, F.col("value"))) for n in cost_names}
+        rel = rel.join(costs.groupBy(*BOOK).agg(*(s.alias(n) for n, s in each.items())), BOOK, "left")
+        for n in cost_names:
+            bp = divided(F.col(f"cost_{n}"), F.col("v")) * 1e4
+            more |= {f"avg_bp_{n}": F.avg(bp), f"max_bp_{n}": F.max(bp)}
+    if times is not None:
+        rel = rel.join(times.select(*BOOK, "policy_s", "simulator_s"), BOOK, "left")
+        more |= {"avg_policy_s": F.avg("policy_s"), "avg_simulator_s": F.avg("simulator_s"), "total_s": F.sum(F.col("policy_s") + F.col("simulator_s"))}
     out = summary(
         rel, periods=F.count("*"), first=F.min("ts"), last=F.max("ts"), initial=F.min_by("v", "ts"), final=F.max_by("v", "ts"),
         avg_drawdown=F.avg("drawdown"), min_drawdown=F.min("drawdown"), avg_leverage=F.avg("leverage"), max_leverage=F.max("leverage"),
-        avg_turnover=F.avg("turnover"), max_turnover=F.max("turnover"),
+        avg_turnover=F.avg("turnover"), max_turnover=F.max("turnover"), **more,
     )
     return out.withColumn("profit", F.col("final") - F.col("initial"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -99,15 +99,16 @@ def unlikeliness_score(x: Column | str, windows: Iterable[int] = WINDOWS) -> Col
     return F.when(n > 0, (low + high) / 2)
 
 
-def null_anomalous(bars: DataFrame, price: str, threshold: float = 20.0, saved: DataFrame | None = None) -> DataFrame:
-    """Missing where ln(close / price) is very unlikely; ``saved`` cleaned rows of before only serve as reference."""
+def null_anomalous(bars: DataFrame, prices: str | Sequence[str], threshold: float = 20.0, saved: DataFrame | None = None) -> DataFrame:
+    """Missing where ln(close / price) is very unlikely; ``saved`` cleaned rows of before only serve as reference. Several prices share one window."""
+    prices = [prices] if isinstance(prices, str) else [*prices]
     rows = bars.withColumn("own", F.lit(True))
     if saved is not None:
         tail = rows_from_end(saved.join(bars.groupBy("symbol").agg(F.min("ts").alias("begin")), "symbol").where("ts < begin"))
-        tail = tail.where(f"from_end <= {max(WINDOWS)}").select("symbol", "ts", "close", price, F.lit(False).alias("own"))
+        tail = tail.where(f"from_end <= {max(WINDOWS)}").select("symbol", "ts", "close", *prices, F.lit(False).alias("own"))
         rows = rows.unionByName(tail, allowMissingColumns=True)
-    rows = rows.withColumn("gap", log_of(F.col("close")) - log_of(F.col(price))).withColumn("score", unlikeliness_score("gap"))
-    return rows.where("own").withColumn(price, F.when(F.coalesce(F.col("score") <= threshold, F.lit(True)), F.col(price))).select(*bars.columns)
+    rows = rows.withColumns({f"gap_{c}": log_of(F.col("close")) - log_of(F.col(c)) for c in prices}).withColumns({f"score_{c}": unlikeliness_score(f"gap_{c}") for c in prices})
+    return rows.where("own").withColumns({c: F.when(F.coalesce(F.col(f"score_{c}") <= threshold, F.lit(True)), F.col(c)) for c in prices}).select(*bars.columns)
 
 
 def fill_open(bars: DataFrame) -> DataFrame:
@@ -235,22 +236,25 @@ def null_bad_adjclose(bars: DataFrame, saved: DataFrame | None = None, **how) ->
     return bars.groupBy("symbol").cogroup(lent.groupBy("symbol")).applyInPandas(lambda own, old: repair_adjclose(own, old, **how), bars.schema)
 
 
-def clean_ohlcv(bars: DataFrame, saved: DataFrame | None = None) -> DataFrame:
-    """Open, low, high, close and volume rules in their order; adjusted closes are left alone."""
+def clean_ohlcv(bars: DataFrame, saved: DataFrame | None = None, anomalous: float = 20.0) -> DataFrame:
+    """Open, low, high, close and volume rules in their order; adjusted closes are left alone. ``anomalous`` is the score from which a price is dropped."""
     for column in PRICES:
         bars = null_nonpositive(bars, column)
     bars = ffill(null_infinite(bars), "close", saved)
     bars = null_open_outside(fill_volume_zero(null_negative_volume(bars)))
-    bars = fill_open(null_anomalous(bars, "open", saved=saved))
+    bars = fill_open(null_anomalous(bars, "open", anomalous, saved))
     bars = null_low_high_incompatible(bars)
-    bars = fill_low(null_anomalous(bars, "low", saved=saved))
-    return fill_high(null_anomalous(bars, "high", saved=saved))
+    return fill_high(fill_low(null_anomalous(bars, ["low", "high"], anomalous, saved)))
 
 
-def clean_bars(bars: DataFrame, saved: DataFrame | None = None) -> DataFrame:
-    """The whole pipeline: adjusted closes, then the bars, then total returns. All steps share one exchange by symbol."""
+def clean_bars(bars: DataFrame, saved: DataFrame | None = None, max_dividend: float = 0.2, missing_run: int = 20, anomalous: float = 20.0, **repair) -> DataFrame:
+    """The whole pipeline: adjusted closes, then the bars, then total returns. All steps share one exchange by symbol.
+
+    ``max_dividend`` and ``missing_run`` go to the truncations, ``anomalous`` to the price rules, and ``repair`` (``passes``, ``threshold``,
+    ``false_above``, ``false_before``) to :func:`repair_adjclose`.
+    """
     bars = null_nonpositive(null_infinite(bars), "adjclose")
-    bars = truncate_missing_runs(truncate_bad_dividends(bars))
-    bars = truncate_missing_runs(null_bad_adjclose(bars, saved))
+    bars = truncate_missing_runs(truncate_bad_dividends(bars, max_dividend), missing_run)
+    bars = truncate_missing_runs(null_bad_adjclose(bars, saved, **repair), missing_run)
     bars = drop_leading_null(ffill(bars, "adjclose"))
-    return open_to_open_total_return(clean_ohlcv(bars, saved)).drop("adjclose")
+    return open_to_open_total_return(clean_ohlcv(bars, saved, anomalous)).drop("adjclose")
