@@ -140,6 +140,25 @@ def _(spark, sf):
     return shown(f.covariance(tb.panel(spark, sf), half_life=HL, at="2000-01-01"))
 
 
+def _updated(spark, sf, **how):
+    """Moments stored before 1999 and written down, then a year of the panel added to them."""
+    from ..functions.core import shared_folder
+
+    panel, path = tb.panel(spark, sf), f"{shared_folder(spark, 'moments')}/rows"
+    f.pair_moments(panel, at="1999-01-01", **how).write.parquet(path)
+    return f.update_pair_moments(spark.read.parquet(path), panel, "1999-01-01", "2000-01-01", **how)
+
+
+@query("covariance_updated", f"SELECT a.symbol AS sym_i, b.symbol AS sym_j, count(*) AS n, {r('avg(a.ret * b.ret) - avg(a.ret) * avg(b.ret)', 'value')} FROM {PAIRS} GROUP BY 1, 2", "tb_panel")
+def _(spark, sf):
+    return shown(f.covariance_of(_updated(spark, sf), kelly=False))
+
+
+@query("ew_covariance_updated", f"SELECT a.symbol AS sym_i, b.symbol AS sym_j, count(*) AS n, {r(f'sum({WEIGHT} * a.ret * b.ret) / sum({WEIGHT})', 'value')} FROM {PAIRS} GROUP BY 1, 2", "tb_panel")
+def _(spark, sf):
+    return shown(f.covariance_of(_updated(spark, sf, half_life=HL)))
+
+
 def _dates(spark, sf):
     return tb.panel(spark, sf).select("ts").distinct().where("month(ts) = 1 AND year(ts) > 1996")
 

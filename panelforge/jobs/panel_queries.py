@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.core import asof_join, param_audit, param_lookup
+from ..functions.core import asof_join, param_audit, param_lookup, shared_folder
 from ..operators import panel as p
 from ..sources import files as s
 from . import testbeds as tb
@@ -44,7 +44,10 @@ def _(spark, sf):
 
 @query("read_wide_panel", f"SELECT symbol, {D}, {r('ret')} FROM tb_panel WHERE ret IS NOT NULL", "tb_panel")
 def _(spark, sf):
-    return shown(s.unpivot_panel(s.to_wide(tb.panel(spark, sf), "ret", BRANDS)))
+    """The panel written as a wide file and read back."""
+    path = f"{shared_folder(spark, 'wide')}/csv"
+    s.to_wide(tb.panel(spark, sf), "ret", BRANDS).write.option("header", True).csv(path)
+    return shown(s.read_wide_panel(spark, path))
 
 
 @query("to_wide", "SELECT CAST(ts AS DATE) AS ts, " + ", ".join(f"""round(max(CASE WHEN symbol = '{b}' THEN price END), 9) + 0.0 AS "{b}\"""" for b in BRANDS) + " FROM tb_panel GROUP BY 1", "tb_panel")
@@ -56,7 +59,9 @@ def _(spark, sf):
 @query("read_index_csv", f"SELECT 'rate' AS symbol, CAST(ts AS DATE) AS ts, CASE WHEN month(ts) = 4 THEN NULL ELSE rate END AS value FROM tb_rate", "tb_rate")
 def _(spark, sf):
     raw = tb.rates(spark, sf).select(F.date_format("ts", "yyyy-MM-dd").alias("d"), F.when(F.month("ts") == 4, ".").otherwise(F.col("rate").cast("string")).alias("v"))
-    out = s.parse_index(raw, "rate")
+    path = f"{shared_folder(spark, 'index')}/csv"
+    raw.write.option("header", True).csv(path)
+    out = s.read_index_csv(spark, path, "rate")
     return out.select("symbol", F.to_date("ts").alias("ts"), "value")
 
 
@@ -354,8 +359,6 @@ def _(spark, sf):
 @query("read_write_series", f"SELECT fmt, 'rate' AS symbol, CAST(ts AS DATE) AS ts, rate AS value FROM tb_rate, (SELECT unnest(['parquet', 'orc', 'json', 'csv']) AS fmt)", "tb_rate")
 def _(spark, sf):
     """The rate series stored in four formats and read back with exact types."""
-    from ..functions.core import shared_folder
-
     series, folder, out = tb.rates(spark, sf).select(F.lit("rate").alias("symbol"), "ts", F.col("rate").alias("value")), shared_folder(spark, "series"), None
     for fmt in ("parquet", "orc", "json", "csv"):
         s.write_series(series, f"{folder}/{fmt}", fmt)

@@ -199,15 +199,33 @@ def pair_moments(panel: DataFrame, half_life: float | None = None, at: str | Non
     )
 
 
-def covariance(panel: DataFrame, kelly: bool = True, half_life: float | None = None, at: str | None = None) -> DataFrame:
-    """``(sym_i, sym_j, n, value)`` before ``at``; ``kelly=False`` subtracts means over each pair's common rows."""
-    m = pair_moments(panel, half_life, at)
+def update_pair_moments(stored: DataFrame, panel: DataFrame, since: str, until: str, half_life: float | None = None) -> DataFrame:
+    """:func:`pair_moments` before ``until``, from those ``stored`` before ``since`` and the panel's rows in between alone.
+
+    A new day costs that day's pairs and one merge of the stored table, not a recount of history. Exponential weights, which are relative to the time of
+    the moments, fade by the time that has passed.
+    """
+    begin = F.lit(since).cast("timestamp")
+    fade = F.pow(F.lit(2.0), (F.unix_micros(begin) - F.unix_micros(F.lit(until).cast("timestamp"))) / float(micros(half_life))) if half_life else F.lit(1.0)
+    old = stored.select("sym_i", "sym_j", "n", *((F.col(c) * fade).alias(c) for c in ("w", "si", "sj", "sij")))
+    new = pair_moments(panel.where(F.col("ts") >= begin), half_life, until)
+    both = old.unionByName(new.select(*old.columns)).groupBy("sym_i", "sym_j")
+    return both.agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in ("w", "si", "sj", "sij")))
+
+
+def covariance_of(m: DataFrame, kelly: bool = True) -> DataFrame:
+    """``(sym_i, sym_j, n, value)`` from pair moments."""
     value = F.col("sij") / F.col("w")
     if not kelly:
         value = value - (F.col("si") / F.col("w")) * (F.col("sj") / F.col("w"))
     return m.select("sym_i", "sym_j", "n", value.alias("value"))
 
 
+def covariance(panel: DataFrame, kelly: bool = True, half_life: float | None = None, at: str | None = None) -> DataFrame:
+    """``(sym_i, sym_j, n, value)`` before ``at``; ``kelly=False`` subtracts means over each pair's common rows."""
+    return covariance_of(pair_moments(panel, half_life, at), kelly)
+
+
 def covariance_blocked(panel: DataFrame, dates: DataFrame, kelly: bool = True, block: int = 256) -> DataFrame:
     """``(ts, sym_i, sym_j, n, value)`` at every date of ``dates``, for large universes.
 
