@@ -35,6 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no table reads any more, wherever it is stored."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def shuffle_tasks(spark: SparkSession) -> int:
     """How many tasks a shuffle is dealt to; used to size groups, never to drop any."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -23,7 +23,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end: int = 2,
     """Token pieces of every document: its ids plus ``end``, cut from the back into ``capacity`` where longer.
 
     Only the first piece of a longer document may be shorter. Null text is empty text (one piece, only ``end``).
-    ``with_ids`` adds the piece's ids.
+    ``with_ids`` adds the piece's ids. Repeated rows give equal pieces each, null ids stay null; whole texts of any length come in small batches;
+    extra columns are ignored whatever their names; an empty table gives no piece.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
