@@ -127,6 +127,11 @@ def _register(gaps: str) -> None:
             pairs = cov(spark, sf).crossJoin(F.broadcast(tb.panel(spark, sf).select("ts").distinct())).where(f"NOT ({GAPPY_PAIR})")
             return value(c.risk_full(weights(spark, sf), pairs, benchmark(spark, sf)))
 
+        @query("risk_by_matrix", f", a AS ({FULL.format('tb_cov_ts_gaps', 'AND c.ts = a.ts')}) {BD} {v('value')} FROM a", "tb_bw", "tb_cov_ts_gaps")
+        def _(spark, sf):
+            pairs = cov(spark, sf).crossJoin(F.broadcast(tb.panel(spark, sf).select("ts").distinct())).where(f"NOT ({GAPPY_PAIR})")
+            return value(c.risk_by_matrix(weights(spark, sf), pairs, benchmark(spark, sf)))
+
     else:
 
         @query("risk_full", f", a AS ({FULL.format('tb_cov', '')}) {BD} {v('value')} FROM a", "tb_bw", "tb_cov")

@@ -182,7 +182,7 @@ def efficient_frontier(relative: DataFrame, periods: float = 12.0) -> DataFrame:
 def active_table(relative: DataFrame, costs: DataFrame, turnovers: DataFrame, labels: DataFrame, periods: float = 250.0) -> DataFrame:
     """Per (size, frequency) of ``labels(portfolio_id, size, frequency)``: active return and risk in percent, cost, turnover."""
     total = costs.groupBy(*BOOK).agg(F.sum("value").alias("cost"))
-    own = relative.join(total, BOOK, "left").join(turnovers, BOOK, "left").join(F.broadcast(labels), "portfolio_id")
+    own = relative.join(total, BOOK, "left").join(turnovers, BOOK, "left").join(labels, "portfolio_id")
     return own.groupBy("size", "frequency").agg(
         (100 * periods * F.avg("active")).alias("active_return"), (100 * periods**0.5 * F.stddev_pop("active")).alias("active_risk"),
         (100 * periods * F.avg(divided(F.col("cost"), F.col("v")))).alias("cost"), (100 * periods * F.avg("turnover")).alias("turnover"),

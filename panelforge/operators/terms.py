@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,7 +134,8 @@ def risk_full(weights: DataFrame, cov: DataFrame, benchmark: DataFrame | None =
     """(w - w_b)' S (w - w_b) with ``cov(ts?, sym_i, sym_j, value)``, i <= j. Zero weights leave before the join.
 
     A book of n symbols needs n (n + 1) / 2 pairs, and its value is null if one is missing. Pairs grow with the square of the symbols, so
-    their join is left to the optimiser, which broadcasts them by size alone; for large universes :func:`risk_factor_model` has n rows a factor.
+    their join is left to the optimiser, which broadcasts them by size alone; for large universes there are :func:`risk_by_matrix`, and
+    :func:`risk_factor_model` with n rows a factor.
     """
     everything = _beside(weights, benchmark)
     own = everything.where("w <> 0 or w is null")
@@ -147,6 +150,36 @@ def risk_full(weights: DataFrame, cov: DataFrame, benchmark: DataFrame | None =
     return books.join(found, [*BOOK], "left").select(*BOOK, F.when(whole, F.coalesce("total", F.lit(0.0))).alias("value"))
 
 
+def risk_by_matrix(weights: DataFrame, cov: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
+    """:func:`risk_full` for many books and large universes, with covariances of every time ``cov(ts, sym_i, sym_j, value)``, i <= j.
+
+    Weights and covariances meet by time as matrices, so books x symbols and symbols squared values are shuffled, not books x symbols squared. A
+    time's matrix is one pandas group: up to some thousand symbols. Null under the same rule: a book needs the pairs of its symbols other than zero.
+    """
+    own = _beside(weights, benchmark).withColumn("w", F.coalesce("w", F.lit(float("nan"))))
+
+    def run(w: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        if not len(w):
+            return pd.DataFrame({"portfolio_id": [], "ts": [], "value": []})
+        wide = w.pivot(index="portfolio_id", columns="symbol", values="w").fillna(0.0)
+        unknown = w[w["w"].isna()]["portfolio_id"]
+        at = {n: i for i, n in enumerate(wide.columns)}
+        s = s[s["sym_i"].isin(at) & s["sym_j"].isin(at) & s["value"].notna()]
+        i, j = s["sym_i"].map(at), s["sym_j"].map(at)
+        matrix, known = np.zeros((len(at), len(at))), np.zeros((len(at), len(at)))
+        matrix[i, j] = matrix[j, i] = s["value"]
+        known[i, j] = known[j, i] = 1.0
+        x = wide.to_numpy(float)
+        held = (x != 0).astype(float)
+        value = ((x @ matrix) * x).sum(axis=1)
+        gone = ((held @ known) * held).sum(axis=1) < held.sum(axis=1) ** 2
+        out = pd.DataFrame({"portfolio_id": wide.index, "ts": w["ts"].iloc[0], "value": value})
+        return out.assign(value=out["value"].astype(object).where(~(gone | out["portfolio_id"].isin(unknown)), None))
+
+    pairs = cov.select("ts", "sym_i", "sym_j", "value")
+    return own.groupBy("ts").cogroup(pairs.groupBy("ts")).applyInPandas(run, "portfolio_id string, ts timestamp, value double")
+
+
 def risk_diagonal(weights: DataFrame, variances: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
     """Sum of variance (w - w_b)^2, ``variances(ts, symbol, value)``."""
     return _sum(_with(_beside(weights, benchmark), variances, "value", "s"), _of("w", F.col("w") ** 2 * F.col("s")))

@@ -118,7 +118,7 @@ def buy_and_hold_curve(start: DataFrame, returns: DataFrame) -> DataFrame:
 
 def constant_mix_curve(mix: DataFrame, returns: DataFrame, value: float = 1.0) -> DataFrame:
     """``(portfolio_id, ts, v)`` of going back to ``mix(portfolio_id, symbol, w)`` at every time, without costs."""
-    step = returns.join(F.broadcast(mix), "symbol").groupBy("portfolio_id", "ts").agg(F.sum(F.col("w") * F.coalesce("ret", F.lit(0.0))).alias("r"))
+    step = returns.join(mix, "symbol").groupBy("portfolio_id", "ts").agg(F.sum(F.col("w") * F.coalesce("ret", F.lit(0.0))).alias("r"))
     return step.select("portfolio_id", "ts", (value * _growth("r", "portfolio_id")).alias("v"))
 
 
