@@ -274,7 +274,7 @@ SHOWN = ", ".join(r(x) for x in ("open", "low", "close", "adjclose", "volume"))
 
 @query("null_bad_adjclose", sql(SHOWN, REPAIRED), REPAIRED)
 def _(spark, sf):
-    return shown(c.null_infinite(c.null_bad_adjclose(tb.dirty_bars(spark, sf), threshold=4.0, false_above=3.0)), *ALL)
+    return shown(c.null_infinite(c.null_bad_adjclose(tb.dirty_bars(spark, sf), threshold=4.0, false_above=3.0, passes=6)), *ALL)
 
 
 @query("null_bad_adjclose_saved")
@@ -283,10 +283,10 @@ def _(spark, sf):
     return shown(c.null_bad_adjclose(tb.dirty_bars(spark, sf).where("ts >= '1998-01-01'"), saved), *ALL)
 
 
-# the test bed's prices leap, so its jumps of a factor of three are no faults; six passes are two more than any of its symbols takes
-BED = {"max_dividend": 0.5, "threshold": 4.0, "false_above": 3.0}
+# the test bed's prices leap, so its jumps of a factor of three are no faults; both sides make six passes
+BED = {"max_dividend": 0.5, "threshold": 4.0, "false_above": 3.0, "passes": 6}
 CLEANED = clean_views("tb_cb", "tb_dirty", 0.5, 20, 20.0, 4.0, 3.0)
-MILD = {"max_dividend": 3.0, "missing_run": 12, "anomalous": 5.0, "threshold": 4.0, "false_above": 3.0}
+MILD = {"max_dividend": 3.0, "missing_run": 12, "anomalous": 5.0, "threshold": 4.0, "false_above": 3.0, "passes": 6}
 MILDLY = clean_views("tb_cm", "tb_dirty", 3.0, 12, 5.0, 4.0, 3.0)
 LANDED = clean_views("tb_cl", "tb_landed", 3.0, 12, 5.0, 4.0, 3.0)
 CLEAN_SHOWN = ", ".join(r(x) for x in ("open", "low", "high", "close", "volume", "ret"))
