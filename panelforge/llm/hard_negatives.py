@@ -169,7 +169,7 @@ def choose(groups: DataFrame, zones: DataFrame, dims: int, needed: Callable[...,
         number, rows = part["block"].to_numpy(), part["n"].to_numpy()
         low, high = matrix(part["low"], dims), matrix(part["high"], dims)
         group = {c: _at(batch, c, i) for c in ("ids", "labels", *extra)}
-        x = _at(batch, "x", i).reshape(-1, dims)
+        x = _at(batch, "x", i).reshape(len(group["ids"]), dims)
         up, down = np.maximum(x, 0), np.minimum(x, 0)
         same = np.zeros((len(x), len(number)), dtype=np.int64)
         for b, (kinds, many) in enumerate(zip(part["kinds"], part["kind_rows"])):
@@ -201,8 +201,9 @@ def read(pairs: DataFrame, table: DataFrame, dims: int, picked: Callable[..., It
     def kept(batch: pa.RecordBatch, i: int) -> Iterator[tuple]:
         anchors = {c: _at(batch, c, i) for c in ("at", "ids", "labels")}
         more = {c: _at(batch, c, i).reshape(len(anchors["at"]), -1) for c in extra}
-        x, to = _at(batch, "x", i).reshape(-1, dims), _at(batch, "to_x", i).reshape(-1, dims)
-        ids, labels, scores = _at(batch, "to_ids", i), _at(batch, "to_labels", i), product(x, to)
+        ids, labels = _at(batch, "to_ids", i), _at(batch, "to_labels", i)
+        x, to = _at(batch, "x", i).reshape(len(anchors["at"]), dims), _at(batch, "to_x", i).reshape(len(ids), dims)
+        scores = product(x, to)
         group = batch.column("group")[i].as_py()
         for a, own in enumerate(zip(*(anchors[c].tolist() for c in ("at", "ids", "labels")))):
             for row in picked(own, x[a], {c: v[a] for c, v in more.items()}, ids, labels, to, scores[a]):
