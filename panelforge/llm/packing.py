@@ -9,7 +9,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -91,36 +91,48 @@ def pack(cut_pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """Adds ``(sequence_id, offset)`` to pieces of at most ``capacity`` tokens, in about as few sequences as there can be.
 
     The histogram of lengths (at most ``capacity`` rows) is planned on the driver; pieces then take the planned slots
-    by joining on their rank within their length. A length that very many pieces share is ranked in buckets of bounded
-    size, whose counts are summed first, so no length is gathered by one task. The plan's size depends on ``capacity``
-    alone and the buckets' on the number of shuffle tasks, so both are broadcast. Repeated rows are packed as often as
-    they come; an empty table gives an empty result.
+    by joining on their length and finding the slot of their rank by search, so no row is multiplied. A length that very many pieces share is ranked
+    in buckets of bounded size, whose counts are summed first, so no length is gathered by one task, nor rows that repeat everything. The plan's
+    size depends on ``capacity`` alone and the buckets' on the number of shuffle tasks, so both are broadcast. Repeated rows are packed as often
+    as they come; an empty table gives an empty result.
     """
     spark = cut_pieces.sparkSession
-    own = cut(cut_pieces)
+    row = next(n for n in (f"row_{k}" for k in range(len(cut_pieces.columns) + 1)) if n not in cut_pieces.columns)
+    own = cut(cut_pieces.withColumn(row, F.monotonically_increasing_id()))
     histogram = {x["length"]: x["n"] for x in own.groupBy("length").agg(F.count("*").alias("n")).collect()}
     total = sum(histogram.values())
     share = max(64, total // (8 * shuffle_tasks(spark)))
     buckets = [1] * (capacity + 1)
     for length, n in histogram.items():
         buckets[length] = ceil(n / share)
-    deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(constant(buckets, "array<int>"), F.col("length").cast("int") + 1))
+    # dealt by row number, so that rows that repeat everything part as well
+    deal = F.pmod(F.xxhash64(row), F.element_at(constant(buckets, "array<int>"), F.col("length").cast("int") + 1))
     dealt = own.withColumn("bucket", deal)
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut(sizes.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", row)
     ranked = dealt.withColumn("rn", F.row_number().over(inside)).join(F.broadcast(starts), ["length", "bucket"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("rn") - 1).drop("bucket", "rn", "before")
-    slots = plan(histogram, capacity)
-    fields = "length long, first_rank long, ranks long, first_sequence long, per long, at long"
-    planned = F.broadcast(spark.createDataFrame(slots, fields))
-    here = (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("ranks"))
-    nth = F.col("rank") - F.col("first_rank")
-    return (
-        ranked.join(planned, "length")
-        .where(here)
-        .withColumn("sequence_id", F.col("first_sequence") + F.floor(nth / F.col("per")))
-        .withColumn("offset", F.col("at") + F.pmod(nth, F.col("per")) * F.col("length"))
-        .select(*own.columns, "sequence_id", "offset")
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("rn") - 1).drop("bucket", "rn", "before", row)
+    slots: dict[int, list[tuple[int, ...]]] = {}
+    for length, *slot in plan(histogram, capacity):
+        slots.setdefault(length, []).append(tuple(slot))
+    kind = "array<struct<first_rank: bigint, ranks: bigint, first_sequence: bigint, per: bigint, at: bigint>>"
+    planned = F.broadcast(spark.createDataFrame([*slots.items()], f"length long, slots {kind}"))
+    slot = F.element_at("slots", _last_at_most(F.col("slots"), F.col("rank")))
+    placed = ranked.join(planned, "length").select(*cut_pieces.columns, "rank", slot.alias("slot"))
+    nth = F.col("rank") - F.col("slot.first_rank")
+    return placed.select(
+        *cut_pieces.columns,
+        (F.col("slot.first_sequence") + F.floor(nth / F.col("slot.per"))).alias("sequence_id"),
+        (F.col("slot.at") + F.pmod(nth, F.col("slot.per")) * F.col("length")).alias("offset"),
     )
+
+
+def _last_at_most(slots: Column, rank: Column) -> Column:
+    """Place (from 1) of the slot that has ``rank``: a binary search in slots by their first rank, the first of which is 0."""
+
+    def step(at: Column, s: Column) -> Column:
+        return F.when(F.coalesce(F.try_element_at(slots, at + s)["first_rank"] <= rank, F.lit(False)), at + s).otherwise(at)
+
+    return F.aggregate(F.array(*(F.lit(1 << i) for i in reversed(range(16)))), F.lit(0), step)
