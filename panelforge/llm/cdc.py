@@ -120,8 +120,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return chosen.mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def with_following(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``(r, lent, doc_id, text)`` dealt so that a task reads, range by range, each document and then its follower.
+def with_following(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows ``(r, lent, doc_id, text)`` dealt so that a task reads, range by range, each document and then its follower; and ``(doc_id, text, more)``.
+
+    Rows that repeat id and text more often than a share of the table are followed by their own text, all but the last: one of them is dealt, and the
+    second result says how many ``more`` there are. They are few for each task, and counted before they move.
 
     Documents are ordered by descending id (null ids last, repeated ids by their text's hash). Sampled splitters cut
     that order into ranges of like bytes; the first row of every range is also lent to the range before it (the first
@@ -134,6 +137,12 @@ def with_following(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = F.struct(F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)).alias("h"), F.xxhash64("text").alias("id"))
     rows = rows.withColumn("key", key)
     keys = cut(rows.select("key", (F.octet_length("text") + 8).cast("long").alias("size"), F.lit(0).alias("tie")))
+    counted = keys.groupBy("key").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    share = max(64, keys.count() // (8 * shuffle_tasks(docs.sparkSession)))
+    hot = F.broadcast(cut(counted.where(F.col("n") > share).select("key", "size", F.lit(0).alias("tie"))))  # fewer than 8 a task
+    keys = keys.join(hot, "key", "left_anti").union(hot)
+    often = cut(rows.join(hot.select("key"), "key", "left_semi").groupBy("key", "doc_id", "text").agg((F.count("*") - 1).alias("more")))
+    rows = rows.select("key", "doc_id", "text").join(hot, "key", "left_anti").union(often.select("key", "doc_id", "text"))
     bounds = splitters(keys, 4 * shuffle_tasks(docs.sparkSession))
     place = _position(constant(bounds, f"array<{KEY}>"), len(bounds), F.col("key"))
     firsts = keys.withColumn("r", place).groupBy("r").agg(F.min("key").alias("key")).orderBy("r").collect()
@@ -147,7 +156,7 @@ def with_following(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     deals = F.when(first, F.array(own, F.struct(mine["to"].alias("r"), F.lit(True).alias("lent")))).otherwise(F.array(own))
     dealt = rows.withColumn("r", place).select(F.explode(deals).alias("d"), "key", "doc_id", "text")
     dealt = dealt.select("d.r", "d.lent", "key", "doc_id", "text").repartition(shuffle_tasks(docs.sparkSession), "r")
-    return dealt.sortWithinPartitions("r", "lent", "key").select("r", "lent", "doc_id", "text")
+    return dealt.sortWithinPartitions("r", "lent", "key").select("r", "lent", "doc_id", "text"), often.where("more > 0").select("doc_id", "text", "more")
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,4 +204,16 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_following(docs, id_col, text_col).mapInArrow(run, schema)
+
+    def followed_by_itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text", 2_000_000):
+            if batch.num_rows:
+                done = measured([(d, t, t) for d, t in zip(batch.column("doc_id").to_pylist(), as_text(batch, "text"))])
+                yield pa.RecordBatch.from_arrays([*done.columns, batch.column("more")], names=[*done.schema.names, "more"])
+
+    followed, often = with_following(docs, id_col, text_col)
+    out = followed.mapInArrow(run, schema)
+    # parts of the copies are dealt before they are spread out to rows
+    parts = often.mapInArrow(followed_by_itself, schema + ", more long").withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("more") - 1) / 1024))))
+    copies = parts.repartition(shuffle_tasks(docs.sparkSession)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(1024), F.col("more") - F.col("part") * 1024))))
+    return out.union(copies.select(*out.columns))
