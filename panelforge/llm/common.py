@@ -59,20 +59,28 @@ def constant(values: object, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), kind)
 
 
-def drawn_texts(docs: DataFrame, text_col: str, target: int, salt: str, by: str | None = None) -> DataFrame:
+def drawn(share: float, hashed: Column) -> Column:
+    """Whether a row with this 64-bit hash is among a share of all: all bits count, so a share may be as small as it likes."""
+    return F.lit(True) if share >= 1 else hashed < F.lit(int(share * (1 << 64)) - (1 << 63))
+
+
+def drawn_texts(docs: DataFrame, text_col: str, target: int, salt: str, by: str | None = None, most_values: int = 1_000) -> DataFrame:
     """About ``target`` distinct texts, chosen by their hash: rows ``(text)``, or with ``by`` ``(by, text)`` and the target for each of its values.
 
     Copies count once, both in the share and in the draw, so a text that a third of all rows hold is one draw at most and the
-    sample is bounded whatever the table's size and skew. Null texts (and null values of ``by``) are left out. Distinct texts are
-    estimated to some hundredths, in one pass with partial sums.
+    sample is bounded whatever the table's size and skew. Null texts (and null values of ``by``) are left out; of ``by`` the ``most_values`` values with
+    the most texts are drawn. Distinct texts are estimated to some hundredths, in one pass with partial sums.
     """
     keys = [F.col(by).alias("by")] if by else []
     rows = docs.select(*keys, F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.col("by").isNotNull() if by else F.lit(True)))
-    sizes = rows.groupBy(*(["by"] if by else [])).agg(F.approx_count_distinct(F.xxhash64("text"), 0.03).alias("n")).collect()
-    shares = {x["by"] if by else "": min(1.0, target / max(1, x["n"])) for x in sizes}
-    share = F.coalesce(F.element_at(constant(shares, "map<string, double>"), F.col("by").cast("string")), F.lit(0.0)) if by else F.lit(shares[""])
-    picked = F.pmod(F.xxhash64("text", F.lit(salt)), F.lit(1_000_003)) < share * 1_000_003
-    return rows.where(picked).distinct().withColumnsRenamed({"by": by} if by else {})
+    hashed = F.xxhash64("text", F.lit(salt))
+    sizes = rows.groupBy(*(["by"] if by else [])).agg(F.approx_count_distinct(F.xxhash64("text"), 0.03).alias("n"))
+    if not by:
+        return rows.where(drawn(target / max(1, sizes.first()["n"]), hashed)).distinct()
+    found = sizes.orderBy(F.desc("n"), "by").limit(most_values).collect()
+    below = {x["by"]: min((1 << 63) - 1, int(target / max(1, x["n"]) * (1 << 64)) - (1 << 63)) for x in found}
+    limit = F.element_at(constant(below, "map<string, bigint>"), F.col("by").cast("string"))
+    return rows.where(F.coalesce(hashed <= limit, F.lit(False))).distinct().withColumnRenamed("by", by)
 
 
 def as_bytes(batch: pa.RecordBatch, column: str) -> list[bytes | None]:

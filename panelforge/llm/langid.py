@@ -19,6 +19,9 @@ from .common import as_text, cut, drawn_texts, small_batches
 WORD = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 RESCALED = 16  # bytes between rescalings, so that no product of probabilities underflows, however long a word is
+LONG = 4_096  # bytes from which a word is scored in stretches side by side
+STRETCH, STRETCHES = 256, 2_048  # bytes of a stretch, stretches that one pass works on
+LEARNED = 1_024  # letters of the parts in which longer words are learned
 TOGETHER = 16_384  # words that one pass works on
 CELLS = 2_000_000  # numbers that one pass of the training keeps
 
@@ -112,7 +115,12 @@ def grouped(units: list[bytes], most: int, cells: int | None = None) -> Iterator
 def log_likelihoods(units: list[bytes], pieces: Pieces, chances: np.ndarray) -> np.ndarray:
     """log P(unit) by language, all segmentations summed by the forward algorithm; units are not empty and may have any length."""
     out = np.zeros((len(units), chances.shape[1]))
-    for places in grouped(units, TOGETHER):
+    long = [i for i, u in enumerate(units) if len(u) > LONG]
+    for i in long:
+        out[i] = long_log_likelihood(units[i], pieces, chances)
+    short = np.array([i for i, u in enumerate(units) if len(u) <= LONG], dtype=np.int64)
+    for own in grouped([units[i] for i in short], TOGETHER):
+        places = short[own]
         batch, ring = Batch([units[i] for i in places], pieces), pieces.longest + 1
         ahead = np.zeros((ring, len(places), chances.shape[1]))  # sums of the places ahead, over exp(logs)
         logs = np.zeros((len(places), chances.shape[1]))
@@ -133,6 +141,81 @@ def log_likelihoods(units: list[bytes], pieces: Pieces, chances: np.ndarray) ->
     return out
 
 
+def long_log_likelihood(unit: bytes, pieces: Pieces, chances: np.ndarray) -> np.ndarray:
+    """:func:`log_likelihoods` of one long unit, exactly, in time and memory that do not grow with a Python step for each byte.
+
+    Sums at a place depend on those at the last few places alone, as many as the longest piece that occurs: a stretch of bytes is a matrix that takes the
+    sums before it to those at its end. The matrices of many stretches are made side by side, then multiplied in order.
+    """
+    languages = chances.shape[1]
+    logs = np.zeros(languages)
+    letters = np.frombuffer(unit, dtype=np.uint8)
+    spans = range(0, len(letters), STRETCH * STRETCHES)
+    depth = max(len(_occurring(letters[b : b + STRETCH * STRETCHES + pieces.longest], pieces)) for b in spans)
+    sums = np.zeros((languages, depth))  # at the last places, the latest first
+    sums[:, 0] = 1.0
+    for begin in spans:
+        before = min(begin, depth)
+        own = letters[begin - before : begin + STRETCH * STRETCHES]
+        found = _occurring(own, pieces)[:depth]
+        found += [np.zeros(len(own), dtype=np.int32)] * (depth - len(found))
+        whole, rest = divmod(len(own) - before, STRETCH)
+        for first, many, length in ((before, whole, STRETCH), (before + whole * STRETCH, 1, rest)):
+            if not many or not length:
+                continue
+            matrices, scales = _stretches(found, first, many, length, chances)
+            for matrix, scale in zip(matrices, scales):
+                sums = np.einsum("lij,lj->li", matrix, sums)
+                top = sums.max(axis=1, keepdims=True)
+                sums, logs = sums / top, logs + np.log(top[:, 0]) + scale
+    return logs + np.log(sums[:, 0])
+
+
+def _occurring(letters: np.ndarray, pieces: Pieces) -> list[np.ndarray]:
+    """For each size, from 1 to the longest that occurs, the id of the piece that begins at each place (0: none)."""
+    letters = letters.astype(np.int64)
+    out, own, nodes = [], np.arange(len(letters)), np.zeros(len(letters), dtype=np.int64)
+    for size in range(1, pieces.longest + 1):
+        inside = own + size <= len(letters)
+        own, nodes = own[inside], nodes[inside]
+        nodes = pieces.step(nodes, letters[own + size - 1], size)
+        own, nodes = own[nodes > 0], nodes[nodes > 0]
+        if not len(own):
+            break
+        ids = np.zeros(len(letters), dtype=np.int32)
+        ids[own] = pieces.piece[nodes]
+        out.append(ids)
+    while len(out) > 1 and not out[-1].any():
+        out.pop()
+    return out
+
+
+def _stretches(found: list[np.ndarray], first: int, many: int, length: int, chances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(matrices, logs)`` of ``many`` stretches of ``length`` bytes from place ``first``: by stretch and language, over exp(logs)."""
+    depth, languages = len(found), chances.shape[1]
+    starts = first + length * np.arange(many)
+    # the sums at the last places (ring), for one unit sum at each of the places before the stretch
+    ring = np.zeros((depth, many, languages, depth))
+    for k in range(depth):
+        ring[-k % depth, :, :, k] = 1.0
+    logs = np.zeros((many, languages))
+    for t in range(1, length + 1):
+        new = np.zeros((many, languages, depth))
+        for size, ids in enumerate(found, 1):
+            begun = starts + t - size
+            at = np.where(begun >= 0, ids[np.maximum(begun, 0)], 0)
+            on = np.nonzero(at)[0]
+            if len(on):
+                new[on] += chances[at[on]][:, :, None] * ring[(t - size) % depth, on]
+        ring[t % depth] = new
+        if t % RESCALED == 0:
+            scale = ring.max(axis=(0, 3))
+            ring /= scale[None, :, :, None]
+            logs += np.log(scale)
+    last = [(length - k) % depth for k in range(depth)]
+    return ring[last].transpose(1, 2, 0, 3), logs
+
+
 def expected_pieces(units: list[bytes], counts: np.ndarray, pieces: Pieces, chances: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in ``units`` seen ``counts`` times, by forward and backward sums. Memory grows with the longest word."""
     used = np.zeros(len(chances))
@@ -190,7 +273,8 @@ def train(
     """Fit piece probabilities by expectation maximisation over the words of labelled documents.
 
     Learns from rows whose id is not held out and whose label is not null, about ``docs_per_language`` distinct texts of each
-    language, chosen by a hash of the text: the documented bound of the fit. Word counts of that sample are one Spark table; every
+    language (of the 1,000 with the most texts), chosen by a hash of the text: the documented bound of the fit. Words of more than 1,024 letters are learned
+    in parts of so many. Word counts of that sample are one Spark table; every
     round sums expected piece uses over it (at most pieces x languages rows reach the driver). ``floor`` pseudo-uses of each
     piece keep every word possible in every language. No labelled row: a model without languages.
     """
@@ -202,7 +286,7 @@ def train(
         for batch in small_batches(batches, "text"):
             seen = Counter()
             for lang, text in zip(batch.column("lang").to_pylist(), as_text(batch, "text")):
-                seen.update((lang, w) for w in words(text))
+                seen.update((lang, w[k : k + LEARNED]) for w in words(text) for k in range(0, len(w), LEARNED))
             rows = [(k, w, n) for (k, w), n in seen.items()]
             yield pa.RecordBatch.from_pylist([{"lang": k, "word": w, "n": n} for k, w, n in rows], SEEN)
 
