@@ -2,7 +2,11 @@
 
 import base64
 import hashlib
+import os
+import pickle
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,7 +20,7 @@ from .conftest import SF, messy_rows, messy_text
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from panelforge.llm import byte_bpe, cdc, langid, packing, pii, queries, secrets, sharding, simhash, token_counts, webp
+from panelforge.llm import byte_bpe, cdc, langid, numbers, packing, pii, queries, secrets, sharding, simhash, token_counts, webp
 from panelforge.llm.common import components, drawn_texts
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -665,11 +669,44 @@ def test_base_formats_on_odd_strings():
         assert pii.base_spans(s) == base_personal(s), s
 
 
+def plain_addresses(text):
+    """A sign for "at" with what may be a name before it and a host of two parts or more behind it."""
+    at = r"@|[(\[{]\s?(?i:at)\s?[)\]}]|(?<=[A-Za-z0-9])\s(?i:at)\s(?=[A-Za-z0-9.-]+\s(?i:dot)\s)"
+    dot = r"(?:\.|\s?[(\[{]\s?(?i:dot)\s?[)\]}]\s?|\s(?i:dot)\s)"
+    for m in re.finditer(at, text):
+        name = re.search(r"[A-Za-z0-9._%+-]*\s?$", text[: m.start()])
+        host = re.match(rf"\s?[\w-]+(?:{dot}[\w-]+)+", text[m.end() :])
+        if host and name[0]:
+            yield name.start() + name[0][0].isspace(), m.end() + host.end()
+
+
+def plain_proposals(text, base):
+    """Every proposal outside base spans, by trying all pairs of digit groups of a run."""
+    out = set()
+    free = lambda a, b: not any(a < y and x < b for _, x, y in base)
+    for a, b in plain_addresses(text):
+        if free(a, b):
+            out.add((4, a, b))
+            continue
+        inside = [k for k in range(a, b) if not any(x <= k < y for _, x, y in base)]
+        parts = [k for k in inside if k - 1 not in inside]
+        for x in parts:
+            y = next(k for k in range(x, b + 1) if k not in inside)
+            out |= {(4, x + u, x + v) for u, v in plain_addresses(text[x:y])}
+    for m in re.finditer(r"[0-9](?:[ ().\-/]{0,2}[0-9]){6,}", text):
+        groups = [(m.start() + g.start(), m.start() + g.end()) for g in re.finditer("[0-9]+", m[0])]
+        pairs = [(a, b) for i, (a, _) in enumerate(groups) for _, b in groups[i : i + 40]]
+        wanted = [(a, b) for a, b in pairs if len(d := re.sub("[^0-9]", "", text[a:b])) >= 7 and (len(d) <= 31 or len(d) == b - a)]
+        for a, b in [m.span(), *wanted]:
+            out |= {(5, x, b) for x in (a, a - 1) if (x == a or x >= 0 and text[x] in "+(") and free(x, b)}
+    return out
+
+
 def plain_personal(text, model):
     """All spans one proposal at a time: every proposal outside base spans scored alone by walking the trees, the best taken first."""
     base = base_personal(text)
     good = []
-    for k, a, b in pii.clear_of(text, pii.candidates(text), base):
+    for k, a, b in plain_proposals(text, base):
         assert not any(a < y and x < b for _, x, y in base)
         row, total = pii.features(text, k, a, b), 0.0
         for feature, cut_at, left, right, value in model.trees:
@@ -723,6 +760,54 @@ def test_very_long_texts_of_proposals(spark):
     assert Counter(s[0] for s in found) == {4: 20_000, 5: 20_000}
 
 
+def number_text(rng, n):
+    parts = [" ", "-", ".", "(", ")", "/", ") ", " (", "+", "x", "tel ", "joe (at) b.c", "a@b.cd"]
+    return "".join("".join(rng.choice(list("0123456789"), rng.integers(1, 9))) + rng.choice(parts, p=[0.4, 0.15, 0.1, 0.05, 0.05, 0.05, 0.05, 0.05, 0.02, 0.02, 0.02, 0.02, 0.02]) for _ in range(n))
+
+
+def lenient(model):
+    """The model with thresholds so low that very many proposals are accepted and meet each other."""
+    return pii.Model(model.trees, {4: 0.05, 5: 0.02}, {})
+
+
+def test_long_runs_as_arrays_have_the_features_of_single_proposals(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(numbers, "SLICE", 7)
+    for text in [number_text(rng, 80) for _ in range(30)] + ["+1 2 3 4 5 6 7 8 9", "(" + "1 " * 200, "1.2.3.4.5.6.7.8.9.255.256.7.8", "tel " + "0-1/" * 90]:
+        for start, stop in pii.runs(text):
+            got, earlier = {}, -1
+            for a, b, rows, frontier in numbers.Run(text, start, stop).slices(pii.LEAST_DIGITS, pii.MOST_DIGITS, pii.seen_before):
+                assert all(x >= earlier for x in a.tolist())
+                earlier = frontier
+                for x, y, row in zip(a.tolist(), b.tolist(), rows.tolist()):
+                    assert (x, y) not in got
+                    got[x, y] = row
+            want = [s for s in pii._pieces(text, start, stop) if s[1] != stop or s[0] > start]
+            assert sorted(got) == sorted(want)
+            assert all(got[s] == pii.features(text, 5, *s) for s in want), text
+
+
+def test_choice_among_meeting_proposals_is_the_same_in_slices(spark, monkeypatch):
+    model = lenient(pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    monkeypatch.setattr(pii, "LONG_RUN", 40)
+    monkeypatch.setattr(pii, "MOST_ROWS", 50)
+    monkeypatch.setattr(numbers, "SLICE", 5)
+    rng = np.random.default_rng(8)
+    texts = [number_text(rng, n) for n in (3, 40, 120, 60, 200, 5, 90)] + ["1 " * 150, "12-" * 60, "call +1 (212) 555-0175 " * 20]
+    found = pii.find(texts, model)
+    assert sum(len(f) for f in found) > 100
+    for text, own in zip(texts, found):
+        assert sorted(s[:3] for s in own) == plain_personal(text, model), text
+
+
+def test_a_table_of_single_digits_stays_small(spark):
+    """1 MB of single digits is 12 million proposals; they are streamed, in a process of a few hundred MB that more text does not raise."""
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    code = "import pickle, resource, sys\nfrom panelforge.llm import pii\nmodel = pickle.load(sys.stdin.buffer)\nfound = pii.find(['7 3 ' * 250_000], model)\nprint(len(found[0]), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    done = subprocess.run([sys.executable, "-c", code], input=pickle.dumps(model), capture_output=True, check=True, env=os.environ | {"OMP_NUM_THREADS": "1"})
+    assert int(done.stdout.split()[1]) < 400
+
+
 def test_disguised_data_is_found_and_plain_numbers_are_not(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = pii.train(docs)
@@ -752,7 +837,7 @@ def test_disguised_addresses_are_proposed_without_an_at_sign(form):
 
 @pytest.mark.parametrize("text", ["call 555-123-4567 555-987-6543 now", "12 555-123-4567", "2024-05-01 (555) 123-4567", "host 10.0.0.1 555-123-4567", "7 " * 40 + "555-123-4567 " + "12 " * 40])
 def test_numbers_are_proposed_apart_from_their_neighbours(text):
-    free = pii.clear_of(text, pii.candidates(text), pii.base_spans(text))
+    free = list(pii.clear_of(text, pii.candidates(text), pii._joined(pii.base_spans(text))))
     spans = {text[a:b] for k, a, b in free if k == 5}
     assert {s for s in ("555-123-4567", "555-987-6543", "(555) 123-4567") if s in text} <= spans
     assert not any(a < y and x < b for _, a, b in free for _, x, y in pii.base_spans(text))
@@ -760,7 +845,7 @@ def test_numbers_are_proposed_apart_from_their_neighbours(text):
 
 def test_addresses_are_cut_at_fixed_formats():
     text = "joe [at] mail [dot] home [dot] 10.0.0.1"
-    assert [text[a:b] for _, a, b in pii.clear_of(text, pii.candidates(text), pii.base_spans(text))] == ["joe [at] mail [dot] home"]
+    assert [text[a:b] for _, a, b in pii.clear_of(text, pii.candidates(text), pii._joined(pii.base_spans(text)))] == ["joe [at] mail [dot] home"]
 
 
 def test_neighbouring_numbers_are_found(spark):
