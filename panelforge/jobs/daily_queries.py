@@ -22,6 +22,8 @@ def _(spark, sf):
     return shown(out.withColumn("ret", rnd("return")).drop("return"))
 
 
+FADE = 90 * 86_400
+W = f"pow(2.0, (epoch(a.ts) - epoch(d.ts)) / {FADE}.0)"
 ROLLED = FRAME.format(YEAR)
 
 
@@ -37,3 +39,12 @@ def _(spark, sf):
 def _(spark, sf):
     dates = spark.createDataFrame([("1995-01-01",), ("1998-01-01",)], "d string").select(F.to_timestamp("d").alias("ts"))
     return shown(f.covariance_blocked(tb.daily_panel(spark, sf), dates), digits=5)
+
+
+@query("daily_rolling_covariance_blocked", f"""
+    SELECT CAST(d.ts AS DATE) AS ts, a.symbol AS sym_i, b.symbol AS sym_j, count(*) AS n, {r(f'sum({W} * a.ret * b.ret) / sum({W}) - sum({W} * a.ret) / sum({W}) * sum({W} * b.ret) / sum({W})', 'value', 5)}
+    FROM tb_daily_panel a JOIN tb_daily_panel b ON a.ts = b.ts AND a.symbol <= b.symbol AND a.ret IS NOT NULL AND b.ret IS NOT NULL
+    JOIN (SELECT unnest([TIMESTAMP '1995-01-01', TIMESTAMP '1996-01-01', TIMESTAMP '1998-01-01']) AS ts) d ON a.ts < d.ts AND epoch(a.ts) >= epoch(d.ts) - {2 * YEAR} GROUP BY 1, 2, 3""", "tb_daily_panel")
+def _(spark, sf):
+    dates = spark.createDataFrame([("1995-01-01",), ("1996-01-01",), ("1998-01-01",)], "d string").select(F.to_timestamp("d").alias("ts"))
+    return shown(f.covariance_blocked(tb.daily_panel(spark, sf), dates, kelly=False, half_life=float(FADE), rolling=float(2 * YEAR)), digits=5)

@@ -172,6 +172,26 @@ def _(spark, sf):
     return shown(f.covariance_blocked(tb.panel(spark, sf), _dates(spark, sf), kelly=False, block=8))
 
 
+def _register_blocked(name: str, kelly: bool, half_life: float | None, rolling: float | None) -> None:
+    """Covariances at many dates, plainly: every pair's common rows of each window, weighted by their age."""
+    w = f"pow(2.0, (epoch(a.ts) - epoch(d.ts)) / {half_life})" if half_life else "1.0"
+    mean = lambda x: f"sum({w} * {x}) / sum({w})"
+    value = mean("a.ret * b.ret") + ("" if kelly else f" - {mean('a.ret')} * {mean('b.ret')}")
+    sql = BLOCKED.format(r(value, "value", 8))
+    if rolling is not None:
+        sql = sql.replace("ON a.ts < d.ts", f"ON a.ts < d.ts AND epoch(a.ts) >= epoch(d.ts) - {int(rolling)}")
+
+    @query(name, sql, "tb_panel", "tb_cal")
+    def _(spark, sf):
+        return shown(f.covariance_blocked(tb.panel(spark, sf), _dates(spark, sf), kelly, block=8, half_life=half_life, rolling=rolling, times=30), digits=8)
+
+
+for _kelly, _end in ((True, ""), (False, "_plain")):
+    _register_blocked(f"rolling_covariance_blocked{_end}", _kelly, None, ROLL)
+    _register_blocked(f"ew_covariance_blocked{_end}", _kelly, HL, None)
+    _register_blocked(f"rolling_ew_covariance_blocked{_end}", _kelly, HL, ROLL)
+
+
 @query("last_n_cov", f"SELECT a.symbol AS sym_i, b.symbol AS sym_j, count(*) AS n, {r('covar_samp(a.ret, b.ret)', 'value')} FROM {PAIRS} AND a.ts IN (SELECT ts FROM tb_cal WHERE ts < TIMESTAMP '2000-01-01' ORDER BY ts DESC LIMIT 12) GROUP BY 1, 2", "tb_panel", "tb_cal")
 def _(spark, sf):
     return shown(f.last_n_covariance(tb.panel(spark, sf), 12, "2000-01-01"))

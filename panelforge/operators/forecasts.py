@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.core import YEAR_DAYS, asof_join, by_symbol, divided, micros, seconds, seen_from
+from ..functions.core import YEAR_DAYS, asof_join, by_symbol, divided, micros, seconds, seen_from, sorted_position
 
 LOW_COUNT = 5
 BLOCK = 400  # half-lives
@@ -226,30 +226,43 @@ def covariance(panel: DataFrame, kelly: bool = True, half_life: float | None = N
     return covariance_of(pair_moments(panel, half_life, at), kelly)
 
 
-def covariance_blocked(panel: DataFrame, dates: DataFrame, kelly: bool = True, block: int = 256) -> DataFrame:
-    """``(ts, sym_i, sym_j, n, value)`` at every date of ``dates``, for large universes.
+def covariance_blocked(
+    panel: DataFrame, dates: DataFrame, kelly: bool = True, block: int = 256, half_life: float | None = None, rolling: float | None = None, times: int = 2048
+) -> DataFrame:
+    """``(ts, sym_i, sym_j, n, value)`` at every date of ``dates``, for large universes: rows before it, those of the ``rolling`` seconds before it,
+    with exponential weights, or both. Each pair counts over its common rows; pairs without any are left out.
 
-    Symbols are hashed to blocks. Each span of times between dates gives partial Gram matrices (returns, known marks and their
-    product) for each pair of blocks in one NumPy product; a running sum over spans then serves all dates. Shuffled are
-    times x symbols x blocks values and spans x symbols^2 sums, not times x symbols^2.
+    Spans of time end at the dates, and where windows begin, so that every window is a run of whole spans. Symbols are hashed to blocks; each span
+    gives partial Gram matrices (returns, known marks and their product, weighted from the span's end) for each pair of blocks in one NumPy product of
+    about ``times`` times at most. Prefixes over spans, faded as they go, then serve all dates: a window is the difference of two. Shuffled
+    are times x symbols x blocks values and spans x symbols^2 sums, not times x symbols^2.
     """
-    spans = F.broadcast(dates.select(F.col("ts").alias("date")).distinct().agg(F.sort_array(F.collect_list("date")).alias("dates")))
-    own = panel.where("ret is not null").join(spans, how="left")
-    own = own.withColumn("span", F.try_element_at(F.filter("dates", lambda d: d > F.col("ts")), F.lit(1))).where("span is not null")
-    count = max(1, -(-panel.select("symbol").distinct().count() // block))
-    own = own.select("span", "ts", "symbol", "ret", F.pmod(F.xxhash64("symbol"), F.lit(count)).cast("int").alias("g"))
+    ends = dates.select(F.col("ts").alias("end")).where("end is not null").distinct()
+    cuts = ends if rolling is None else ends.union(ends.select(F.timestamp_micros(F.unix_micros("end") - micros(rolling)))).distinct()
+    spans = F.broadcast(cuts.agg(F.sort_array(F.collect_list("end")).alias("ends_")))
+    before = sorted_position(F.col("ends_"), F.col("ts"))
+    own = panel.where("ret is not null").join(spans, how="left").withColumn("before_", before)
+    own = own.where("before_ < size(ends_)" + (" and before_ > 0" if rolling is not None else "")).withColumn("span", F.try_element_at("ends_", F.col("before_") + 1))
+    size = panel.agg(F.count_distinct("symbol").alias("symbols"), F.count_distinct("ts").alias("times")).first()
+    count, parts_of = max(1, -(-size["symbols"] // block)), max(1, -(-size["times"] // times))
+    part = F.pmod(F.xxhash64("ts"), F.lit(parts_of)).alias("part")
+    own = own.select("span", part, "ts", "symbol", "ret", F.pmod(F.xxhash64("symbol"), F.lit(count)).cast("int").alias("g"))
     pair = F.array(*(F.struct(F.least(F.col("g"), F.lit(k)).alias("a"), F.greatest(F.col("g"), F.lit(k)).alias("b")) for k in range(count)))
-    dealt = own.withColumn("p", F.explode(pair)).select("span", "p.a", "p.b", "ts", "symbol", "g", "ret")
+    dealt = own.withColumn("p", F.explode(pair)).select("span", "part", "p.a", "p.b", "ts", "symbol", "g", "ret")
+    sums = ["n", "w", "si", "sj", "sij"]
 
     def gram(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        span, a, b = key
+        span, _, a, b = key
         left, right = ((rows[rows["g"] == k].pivot(index="ts", columns="symbol", values="ret")) for k in (a, b))
-        times = left.index.intersection(right.index)
-        left, right = left.loc[times], right.loc[times]
+        both = left.index.intersection(right.index)
+        left, right = left.loc[both], right.loc[both]
         x, y = left.fillna(0.0).to_numpy(), right.fillna(0.0).to_numpy()
         u, v = left.notna().to_numpy(float), right.notna().to_numpy(float)
+        age = (both - pd.Timestamp(span)) / pd.Timedelta(seconds=half_life) if half_life else np.zeros(len(both))
+        w = np.exp2(np.asarray(age, dtype=float))[:, None]
         i, j = np.meshgrid(left.columns, right.columns, indexing="ij")
-        out = pd.DataFrame({"span": span, "sym_i": i.ravel(), "sym_j": j.ravel(), "n": (u.T @ v).ravel(), "si": (x.T @ v).ravel(), "sj": (u.T @ y).ravel(), "sij": (x.T @ y).ravel()})
+        grams = {"n": u.T @ v, "w": (u * w).T @ v, "si": (x * w).T @ v, "sj": (u * w).T @ y, "sij": (x * w).T @ y}
+        out = pd.DataFrame({"span": span, "sym_i": i.ravel(), "sym_j": j.ravel(), **{k: m.ravel() for k, m in grams.items()}})
         swap = out["sym_i"] > out["sym_j"]
         if a == b:
             return out[~swap & (out["n"] > 0)]
@@ -257,14 +270,35 @@ def covariance_blocked(panel: DataFrame, dates: DataFrame, kelly: bool = True, b
         whole = pd.concat([out[~swap], turned[out.columns]])
         return whole[whole["n"] > 0]
 
-    parts = dealt.groupBy("span", "a", "b").applyInPandas(gram, "span timestamp, sym_i string, sym_j string, n double, si double, sj double, sij double")
-    upto = Window.partitionBy("sym_i", "sym_j").orderBy("span").rowsBetween(Window.unboundedPreceding, 0)
-    grid = parts.select("sym_i", "sym_j").distinct().crossJoin(F.broadcast(dates.select(F.col("ts").alias("span")).distinct()))
-    sums = grid.join(parts, ["sym_i", "sym_j", "span"], "left").select("sym_i", "sym_j", "span", *(F.sum(c).over(upto).alias(c) for c in ("n", "si", "sj", "sij")))
-    value = F.col("sij") / F.col("n")
-    if not kelly:
-        value = value - F.col("si") / F.col("n") * F.col("sj") / F.col("n")
-    return sums.where("n > 0").select(F.col("span").alias("ts"), "sym_i", "sym_j", F.col("n").cast("long").alias("n"), value.alias("value"))
+    parts = dealt.groupBy("span", "part", "a", "b").applyInPandas(gram, "span timestamp, sym_i string, sym_j string, " + ", ".join(f"{c} double" for c in sums))
+    # a pair's first sum also stands for the dates at which the pair is asked for: no second pass looks for the pairs
+    listed = F.broadcast(ends.agg(F.sort_array(F.collect_list("end")).alias("dates_")))
+    given = F.struct("span", F.lit(False).alias("asked"), *sums)
+    asked = F.transform("dates_", lambda d: F.struct(d.alias("span"), F.lit(True).alias("asked"), *(F.lit(0.0).alias(c) for c in sums)))
+    first = F.row_number().over(Window.partitionBy("sym_i", "sym_j").orderBy("span")) == 1
+    rows = parts.withColumn("first_", first).join(listed, how="left")
+    rows = rows.select("sym_i", "sym_j", F.explode(F.when(F.col("first_"), F.concat(F.array(given), asked)).otherwise(F.array(given))).alias("x"))
+    rows = rows.select("sym_i", "sym_j", "x.*").withColumn("at", F.unix_micros("span"))
+    keys, fade = ["sym_i", "sym_j"], F.lit(1.0)
+    if half_life:
+        # prefixes within fixed blocks of time, each with the sums of the block before, so that no weight leaves the range of doubles
+        length = BLOCK * micros(half_life)
+        k = F.floor(F.col("at") / float(length)).cast("long")
+        deals = F.array(F.struct(k.alias("k"), F.lit(True).alias("own")), F.struct((k + 1).alias("k"), F.lit(False).alias("own")))
+        rows = rows.withColumn("d", F.explode(F.when(F.col("asked"), F.slice(deals, 1, 1)).otherwise(deals))).withColumn("k", F.col("d.k")).drop("d")
+        age = (F.col("at") - F.col("k") * F.lit(length)) / float(micros(half_life))
+        rows = rows.withColumns({c: F.col(c) * F.pow(F.lit(2.0), age) for c in sums if c != "n"})
+        keys, fade = [*keys, "k"], F.pow(F.lit(2.0), -age)
+    order = Window.partitionBy(*keys).orderBy("at")
+    upto = order.rangeBetween(Window.unboundedPreceding, 0)
+    held = {c: F.sum(c).over(upto) for c in sums}
+    if rolling is not None:
+        older = order.rangeBetween(Window.unboundedPreceding, -micros(rolling))
+        held = {c: x - F.coalesce(F.sum(c).over(older), F.lit(0.0)) for c, x in held.items()}
+    rows = rows.withColumns({f"{c}_": x for c, x in held.items()}).where("asked and n_ > 0")
+    w, si, sj, sij = (F.col(f"{c}_") * fade for c in ("w", "si", "sj", "sij"))
+    value = divided(sij, w) if kelly else divided(sij, w) - divided(si, w) * divided(sj, w)
+    return rows.select(F.col("span").alias("ts"), "sym_i", "sym_j", F.col("n_").cast("long").alias("n"), value.alias("value"))
 
 
 def last_n_covariance(panel: DataFrame, n: int, at: str) -> DataFrame:
