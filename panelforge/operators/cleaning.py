@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
-from ..functions.core import by_symbol, divided, finite, log_of, rows_from_end
+from ..functions.core import by_symbol, divided, finite, log_of, rows_from_end, shared_folder
 
 WINDOWS = (10, 20, 50, 100, 200)
 PRICES = ("open", "low", "high", "close")
@@ -85,7 +85,8 @@ def null_open_outside(bars: DataFrame) -> DataFrame:
 def unlikeliness_score(x: Column | str, windows: Iterable[int] = WINDOWS) -> Column:
     """How large \\|x\\| is against its median around each row: the median over the windows of their ratios.
 
-    Exact zeros count as missing, so that filled-in stretches do not pull the scale down. Windows are centred rows of a symbol.
+    Exact zeros count as missing, so that filled-in stretches do not pull the scale down. Windows are centred rows of a symbol. As an expression it
+    sorts every window anew; :func:`with_scores` is the way for whole tables.
     """
     x = F.col(x) if isinstance(x, str) else x
     size = F.abs(F.nullif(x, F.lit(0.0)))
@@ -99,6 +100,77 @@ def unlikeliness_score(x: Column | str, windows: Iterable[int] = WINDOWS) -> Col
     return F.when(n > 0, (low + high) / 2)
 
 
+#: Rows of a chunk of a symbol's history, and those that each side of it is lent, so that every window is whole.
+CHUNK, LENT = 8_192, max(WINDOWS) // 2
+
+
+def in_chunks(rows: DataFrame, chunk: int, lent: int) -> DataFrame:
+    """Rows with ``chunk_``, consecutive pieces of each symbol's history, ``own_``, false where a row is lent to the chunk before or behind, and the
+    row's place ``at_`` (from 0) and the ``last_`` one of its symbol. Chunks are pieces of what is dealt by symbol already: no further exchange.
+    """
+    at = (F.row_number().over(by_symbol()) - 1).cast("long")
+    inside = F.pmod(F.col("at_"), F.lit(chunk))
+    k = F.floor(F.col("at_") / chunk)
+    mine = F.struct(k.alias("k"), F.lit(True).alias("own"))
+    deals = F.array(
+        mine,
+        F.when((inside < lent) & (k > 0), F.struct((k - 1).alias("k"), F.lit(False).alias("own"))),
+        F.when((inside >= chunk - lent) & (F.col("last_") >= (k + 1) * chunk), F.struct((k + 1).alias("k"), F.lit(False).alias("own"))),
+    )
+    placed = rows.withColumn("at_", at).withColumn("last_", F.max("at_").over(_whole()))
+    return placed.withColumn("d_", F.explode(F.array_compact(deals))).withColumns({"chunk_": F.col("d_.k"), "own_": F.col("d_.own")}).drop("d_")
+
+
+def slabs(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Frames of rows in order of symbol and chunk, as frames of whole chunks with the place at which each begins."""
+    held: pd.DataFrame | None = None
+
+    def starts(own: pd.DataFrame) -> np.ndarray:
+        keys = own["symbol"].to_numpy(), own["chunk_"].to_numpy()
+        return np.flatnonzero(np.concatenate([[True], (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])]))
+
+    for frame in frames:
+        held = frame if held is None or not len(held) else pd.concat([held, frame], ignore_index=True)
+        if len(held) and (begun := starts(held))[-1]:
+            yield held.iloc[: begun[-1]].reset_index(drop=True), begun[:-1]
+            held = held.iloc[begun[-1] :].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held, starts(held)
+
+
+def scores_of(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """:func:`unlikeliness_score` inside each of the groups that begin at ``starts``: sliding medians of all groups at once, kept apart by blank rows."""
+    size = np.abs(x)
+    size[size == 0] = np.nan
+    group = np.zeros(len(x), dtype=np.int64)
+    group[starts[1:]] = 1
+    at = np.arange(len(x)) + np.cumsum(group) * max(WINDOWS)
+    padded = np.full(at[-1] + 1, np.nan)
+    padded[at] = size
+    rolled = pd.Series(padded)
+    ratios = np.sort(np.stack([size / rolled.rolling(w, center=True, min_periods=1).median().to_numpy()[at] for w in WINDOWS]), axis=0)
+    n = (~np.isnan(ratios)).sum(axis=0)
+    low, high = (np.take_along_axis(ratios, np.maximum(k, 0)[None], axis=0)[0] for k in ((n - 1) // 2, n // 2))
+    return np.where(n > 0, (low + high) / 2, np.nan)
+
+
+def with_scores(rows: DataFrame, scores: dict[str, str], chunk: int = CHUNK) -> DataFrame:
+    """Adds :func:`unlikeliness_score` of several columns (``{new: column}``) in one pass: sliding medians, a logarithm of the window a row, for all windows and columns.
+
+    Histories come in chunks with half a window lent on each side; a task works on a few chunks at a time, however long the histories.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own, starts in slabs(frames):
+            for name, column in scores.items():
+                own[name] = scores_of(own[column].to_numpy(float, copy=True), starts)
+            yield own[own["own_"]].drop(columns=["chunk_", "own_"])
+
+    kinds = ", ".join(f"`{n}` double" for n in scores)
+    dealt = in_chunks(rows, chunk, LENT).drop("at_", "last_").sortWithinPartitions("symbol", "chunk_", "ts")
+    return dealt.mapInPandas(run, T.StructType([*rows.schema.fields, *T.StructType.fromDDL(kinds).fields]))
+
+
 def null_anomalous(bars: DataFrame, prices: str | Sequence[str], threshold: float = 20.0, saved: DataFrame | None = None) -> DataFrame:
     """Missing where ln(close / price) is very unlikely; ``saved`` cleaned rows of before only serve as reference. Several prices share one window."""
     prices = [prices] if isinstance(prices, str) else [*prices]
@@ -107,7 +179,7 @@ def null_anomalous(bars: DataFrame, prices: str | Sequence[str], threshold: floa
         tail = rows_from_end(saved.join(bars.groupBy("symbol").agg(F.min("ts").alias("begin")), "symbol").where("ts < begin"))
         tail = tail.where(f"from_end <= {max(WINDOWS)}").select("symbol", "ts", "close", *prices, F.lit(False).alias("own"))
         rows = rows.unionByName(tail, allowMissingColumns=True)
-    rows = rows.withColumns({f"gap_{c}": log_of(F.col("close")) - log_of(F.col(c)) for c in prices}).withColumns({f"score_{c}": unlikeliness_score(f"gap_{c}") for c in prices})
+    rows = with_scores(rows.withColumns({f"gap_{c}": log_of(F.col("close")) - log_of(F.col(c)) for c in prices}), {f"score_{c}": f"gap_{c}" for c in prices})
     return rows.where("own").withColumns({c: F.when(F.coalesce(F.col(f"score_{c}") <= threshold, F.lit(True)), F.col(c)) for c in prices}).select(*bars.columns)
 
 
@@ -171,7 +243,7 @@ def quality_flags(clean: DataFrame, threshold: float = 40.0) -> DataFrame:
         "open to high": log_of(F.col("high")) - log_open,
         "open to low": log_of(F.col("low")) - log_open,
     }
-    scored = clean.withColumns({k: v for k, v in scores.items()}).withColumns({k: unlikeliness_score(k) for k in scores})
+    scored = with_scores(clean.select("symbol", "ts", "volume", *(v.alias(f"of {k}") for k, v in scores.items())), {k: f"of {k}" for k in scores})
     scored = scored.withColumn("zero volume", F.when(F.col("volume") == 0, F.lit(float("inf"))))
     flags = [*scores, "zero volume"]
     long = scored.select("symbol", "ts", *flags).unpivot(["symbol", "ts"], flags, "flag", "score")
@@ -195,45 +267,126 @@ def cleaning_summary(raw: DataFrame, clean: DataFrame) -> DataFrame:
     return out.withColumn("dropped", 1 - F.col("rows_after") / F.col("rows_before"))
 
 
-# ---- data-dependent repair: whole symbols in pandas groups -----------------------------------------------------------
+# ---- data-dependent repair: chunks of a symbol's history in pandas ---------------------------------------------------
+
+#: Rows that a chunk of the repair is lent on each side for every pass: what one pass can carry along, and room for gaps.
+CARRIED = LENT + 21
+
+
+def _filled(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each value or the last known one before it in its group; ``first`` has the place at which a row's group begins."""
+    at = np.maximum.accumulate(np.where(np.isnan(x), -1, np.arange(len(x))))
+    return np.where(at >= first, x[np.maximum(at, 0)], np.nan)
 
 
-def _scores(x: pd.Series) -> pd.Series:
-    size = x.abs().where(x != 0)
-    return pd.concat([size / size.rolling(w, center=True, min_periods=1).median() for w in WINDOWS], axis=1).median(axis=1, skipna=True)
+def _sure(known: np.ndarray, low: int, high: int, begins: bool, ends: bool) -> tuple[int, int]:
+    """The rows of ``low`` to ``high`` that one more pass leaves certain, if what lies beyond an end that is not the history's may change."""
+    if not begins:
+        later = known[np.searchsorted(known, low) :]
+        low = (int(later[0]) if len(later) else high) + LENT + 1
+    return low, high if ends else high - LENT
 
 
-def repair_adjclose(own: pd.DataFrame, saved: pd.DataFrame | None = None, passes: int = 21, threshold: float = 50.0, false_above: float = 0.5, false_before: str = "2000-01-01") -> pd.DataFrame:
-    """One symbol's bars, sorted, with rows around anomalous adjusted closes blanked until none is left, or ``passes`` are done."""
-    own = own.sort_values("ts", ignore_index=True)
-    values = [c for c in own.columns if c not in ("symbol", "ts")]
-    earlier = pd.Series(dtype=float)
-    if saved is not None and len(saved) and len(own):
-        tail = saved.sort_values("ts").iloc[-max(WINDOWS) :]
-        intraday = np.log10(tail["close"]) - np.log10(tail["open"])
-        steps = (np.log10(1 + tail["return"]) - intraday + intraday.shift(-1)).shift(1)
-        earlier = steps[tail["ts"] < own["ts"].iloc[0]]
+def repair_slab(own: pd.DataFrame, starts: np.ndarray, passes: int = 21, threshold: float = 50.0, false_above: float = 0.5, false_before: str = "2000-01-01") -> pd.DataFrame:
+    """Chunks of bars in order, with rows around anomalous adjusted closes blanked until none is left, or ``passes`` are done.
+
+    Rows with a ``step_`` are of before (cleaned bars that lend their steps). Adds ``doubt_``: whether what lies beyond the chunk's lent rows might have changed the row.
+    """
+    values = [c for c in own.columns if c not in ("symbol", "ts", "chunk_", "own_", "at_", "last_", "step_", "earlier_")]
+    n = len(own)
+    stops = np.append(starts[1:], n)
+    first = np.repeat(starts, stops - starts)
+    earlier = own["earlier_"].to_numpy(bool)
+    given = own["step_"].to_numpy(float)
+    before = own["ts"].to_numpy() < np.datetime64(false_before)
+    close = np.log10(own["adjclose"].to_numpy(float))
+    blank = np.zeros(n, dtype=bool)
+    ends_group = np.zeros(n, dtype=bool)
+    ends_group[stops - 1] = True
+    place, last = own["at_"].to_numpy(), own["last_"].to_numpy()
+    sure = {}  # chunks that do not hold their symbol's whole history: the rows that are certain
+    for low, high in zip(starts.tolist(), stops.tolist()):
+        begins, ends = place[low] <= 0, place[high - 1] == last[high - 1]
+        if not (begins and ends):
+            sure[low] = (low, high, begins, ends, low, high)
     for _ in range(passes):
-        steps = np.log10(own["adjclose"].ffill()).diff()
-        together = steps if earlier.empty else pd.concat([earlier, steps], ignore_index=True)
-        wild = (_scores(together).iloc[len(earlier) :].reset_index(drop=True) > threshold) | ((steps.abs() > false_above) & (own["ts"] < pd.Timestamp(false_before)))
-        bad = wild | wild.shift(-1, fill_value=False)
-        if not bad.any():
+        filled = _filled(close, first)
+        steps = np.concatenate([[np.nan], np.diff(filled)])
+        steps[starts] = np.nan
+        steps = np.where(earlier, given, steps)
+        steps[1:][earlier[:-1] & ~earlier[1:]] = np.nan
+        wild = (scores_of(steps.copy(), starts) > threshold) | ((np.abs(steps) > false_above) & before)
+        wild &= ~earlier
+        bad = wild | np.append(wild[1:] & ~ends_group[:-1], False)
+        bad &= ~earlier
+        for k, (low, high, begins, ends, a, b) in sure.items():
+            known = low + np.flatnonzero(~np.isnan(close[low:high]))
+            sure[k] = (low, high, begins, ends, *_sure(known, a, b, begins, ends))
+        if not (bad & ~blank).any() and not sure:
             break
-        own.loc[bad, values] = np.nan
-    return own
+        blank |= bad
+        close[bad] = np.nan
+    out = own.copy()
+    out.loc[blank, values] = np.nan
+    doubt = np.zeros(n, dtype=bool)
+    for low, high, *_, a, b in sure.values():
+        doubt[low:high] = True
+        doubt[max(low, a) : max(low, min(high, b))] = False
+    return out.assign(doubt_=doubt)
+
+
+def _steps(saved: DataFrame) -> DataFrame:
+    """``(symbol, ts, step_)`` of the last 200 rows of cleaned bars: the steps that adjusted closes would have taken."""
+    intraday = F.log10("close") - F.log10("open")
+    w = by_symbol()
+    tail = rows_from_end(saved).where(f"from_end <= {max(WINDOWS)}")
+    step = F.log10(1 + F.col("return")) - intraday + F.lead(intraday).over(w)
+    return tail.withColumn("step_", step).withColumn("step_", F.lag("step_").over(w)).select("symbol", "ts", "step_")
 
 
-def null_bad_adjclose(bars: DataFrame, saved: DataFrame | None = None, **how) -> DataFrame:
-    """:func:`repair_adjclose` for every symbol; ``saved`` are cleaned bars with ``return`` that lend their history.
+def null_bad_adjclose(bars: DataFrame, saved: DataFrame | None = None, chunk: int = CHUNK, **how) -> DataFrame:
+    """:func:`repair_slab` for every symbol; ``saved`` are cleaned bars with ``return`` that lend their last 200 rows' steps.
 
-    A symbol's rows form one pandas group (daily bars: some ten thousand rows); the passes never leave it.
+    Histories of more than ``chunk`` rows are repaired in chunks with rows lent on each side, enough for what ``passes`` passes can carry. Each chunk tells
+    which of its own rows something beyond its lent rows might still have changed; symbols with such rows are repaired again in chunks four times as long,
+    until nothing can move, so the result is that of whole histories. Only such long histories cost an action; shorter ones are one lazy pass.
     """
-    if saved is None:
-        return bars.groupBy("symbol").applyInPandas(lambda own: repair_adjclose(own, **how), bars.schema)
-    # fresh columns: the two sides may come from one table
-    lent = saved.select(*(F.col(c).alias(c) for c in ("symbol", "ts", "open", "close", "return")))
-    return bars.groupBy("symbol").cogroup(lent.groupBy("symbol")).applyInPandas(lambda own, old: repair_adjclose(own, old, **how), bars.schema)
+    lent = how.get("passes", 21) * CARRIED
+    chunk = max(chunk, 2 * lent)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own, starts in slabs(frames):
+            out = repair_slab(own, starts, **how)
+            yield out[out["own_"]].drop(columns=["chunk_", "own_", "at_", "last_", "step_", "earlier_"])
+
+    def repaired(some: DataFrame, chunk: int, lent: int) -> DataFrame:
+        rows = in_chunks(some, chunk, lent).withColumns({"step_": F.lit(None).cast("double"), "earlier_": F.lit(False)})
+        if saved is not None:
+            # fresh columns: the two sides may come from one table
+            old = saved.select(*(F.col(c).alias(c) for c in ("symbol", "ts", "open", "close", "return")))
+            begin = some.groupBy("symbol").agg(F.min("ts").alias("begin_"))
+            old = _steps(old).join(begin, "symbol").where("ts < begin_").drop("begin_")
+            old = old.withColumns({"chunk_": F.lit(0).cast("long"), "own_": F.lit(False), "at_": F.lit(-1).cast("long"), "earlier_": F.lit(True)})
+            rows = rows.unionByName(old, allowMissingColumns=True)
+        dealt = rows.repartition("symbol") if saved is not None else rows
+        ordered = dealt.sortWithinPartitions("symbol", "chunk_", F.desc("earlier_"), "ts")
+        return ordered.mapInPandas(run, T.StructType([*bars.schema.fields, T.StructField("doubt_", T.BooleanType())]))
+
+    longest = bars.groupBy("symbol").count().agg(F.max("count")).first()[0] or 0
+    if longest <= chunk:
+        return repaired(bars, chunk, lent).drop("doubt_")
+    done, todo = None, bars
+    while True:
+        # written down: the rows are looked at again
+        path = f"{shared_folder(bars.sparkSession, 'repaired')}/rows"
+        repaired(todo, chunk, lent).write.parquet(path)
+        out = bars.sparkSession.read.parquet(path)
+        doubtful = out.where("doubt_").select("symbol").distinct()
+        sound = out.join(doubtful, "symbol", "left_anti").drop("doubt_").select(*bars.columns)
+        done = sound if done is None else done.unionByName(sound)
+        if doubtful.isEmpty():
+            return done
+        todo, chunk, lent = todo.join(doubtful, "symbol", "left_semi"), 4 * chunk, 4 * lent
 
 
 def clean_ohlcv(bars: DataFrame, saved: DataFrame | None = None, anomalous: float = 20.0) -> DataFrame:
@@ -251,7 +404,7 @@ def clean_bars(bars: DataFrame, saved: DataFrame | None = None, max_dividend: fl
     """The whole pipeline: adjusted closes, then the bars, then total returns. All steps share one exchange by symbol.
 
     ``max_dividend`` and ``missing_run`` go to the truncations, ``anomalous`` to the price rules, and ``repair`` (``passes``, ``threshold``,
-    ``false_above``, ``false_before``) to :func:`repair_adjclose`.
+    ``false_above``, ``false_before``) to :func:`null_bad_adjclose`.
     """
     bars = null_nonpositive(null_infinite(bars), "adjclose")
     bars = truncate_missing_runs(truncate_bad_dividends(bars, max_dividend), missing_run)

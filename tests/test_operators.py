@@ -194,11 +194,82 @@ def test_repair_does_nothing_to_sound_prices(spark):
         assert out.where("adjclose is null").count() == 0
 
 
+def plain_scores(x):
+    """The median over the windows of each size against its median around it."""
+    size = x.abs().where(x != 0)
+    return pd.concat([size / size.rolling(w, center=True, min_periods=1).median() for w in cleaning.WINDOWS], axis=1).median(axis=1, skipna=True)
+
+
 def test_scores_against_pandas(spark):
     raw, bars = make_bars(spark)
-    got = bars.withColumn("x", F.log("close") - F.log("open")).withColumn("s", cleaning.unlikeliness_score("x")).orderBy("ts").toPandas()
-    want = cleaning._scores(np.log(raw.close) - np.log(raw.open))
-    np.testing.assert_allclose(got.s, want)
+    rows = bars.withColumn("x", F.log("close") - F.log("open"))
+    want = plain_scores(np.log(raw.close) - np.log(raw.open))
+    np.testing.assert_allclose(rows.withColumn("s", cleaning.unlikeliness_score("x")).orderBy("ts").toPandas().s, want)
+    np.testing.assert_allclose(cleaning.with_scores(rows, {"s": "x"}).orderBy("ts").toPandas().s, want)
+
+
+def gappy(spark, symbols=5, n=1500, seed=2):
+    """Several symbols' bars with missing closes, wild ones in clusters, and drifts that move the medians."""
+    frames = []
+    for k in range(symbols):
+        raw, _ = make_bars(spark, n=n - 100 * k, seed=seed + k)
+        rng = np.random.default_rng(seed + k)
+        raw["symbol"] = f"s{k}"
+        raw.loc[rng.random(len(raw)) < 0.03, ["close", "adjclose"]] = np.nan
+        for at in rng.integers(5, len(raw) - 5, 12):
+            raw.loc[at : at + rng.integers(0, 4), "adjclose"] *= rng.choice([1e-3, 40.0, 1e4])
+        frames.append(raw)
+    rows = pd.concat(frames, ignore_index=True)
+    return rows, spark.createDataFrame([tuple(None if isinstance(x, float) and np.isnan(x) else x.to_pydatetime() if hasattr(x, "to_pydatetime") else x for x in r) for r in rows.itertuples(index=False)], schemas.BARS)
+
+
+def test_scores_in_chunks(spark):
+    raw, bars = gappy(spark)
+    rows = bars.withColumn("x", F.log("adjclose") - F.log("open"))
+    got = cleaning.with_scores(rows, {"a": "x", "b": "open"}, chunk=250).orderBy("symbol", "ts").toPandas()
+    assert len(got) == len(raw)
+    for name, x in (("a", np.log(raw.adjclose) - np.log(raw.open)), ("b", raw.open)):
+        want = pd.concat([plain_scores(own) for _, own in x.groupby(raw.symbol)])
+        np.testing.assert_allclose(got[name], want, equal_nan=True)
+
+
+def plain_repair(own, earlier, passes, threshold, above=0.5, before="2000-01-01"):
+    """One symbol's whole history, pass after pass."""
+    own = own.sort_values("ts", ignore_index=True)
+    values = [c for c in own.columns if c not in ("symbol", "ts")]
+    for _ in range(passes):
+        steps = np.log10(own.adjclose.ffill()).diff()
+        scores = plain_scores(pd.concat([earlier, steps], ignore_index=True)).iloc[len(earlier) :].reset_index(drop=True)
+        wild = (scores > threshold) | ((steps.abs() > above) & (own.ts < pd.Timestamp(before)))
+        own.loc[wild | wild.shift(-1, fill_value=False), values] = np.nan
+    return own
+
+
+@pytest.mark.parametrize("threshold, passes, lent", [(50.0, 21, None), (4.0, 6, None), (4.0, 21, 20)])
+def test_repair_in_chunks_equals_whole_histories(spark, monkeypatch, threshold, passes, lent):
+    """Histories many chunks long; with too few lent rows, chunks in doubt are repaired again until nothing can move."""
+    raw, bars = gappy(spark, n=1500 if lent else 9000, symbols=3)
+    if lent:
+        monkeypatch.setattr(cleaning, "CARRIED", lent)
+    got = cleaning.null_bad_adjclose(bars, chunk=10, passes=passes, threshold=threshold).orderBy("symbol", "ts").toPandas()
+    want = pd.concat([plain_repair(own, pd.Series(dtype=float), passes, threshold) for _, own in raw.groupby("symbol")])
+    assert len(got) == len(want) and got.adjclose.isna().sum() > raw.adjclose.isna().sum()
+    for c in ("adjclose", "close", "open", "volume"):
+        np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), equal_nan=True)
+
+
+def test_repair_with_lent_history(spark):
+    raw, bars = gappy(spark, symbols=3, n=700)
+    cut = START + timedelta(days=300)
+    saved = cleaning.open_to_open_return(bars.where(F.col("ts") < cut))
+    got = cleaning.null_bad_adjclose(bars.where(F.col("ts") >= cut), saved, threshold=4.0).orderBy("symbol", "ts").toPandas()
+    old = saved.orderBy("symbol", "ts").toPandas()
+    parts = []
+    for symbol, own in raw[raw.ts >= cut].groupby("symbol"):
+        tail = old[old.symbol == symbol].iloc[-200:]
+        intraday = np.log10(tail["close"]) - np.log10(tail["open"])
+        parts.append(plain_repair(own, (np.log10(1 + tail["return"]) - intraday + intraday.shift(-1)).shift(1).reset_index(drop=True), 21, 4.0))
+    np.testing.assert_allclose(got.adjclose.astype(float), pd.concat(parts).adjclose.astype(float), equal_nan=True)
 
 
 def test_total_returns_match_plain_ones_without_dividends(spark):
