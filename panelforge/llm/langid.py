@@ -150,13 +150,16 @@ def long_log_likelihood(unit: bytes, pieces: Pieces, chances: np.ndarray) -> np.
     languages = chances.shape[1]
     logs = np.zeros(languages)
     letters = np.frombuffer(unit, dtype=np.uint8)
-    spans = range(0, len(letters), STRETCH * STRETCHES)
-    depth = max(len(_occurring(letters[b : b + STRETCH * STRETCHES + pieces.longest], pieces)) for b in spans)
+    wide = STRETCH * STRETCHES
+    depth = max(len(_occurring(letters[b : b + wide + pieces.longest], pieces)) for b in range(0, len(letters), wide))
+    # pieces that repeat one letter may be long: fewer stretches at a time then, so that their matrices stay few MB
+    wide = STRETCH * max(1, min(STRETCHES, CELLS // (depth * depth * languages)))
+    spans = range(0, len(letters), wide)
     sums = np.zeros((languages, depth))  # at the last places, the latest first
     sums[:, 0] = 1.0
     for begin in spans:
         before = min(begin, depth)
-        own = letters[begin - before : begin + STRETCH * STRETCHES]
+        own = letters[begin - before : begin + wide]
         found = _occurring(own, pieces)[:depth]
         found += [np.zeros(len(own), dtype=np.int32)] * (depth - len(found))
         whole, rest = divmod(len(own) - before, STRETCH)
