@@ -289,6 +289,9 @@ CLEANED = clean_views("tb_cb", "tb_dirty", 0.5, 20, 20.0, 4.0, 3.0)
 MILD = {"max_dividend": 3.0, "missing_run": 12, "anomalous": 5.0, "threshold": 4.0, "false_above": 3.0, "passes": 6}
 MILDLY = clean_views("tb_cm", "tb_dirty", 3.0, 12, 5.0, 4.0, 3.0)
 LANDED = clean_views("tb_cl", "tb_landed", 3.0, 12, 5.0, 4.0, 3.0)
+# without the rules that look at rows to come, a history cleaned in two runs is the history cleaned in one
+FIRM = MILD | {"anomalous": 1e9, "threshold": 1e9, "passes": 1}
+LANDED_FIRM = clean_views("tb_cf", "tb_landed", 3.0, 12, 1e9, 1e9, 3.0, passes=1)
 CLEAN_SHOWN = ", ".join(r(x) for x in ("open", "low", "high", "close", "volume", "ret"))
 
 

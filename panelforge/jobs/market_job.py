@@ -3,22 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.core import shared_folder
 from ..operators import cleaning as c, panel as p
-from ..sources import files
-
-
-def clean_payloads(payloads: DataFrame, saved: DataFrame | None = None, announced: DataFrame | None = None, **thresholds) -> DataFrame:
-    """``(symbol, ts, open, low, high, close, return, valuevolume)`` from payloads ``(symbol, raw)``.
-
-    ``announced(symbol, open_ts)`` corrects the last bars' times; ``saved`` lends its history to the rules; ``thresholds`` are those of
-    :func:`~panelforge.operators.cleaning.clean_bars`. What the last bar has not settled is missing, and a first bar that is not whole goes.
-    """
-    bars = files.parse_chart_json(payloads)
-    if announced is not None:
-        bars = files.fix_last_open_time(bars, announced)
-    return c.drop_first_if_null(c.value_volume(c.null_last_row(c.clean_bars(bars, saved, **thresholds))))
+from ..sources import files, store
 
 
 def market_panel(clean: DataFrame, interval: str | None = None, recent: int = 5) -> DataFrame:
@@ -39,19 +28,46 @@ def stored(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def update_stored(spark: SparkSession, before: str | None, new: DataFrame) -> str:
-    """Writes the append-only merge of the panel at ``before`` (none: a first run) and ``new`` to a new folder, and returns its path.
+BARS = "symbol string, ts timestamp, open double, low double, high double, close double, `return` double, valuevolume double"
+OVERLAP = 5  # stored rows that later payloads bring again
 
-    The folder before stays as it was, so a run that fails leaves the last good panel, and a run that is repeated gives the same one.
-    """
-    merged = new if before is None else files.append_only_merge(spark.read.parquet(before), new)
-    path = f"{shared_folder(spark, 'panel')}/rows"
-    merged.select(*new.columns).sortWithinPartitions("symbol", "ts").write.parquet(path)
-    return path
 
+def update_bars(spark: SparkSession, root: str, payloads: DataFrame, announced: DataFrame | None = None, **thresholds) -> store.Version:
+    """One run of incremental cleaning: landed payloads into the bars stored under ``root``, of which the last years alone are read and written.
 
-def run(spark: SparkSession, payloads: DataFrame, rates: DataFrame, before: str | None = None, saved: DataFrame | None = None, interval: str = "quarterly", per_year: float = 4.0, **thresholds) -> str:
-    """One run of the whole job; returns where the panel ``(symbol, ts, ret, valuevolume, price)`` is stored."""
-    clean = stored(spark, clean_payloads(payloads, saved, **thresholds), "clean")
-    panel = stored(spark, market_panel(clean, interval), "periods")
-    return update_stored(spark, before, with_cash(panel, rates, per_year))
+    Bars of a symbol that has enough stored rows count from the fifth last of them on, whatever earlier ones the payload repeats, and are cleaned with up to
+    200 stored rows lent to the rules; their last two stored rows are then replaced and later ones added. Other symbols are cleaned from their start.
+    """
+    bars = files.parse_chart_json(payloads)
+    if announced is not None:
+        bars = files.fix_last_open_time(bars, announced)
+    before = store.latest(spark, root)
+    if before is None:
+        return store.append(spark, root, _settled(c.clean_bars(bars, **thresholds)))
+    known = store.tails(spark, before).where(F.size("times") >= OVERLAP).select("symbol", F.element_at("times", F.lit(-OVERLAP)).alias("since"))
+    bars = bars.join(known, "symbol", "left").where("since is null or ts >= since").drop("since")
+    firsts = bars.groupBy("symbol").agg(F.min("ts").alias("first")).join(known.select("symbol"), "symbol")
+    saved = stored(spark, store.lent(spark, before, firsts, BARS).join(firsts, "symbol").where("ts < first").drop("first"), "lent")
+    fresh = stored(spark, _settled(c.clean_bars(bars, saved, **thresholds), known.select("symbol")), "fresh")
+    return store.append(spark, root, fresh)
+
+
+def _settled(clean: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """What the last bar has not settled is missing; the first bar of a symbol that is not ``known`` goes unless it is whole."""
+    own = c.value_volume(c.null_last_row(clean))
+    if known is None:
+        return c.drop_first_if_null(own)
+    return c.drop_first_if_null(own.join(known, "symbol", "left_anti")).unionByName(own.join(known, "symbol", "left_semi"))
+
+
+def audit_run(spark: SparkSession, before: store.Version, after: store.Version, **tolerances) -> DataFrame:
+    """What a run changed of the bars stored before, beyond the last one of each symbol: rows ``(symbol, ts, column, fault)``, from the rewritten years alone."""
+    old, new = store.changed(spark, before, after, BARS)
+    return files.audit_append_only(old, new, ["open", "low", "high", "close", "return", "valuevolume"], **tolerances)
+
+
+def run(spark: SparkSession, payloads: DataFrame, rates: DataFrame, root: str, interval: str = "quarterly", per_year: float = 4.0, **thresholds) -> DataFrame:
+    """One run of the whole job: the stored bars under ``root`` are brought up to date, and the panel ``(symbol, ts, ret, valuevolume, price)`` made of them."""
+    after = update_bars(spark, root, payloads, **thresholds)
+    panel = stored(spark, market_panel(store.read(spark, after, BARS), interval), "periods")
+    return with_cash(panel, rates, per_year)

@@ -8,7 +8,7 @@ from ..functions.core import asof_join, param_audit, param_lookup, shared_folder
 from ..operators import panel as p
 from ..sources import files as s
 from . import testbeds as tb
-from .cleaning_queries import LANDED, MILD, W, r
+from .cleaning_queries import FIRM, LANDED, LANDED_FIRM, MILD, W, r
 from .registry import query, shown, view
 
 D = "CAST(ts AS DATE) AS ts"
@@ -380,34 +380,57 @@ def payloads(bars):
     return rows.select("symbol", F.to_json(body, {"ignoreNullFields": "false"}).alias("raw"))
 
 
-view("tb_j1", f"""
-    SELECT symbol, ts, open, CASE WHEN k > 1 THEN low END AS low, CASE WHEN k > 1 THEN high END AS high, CASE WHEN k > 1 THEN close END AS close, CASE WHEN k > 1 THEN ret END AS ret, CASE WHEN k > 1 THEN volume END * open AS vv
-    FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM {LANDED})""", LANDED)
-view("tb_j2", f"SELECT symbol, ts, ret, vv, open AS price FROM (SELECT *, row_number() {W} AS k FROM tb_j1) WHERE k > 1 OR (open IS NOT NULL AND low IS NOT NULL AND high IS NOT NULL AND close IS NOT NULL AND ret IS NOT NULL AND vv IS NOT NULL)", "tb_j1")
-view("tb_j3", "SELECT s.symbol, d.ts, ret, vv, price FROM (SELECT DISTINCT symbol FROM tb_j2) s CROSS JOIN (SELECT DISTINCT ts FROM tb_j2) d LEFT JOIN tb_j2 p ON p.symbol = s.symbol AND p.ts = d.ts", "tb_j2")
-view("tb_j4", f"""
-    SELECT symbol, ts, CASE WHEN NOT last THEN ret END AS ret, CASE WHEN NOT last THEN vv END AS vv, CASE WHEN last THEN coalesce(price, before) ELSE price END AS price FROM (
-      SELECT *, ts = max(ts) OVER () AS last, lag(price) {W} AS before FROM (SELECT t.* FROM tb_j3 t, (SELECT min(ts) AS cut FROM (
-        SELECT ts, bool_or(price IS NULL) AS gap, row_number() OVER (ORDER BY ts DESC) AS n FROM tb_j3 GROUP BY 1) WHERE n <= 5 AND gap) WHERE cut IS NULL OR ts <= cut))""", "tb_j3")
-view("tb_j5", """
-    SELECT symbol, label AS ts, exp(g) - 1 AS ret, vv, price FROM (SELECT symbol, date_trunc('quarter', ts) AS p, sum(ln(1 + ret)) AS g, sum(vv) AS vv, arg_min(price, ts) FILTER (price IS NOT NULL) AS price FROM tb_j4 GROUP BY 1, 2)
-    JOIN (SELECT date_trunc('quarter', ts) AS p, min(ts) AS label FROM tb_j4 GROUP BY 1) USING (p)""", "tb_j4")
-view("tb_j6", """
-    SELECT symbol, ts, CASE WHEN ts <> fr THEN ret END AS ret, CASE WHEN ts <> fv THEN vv END AS vv, CASE WHEN ts <> fp THEN price END AS price FROM (
-      SELECT *, min(CASE WHEN ret IS NOT NULL THEN ts END) OVER w AS fr, min(CASE WHEN vv IS NOT NULL THEN ts END) OVER w AS fv, min(CASE WHEN price IS NOT NULL THEN ts END) OVER w AS fp FROM (
-        SELECT symbol, ts, min(ts) OVER () AS t0, CASE WHEN ts < max(ts) OVER () THEN ret END AS ret, CASE WHEN ts < max(ts) OVER () THEN vv END AS vv, price FROM tb_j5) WINDOW w AS (PARTITION BY symbol)) WHERE ts > t0""", "tb_j5")
-view("tb_job", """
-    SELECT * FROM tb_j6 UNION ALL SELECT 'cash', c.ts, exp(ln(1 + rate / 100) / 4) - 1, NULL, NULL FROM (SELECT DISTINCT ts FROM tb_j6) c ASOF LEFT JOIN tb_rate r ON c.ts >= r.ts""", "tb_j6", "tb_rate")
-
-
-@query("market_job", f"SELECT symbol, {D}, {r('ret', digits=7)}, {r('vv', 'valuevolume', 2)}, {r('price', digits=7)} FROM tb_job", "tb_job")
-def _(spark, sf):
-    """From payloads to the stored quarterly panel with cash, in two runs: the second merges into what the first has stored."""
-    from . import market_job
-
-    landed = payloads(tb.dirty_bars(spark, sf, closes=False))
-    path = market_job.run(spark, landed, tb.rates(spark, sf), **MILD)
-    path = market_job.run(spark, landed, tb.rates(spark, sf), before=path, **MILD)
-    out = spark.read.parquet(path)
+def job_views(t: str, landed: str) -> None:
+    """Views of the job from cleaned bars to the quarterly panel with cash, ``{t}ob``."""
+    view(f"{t}1", f"""
+        SELECT symbol, ts, open, CASE WHEN k > 1 THEN low END AS low, CASE WHEN k > 1 THEN high END AS high, CASE WHEN k > 1 THEN close END AS close, CASE WHEN k > 1 THEN ret END AS ret, CASE WHEN k > 1 THEN volume END * open AS vv
+        FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM {landed})""", landed)
+    view(f"{t}2", f"SELECT symbol, ts, ret, vv, open AS price FROM (SELECT *, row_number() {W} AS k FROM {t}1) WHERE k > 1 OR (open IS NOT NULL AND low IS NOT NULL AND high IS NOT NULL AND close IS NOT NULL AND ret IS NOT NULL AND vv IS NOT NULL)", f"{t}1")
+    view(f"{t}3", f"SELECT s.symbol, d.ts, ret, vv, price FROM (SELECT DISTINCT symbol FROM {t}2) s CROSS JOIN (SELECT DISTINCT ts FROM {t}2) d LEFT JOIN {t}2 p ON p.symbol = s.symbol AND p.ts = d.ts", f"{t}2")
+    view(f"{t}4", f"""
+        SELECT symbol, ts, CASE WHEN NOT last THEN ret END AS ret, CASE WHEN NOT last THEN vv END AS vv, CASE WHEN last THEN coalesce(price, before) ELSE price END AS price FROM (
+          SELECT *, ts = max(ts) OVER () AS last, lag(price) {W} AS before FROM (SELECT t.* FROM {t}3 t, (SELECT min(ts) AS cut FROM (
+            SELECT ts, bool_or(price IS NULL) AS gap, row_number() OVER (ORDER BY ts DESC) AS n FROM {t}3 GROUP BY 1) WHERE n <= 5 AND gap) WHERE cut IS NULL OR ts <= cut))""", f"{t}3")
+    view(f"{t}5", f"""
+        SELECT symbol, label AS ts, exp(g) - 1 AS ret, vv, price FROM (SELECT symbol, date_trunc('quarter', ts) AS p, sum(ln(1 + ret)) AS g, sum(vv) AS vv, arg_min(price, ts) FILTER (price IS NOT NULL) AS price FROM {t}4 GROUP BY 1, 2)
+        JOIN (SELECT date_trunc('quarter', ts) AS p, min(ts) AS label FROM {t}4 GROUP BY 1) USING (p)""", f"{t}4")
+    view(f"{t}6", f"""
+        SELECT symbol, ts, CASE WHEN ts <> fr THEN ret END AS ret, CASE WHEN ts <> fv THEN vv END AS vv, CASE WHEN ts <> fp THEN price END AS price FROM (
+          SELECT *, min(CASE WHEN ret IS NOT NULL THEN ts END) OVER w AS fr, min(CASE WHEN vv IS NOT NULL THEN ts END) OVER w AS fv, min(CASE WHEN price IS NOT NULL THEN ts END) OVER w AS fp FROM (
+            SELECT symbol, ts, min(ts) OVER () AS t0, CASE WHEN ts < max(ts) OVER () THEN ret END AS ret, CASE WHEN ts < max(ts) OVER () THEN vv END AS vv, price FROM {t}5) WINDOW w AS (PARTITION BY symbol)) WHERE ts > t0""", f"{t}5")
+    view(f"{t}ob", f"""
+        SELECT * FROM {t}6 UNION ALL SELECT 'cash', c.ts, exp(ln(1 + rate / 100) / 4) - 1, NULL, NULL FROM (SELECT DISTINCT ts FROM {t}6) c ASOF LEFT JOIN tb_rate r ON c.ts >= r.ts""", f"{t}6", "tb_rate")
+
+
+job_views("tb_j", LANDED)
+job_views("tb_f", LANDED_FIRM)
+JOB = f"SELECT symbol, {D}, {r('ret', digits=7)}, {r('vv', 'valuevolume', 2)}, {r('price', digits=7)} FROM "
+
+
+def _job_shown(out):
     digits = {"ret": 7, "valuevolume": 2, "price": 7}
     return out.select("symbol", F.to_date("ts").alias("ts"), *((F.round(k, n) + F.lit(0.0)).alias(k) for k, n in digits.items()))
+
+
+@query("market_job", JOB + "tb_job", "tb_job")
+def _(spark, sf):
+    """From payloads to the stored bars and their quarterly panel with cash, in two runs: the second meets what the first has stored."""
+    from . import market_job
+
+    landed, root = payloads(tb.dirty_bars(spark, sf, closes=False)), shared_folder(spark, "bars")
+    market_job.run(spark, landed, tb.rates(spark, sf), root, **MILD)
+    return _job_shown(market_job.run(spark, landed, tb.rates(spark, sf), root, **MILD))
+
+
+CUT, AGAIN = "1998-06-01", "1998-02-01"
+
+
+@query("market_job_incremental", JOB + "tb_fob", "tb_fob")
+def _(spark, sf):
+    """The same panel in two runs of which the first ends in 1998 with a last bar not yet settled, and the second brings later payloads and an overlap alone."""
+    from . import market_job
+
+    bars, root = tb.dirty_bars(spark, sf, closes=False), shared_folder(spark, "bars")
+    unsettled = {c: F.when(F.col("ts") == CUT, F.col(c) * 1.01).otherwise(F.col(c)) for c in ("close", "adjclose", "high")}
+    market_job.run(spark, payloads(bars.where(F.col("ts") <= CUT).withColumns(unsettled)), tb.rates(spark, sf), root, **FIRM)
+    return _job_shown(market_job.run(spark, payloads(bars.where(F.col("ts") >= AGAIN)), tb.rates(spark, sf), root, **FIRM))

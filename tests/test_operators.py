@@ -1,5 +1,6 @@
 """Operators that SQL does not express against pandas and NumPy; invariants; planted faults; streams."""
 
+import os
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -11,7 +12,7 @@ from panelforge import schemas
 from panelforge.functions import core
 from panelforge.functions.core import asof_join, resample_return
 from panelforge.operators import checks, cleaning, factors, forecasts, panel as panels, terms, trades, weights
-from panelforge.sources import files
+from panelforge.sources import files, store
 from panelforge.streaming import bars as st
 
 START = datetime(2020, 1, 1)
@@ -455,3 +456,71 @@ def test_late_ticks_leave_no_mark_on_closed_bars(spark, tmp_path):
     bars = spark.read.parquet(str(tmp_path / "out")).orderBy("ts").collect()
     assert (bars[0].open, bars[0].high, bars[0].close) == (1.0, 31.0, 31.0)
     assert len(bars) == 2
+
+
+def folders(path):
+    """Every file under a folder with its time of change."""
+    return {p: os.stat(p).st_mtime_ns for d, _, names in os.walk(path) for n in names for p in [f"{d}/{n}"] if "/data/" in p}
+
+
+def test_appends_leave_old_years_alone(spark, tmp_path):
+    """Later bars, an overlap, a restated bar, a new symbol, and a symbol that brings nothing."""
+    root = str(tmp_path / "store")
+    day = lambda y, m, d: datetime(y, m, d)
+    schema = "symbol string, ts timestamp, x double"
+    first = [("a", day(1999, 5, 1), 1.0), ("a", day(2000, 5, 1), 2.0), ("a", day(2001, 5, 1), 3.0), ("a", day(2001, 6, 1), 4.0), ("b", day(1999, 5, 1), 5.0), ("b", day(2000, 6, 1), 6.0)]
+    one = store.append(spark, root, spark.createDataFrame(first, schema))
+    before = folders(root)
+    later = [("a", day(2000, 5, 1), 20.0), ("a", day(2001, 5, 1), 30.0), ("a", day(2001, 6, 1), 40.0), ("a", day(2002, 1, 1), 50.0), ("c", day(2002, 3, 1), 7.0), ("c", day(2002, 3, 1), 7.0)]
+    two = store.append(spark, root, spark.createDataFrame(later, schema))
+    after = folders(root)
+    assert store.latest(spark, root) == two and {p: after[p] for p in before} == before
+    got = {(r.symbol, r.ts): r.x for r in store.read(spark, two, schema).collect()}
+    kept = {(s, t): x for s, t, x in first if (s, t) not in {("a", day(2001, 5, 1)), ("a", day(2001, 6, 1))}}
+    assert got == kept | {("a", day(2001, 5, 1)): 30.0, ("a", day(2001, 6, 1)): 40.0, ("a", day(2002, 1, 1)): 50.0, ("c", day(2002, 3, 1)): 7.0}
+    assert {y: two.years[y] == one.years.get(y) for y in two.years} == {1999: True, 2000: True, 2001: False, 2002: False}
+    assert {(r.symbol, r.ts) for r in store.read(spark, one, schema).collect()} == {(s, t) for s, t, _ in first}
+    assert {r.symbol: len(r.times) for r in store.tails(spark, two).collect()} == {"a": 5, "b": 2, "c": 1}
+    lent = store.lent(spark, two, spark.createDataFrame([("a",)], "symbol string"), schema, 2)
+    assert sorted(r.x for r in lent.collect()) == [40.0, 50.0]
+    old, new = store.changed(spark, one, two, schema)
+    assert {r.ts.year for r in old.collect()} == {2001} and {r.ts.year for r in new.collect()} == {2001, 2002}
+    assert {(r.ts, r.fault) for r in files.audit_append_only(old, new, ["x"]).collect()} == {(day(2001, 5, 1), "changed")}
+    # a payload that begins behind the last stored rows takes none away
+    three = store.append(spark, root, spark.createDataFrame([("b", day(2002, 5, 1), 8.0)], schema))
+    assert {(r.ts, r.x) for r in store.read(spark, three, schema).where("symbol = 'b'").collect()} == {(day(1999, 5, 1), 5.0), (day(2000, 6, 1), 6.0), (day(2002, 5, 1), 8.0)}
+
+
+def test_pruned_reads_open_the_years_asked_for(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = [("a", datetime(1990 + k, 1, 1), float(k)) for k in range(12)]
+    version = store.append(spark, root, spark.createDataFrame(rows, "symbol string, ts timestamp, x double"))
+    asked = store.read(spark, version, "symbol string, ts timestamp, x double", since=2000)
+    assert sorted(r.x for r in asked.collect()) == [10.0, 11.0] and all("year=200" in f for f in asked.inputFiles())
+
+
+def test_incremental_cleaning_is_what_the_two_runs_say(spark, tmp_path):
+    """Kept rows of the first run, then the second payload cleaned with the stored rows before it; nothing else moves."""
+    from panelforge.jobs import market_job
+    from panelforge.jobs.panel_queries import payloads
+
+    bars = None
+    for k in range(3):
+        own = make_bars(spark, n=500, seed=k, open=(397 + k, 1.0), high=(396, 900.0), low=(392 + k, 1e-3))[1].withColumn("symbol", F.lit(f"s{k}"))
+        bars = own if bars is None else bars.unionByName(own)
+    cut, since = START + timedelta(days=399), START + timedelta(days=300)
+    root = str(tmp_path / "bars")
+    one = market_job.update_bars(spark, root, payloads(bars.where(F.col("ts") <= cut)))
+    two = market_job.update_bars(spark, root, payloads(bars.where(F.col("ts") >= since)))
+    got = store.read(spark, two, market_job.BARS).orderBy("symbol", "ts").toPandas()
+    old = store.read(spark, one, market_job.BARS)
+    parts = []
+    for symbol, own in old.toPandas().sort_values("ts").groupby("symbol"):
+        begin, kept = own.ts.iloc[-5], own.iloc[:-2]
+        new = cleaning.clean_bars(bars.where((F.col("symbol") == symbol) & (F.col("ts") >= begin)), old.where((F.col("symbol") == symbol) & (F.col("ts") < begin)))
+        new = cleaning.value_volume(cleaning.null_last_row(new)).toPandas().sort_values("ts")
+        parts += [kept, new[new.ts > kept.ts.iloc[-1]]]
+    want = pd.concat(parts)[list(got.columns)].reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, want, check_dtype=False)
+    faults = market_job.audit_run(spark, one, two).toPandas()
+    assert faults.empty or set(faults.ts) <= {t for _, own in old.toPandas().sort_values("ts").groupby("symbol") for t in own.ts.iloc[-2:-1]}
