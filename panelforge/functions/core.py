@@ -88,8 +88,8 @@ def asof_join(
     """``left`` with ``values`` of the last ``right`` row at or before its time (``forward``: the first at or after).
 
     The two sides are stacked and one window per key carries values along, so a row is shuffled once and no range join
-    multiplies rows. ``exclusive`` leaves out right rows at the same time. Missing right values are skipped over as
-    rows without news; repeated right times: the greatest value wins (looking ahead: the least).
+    multiplies rows. ``exclusive`` leaves out right rows at the same time. A right row counts whatever its values: one that is
+    null is carried as null (leave such rows out to have the value before them). Repeated right times: the greatest value wins (looking ahead: the least).
 
     Without ``by`` a right side of up to ``ARRAY_ROWS`` rows (a calendar; they are counted) is looked up as one sorted array, by binary search. A
     larger one is joined inside days, and where a day has nothing, by the last (first) row of the other days, which are an array again.

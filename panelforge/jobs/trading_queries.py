@@ -84,7 +84,9 @@ def _(spark, sf):
     return shown(w.z_fixed(weights(spark, sf), z), P, "symbol", "ts", "w")
 
 
-@query("w_periodic", f"{PD} {r('''CASE WHEN month(ts) % 6 = 0 THEN CASE symbol WHEN 'Brand#1' THEN 0.6 WHEN 'Brand#2' THEN 0.4 ELSE w END ELSE w END''', 'w')} FROM tb_w", "tb_w")
+@query("w_periodic", f"""{PD} {r("CASE WHEN month(ts) % 6 = 0 THEN CASE symbol WHEN 'Brand#1' THEN 0.6 WHEN 'Brand#2' THEN 0.4 ELSE w END ELSE w END", 'w')} FROM tb_w
+    UNION ALL SELECT portfolio_id, symbol, {D}, w FROM (SELECT DISTINCT portfolio_id, ts FROM tb_w WHERE month(ts) % 6 = 0) b, (VALUES ('Brand#1', 0.6::DOUBLE), ('Brand#2', 0.4)) g(symbol, w)
+    WHERE NOT EXISTS (SELECT 1 FROM tb_w w WHERE w.portfolio_id = b.portfolio_id AND w.ts = b.ts AND w.symbol = g.symbol)""", "tb_w")
 def _(spark, sf):
     goal = spark.createDataFrame([("Brand#1", 0.6), ("Brand#2", 0.4)], "symbol string, w double")
     times = tb.panel(spark, sf).select("ts").where("month(ts) % 6 = 0")
@@ -105,7 +107,9 @@ def _goals(spark, sf):
     b AS (SELECT DISTINCT portfolio_id, c.ts, n FROM tb_w w JOIN c ON c.ts = w.ts), a AS (SELECT b.portfolio_id, b.ts, b.n, q.ts AS goal_ts FROM b ASOF LEFT JOIN q ON b.portfolio_id = q.portfolio_id AND b.ts <= q.ts),
     l AS (SELECT a.portfolio_id, a.ts, goal_ts, d.n - a.n AS k FROM a LEFT JOIN c d ON d.ts = goal_ts)
     SELECT w.portfolio_id, w.symbol, CAST(w.ts AS DATE) AS ts, {r('w.w + CASE WHEN k > 0 THEN (coalesce(g.w, 0) - w.w) / k ELSE 0 END', 'w')} FROM tb_w w JOIN l ON l.portfolio_id = w.portfolio_id AND l.ts = w.ts
-    LEFT JOIN tb_target g ON g.portfolio_id = w.portfolio_id AND g.ts = l.goal_ts AND g.symbol = w.symbol""", "tb_w", "tb_target")
+    LEFT JOIN tb_target g ON g.portfolio_id = w.portfolio_id AND g.ts = l.goal_ts AND g.symbol = w.symbol
+    UNION ALL SELECT l.portfolio_id, g.symbol, CAST(l.ts AS DATE), {r('g.w / k', 'w')} FROM l JOIN tb_target g ON g.portfolio_id = l.portfolio_id AND g.ts = l.goal_ts
+    WHERE k > 0 AND NOT EXISTS (SELECT 1 FROM tb_w w WHERE w.portfolio_id = l.portfolio_id AND w.ts = l.ts AND w.symbol = g.symbol)""", "tb_w", "tb_target")
 def _(spark, sf):
     return shown(w.w_proportional_to_target(weights(spark, sf), _goals(spark, sf)), P, "symbol", "ts", "w")
 
@@ -116,12 +120,12 @@ def _(spark, sf):
     return shown(w.target_faults(own), digits=6)
 
 
-@query("w_adaptive", f", j AS (SELECT w.*, coalesce(g.w, 0) AS goal FROM {JOINED}) {PD} {r('CASE WHEN sqrt(sum((w - goal) * (w - goal)) OVER (PARTITION BY portfolio_id, ts)) > 0.5 THEN goal ELSE w END', 'w')} FROM j", "tb_w", "tb_target")
+@query("w_adaptive", f", j AS (SELECT w.*, coalesce(g.w, 0) AS goal, count(g.w) OVER (PARTITION BY w.portfolio_id, w.ts) > 0 AS given FROM {JOINED}) {PD} {r('CASE WHEN given AND sqrt(sum((w - goal) * (w - goal)) OVER (PARTITION BY portfolio_id, ts)) > 0.5 THEN goal ELSE w END', 'w')} FROM j", "tb_w", "tb_target")
 def _(spark, sf):
     return shown(w.w_adaptive(weights(spark, sf), target(spark, sf), 0.5), P, "symbol", "ts", "w")
 
 
-@query("w_leverage_band", f", j AS (SELECT w.*, coalesce(g.w, 0) AS goal, sum(CASE WHEN NOT is_cash THEN abs(w.w) END) OVER (PARTITION BY w.portfolio_id, w.ts) AS lev FROM {JOINED}) {PD} {r('CASE WHEN lev < 0.9 OR lev > 1.0 THEN goal ELSE w END', 'w')} FROM j", "tb_w", "tb_target")
+@query("w_leverage_band", f", j AS (SELECT w.*, coalesce(g.w, 0) AS goal, count(g.w) OVER (PARTITION BY w.portfolio_id, w.ts) > 0 AS given, sum(CASE WHEN NOT is_cash THEN abs(w.w) END) OVER (PARTITION BY w.portfolio_id, w.ts) AS lev FROM {JOINED}) {PD} {r('CASE WHEN given AND (lev < 0.9 OR lev > 1.0) THEN goal ELSE w END', 'w')} FROM j", "tb_w", "tb_target")
 def _(spark, sf):
     return shown(w.w_leverage_band(weights(spark, sf), target(spark, sf), 0.9, 1.0), P, "symbol", "ts", "w")
 
@@ -219,8 +223,11 @@ def returns_with_cash(spark, sf):
     return p.with_cash_rows(own, p.add_cash(own, tb.rates(spark, sf), 12.0)).select("ts", "symbol", "ret")
 
 
+AFTER = "(h + u - CASE WHEN h.is_cash THEN paid ELSE 0 END)"
+
+
 @query("step_holdings", f"""
-    SELECT h.portfolio_id, h.symbol, CAST(h.ts AS DATE) AS ts, {r('(h + u - CASE WHEN h.is_cash THEN paid ELSE 0 END) * (1 + coalesce(ret, 0))', 'h_next', 2)} FROM tb_hold h JOIN tb_trade t ON t.portfolio_id = h.portfolio_id AND t.ts = h.ts AND t.symbol = h.symbol
+    SELECT h.portfolio_id, h.symbol, CAST(h.ts AS DATE) AS ts, {r(f'CASE WHEN {AFTER} = 0 THEN 0 ELSE {AFTER} * (1 + ret) END', 'h_next', 2)} FROM tb_hold h JOIN tb_trade t ON t.portfolio_id = h.portfolio_id AND t.ts = h.ts AND t.symbol = h.symbol
     JOIN (SELECT portfolio_id, ts, sum(abs(u)) * 0.001 AS paid FROM tb_trade WHERE NOT is_cash GROUP BY 1, 2) c ON c.portfolio_id = h.portfolio_id AND c.ts = h.ts LEFT JOIN tb_ret_cash r ON r.ts = h.ts AND r.symbol = h.symbol""", "tb_hold", "tb_trade", "tb_ret_cash")
 def _(spark, sf):
     u = tb.trades(spark, sf)
@@ -273,17 +280,36 @@ def _mix(spark):
 GROWTH = "exp(coalesce(sum(ln(1 + {})) OVER (PARTITION BY {} ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))"
 
 
-@query("buy_and_hold_curve", f", g AS (SELECT ts, symbol, {GROWTH.format('coalesce(ret, 0)', 'symbol')} AS g FROM tb_ret_cash) SELECT portfolio_id, {D}, {r('sum(w * 100 * g)', 'v', 4)} FROM g JOIN tb_mix USING (symbol) GROUP BY 1, ts", "tb_ret_cash", "tb_mix")
-def _(spark, sf):
-    start = _mix(spark).withColumn("h", F.col("w") * 100)
-    return shown(t.buy_and_hold_curve(start, returns_with_cash(spark, sf)), digits=4)
+def filled(spark, sf):
+    return returns_with_cash(spark, sf).withColumn("ret", F.coalesce("ret", F.lit(0.0)))
 
 
-@query("constant_mix_curve", f", s AS (SELECT portfolio_id, ts, sum(w * coalesce(ret, 0)) AS r FROM tb_ret_cash JOIN tb_mix USING (symbol) GROUP BY 1, 2) SELECT portfolio_id, {D}, {r(GROWTH.format('r', 'portfolio_id'), 'v', 6)} FROM s", "tb_ret_cash", "tb_mix")
-def _(spark, sf):
-    return shown(t.constant_mix_curve(_mix(spark), returns_with_cash(spark, sf)), digits=6)
+view("tb_ret_filled", "SELECT ts, symbol, coalesce(ret, 0) AS ret FROM tb_ret_cash", "tb_ret_cash")
+view("tb_mix_n", "SELECT portfolio_id, count(*) AS n FROM tb_mix GROUP BY 1", "tb_mix")
+KNOWN = "CASE WHEN coalesce(count(*) FILTER (WHERE {0} IS NULL) OVER (PARTITION BY {1} ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 THEN {2} END"
 
 
-@query("drifted_weights", f", g AS (SELECT w.portfolio_id, w.ts, w.symbol, w * (1 + coalesce(ret, 0)) AS g FROM tb_w w LEFT JOIN tb_ret_cash r ON r.ts = w.ts AND r.symbol = w.symbol) {PD} {r('g / sum(g) OVER (PARTITION BY portfolio_id, ts)', 'w', 6)} FROM g", "tb_w", "tb_ret_cash")
-def _(spark, sf):
-    return shown(t.drifted_weights(weights(spark, sf), returns_with_cash(spark, sf)), P, "symbol", "ts", "w", digits=6)
+def _register_curves(gaps: str, source: str, returns) -> None:
+    """Curves over returns without gaps, and over some with gaps, after which a portfolio's value is not known."""
+    growth = KNOWN.format("ret", "symbol", GROWTH.format("ret", "symbol"))
+    grid = f"(SELECT m.portfolio_id, n, c.ts FROM tb_mix_n m, (SELECT DISTINCT ts FROM {source}) c) k"
+
+    @query(f"buy_and_hold_curve{gaps}", f""", g AS (SELECT ts, symbol, {growth} AS g FROM {source}), s AS (SELECT portfolio_id, ts, count(g) AS found, sum(w * 100 * g) AS total FROM g JOIN tb_mix USING (symbol) GROUP BY 1, 2)
+        SELECT k.portfolio_id, CAST(k.ts AS DATE) AS ts, {r('CASE WHEN found = n THEN total END', 'v', 4)} FROM {grid} LEFT JOIN s ON s.portfolio_id = k.portfolio_id AND s.ts = k.ts""", source, "tb_mix", "tb_mix_n")
+    def _(spark, sf):
+        return shown(t.buy_and_hold_curve(_mix(spark).withColumn("h", F.col("w") * 100), returns(spark, sf)), digits=4)
+
+    @query(f"constant_mix_curve{gaps}", f""", q AS (SELECT portfolio_id, ts, count(ret) AS found, sum(w * ret) AS total FROM {source} JOIN tb_mix USING (symbol) GROUP BY 1, 2),
+        s AS (SELECT k.portfolio_id, k.ts, CASE WHEN found = n THEN total END AS r FROM {grid} LEFT JOIN q ON q.portfolio_id = k.portfolio_id AND q.ts = k.ts)
+        SELECT portfolio_id, {D}, {r(KNOWN.format('r', 'portfolio_id', GROWTH.format('r', 'portfolio_id')), 'v', 6)} FROM s""", source, "tb_mix", "tb_mix_n")
+    def _(spark, sf):
+        return shown(t.constant_mix_curve(_mix(spark), returns(spark, sf)), digits=6)
+
+    @query(f"drifted_weights{gaps}", f""", g AS (SELECT w.portfolio_id, w.ts, w.symbol, CASE WHEN w = 0 THEN 0 ELSE w * (1 + ret) END AS g FROM tb_w w LEFT JOIN {source} r ON r.ts = w.ts AND r.symbol = w.symbol)
+        {PD} {r('g / CASE WHEN count(*) OVER (PARTITION BY portfolio_id, ts) = count(g) OVER (PARTITION BY portfolio_id, ts) THEN sum(g) OVER (PARTITION BY portfolio_id, ts) END', 'w', 6)} FROM g""", "tb_w", source)
+    def _(spark, sf):
+        return shown(t.drifted_weights(weights(spark, sf), returns(spark, sf)), P, "symbol", "ts", "w", digits=6)
+
+
+_register_curves("", "tb_ret_filled", filled)
+_register_curves("_gaps", "tb_ret_cash", returns_with_cash)

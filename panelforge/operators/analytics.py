@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import DAY, YEAR_DAYS, asof_join, divided
+from .terms import strict_sum
 
 BOOK = ["portfolio_id", "ts"]
 TINY = 1e-8
@@ -19,12 +20,19 @@ def _path() -> Window:
 
 
 def _gross(x: str) -> Column:
-    return F.sum(F.when(~F.col("is_cash"), F.abs(x)))
+    """Gross size of all but cash; null if one is unknown."""
+    return F.when(F.count_if(~F.col("is_cash") & F.col(x).isNull()) == 0, F.sum(F.when(~F.col("is_cash"), F.abs(x))))
+
+
+def _value() -> Column:
+    """A book's value beside its rows; null if a holding is unknown."""
+    own = Window.partitionBy(*BOOK)
+    return F.when(F.count_if(F.col("h").isNull()).over(own) == 0, F.sum("h").over(own))
 
 
 def nav(holdings: DataFrame) -> DataFrame:
-    """``(portfolio_id, ts, v, leverage)``: value, and gross assets over it; one aggregation for both."""
-    out = holdings.groupBy(*BOOK).agg(F.sum("h").alias("v"), _gross("h").alias("gross"))
+    """``(portfolio_id, ts, v, leverage)``: value, and gross assets over it; one aggregation for both. Null where a holding is unknown."""
+    out = holdings.groupBy(*BOOK).agg(strict_sum(F.col("h")).alias("v"), _gross("h").alias("gross"))
     return out.select(*BOOK, "v", divided(F.col("gross"), F.col("v")).alias("leverage"))
 
 
@@ -35,13 +43,12 @@ def profit(navs: DataFrame) -> DataFrame:
 
 
 def weights(holdings: DataFrame) -> DataFrame:
-    v = F.sum("h").over(Window.partitionBy(*BOOK))
-    return holdings.withColumn("w", divided(F.col("h"), v))
+    return holdings.withColumn("w", divided(F.col("h"), _value()))
 
 
 def post_trade(holdings: DataFrame, trades: DataFrame) -> DataFrame:
     """``(…, h_plus, w_plus, z)`` where there are trades."""
-    own = weights(holdings).withColumn("v", F.sum("h").over(Window.partitionBy(*BOOK)))
+    own = weights(holdings).withColumn("v", _value())
     own = own.join(trades.select(*BOOK, "symbol", "u"), [*BOOK, "symbol"]).withColumn("h_plus", F.col("h") + F.col("u"))
     return own.select(*BOOK, "symbol", "is_cash", "h_plus", divided(F.col("h_plus"), F.col("v")).alias("w_plus"), divided(F.col("u"), F.col("v")).alias("z"))
 

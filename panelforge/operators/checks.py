@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import divided, param_lookup
-from .terms import loads_of
+from .terms import _beside, loads_of
 
 BOOK = ["portfolio_id", "ts"]
 Limit = DataFrame | float
@@ -45,7 +45,14 @@ def _book(df: DataFrame, name: str, total: Column, op: str, limit: Limit) -> Dat
 
 
 def _cash_weight() -> Column:
-    return F.coalesce(F.sum(F.when(F.col("is_cash"), F.col("w"))), F.lit(0.0))
+    """The cash weight; null for a book without a cash row."""
+    return F.when(F.count_if(F.col("is_cash") & F.col("w").isNull()) == 0, F.sum(F.when(F.col("is_cash"), F.col("w"))))
+
+
+def _gross(column: str) -> Column:
+    """Gross size of all but cash; null if one is unknown, 0 for a book of cash alone."""
+    unknown = F.count_if(~F.col("is_cash") & F.col(column).isNull())
+    return F.when(unknown == 0, F.coalesce(F.sum(F.when(~F.col("is_cash"), F.abs(column))), F.lit(0.0)))
 
 
 def _over_value(limit: float, values: DataFrame, df: DataFrame) -> DataFrame:
@@ -81,12 +88,12 @@ def chk_long_cash(weights: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def chk_leverage(weights: DataFrame, limit: Limit) -> DataFrame:
-    return _book(weights, "leverage", F.sum(F.when(~F.col("is_cash"), F.abs("w"))), "<=", limit)
+    return _book(weights, "leverage", _gross("w"), "<=", limit)
 
 
 def chk_turnover(trades: DataFrame, limit: Limit) -> DataFrame:
     """Half the gross trade weight, cash apart."""
-    return _book(trades, "turnover", F.sum(F.when(~F.col("is_cash"), F.abs("z"))) / 2, "<=", limit)
+    return _book(trades, "turnover", _gross("z") / 2, "<=", limit)
 
 
 def chk_participation(trades: DataFrame, values: DataFrame, volumes: DataFrame, share: float) -> DataFrame:
@@ -134,8 +141,8 @@ def chk_min_holdings(weights: DataFrame, values: DataFrame, limit: float) -> Dat
 
 
 def _deviation(weights: DataFrame, benchmark: DataFrame) -> DataFrame:
-    own = weights.where("not is_cash").join(benchmark.select("ts", "symbol", F.col("w").alias("wb")), ["ts", "symbol"], "left")
-    return own.withColumn("dev", F.col("w") - F.coalesce("wb", F.lit(0.0)))
+    """Symbols of the book and of the benchmark, each with its deviation; null where a weight, or the time's benchmark, is unknown."""
+    return _beside(weights, benchmark).select(*BOOK, "symbol", F.lit(False).alias("is_cash"), F.col("w").alias("dev"))
 
 
 def chk_max_bm_deviation(weights: DataFrame, benchmark: DataFrame, limit: Limit) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import DAY, YEAR_DAYS, divided, param_lookup, resample_return
+from ..schemas import CASH
 
 BOOK = ("portfolio_id", "ts")
 
@@ -46,13 +47,17 @@ def _assets(df: DataFrame) -> DataFrame:
 
 
 def _beside(df: DataFrame, benchmark: DataFrame | None) -> DataFrame:
-    """Weights less the benchmark's ``(ts, symbol, w)``; symbols of either side are kept. Cash rows are left out."""
+    """Weights less the benchmark's ``(ts, symbol, w)``; symbols of either side are kept, once each. Cash rows are left out.
+
+    Unknown on either side, and all of a book whose time has no benchmark, is null.
+    """
     own = _assets(df).select(*BOOK, "symbol", "w")
     if benchmark is None:
-        return own
-    books = own.select(*BOOK).distinct()
-    other = books.join(benchmark.select("ts", "symbol", (-F.col("w")).alias("w")), "ts").select(*BOOK, "symbol", "w")
-    return own.unionByName(other).groupBy(*BOOK, "symbol").agg(F.sum("w").alias("w"))
+        return own.groupBy(*BOOK, "symbol").agg(strict_sum(F.col("w")).alias("w"))
+    other = benchmark.where(F.col("symbol") != CASH).select("ts", "symbol", (-F.col("w")).alias("w"))
+    both = own.unionByName(own.select(*BOOK).distinct().join(other, "ts").select(*BOOK, "symbol", "w")).groupBy(*BOOK, "symbol").agg(strict_sum(F.col("w")).alias("w"))
+    dated = benchmark.select("ts", F.lit(True).alias("dated")).distinct()
+    return both.join(dated, "ts", "left").select(*BOOK, "symbol", F.when(F.col("dated"), F.col("w")).alias("w"))
 
 
 def transaction_cost(trades: DataFrame, market: DataFrame, a: float | DataFrame = 0.0, b: float | None = None, c: float = 0.0, exponent: float = 1.5, per_share: float = 0.0) -> DataFrame:
@@ -98,11 +103,12 @@ def stocks_holding_cost(holdings: DataFrame, periods: DataFrame | float, short_f
 
 
 def stress_spread_cost(trades: DataFrame, returns: DataFrame, spread: float, threshold: float, factor: float) -> DataFrame:
-    """spread |u|, times ``factor`` where the last returns' cross-section is wider than ``threshold``."""
+    """spread |u|, times ``factor`` where the last returns' cross-section is wider than ``threshold``; null where that width is not known."""
     wide = returns.groupBy("ts").agg(F.stddev_samp("ret").alias("sd"))
     wide = wide.select("ts", F.lag("sd").over(Window.orderBy("ts")).alias("sd"))
     own = _assets(trades).join(F.broadcast(wide), "ts", "left")
-    return _sum(own, spread * F.when(F.col("sd") > threshold, factor).otherwise(1.0) * F.abs("u"))
+    times = F.when(F.col("sd") > threshold, factor).when(F.col("sd").isNotNull(), 1.0)
+    return _sum(own, _of("u", spread * times * F.abs("u")))
 
 
 def custom_cost(table: DataFrame, fn: Callable[[DataFrame], Column]) -> DataFrame:

@@ -68,12 +68,14 @@ def apply_trade_filters(trades: DataFrame, panel: DataFrame, share: float = 0.05
 def step_holdings(holdings: DataFrame, trades: DataFrame, returns: DataFrame, costs: DataFrame) -> DataFrame:
     """Holdings of the next time: (h + u), cash less costs, times 1 + return.
 
-    ``returns(ts, symbol, ret)`` includes cash; ``costs(portfolio_id, ts, value)``; missing trades, returns or costs count as 0.
+    ``returns(ts, symbol, ret)`` includes cash; ``costs(portfolio_id, ts, value)``. A position or book that the trades or costs do not name has none;
+    a trade, cost or return that is null, or a return that is not there, makes the position null, unless it is 0.
     """
-    paid = costs.groupBy("portfolio_id", "ts").agg(F.sum("value").alias("paid"))
+    paid = costs.groupBy("portfolio_id", "ts").agg(F.coalesce(strict_sum(F.col("value")), F.lit(float("nan"))).alias("paid"))
+    trades = trades.withColumn("u", F.coalesce("u", F.lit(float("nan"))))  # told apart from trades that are not there
     own = holdings.join(trades.select("portfolio_id", "ts", "symbol", "u"), ["portfolio_id", "ts", "symbol"], "left").join(paid, ["portfolio_id", "ts"], "left").join(returns.select("ts", "symbol", "ret"), ["ts", "symbol"], "left")
     after = F.col("h") + F.coalesce("u", F.lit(0.0)) - F.when(F.col("is_cash"), F.coalesce("paid", F.lit(0.0))).otherwise(0.0)
-    return own.select(*holdings.columns, (after * (1 + F.coalesce("ret", F.lit(0.0)))).alias("h_next"))
+    return own.select(*holdings.columns, F.nullif(F.when(after == 0, 0.0).otherwise(after * (1 + F.col("ret"))), F.lit(float("nan"))).alias("h_next"))
 
 
 def adjust_universe(holdings: DataFrame, universe: DataFrame) -> DataFrame:
@@ -105,26 +107,43 @@ def benchmark_return(weights: DataFrame, returns: DataFrame, by: Sequence[str] =
 
 
 def _growth(ret: Column | str, *keys: str) -> Column:
-    """Product of 1 + return over the rows before each one."""
+    """Product of 1 + return over the rows before each one; null from the first unknown return on."""
     past = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    return F.exp(F.coalesce(F.sum(F.log1p(ret)).over(past), F.lit(0.0)))
+    ret = F.col(ret) if isinstance(ret, str) else ret
+    unknown = F.coalesce(F.count_if(ret.isNull()).over(past), F.lit(0))
+    return F.when(unknown == 0, F.exp(F.coalesce(F.sum(F.log1p(ret)).over(past), F.lit(0.0))))
+
+
+def _whole(parts: DataFrame, held: DataFrame, returns: DataFrame, name: str) -> DataFrame:
+    """``(portfolio_id, ts, name)``: sums of ``part`` at every time of ``returns``, null where one of a portfolio's held symbols has none."""
+    sums = parts.groupBy("portfolio_id", "ts").agg(F.count("part").alias("found"), F.sum("part").alias("total"))
+    asked = held.groupBy("portfolio_id").agg(F.count("*").alias("n"))
+    grid = asked.crossJoin(returns.select("ts").distinct())  # portfolios times the calendar: the result's rows
+    out = grid.join(sums, ["portfolio_id", "ts"], "left")
+    return out.select("portfolio_id", "ts", F.when(F.coalesce("found", F.lit(0)) == F.col("n"), F.coalesce("total", F.lit(0.0))).alias(name))
 
 
 def buy_and_hold_curve(start: DataFrame, returns: DataFrame) -> DataFrame:
-    """``(portfolio_id, ts, v)`` of holding ``start(portfolio_id, symbol, h)`` from the first time on, without costs."""
-    own = returns.withColumn("g", _growth(F.coalesce("ret", F.lit(0.0)), "symbol"))
-    return own.join(start, "symbol").groupBy("portfolio_id", "ts").agg(F.sum(F.col("h") * F.col("g")).alias("v"))
+    """``(portfolio_id, ts, v)`` of holding ``start(portfolio_id, symbol, h)`` from the first time on, without costs.
+
+    Null where the way of a held symbol is not known: after a missing return, at times without its row, always for a symbol without any.
+    """
+    held = start.where("h <> 0 or h is null")
+    own = returns.withColumn("g", _growth("ret", "symbol"))
+    return _whole(own.join(held, "symbol").withColumn("part", F.col("h") * F.col("g")), held, returns, "v")
 
 
 def constant_mix_curve(mix: DataFrame, returns: DataFrame, value: float = 1.0) -> DataFrame:
-    """``(portfolio_id, ts, v)`` of going back to ``mix(portfolio_id, symbol, w)`` at every time, without costs."""
-    step = returns.join(mix, "symbol").groupBy("portfolio_id", "ts").agg(F.sum(F.col("w") * F.coalesce("ret", F.lit(0.0))).alias("r"))
+    """``(portfolio_id, ts, v)`` of going back to ``mix(portfolio_id, symbol, w)`` at every time, without costs; null after a period with an unknown return of the mix."""
+    held = mix.where("w <> 0 or w is null")
+    step = _whole(returns.join(held, "symbol").withColumn("part", F.col("w") * F.col("ret")), held, returns, "r")
     return step.select("portfolio_id", "ts", (value * _growth("r", "portfolio_id")).alias("v"))
 
 
 def drifted_weights(weights: DataFrame, returns: DataFrame) -> DataFrame:
-    """Weights after a period without trading: w (1 + r) over their sum."""
-    grown = weights.join(returns.select("ts", "symbol", "ret"), ["ts", "symbol"], "left").withColumn("g", F.col("w") * (1 + F.coalesce("ret", F.lit(0.0))))
-    return grown.withColumn("w", divided(F.col("g"), F.sum("g").over(book()))).select(*weights.columns)
+    """Weights after a period without trading: w (1 + r) over their sum; a book's are null if the return of one of its positions is unknown."""
+    grown = weights.join(returns.select("ts", "symbol", "ret"), ["ts", "symbol"], "left").withColumn("g", F.when(F.col("w") == 0, 0.0).otherwise(F.col("w") * (1 + F.col("ret"))))
+    total = F.when(F.count_if(F.col("g").isNull()).over(book()) == 0, F.sum("g").over(book()))
+    return grown.withColumn("w", divided(F.col("g"), total)).select(*weights.columns)
 
 

@@ -67,12 +67,25 @@ def z_rank_turnover(signal: DataFrame, longs: int, shorts: int, turnover: float)
 
 
 def w_fixed(current: DataFrame, target: DataFrame) -> DataFrame:
-    """The target weight where one is given for the time, else the current one (``w`` in both)."""
-    on = [c for c in ("portfolio_id", "ts", "symbol") if c in target.columns]
-    joined = current.join(target.withColumnRenamed("w", "goal"), on, "left")
+    """The target weight where one is given for the time, else the current one (``w`` in both); symbols of the target that are not held come in."""
+    joined = _beside_target(current, target)
     return joined.withColumn("w", F.coalesce("goal", "w")).select(*current.columns)
 
 
+def _beside_target(current: DataFrame, target: DataFrame) -> DataFrame:
+    """``current`` with the target as ``goal``. Symbols that a target names and a book of its time does not hold stand with weight 0 and ``new_``."""
+    on = [c for c in ("portfolio_id", "ts", "symbol") if c in target.columns]
+    goals = target.select(*on, F.col("w").alias("goal"))
+    book = [c for c in ("portfolio_id", "ts") if c in current.columns]
+    # only the books' keys meet the target here: no row is multiplied
+    wanted = current.select(*book).distinct().join(goals, [c for c in on if c != "symbol"]).select(*book, "symbol")
+    new = wanted.join(current.select(*book, "symbol"), [*book, "symbol"], "left_anti").withColumns({"w": F.lit(0.0), "new_": F.lit(True)})
+    if "is_cash" in current.columns:
+        new = new.withColumn("is_cash", F.col("symbol") == CASH)
+    whole = current.withColumn("new_", F.lit(False)).unionByName(new, allowMissingColumns=True)
+    return whole.join(goals, on, "left")
+
+
 def z_fixed(current: DataFrame, trades: DataFrame) -> DataFrame:
     """Current weights plus given trade weights ``z``; no trade where none is given."""
     on = [c for c in ("portfolio_id", "ts", "symbol") if c in trades.columns]
@@ -86,7 +99,10 @@ def w_periodic(current: DataFrame, target: DataFrame, times: DataFrame) -> DataF
 
 
 def rebalance_dates(calendar: DataFrame, unit: str) -> DataFrame:
-    """Times in another day, week, month, quarter or year than the time before; the first is none."""
+    """Times whose number of the day (in its year), week, month, quarter or year is another than that of the time before; the first is none.
+
+    Numbers are compared without their year, so times a whole year apart are none by month: the calendar is taken to have rows in every unit.
+    """
     parts = {"day": F.dayofyear, "week": F.weekofyear, "month": F.month, "quarter": F.quarter, "year": F.year}[unit]
     own = calendar.select("ts").distinct().withColumn("now", parts("ts"))
     return own.withColumn("before", F.lag("now").over(Window.orderBy("ts"))).where("now <> before").select("ts")
@@ -105,7 +121,9 @@ def w_proportional_to_target(current: DataFrame, targets: DataFrame) -> DataFram
     ahead = asof_join(books, goals, ["goal_ts"], by=by, forward=True)
     reach = ahead.join(F.broadcast(times.select(F.col("ts").alias("goal_ts"), F.col("n").alias("goal_n"))), "goal_ts", "left").select(*by, "ts", "goal_ts", (F.col("goal_n") - F.col("n")).alias("left"))
     goal = targets.select(*by, F.col("ts").alias("goal_ts"), "symbol", F.col("w").alias("goal"))
-    out = current.join(reach, [*by, "ts"]).join(goal, [*by, "goal_ts", "symbol"], "left")
+    # the goal as a target of every time on the way to it, so that its symbols come in
+    ahead = reach.where("left > 0").join(goal, [*by, "goal_ts"]).select(*by, "ts", "symbol", F.col("goal").alias("w"))
+    out = _beside_target(current, ahead).join(reach, [*by, "ts"])
     step = F.when(F.col("left") > 0, (F.coalesce("goal", F.lit(0.0)) - F.col("w")) / F.col("left"))
     return out.withColumn("w", F.col("w") + F.coalesce(step, F.lit(0.0))).select(*current.columns)
 
@@ -116,9 +134,10 @@ def target_faults(targets: DataFrame, tol: float = 1e-9) -> DataFrame:
 
 
 def _to_target_if(current: DataFrame, target: DataFrame, trigger: Callable[[DataFrame], Column]) -> DataFrame:
-    on = [c for c in ("portfolio_id", "ts", "symbol") if c in target.columns]
-    joined = current.join(target.withColumnRenamed("w", "goal"), on, "left").withColumn("goal", F.coalesce("goal", F.lit(0.0)))
-    return joined.withColumn("w", F.when(trigger(joined), F.col("goal")).otherwise(F.col("w"))).select(*current.columns)
+    """The whole target, its symbols that are not held too, where ``trigger`` is true of a book; unchanged where the book's time has no target."""
+    joined = _beside_target(current, target).withColumn("given_", F.count("goal").over(_book()) > 0).withColumn("goal", F.coalesce("goal", F.lit(0.0)))
+    out = joined.withColumn("hit_", F.col("given_") & F.coalesce(trigger(joined), F.lit(False))).where("hit_ or not new_")
+    return out.withColumn("w", F.when(F.col("hit_"), F.col("goal")).otherwise(F.col("w"))).select(*current.columns)
 
 
 def _book() -> Window:

@@ -524,3 +524,79 @@ def test_incremental_cleaning_is_what_the_two_runs_say(spark, tmp_path):
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
     faults = market_job.audit_run(spark, one, two).toPandas()
     assert faults.empty or set(faults.ts) <= {t for _, own in old.toPandas().sort_values("ts").groupby("symbol") for t in own.ts.iloc[-2:-1]}
+
+
+BOOK = "portfolio_id string, ts timestamp, symbol string, is_cash boolean"
+T0, T1, T2 = (START + timedelta(days=i) for i in range(3))
+
+
+def book_rows(spark, rows, name="w"):
+    return spark.createDataFrame([("p", t, s, s == "cash", x) for t, s, x in rows], f"{BOOK}, {name} double")
+
+
+def values_of(df, key="ts", value="value"):
+    return {r[key]: r[value] for r in df.collect()}
+
+
+def test_unknown_weights_and_benchmarks_make_risks_unknown(spark):
+    w = book_rows(spark, [(T0, "A", None), (T0, "cash", 0.5), (T1, "A", 0.5), (T1, "cash", 0.5), (T2, "A", 0.5), (T2, "cash", 0.5)])
+    bm = spark.createDataFrame([(T0, "A", 0.4), (T1, "A", 0.4), (T1, "cash", 0.6)], "ts timestamp, symbol string, w double")
+    var = spark.createDataFrame([(t, "A", 0.04) for t in (T0, T1, T2)], "ts timestamp, symbol string, value double")
+    cov = var.select("ts", F.col("symbol").alias("sym_i"), F.col("symbol").alias("sym_j"), "value")
+    for got in (terms.risk_diagonal(w, var, bm), terms.risk_full(w, cov, bm), terms.risk_by_matrix(w, cov, bm), terms.risk_forecast_error(w, var, bm)):
+        out = values_of(got)
+        assert out[T0] is None and out[T2] is None and abs(out[T1] - 0.01 * 0.04) < 1e-12
+    twice = w.unionByName(w)
+    assert abs(values_of(terms.risk_by_matrix(twice, cov))[T1] - values_of(terms.risk_full(twice, cov))[T1]) < 1e-12
+
+
+def test_checks_do_not_pass_what_is_unknown(spark):
+    w = book_rows(spark, [(T0, "A", None), (T0, "B", 0.5), (T0, "cash", 0.5), (T1, "A", 0.2), (T2, "cash", None)])
+    ok = lambda df: {r.ts: r.ok for r in df.collect()}
+    assert ok(checks.chk_leverage(w, 0.6)) == {T0: None, T1: True, T2: True}
+    assert ok(checks.chk_turnover(w.withColumnRenamed("w", "z"), 0.6)) == {T0: None, T1: True, T2: True}
+    values = spark.createDataFrame([("p", t, 1.0) for t in (T0, T1, T2)], "portfolio_id string, ts timestamp, v double")
+    assert ok(checks.chk_min_cash(w, values, 0.1)) == {T0: True, T1: None, T2: None}
+    bm = spark.createDataFrame([(T1, "A", 0.2), (T1, "C", 0.5)], "ts timestamp, symbol string, w double")
+    rows = {(r.ts, r.symbol): r.ok for r in checks.chk_min_bm_deviation(w, bm, -0.1).collect()}
+    assert rows == {(T0, "A"): None, (T0, "B"): None, (T1, "A"): True, (T1, "C"): False}
+
+
+def test_unknown_holdings_and_returns_make_values_unknown(spark):
+    h = book_rows(spark, [(T0, "A", None), (T0, "cash", 1.0), (T1, "A", 3.0), (T1, "cash", 1.0)], "h")
+    from panelforge.operators import analytics
+
+    assert values_of(analytics.nav(h), value="v") == {T0: None, T1: 4.0}
+    assert {(r.ts, r.symbol): r.w for r in analytics.weights(h).collect()} == {(T0, "A"): None, (T0, "cash"): None, (T1, "A"): 0.75, (T1, "cash"): 0.25}
+    returns = spark.createDataFrame([(T0, "A", 0.1), (T1, "A", None), (T2, "A", 0.1), (T0, "B", 0.1), (T2, "B", 0.1)], "ts timestamp, symbol string, ret double")
+    start = spark.createDataFrame([("a", "A", 100.0), ("ab", "A", 100.0), ("ab", "B", 50.0), ("c", "C", 1.0), ("z", "A", 1.0), ("z", "C", 0.0)], "portfolio_id string, symbol string, h double")
+    v = {(r.portfolio_id, r.ts): r.v for r in trades.buy_and_hold_curve(start, returns).collect()}
+    assert v["a", T0] == 100 and abs(v["a", T1] - 110) < 1e-9 and v["a", T2] is None and v["ab", T0] == 150 and v["ab", T1] is None and v["z", T0] == 1.0
+    assert {t: v["c", t] for t in (T0, T1, T2)} == {T0: None, T1: None, T2: None}
+    drifted = {(r.ts, r.symbol): r.w for r in trades.drifted_weights(book_rows(spark, [(T0, "A", 0.5), (T0, "B", 0.5), (T1, "A", 0.5), (T1, "B", 0.5)]), returns).collect()}
+    assert drifted[T0, "A"] == 0.5 and drifted[T1, "A"] is None
+    u = book_rows(spark, [(T1, "cash", None)], "u")
+    cash = returns.unionByName(spark.createDataFrame([(T0, "cash", 0.0), (T1, "cash", 0.0)], returns.schema))
+    nxt = {(r.ts, r.symbol): r.h_next for r in trades.step_holdings(h, u, cash, spark.createDataFrame([], "portfolio_id string, ts timestamp, value double")).collect()}
+    assert nxt[T0, "cash"] == 1.0 and nxt[T1, "A"] is None and nxt[T1, "cash"] is None
+
+
+def test_targets_bring_in_what_is_not_held(spark):
+    now = book_rows(spark, [(T0, "A", 0.5), (T0, "cash", 0.5), (T1, "A", 0.5), (T1, "cash", 0.5)])
+    target = spark.createDataFrame([("p", T0, "B", 0.7), ("p", T0, "cash", 0.3)], "portfolio_id string, ts timestamp, symbol string, w double")
+    got = lambda df: {(r.ts, r.symbol): r.w for r in df.collect()}
+    after = got(weights.w_adaptive(now, target, 0.1))
+    assert after == {(T0, "A"): 0.0, (T0, "B"): 0.7, (T0, "cash"): 0.3, (T1, "A"): 0.5, (T1, "cash"): 0.5}
+    assert got(weights.w_adaptive(now.where(F.col("ts") == T0), target, 5.0)) == {(T0, "A"): 0.5, (T0, "cash"): 0.5}
+    assert got(weights.w_leverage_band(now.where(F.col("ts") == T0), target, 0.6, 1.0)) == {(T0, "A"): 0.0, (T0, "B"): 0.7, (T0, "cash"): 0.3}
+    fixed = got(weights.w_fixed(now, target))
+    assert fixed[T0, "B"] == 0.7 and fixed[T1, "A"] == 0.5 and (T1, "B") not in fixed
+    way = got(weights.w_proportional_to_target(now, target.withColumn("ts", F.lit(T1))))
+    assert way[T0, "B"] == 0.7 and way[T0, "A"] == 0.0 and abs(sum(w for (t, _), w in way.items() if t == T0) - 1) < 1e-12
+    assert {r.is_cash for r in weights.w_fixed(now, target).where("symbol = 'B'").collect()} == {False}
+
+
+def test_unknown_spreads_are_not_calm(spark):
+    u = book_rows(spark, [(T0, "A", 5.0), (T1, "A", 5.0), (T1, "B", 0.0)], "u")
+    returns = spark.createDataFrame([(t, s, x) for t in (T0, T1) for s, x in (("A", 0.1), ("B", -0.1))], "ts timestamp, symbol string, ret double")
+    assert values_of(terms.stress_spread_cost(u, returns, 0.01, 0.01, 3.0)) == {T0: None, T1: 0.01 * 3 * 5.0}
