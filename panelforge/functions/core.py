@@ -83,7 +83,7 @@ ARRAY_ROWS = 100_000
 
 
 def asof_join(
-    left: DataFrame, right: DataFrame, values: Sequence[str], by: Sequence[str] = (), forward: bool = False, exclusive: bool = False, on: str = "ts"
+    left: DataFrame, right: DataFrame, values: Sequence[str], by: Sequence[str] = (), forward: bool = False, exclusive: bool = False, on: str = "ts", bucket: float | None = None
 ) -> DataFrame:
     """``left`` with ``values`` of the last ``right`` row at or before its time (``forward``: the first at or after).
 
@@ -93,6 +93,9 @@ def asof_join(
 
     Without ``by`` a right side of up to ``ARRAY_ROWS`` rows (a calendar; they are counted) is looked up as one sorted array, by binary search. A
     larger one is joined inside days, and where a day has nothing, by the last (first) row of the other days, which are an array again.
+
+    With ``by``, ``bucket`` (seconds) does the same inside each key, for keys that hold so many rows that one task should not sort them: rows are dealt by key
+    and time bucket, and what earlier (later) buckets hold last (first) is carried by a scan over a row for each key and bucket.
     """
     by = list(by)
     packed = F.struct(F.col(on).alias("t"), *(F.col(v).alias(v) for v in values))
@@ -106,6 +109,8 @@ def asof_join(
         days = known.groupBy(day.alias("asof_day")).agg(edge).select("asof_day", F.struct(*(F.col(f"x.{v}").alias(v) for v in values)).alias("asof_out"))
         outer = _asof_array(inner, days, ["asof_out"], forward, True, "asof_day")
         return outer.select(*left.columns, *(F.coalesce("asof_in", "asof_out")[v].alias(v) for v in values))
+    if bucket is not None:
+        return _asof_buckets(left, right.where(F.col(on).isNotNull()), values, by, forward, exclusive, on, bucket)
     # ties: the right row stands before the left one looking back (after it if exclusive), and behind it looking ahead
     side = 1 if exclusive != forward else -1
     stacked = left.withColumns({"asof_row": F.lit(None), "asof_side": F.lit(0)}).unionByName(
@@ -120,6 +125,19 @@ def asof_join(
     return out.select(*left.columns, *(F.col(f"asof_row.{v}").alias(v) for v in values))
 
 
+def _asof_buckets(left: DataFrame, right: DataFrame, values: Sequence[str], by: list[str], forward: bool, exclusive: bool, on: str, bucket: float) -> DataFrame:
+    """:func:`asof_join` dealt by key and time bucket; a key's buckets are joined by their last (first) right rows."""
+    at = F.floor(F.unix_micros(on) / float(micros(bucket)))
+    keys = [*by, "asof_bucket"]
+    inner = asof_join(left.withColumn("asof_bucket", at), right.select(*by, at.alias("asof_bucket"), on, F.struct(*values).alias("asof_in")), ["asof_in"], keys, forward, exclusive, on)
+    packed = F.struct(F.col(on).alias("t"), F.struct(*values).alias("v"))
+    edges = right.groupBy(*by, at.alias("asof_bucket")).agg((F.min if forward else F.max)(packed).alias("x")).select(*keys, F.col("x.v").alias("asof_out"))
+    # a row for each key and bucket of the left side: the scan never sees the rows themselves
+    asked = left.where(F.col(on).isNotNull()).select(*by, at.alias("asof_bucket")).distinct()
+    carried = asof_join(asked, edges, ["asof_out"], by, forward, True, "asof_bucket")
+    return inner.join(carried, keys, "left").select(*left.columns, *(F.coalesce("asof_in", "asof_out")[v].alias(v) for v in values))
+
+
 def _asof_array(left: DataFrame, right: DataFrame, values: Sequence[str], forward: bool, exclusive: bool, on: str) -> DataFrame:
     """:func:`asof_join` with a counted right side as one sorted array beside the left rows."""
     packed = F.struct(F.col(on).alias("t"), *(F.col(v).alias(v) for v in values))

@@ -8,7 +8,7 @@ from ..operators import factors, forecasts as f
 from . import testbeds as tb
 from .cleaning_queries import r
 from .panel_queries import D, s
-from .registry import query, shown, view
+from .registry import query, rnd, shown, view
 
 DAY, YEAR = 86_400.0, 365.24 * 86_400
 HL, ROLL = 180 * DAY, 400 * DAY
@@ -106,6 +106,20 @@ def _(spark, sf):
     return _ticks(spark, sf, rolling=5 * 3_600.0)
 
 
+HOT_FRAME = "OVER (PARTITION BY symbol ORDER BY epoch_us(ts) RANGE BETWEEN {} PRECEDING AND 1 PRECEDING)"
+
+for _name, _rolling in (("chunked_moments", None), ("chunked_rolling_moments", 90_000.0)):
+    _over = HOT_FRAME.format("UNBOUNDED" if _rolling is None else int(_rolling * 1e6))
+
+    @query(_name, f"SELECT symbol, event_id, count(price) {_over} AS n, {r(f'avg(price) {_over}', 'mean', 6)}, {r(f'avg(price * price) {_over}', 'variance', 4)} FROM tb_hot", "tb_hot")
+    def _(spark, sf, rolling=_rolling):
+        """Trailing moments of ticks of which most are of one symbol, by chunks of a day."""
+        from .panel_queries import hot_ticks
+
+        out = f.all_moments(hot_ticks(spark, sf), "price", rolling=rolling, chunk=86_400.0)
+        return out.select("symbol", "event_id", F.col("n").cast("long").alias("n"), rnd("mean", 6).alias("mean"), rnd("variance", 4).alias("variance"))
+
+
 LAST = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)"
 
 

@@ -334,6 +334,26 @@ def _(spark, sf):
     return asof_join(ticks, _marks(ticks), ["other"], by=["symbol"]).select("symbol", "event_id", "other")
 
 
+view("tb_hot", "SELECT CASE WHEN user_id % 20 < 16 THEN 'hot' ELSE CAST(user_id % 20 AS VARCHAR) END AS symbol, ts, value AS price, event_id FROM events")
+view("tb_hot_marks", "SELECT symbol, ts, event_id FROM tb_hot WHERE event_id % 37 = 0", "tb_hot")
+
+
+def hot_ticks(spark, sf):
+    """Events as ticks, most of them of one symbol."""
+    user = F.col("user_id") % 20
+    return tb.table(spark, sf, "events").select(F.when(user < 16, "hot").otherwise(user.cast("string")).alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), "event_id")
+
+
+for _name, _forward, _sign in (("asof_join_buckets", False, ">="), ("asof_join_buckets_forward", True, "<=")):
+
+    @query(_name, f"SELECT a.symbol, a.event_id, b.event_id AS other FROM tb_hot a ASOF LEFT JOIN tb_hot_marks b ON a.symbol = b.symbol AND a.ts {_sign} b.ts", "tb_hot", "tb_hot_marks")
+    def _(spark, sf, forward=_forward):
+        """Marks of one tick in 37 beside all ticks, inside hours of each symbol."""
+        ticks = hot_ticks(spark, sf)
+        marks = ticks.where("event_id % 37 = 0").select("symbol", "ts", F.col("event_id").alias("other"))
+        return asof_join(ticks, marks, ["other"], by=["symbol"], forward=forward, bucket=3_600.0).select("symbol", "event_id", "other")
+
+
 @query("asof_join_forward", "SELECT a.symbol, a.event_id, b.event_id AS other FROM tb_ticks a ASOF LEFT JOIN tb_marks b ON a.symbol = b.symbol AND a.ts <= b.ts", "tb_ticks", "tb_marks")
 def _(spark, sf):
     ticks = tb.ticks(spark, sf)

@@ -40,12 +40,38 @@ def _blocks(panel: DataFrame, half_life: float) -> tuple[DataFrame, Column]:
     return own, (seconds("ts") - F.col("d_.k_") * F.lit(length)) / float(micros(half_life))
 
 
-def moments(panel: DataFrame, value: str = "ret", half_life: float | None = None, rolling: float | None = None) -> DataFrame:
-    """Adds ``w0``, ``w1``, ``w2``: weighted count, sum and sum of squares of the past known values. One exchange by symbol."""
+def _chunked(panel: DataFrame, sums: dict[str, Column], rolling: float | None, chunk: float) -> DataFrame:
+    """Trailing sums by symbol and chunk of time, for symbols whose rows one task should not hold.
+
+    Rolling windows reach into the chunk before at most, whose rows are lent. Sums from the start are those inside the chunk and a carry, a scan over one
+    partial sum for each symbol and chunk, gathered on the map side.
+    """
+    keys, names = ["symbol", "k_"], [*sums]
+    length = micros(chunk if rolling is None else max(chunk, rolling))
+    own = panel.withColumn("k_", F.floor(seconds("ts") / float(length)).cast("long"))
+    keyed = Window.partitionBy(*keys).orderBy(seconds("ts"))
+    if rolling is not None:
+        lent = F.array(F.struct("k_", F.lit(True).alias("own")), F.struct((F.col("k_") + 1).alias("k_"), F.lit(False).alias("own")))
+        own = own.withColumn("d_", F.explode(lent)).withColumns({"k_": F.col("d_.k_"), "own_": F.col("d_.own")})
+        out = own.withColumns({n: s.over(keyed.rangeBetween(-micros(rolling), -1)) for n, s in sums.items()})
+        return out.where("own_").drop("k_", "d_", "own_")
+    carry = own.groupBy(*keys).agg(*(s.alias(n) for n, s in sums.items()))
+    before = Window.partitionBy("symbol").orderBy("k_").rowsBetween(Window.unboundedPreceding, -1)
+    carry = carry.select(*keys, *(F.sum(n).over(before).alias(f"c_{n}") for n in names))
+    out = own.withColumns({n: s.over(keyed.rangeBetween(Window.unboundedPreceding, -1)) for n, s in sums.items()}).join(carry, keys)
+    whole = {n: F.coalesce(F.col(n) + F.col(f"c_{n}"), n, f"c_{n}") for n in names}
+    return out.withColumns(whole).drop("k_", *(f"c_{n}" for n in names))
+
+
+def moments(panel: DataFrame, value: str = "ret", half_life: float | None = None, rolling: float | None = None, chunk: float | None = None) -> DataFrame:
+    """Adds ``w0``, ``w1``, ``w2``: weighted count, sum and sum of squares of the past known values. One exchange by symbol.
+
+    ``chunk`` (seconds) deals a symbol's rows to chunks of time instead, so that no task holds a symbol; exponential weights come in blocks anyway.
+    """
     x, over = F.col(value), trailing(rolling)
     if half_life is None:
         sums = {"w0": F.sum(F.when(x.isNotNull(), 1.0)), "w1": F.sum(x), "w2": F.sum(x * x)}
-        return panel.withColumns({k: s.over(over) for k, s in sums.items()})
+        return panel.withColumns({k: s.over(over) for k, s in sums.items()}) if chunk is None else _chunked(panel, sums, rolling, chunk)
     own, age = _blocks(panel, half_life)
     own = own.withColumns({"w_": F.when(x.isNotNull(), F.pow(F.lit(2.0), age)), "b_": F.pow(F.lit(2.0), -age), "block_": F.col("d_.k_"), "own_": F.col("d_.own")})
     keyed = Window.partitionBy("symbol", "block_").orderBy(seconds("ts"))
@@ -62,8 +88,11 @@ def _variance(kelly: bool) -> Column:
 
 def count_past(panel: DataFrame, value: str = "ret", **how) -> DataFrame:
     """Adds ``n`` (weighted count) and ``status``: none, low (under five values) or ok."""
-    known = F.count(value).over(trailing(how.get("rolling")))
-    out = moments(panel, value, **how).withColumn("n", F.coalesce("w0", F.lit(0.0))).withColumn("known", known)
+    out = moments(panel, value, **how).withColumn("n", F.coalesce("w0", F.lit(0.0)))
+    if how.get("half_life") is None:
+        out = out.withColumn("known", F.col("n"))  # unweighted, the count is the same
+    else:
+        out = out.withColumn("known", F.count(value).over(trailing(how.get("rolling"))))
     status = F.when(F.col("known") == 0, "none").when(F.col("known") < LOW_COUNT, "low").otherwise("ok")
     return out.withColumn("status", status).drop("w0", "w1", "w2", "known")
 

@@ -600,3 +600,42 @@ def test_unknown_spreads_are_not_calm(spark):
     u = book_rows(spark, [(T0, "A", 5.0), (T1, "A", 5.0), (T1, "B", 0.0)], "u")
     returns = spark.createDataFrame([(t, s, x) for t in (T0, T1) for s, x in (("A", 0.1), ("B", -0.1))], "ts timestamp, symbol string, ret double")
     assert values_of(terms.stress_spread_cost(u, returns, 0.01, 0.01, 3.0)) == {T0: None, T1: 0.01 * 3 * 5.0}
+
+
+def exchanges(df):
+    """The keys of every hash exchange of a plan."""
+    import re
+
+    return re.findall(r"hashpartitioning\(([^)]*), \d+\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def hot_rows(spark, n=4000):
+    rng = np.random.default_rng(6)
+    secs = np.sort(rng.integers(0, 9 * 86_400, n))
+    return spark.createDataFrame([("hot" if i % 5 else f"s{i % 3}", START + timedelta(seconds=int(t)), None if i % 11 == 0 else float(rng.normal())) for i, t in enumerate(secs)], "symbol string, ts timestamp, ret double")
+
+
+@pytest.mark.parametrize("forward, exclusive", [(False, False), (False, True), (True, False), (True, True)])
+def test_asof_joins_by_bucket_equal_plain_ones(spark, forward, exclusive):
+    """One key holds most rows, with gaps of days on the right side, equal times, null values and null times."""
+    left = hot_rows(spark).select("symbol", "ts", F.monotonically_increasing_id().alias("id"))
+    right = hot_rows(spark).where("day(ts) % 3 <> 2 and second(ts) < 9").withColumnRenamed("ret", "x")
+    more = spark.createDataFrame([("hot", None, 1.0), ("hot", START + timedelta(days=1), 2.0), ("other", START, 3.0)], "symbol string, ts timestamp, x double")
+    left = left.unionByName(more.where("ts is null").select("symbol", "ts", F.lit(-1).alias("id")))
+    right = right.unionByName(more)
+    plain = asof_join(left, right.where("ts is not null"), ["x"], by=["symbol"], forward=forward, exclusive=exclusive)
+    got = asof_join(left, right, ["x"], by=["symbol"], forward=forward, exclusive=exclusive, bucket=7_200.0)
+    assert {r.id: r.x for r in got.collect()} == {r.id: r.x for r in plain.where("ts is not null").collect()} | {-1: None}
+    keys = exchanges(got)
+    assert any("asof_bucket" in k for k in keys)
+
+
+@pytest.mark.parametrize("rolling", [None, 3_600.0, 200_000.0])
+def test_trailing_sums_by_chunk_equal_plain_ones(spark, rolling):
+    rows = hot_rows(spark).withColumn("id", F.monotonically_increasing_id()).cache()
+    plain, got = (forecasts.moments(rows, rolling=rolling, chunk=c) for c in (None, 40_000.0))
+    want = {r.id: (r.w0, r.w1, r.w2) for r in plain.collect()}
+    for r in got.collect():
+        for a, b in zip((r.w0, r.w1, r.w2), want[r.id]):
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-8)
+    assert got.count() == len(want) and all("k_" in k for k in exchanges(got) if rolling) and any("k_" in k for k in exchanges(got))
