@@ -27,6 +27,14 @@ def _(spark, sf):
     return out.select("symbol", F.unix_seconds("ts").alias("t"), "open", "low", "high", "close", "ticks")
 
 
+@query("stream_latest_bars", f"SELECT symbol, epoch(h)::BIGINT AS t, open, low, high, close, ticks, h + INTERVAL 1 HOUR > (SELECT max(ts) - INTERVAL 10 MINUTE FROM tb_ticks) AS provisional FROM (SELECT symbol, date_trunc('hour', ts) AS h, {BAR} FROM tb_ticks GROUP BY 1, 2)", "tb_ticks")
+def _(spark, sf):
+    """All bars, those too that are not finished, each as the last of its versions."""
+    folder = shared_folder(spark, "latest")
+    st.stream_latest_bars(tick_stream(spark, sf), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return st.latest_bars(spark, f"{folder}/table").withColumn("t", F.unix_seconds("ts")).drop("ts")
+
+
 @query("stream_clean", "SELECT symbol, event_id, price FROM tb_ticks WHERE price > 0", "tb_ticks")
 def _(spark, sf):
     return st.replay(st.stream_clean(tick_stream(spark, sf)), shared_folder(spark, "clean")).select("symbol", "event_id", "price")

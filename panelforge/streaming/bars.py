@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -30,6 +30,38 @@ def stream_bars(ticks: DataFrame, width: str = "1 hour", delay: str = "10 minute
     return bars.select("symbol", F.col("w.start").alias("ts"), "open", "low", "high", "close", "ticks")
 
 
+LATEST = "symbol string, ts timestamp, end timestamp, open double, low double, high double, close double, ticks long, last_tick timestamp"
+
+
+def stream_latest_bars(ticks: DataFrame, path: str, checkpoint: str, width: str = "1 hour", delay: str = "10 minutes"):
+    """Bars as they form: every micro-batch stores the bars that it changed, the last ones too, as a further version of their rows under ``path``.
+
+    Returns the started query (update mode, available-now trigger). A batch overwrites its own folder, so one that is tried again leaves its version once.
+    A table belongs to one checkpoint, whose state holds the open bars. :func:`latest_bars` reads each bar's last version.
+    """
+    seen = ticks.withWatermark("ts", delay).groupBy("symbol", F.window("ts", width).alias("w"))
+    bars = seen.agg(*_bar_columns(), F.max("ts").alias("last_tick"))
+    rows = bars.select("symbol", F.col("w.start").alias("ts"), F.col("w.end").alias("end"), "open", "low", "high", "close", "ticks", "last_tick")
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
+
+    return rows.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_bars(spark: SparkSession, path: str, delay_seconds: int = 600) -> DataFrame:
+    """``(symbol, ts, open, low, high, close, ticks, provisional)``: each bar once, as last stored.
+
+    A bar is provisional until ticks of any symbol have passed its end by ``delay_seconds``, the delay of its stream: until then further ticks may change it.
+    """
+    stored = spark.read.schema(f"{LATEST}, version long").parquet(path)
+    fields = ("end", "open", "low", "high", "close", "ticks")
+    last = stored.groupBy("symbol", "ts").agg(F.max_by(F.struct(*fields), "version").alias("x")).select("symbol", "ts", "x.*")
+    seen = stored.agg(F.max("last_tick").alias("seen"))
+    open_ = F.unix_micros("end") > F.unix_micros("seen") - delay_seconds * 1_000_000
+    return last.join(F.broadcast(seen), how="left").select("symbol", "ts", *fields[1:], open_.alias("provisional"))
+
+
 def stream_rolling(ticks: DataFrame, length: str = "4 hours", slide: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Trailing mean, root mean square and count of prices, for windows that end every ``slide``."""
     seen = ticks.withWatermark("ts", delay) if ticks.isStreaming else ticks

@@ -639,3 +639,22 @@ def test_trailing_sums_by_chunk_equal_plain_ones(spark, rolling):
         for a, b in zip((r.w0, r.w1, r.w2), want[r.id]):
             assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-8)
     assert got.count() == len(want) and all("k_" in k for k in exchanges(got) if rolling) and any("k_" in k for k in exchanges(got))
+
+
+def test_provisional_bars_settle_once(spark, tmp_path):
+    """A bar is there while it forms, changes with further ticks, and is settled and single once ticks have passed it."""
+    schema = "symbol string, ts timestamp, price double, event_id long"
+    at = lambda h, m: START + timedelta(hours=h, minutes=m)
+    batches = [[("a", at(0, 5), 1.0, 1), ("a", at(1, 2), 2.0, 2)], [("a", at(1, 30), 5.0, 3), ("a", at(0, 59), 9.0, 4)], [("a", at(3, 0), 3.0, 5)], [("a", at(1, 40), 77.0, 6), ("b", at(3, 1), 4.0, 7)]]
+    source, table, seen = tmp_path / "in", str(tmp_path / "table"), []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        st.stream_latest_bars(stream, table, str(tmp_path / "cp")).awaitTermination()
+        seen.append({(r.symbol, r.ts): (r.open, r.close, r.ticks, r.provisional) for r in st.latest_bars(spark, table).collect()})
+    zero, one, three = at(0, 0), at(1, 0), at(3, 0)
+    assert seen[0] == {("a", zero): (1.0, 1.0, 1, True), ("a", one): (2.0, 2.0, 1, True)}
+    assert seen[1][("a", one)] == (2.0, 5.0, 2, True) and seen[1][("a", zero)][3] is False
+    assert seen[2][("a", one)] == (2.0, 5.0, 2, False) and seen[2][("a", three)] == (3.0, 3.0, 1, True)
+    # what comes later than the delay no longer moves a settled bar
+    assert seen[3][("a", one)] == (2.0, 5.0, 2, False) and seen[3][("b", three)] == (4.0, 4.0, 1, True) and len(seen[3]) == 4
