@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import factors, forecasts as f
+from ..operators import factors, forecasts as f, subspace
 from . import testbeds as tb
 from .cleaning_queries import r
 from .panel_queries import D, s
@@ -236,6 +236,21 @@ def _(spark, sf):
     return shown(factors.factor_model_pca(_cov_at_dates(spark, sf), 3))
 
 
+def _whole_covariances(spark, sf):
+    """Covariances of returns without gaps: positive, so factors and what they leave add up to the variances."""
+    whole = s.dense(tb.panel(spark, sf)).withColumn("ret", F.coalesce("ret", F.lit(0.0)))
+    return f.covariance_blocked(whole, _dates(spark, sf).where("year(ts) >= 2000"))
+
+
+@query("factor_model_pca_blocked_variances", f"""SELECT CAST(d.ts AS DATE) AS ts, symbol, {r('avg(coalesce(ret, 0) * coalesce(ret, 0))', 'value', 6)} FROM tb_dense a
+    JOIN (SELECT ts FROM tb_cal WHERE month(ts) = 1 AND year(ts) >= 2000) d ON a.ts < d.ts GROUP BY 1, 2""", "tb_dense", "tb_cal")
+def _(spark, sf):
+    """What the factors explain of each symbol and what they leave, together."""
+    model = subspace.factor_model_pca_blocked(_whole_covariances(spark, sf), 4, iters=4, block=8)
+    part = F.when(F.col("part") == "exposure", F.col("value") * F.col("value")).otherwise(F.col("value"))
+    return shown(model.groupBy("ts", "symbol").agg(F.sum(part).alias("value")), digits=6)
+
+
 @query("factor_model_svd")
 def _(spark, sf):
     return shown(factors.factor_model_svd(tb.panel(spark, sf), _dates(spark, sf), 3, 730))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelforge import schemas
 from panelforge.functions import core
 from panelforge.functions.core import asof_join, resample_return
-from panelforge.operators import checks, cleaning, factors, forecasts, panel as panels, terms, trades, weights
+from panelforge.operators import checks, cleaning, factors, forecasts, panel as panels, subspace, terms, trades, weights
 from panelforge.sources import files, store
 from panelforge.streaming import bars as st
 
@@ -658,3 +658,23 @@ def test_provisional_bars_settle_once(spark, tmp_path):
     assert seen[2][("a", one)] == (2.0, 5.0, 2, False) and seen[2][("a", three)] == (3.0, 3.0, 1, True)
     # what comes later than the delay no longer moves a settled bar
     assert seen[3][("a", one)] == (2.0, 5.0, 2, False) and seen[3][("b", three)] == (4.0, 4.0, 1, True) and len(seen[3]) == 4
+
+
+def test_subspace_factors_equal_whole_ones(spark):
+    """Blocks of three symbols: the same factors, exposures and rests as from each date's whole matrix."""
+    rng = np.random.default_rng(7)
+    loads = rng.normal(size=(12, 3)) * [3.0, 2.0, 1.0]
+    dates = [T0, T1]
+    rows = []
+    for k, t in enumerate(dates):
+        m = loads @ loads.T + np.diag(0.05 + 0.05 * rng.random(12)) + k * 0.1 * np.eye(12)
+        rows += [(t, f"s{i:02d}", f"s{j:02d}", float(m[i, j])) for i in range(12) for j in range(i, 12) if k == 0 or j < 11]
+    cov = spark.createDataFrame(rows, "ts timestamp, sym_i string, sym_j string, value double")
+    key = ["ts", "part", "factor", "symbol"]
+    got = subspace.factor_model_pca_blocked(cov, 3, extra=2, iters=8, block=3).toPandas().sort_values(key, ignore_index=True)
+    want = factors.factor_model_pca(cov, 3).toPandas().sort_values(key, ignore_index=True)
+    pd.testing.assert_frame_equal(got[key], want[key])
+    np.testing.assert_allclose(got["value"], want["value"], atol=1e-8)
+    small = cov.where("sym_i <= 's01' and sym_j <= 's01'")
+    few = subspace.factor_model_pca_blocked(small, 3, extra=2, iters=4).toPandas()
+    assert set(few[few.part == "exposure"].factor) == {"f0000", "f0001"} and few[few.part == "idio"]["value"].abs().max() < 1e-8
