@@ -168,10 +168,10 @@ def _(spark, sf):
 
 
 @query("drop_first_if_null", f"""
-    , n AS (SELECT *, row_number() {W} AS k FROM tb_dirty WHERE ts >= TIMESTAMP '1995-03-01')
+    , n AS (SELECT *, row_number() {W} AS k FROM tb_dirty)
     SELECT symbol, CAST(ts AS DATE) AS ts, {r('close')} FROM n WHERE k > 1 OR (open IS NOT NULL AND low IS NOT NULL AND high IS NOT NULL AND close IS NOT NULL AND adjclose IS NOT NULL AND volume IS NOT NULL)""", "tb_dirty")
 def _(spark, sf):
-    return shown(c.drop_first_if_null(tb.dirty_bars(spark, sf).where("ts >= '1995-03-01'")), "symbol", "ts", "close")
+    return shown(c.drop_first_if_null(tb.dirty_bars(spark, sf)), "symbol", "ts", "close")
 
 
 def _flag_sql() -> str:

@@ -190,3 +190,33 @@ def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 view("tb_daily_panel", "SELECT symbol, ts, lead(open) OVER (PARTITION BY symbol ORDER BY ts) / open - 1 AS ret, volume * open AS valuevolume, open AS price FROM tb_daily", "tb_daily")
+
+
+def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A portfolio for every customer: its value in every supplier's goods by month, and cash. Portfolios, and with them rows, grow with the scale factor."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    month = F.date_trunc("month", "l_shipdate").alias("ts")
+    h = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    h = h.groupBy(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("portfolio_id"), month, F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol")).agg(F.sum("l_extendedprice").alias("h"))
+    cash = h.groupBy("portfolio_id", "ts").agg((F.sum("h") * 0.5).alias("h"))
+    held = h.select("portfolio_id", "ts", "symbol", F.lit(False).alias("is_cash"), "h")
+    return held.unionByName(cash.select("portfolio_id", "ts", F.lit("cash").alias("symbol"), F.lit(True).alias("is_cash"), "h"))
+
+
+view("tb_books", """
+    SELECT 'C' || o_custkey AS portfolio_id, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS ts, 'S' || l_suppkey AS symbol, sum(l_extendedprice) AS h
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3""")
+
+
+def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(ts, symbol, sigma, valuevolume, price)`` of every supplier's goods by month; months of little business have no known deviation."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
+    own = lines.groupBy(F.date_trunc("month", "l_shipdate").alias("ts"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"))
+    out = own.agg(F.sum("l_extendedprice").alias("valuevolume"), F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.count("*").alias("n"))
+    return out.select("ts", "symbol", F.when(F.col("n") > 1, 0.02).alias("sigma"), "valuevolume", "price")
+
+
+view("tb_supply", """
+    SELECT CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS ts, 'S' || l_suppkey AS symbol, CASE WHEN count(*) > 1 THEN 0.02::DOUBLE END AS sigma, sum(l_extendedprice) AS valuevolume,
+           avg(l_extendedprice / l_quantity) AS price FROM lineitem GROUP BY 1, 2""")

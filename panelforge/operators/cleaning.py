@@ -344,12 +344,18 @@ def _steps(saved: DataFrame) -> DataFrame:
     return tail.withColumn("step_", step).withColumn("step_", F.lag("step_").over(w)).select("symbol", "ts", "step_")
 
 
-def null_bad_adjclose(bars: DataFrame, saved: DataFrame | None = None, chunk: int = CHUNK, **how) -> DataFrame:
+def longest_history(bars: DataFrame) -> int:
+    """The rows of the symbol that has most; counts by symbol and task reach one task."""
+    return bars.groupBy("symbol").count().agg(F.max("count")).first()[0] or 0
+
+
+def null_bad_adjclose(bars: DataFrame, saved: DataFrame | None = None, chunk: int = CHUNK, longest: int | None = None, **how) -> DataFrame:
     """:func:`repair_slab` for every symbol; ``saved`` are cleaned bars with ``return`` that lend their last 200 rows' steps.
 
     Histories of more than ``chunk`` rows are repaired in chunks with rows lent on each side, enough for what ``passes`` passes can carry. Each chunk tells
     which of its own rows something beyond its lent rows might still have changed; symbols with such rows are repaired again in chunks four times as long,
-    until nothing can move, so the result is that of whole histories. Only such long histories cost an action; shorter ones are one lazy pass.
+    until nothing can move, so the result is that of whole histories. Shorter histories are one lazy pass; ``longest`` is at least the rows of the longest
+    one, and counted if it is not given.
     """
     lent = how.get("passes", 21) * CARRIED
     chunk = max(chunk, 2 * lent)
@@ -372,8 +378,7 @@ def null_bad_adjclose(bars: DataFrame, saved: DataFrame | None = None, chunk: in
         ordered = dealt.sortWithinPartitions("symbol", "chunk_", F.desc("earlier_"), "ts")
         return ordered.mapInPandas(run, T.StructType([*bars.schema.fields, T.StructField("doubt_", T.BooleanType())]))
 
-    longest = bars.groupBy("symbol").count().agg(F.max("count")).first()[0] or 0
-    if longest <= chunk:
+    if (longest_history(bars) if longest is None else longest) <= chunk:
         return repaired(bars, chunk, lent).drop("doubt_")
     done, todo = None, bars
     while True:
@@ -406,8 +411,9 @@ def clean_bars(bars: DataFrame, saved: DataFrame | None = None, max_dividend: fl
     ``max_dividend`` and ``missing_run`` go to the truncations, ``anomalous`` to the price rules, and ``repair`` (``passes``, ``threshold``,
     ``false_above``, ``false_before``) to :func:`null_bad_adjclose`.
     """
+    longest = longest_history(bars)  # before rows leave: a count that needs none of the rules
     bars = null_nonpositive(null_infinite(bars), "adjclose")
     bars = truncate_missing_runs(truncate_bad_dividends(bars, max_dividend), missing_run)
-    bars = truncate_missing_runs(null_bad_adjclose(bars, saved, **repair), missing_run)
+    bars = truncate_missing_runs(null_bad_adjclose(bars, saved, longest=longest, **repair), missing_run)
     bars = drop_leading_null(ffill(bars, "adjclose"))
     return open_to_open_total_return(clean_ohlcv(bars, saved, anomalous)).drop("adjclose")
