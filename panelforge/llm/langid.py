@@ -121,7 +121,8 @@ def log_likelihoods(units: list[bytes], pieces: Pieces, chances: np.ndarray) ->
     short = np.array([i for i, u in enumerate(units) if len(u) <= LONG], dtype=np.int64)
     for own in grouped([units[i] for i in short], TOGETHER):
         places = short[own]
-        batch, ring = Batch([units[i] for i in places], pieces), pieces.longest + 1
+        batch = Batch([units[i] for i in places], pieces)
+        ring = min(pieces.longest, int(batch.length[0])) + 1  # no piece is longer than a word
         ahead = np.zeros((ring, len(places), chances.shape[1]))  # sums of the places ahead, over exp(logs)
         logs = np.zeros((len(places), chances.shape[1]))
         ahead[0] = 1.0
@@ -223,7 +224,8 @@ def expected_pieces(units: list[bytes], counts: np.ndarray, pieces: Pieces, chan
     """Expected uses of each piece in ``units`` seen ``counts`` times, by forward and backward sums. Memory grows with the longest word."""
     used = np.zeros(len(chances))
     for places in grouped(units, TOGETHER, CELLS):
-        batch, ring = Batch([units[i] for i in places], pieces), pieces.longest + 1
+        batch = Batch([units[i] for i in places], pieces)
+        ring = min(pieces.longest, int(batch.length[0])) + 1  # no piece is longer than a word
         n, m = int(batch.length[0]), len(places)
         alpha, scales = np.zeros((n + 1, m)), np.zeros((n + 1, m))  # the sum to a place is alpha times exp(scales)
         alpha[0] = 1.0
