@@ -185,8 +185,9 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Rows ``(doc_id, n_assign, n_access, n_hex, base, spans)``; spans are ``(start, kind, stop)`` by start, then kind.
 
     ``base`` are the fixed formats. ``spans`` adds, as kind ``random``, the tokens of ``model.least`` or more characters (letters, digits and
-    ``+/_=-``) outside base spans whose log-likelihood ratio exceeds ``model.odds``; the model alone decides. Null text has no spans;
-    any id is passed through and repeated rows stay repeated; extra columns are ignored. One narrow pass over whole texts, no shuffle.
+    ``+/_=-``) outside base spans whose log-likelihood ratio exceeds ``model.odds``; the model alone decides. Null and empty texts have no spans;
+    any id, null too, is passed through and repeated rows stay repeated with equal spans; extra columns are ignored whatever their names; an empty table
+    gives an empty result. Spans that begin together stand by kind. One narrow pass over whole texts, no shuffle.
     """
     pattern = f"{TOKEN}{{{model.least},}}"
     text = F.col("text")

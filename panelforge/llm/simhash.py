@@ -39,7 +39,11 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text_col: str, name: str, shingle: int = 3) -> DataFrame:
-    """All columns of ``docs`` and, as ``name``, the SimHash of ``text_col`` as a signed long. One narrow pass; long texts come in small batches."""
+    """All columns of ``docs`` and, as ``name``, the SimHash of ``text_col`` as a signed long. One narrow pass; long texts come in small batches.
+
+    Null, empty and blank texts have fingerprint zero; every row stays, repeated ones and those without an id too; ``name`` must be none of the table's
+    columns; an empty table gives an empty one.
+    """
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

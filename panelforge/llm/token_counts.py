@@ -24,7 +24,8 @@ def version(path: str) -> str:
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``(doc_id, text, digest, n_bytes)``; the normal form of content is its UTF-8 text, null as empty.
 
-    Nothing else is folded, because any other change of a text may change its tokens.
+    Nothing else is folded, because any other change of a text may change its tokens. One row per row, repeated ones and null ids too; an empty table gives
+    an empty result; other columns are ignored whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
@@ -33,7 +34,9 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def encode_counts(texts: DataFrame, vocabulary: str) -> DataFrame:
-    """Rows ``(digest, n_tokens)`` of rows ``(digest, text)``."""
+    """Rows ``(digest, n_tokens)`` of rows ``(digest, text)``, one each: repeated rows stay repeated, null text counts as empty, an empty table gives an empty
+    result, other columns are ignored. Whole texts of any length, in small batches.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = encoder(vocabulary).ids

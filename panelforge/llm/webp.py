@@ -777,7 +777,11 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def from_media(media: DataFrame) -> DataFrame:
-    """Rows ``(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, feature, payload)`` from decoded pictures."""
+    """Rows ``(doc_id, n_bytes, payload_bytes, media, payload_sha256, tail_crc32, feature)`` from decoded pictures, one for each row of :func:`to_media`.
+
+    Equal media give equal values; repeated rows and null ids stay; media of several pictures are one payload; an empty table gives an empty result; other
+    columns are ignored. A few MB of media are decoded at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "media"):
