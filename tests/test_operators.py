@@ -342,6 +342,14 @@ def test_asof_without_a_key(spark, monkeypatch, forward, exclusive):
         assert {r.i: r.k for r in asof_join(a, b, ["k"], forward=forward, exclusive=exclusive).collect()} == want
 
 
+def test_asof_windows_only_grow(spark):
+    """Frames that end at a key's last row are summed anew for each row; looking ahead runs the order backwards instead."""
+    rows = hot_rows(spark)
+    got = asof_join(rows, rows.select("symbol", "ts", F.col("ret").alias("x")), ["x"], by=["symbol"], forward=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "specifiedwindowframe" in plan and "unboundedfollowing" not in plan
+
+
 def test_rows_find_the_dates_that_see_them(spark):
     panel = spark.createDataFrame([(START + timedelta(days=d),) for d in range(40)], "ts timestamp")
     dates = [START + timedelta(days=d) for d in (0, 3, 10, 39, 60)]
