@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import checks as k, forecasts as f, terms as c
 from . import testbeds as tb
 from .cleaning_queries import r
+from .market_job import stored
 from .panel_queries import D
 from .registry import query, shown, view
 from .trading_queries import P, weights
@@ -34,8 +35,13 @@ view("tb_bw", """
 view("tb_cov", "SELECT a.symbol AS sym_i, b.symbol AS sym_j, avg(a.ret * b.ret) AS value FROM tb_panel a JOIN tb_panel b ON a.ts = b.ts AND a.symbol <= b.symbol AND a.ret IS NOT NULL AND b.ret IS NOT NULL AND a.ts < TIMESTAMP '1999-01-01' GROUP BY 1, 2", "tb_panel")
 
 
-def variances(spark, sf):
-    return f.variance(tb.panel(spark, sf), name="value").select("symbol", "ts", "value")
+def kept(spark, sf):
+    """The panel, few rows whatever the number of line items, written once for queries that read it many times."""
+    return stored(spark, tb.panel(spark, sf), "panel")
+
+
+def variances(spark, sf, panel=None):
+    return f.variance(tb.panel(spark, sf) if panel is None else panel, name="value").select("symbol", "ts", "value")
 
 
 def market(spark, sf):
@@ -43,14 +49,14 @@ def market(spark, sf):
     return tb.panel(spark, sf).join(own, ["symbol", "ts"]).select("ts", "symbol", "sigma", "valuevolume", "price")
 
 
-def benchmark(spark, sf):
+def benchmark(spark, sf, own=None):
     """Equal weights over what one portfolio holds; there is none in November."""
-    own = weights(spark, sf).where(f"{P} = 'MACHINERY' and not is_cash and month(ts) <> 11")
+    own = (weights(spark, sf) if own is None else own).where(f"{P} = 'MACHINERY' and not is_cash and month(ts) <> 11")
     return own.select("ts", "symbol", (1.0 / F.count("*").over(Window.partitionBy("ts"))).alias("w"))
 
 
-def cov(spark, sf):
-    return f.covariance(tb.panel(spark, sf), at="1999-01-01").select("sym_i", "sym_j", "value")
+def cov(spark, sf, panel=None):
+    return f.covariance(kept(spark, sf) if panel is None else panel, at="1999-01-01").select("sym_i", "sym_j", "value")
 
 
 def strict(x: str) -> str:
@@ -89,8 +95,8 @@ LOADS = f"""SELECT * FROM (SELECT w.portfolio_id, w.ts, factor, {strict(of('w',
 JOINED = "SELECT d.portfolio_id, CAST(d.ts AS DATE) AS ts, {0} FROM d LEFT JOIN a ON a.portfolio_id = d.portfolio_id AND a.ts = d.ts"
 
 
-def exposures(spark, sf):
-    own = tb.panel(spark, sf).select("ts", "symbol").distinct()
+def exposures(spark, sf, panel=None):
+    own = (tb.panel(spark, sf) if panel is None else panel).select("ts", "symbol").distinct()
     n = F.expr("CAST(substr(symbol, 7) AS INT)")
     one = own.select("ts", F.concat(F.lit("f"), (n % 3).cast("string")).alias("factor"), "symbol", (n / 25.0).alias("f"))
     return one.unionByName(own.select("ts", F.lit("all").alias("factor"), "symbol", F.lit(0.5).alias("f")))
@@ -102,7 +108,7 @@ view("tb_expo", "SELECT DISTINCT ts, 'f' || (CAST(substr(symbol, 7) AS INT) % 3)
 def _register(gaps: str) -> None:
     """The terms that read market data, on whole inputs and (``gaps``) on inputs with holes."""
     cut = (lambda df, column: holes(df, column)) if gaps else (lambda df, column: df)
-    var = lambda s, d: cut(variances(s, d), "value")
+    var = lambda s, d, panel=None: cut(variances(s, d, panel), "value")
     forecast = lambda s, d: cut(f.mean_return(tb.panel(s, d), name="value"), "value")
     traded = f"tb_asset t LEFT JOIN tb_mkt{gaps} m ON m.ts = t.ts AND m.symbol = t.symbol GROUP BY 1, t.ts"
 
@@ -127,19 +133,22 @@ def _register(gaps: str) -> None:
 
         @query("risk_full_gaps", f", a AS ({FULL.format('tb_cov_ts_gaps', 'AND c.ts = a.ts')}) {BD} {v('value')} FROM a", "tb_bw", "tb_cov_ts_gaps")
         def _(spark, sf):
-            pairs = cov(spark, sf).crossJoin(F.broadcast(tb.panel(spark, sf).select("ts").distinct())).where(f"NOT ({GAPPY_PAIR})")
-            return value(c.risk_full(weights(spark, sf), pairs, benchmark(spark, sf)))
+            panel, w = kept(spark, sf), weights(spark, sf)
+            pairs = cov(spark, sf, panel).crossJoin(F.broadcast(panel.select("ts").distinct())).where(f"NOT ({GAPPY_PAIR})")
+            return value(c.risk_full(w, pairs, benchmark(spark, sf, w)))
 
         @query("risk_by_matrix", f", a AS ({FULL.format('tb_cov_ts_gaps', 'AND c.ts = a.ts')}) {BD} {v('value')} FROM a", "tb_bw", "tb_cov_ts_gaps")
         def _(spark, sf):
-            pairs = cov(spark, sf).crossJoin(F.broadcast(tb.panel(spark, sf).select("ts").distinct())).where(f"NOT ({GAPPY_PAIR})")
-            return value(c.risk_by_matrix(weights(spark, sf), pairs, benchmark(spark, sf)))
+            panel, w = kept(spark, sf), weights(spark, sf)
+            pairs = cov(spark, sf, panel).crossJoin(F.broadcast(panel.select("ts").distinct())).where(f"NOT ({GAPPY_PAIR})")
+            return value(c.risk_by_matrix(w, pairs, benchmark(spark, sf, w)))
 
     else:
 
         @query("risk_full", f", a AS ({FULL.format('tb_cov', '')}) {BD} {v('value')} FROM a", "tb_bw", "tb_cov")
         def _(spark, sf):
-            return value(c.risk_full(weights(spark, sf), cov(spark, sf), benchmark(spark, sf)))
+            w = weights(spark, sf)
+            return value(c.risk_full(w, cov(spark, sf), benchmark(spark, sf, w)))
 
     @query(f"risk_diagonal{gaps}", f", a AS ({DIAG.format(gaps)}) {BD} {v('value')} FROM a", "tb_bw", f"tb_var{gaps}")
     def _(spark, sf):
@@ -153,17 +162,19 @@ def _register(gaps: str) -> None:
 
     @query(f"risk_factor_model{gaps}", f", l AS ({LOADS.format(gaps)}), a AS (SELECT portfolio_id, ts, {strict('y * y')} AS x FROM l GROUP BY 1, 2), d AS ({DIAG.format(gaps)}) {JOINED.format(v('a.x + d.value'))}", *needs)
     def _(spark, sf):
-        idio = var(spark, sf).withColumnRenamed("value", "d")
-        return value(c.risk_factor_model(weights(spark, sf), cut(exposures(spark, sf), "f"), idio, benchmark=benchmark(spark, sf)))
+        panel, w = kept(spark, sf), weights(spark, sf)
+        idio = var(spark, sf, panel).withColumnRenamed("value", "d")
+        return value(c.risk_factor_model(w, cut(exposures(spark, sf, panel), "f"), idio, benchmark=benchmark(spark, sf, w)))
 
     both = "CASE WHEN p.factor = q.factor THEN 2 ELSE 0.5 END"
 
     @query(f"risk_factor_model_cov{gaps}", f", l AS ({LOADS.format(gaps)}), d AS ({DIAG.format(gaps)}), a AS (SELECT p.portfolio_id, p.ts, {strict(f'p.y * q.y * {both}')} AS x FROM l p JOIN l q ON p.portfolio_id = q.portfolio_id AND p.ts = q.ts GROUP BY 1, 2) {JOINED.format(v('a.x + d.value'))}", *needs)
     def _(spark, sf):
-        own = cut(exposures(spark, sf), "f")
+        panel, w = kept(spark, sf), weights(spark, sf)
+        own = cut(exposures(spark, sf, panel), "f")
         pairs = own.select("ts", F.col("factor").alias("f1")).distinct().join(own.select("ts", F.col("factor").alias("f2")).distinct(), "ts")
         fc = pairs.withColumn("v", F.when(F.col("f1") == F.col("f2"), 2.0).otherwise(0.5))
-        return value(c.risk_factor_model(weights(spark, sf), own, var(spark, sf).withColumnRenamed("value", "d"), fc, benchmark(spark, sf)))
+        return value(c.risk_factor_model(w, own, var(spark, sf, panel).withColumnRenamed("value", "d"), fc, benchmark(spark, sf, w)))
 
     @query(f"risk_worst_case{gaps}", f", a AS (SELECT portfolio_id, ts, value * 20 AS value FROM ({DIAG.format(gaps)}) UNION ALL {ERROR.format(gaps)}) {BD} {v('CASE WHEN count(value) = 2 THEN max(value) END')} FROM a GROUP BY 1, ts", "tb_bw", f"tb_var{gaps}")
     def _(spark, sf):

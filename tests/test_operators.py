@@ -684,6 +684,27 @@ def test_bars_hold_ticks_at_zero(spark, tmp_path, name):
     assert (first.open, first.low, first.high, first.close, first.ticks) == (5.0, -1.0, 7.0, -1.0, 4)
 
 
+@pytest.mark.parametrize("name", ["period_stats", "risk_full", "risk_full_gaps", "risk_factor_model", "risk_factor_model_gaps", "risk_factor_model_cov", "risk_factor_model_cov_gaps"])
+def test_line_items_are_summed_once(spark, name):
+    """Holdings and panel are read many times; what is read is their stored sums, never the line items again."""
+    from panelforge.jobs.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan and "l_shipdate" not in plan
+
+
+@pytest.mark.parametrize("name", ["market_job", "market_job_incremental"])
+def test_landed_payloads_are_files(spark, monkeypatch, name):
+    """The runs of the job read what has landed, they do not make it anew from the line items."""
+    from panelforge.jobs import market_job
+    from panelforge.jobs.queries import QUERIES
+
+    seen, run = [], market_job.run
+    monkeypatch.setattr(market_job, "run", lambda s, landed, *a, **k: (seen.append(landed), run(s, landed, *a, **k))[1])
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 2 and all("l_shipdate" not in p._jdf.queryExecution().executedPlan().toString() for p in seen)
+
+
 def test_provisional_bars_settle_once(spark, tmp_path):
     """A bar is there while it forms, changes with further ticks, and is settled and single once ticks have passed it."""
     schema = "symbol string, ts timestamp, price double, event_id long"
