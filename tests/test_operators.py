@@ -742,3 +742,21 @@ def test_subspace_factors_equal_whole_ones(spark):
     small = cov.where("sym_i <= 's01' and sym_j <= 's01'")
     few = subspace.factor_model_pca_blocked(small, 3, extra=2, iters=4).toPandas()
     assert set(few[few.part == "exposure"].factor) == {"f0000", "f0001"} and few[few.part == "idio"]["value"].abs().max() < 1e-8
+
+
+def test_blocked_covariances_shuffle_no_pairs_and_subtract_nothing(spark):
+    """Windows are sums of their own rows: a huge return that has left leaves no trace; no exchange or window is above the rows of pairs."""
+    rng = np.random.default_rng(3)
+    rows = [(s, START + timedelta(days=d), 1e9 if d < 5 else float(rng.normal(0, 0.01)), 1.0, 1.0) for d in range(60) for s in "abcde" if (d + ord(s)) % 7]
+    panel = spark.createDataFrame(rows, schemas.PANEL)
+    dates = spark.createDataFrame([(START + timedelta(days=d),) for d in (30, 40, 59)], "ts timestamp")
+    out = forecasts.covariance_blocked(panel, dates, kelly=False, block=2, rolling=20 * 86_400.0, times=7)
+    above = out._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert "Exchange" not in above and "Window" not in above
+    wide = pd.DataFrame(rows, columns=["symbol", "ts", "ret", "v", "p"]).pivot(index="ts", columns="symbol", values="ret")
+    found = out.collect()
+    assert len(found) == 3 * 15
+    for r in found:
+        past = wide[(wide.index < r.ts) & (wide.index >= r.ts - timedelta(days=20))][[r.sym_i, r.sym_j]].dropna().to_numpy()
+        want = (past[:, 0] * past[:, -1]).mean() - past[:, 0].mean() * past[:, -1].mean()
+        assert r.n == len(past) and r.value == pytest.approx(want, rel=1e-9, abs=1e-15)
