@@ -760,3 +760,39 @@ def test_blocked_covariances_shuffle_no_pairs_and_subtract_nothing(spark):
         past = wide[(wide.index < r.ts) & (wide.index >= r.ts - timedelta(days=20))][[r.sym_i, r.sym_j]].dropna().to_numpy()
         want = (past[:, 0] * past[:, -1]).mean() - past[:, 0].mean() * past[:, -1].mean()
         assert r.n == len(past) and r.value == pytest.approx(want, rel=1e-9, abs=1e-15)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 1.0, 4.0, 20.0, float("inf")])
+def test_unlikely_rows_without_medians_for_most(threshold):
+    rng = np.random.default_rng(4)
+    x = rng.standard_cauchy(3000) * rng.choice([1e-3, 1.0, 30.0], 3000)
+    x[rng.random(3000) < 0.1], x[rng.random(3000) < 0.05], x[rng.integers(0, 3000, 4)] = np.nan, 0.0, np.inf
+    x[1000:1400] = rng.choice([1.0, 4.0, 20.0], 400)  # ratios that are just the threshold
+    starts = np.array([0, 1, 3, 40, 900, 1000, 1700])
+    with np.errstate(invalid="ignore"):
+        np.testing.assert_array_equal(cleaning.unlikely(x.copy(), starts, threshold), cleaning.scores_of(x.copy(), starts) > threshold)
+
+
+@pytest.mark.parametrize("chunk", [None, 450])
+@pytest.mark.parametrize("lent", [False, True])
+def test_price_rules_in_one_pass_equal_their_steps(spark, chunk, lent):
+    raw, bars = gappy(spark, symbols=3, n=1300)
+    wild = F.xxhash64("symbol", "ts") % 50
+    bars = bars.withColumns({"open": F.when(wild == 0, F.col("open") * 8).when(wild != 1, F.col("open")), "low": F.when(wild == 2, F.col("low") / 9).otherwise(F.col("low")), "high": F.when(wild == 3, F.col("high") / 3).when(wild == 4, F.col("high") * 9).otherwise(F.col("high"))})
+    bars = cleaning.ffill(bars, "close")
+    cut = F.lit(START + timedelta(days=150))
+    saved = bars.where(F.col("ts") < cut) if lent else None
+    bars = bars.where(F.col("ts") >= cut) if lent else bars
+    got = cleaning.null_anomalous_prices(bars, 8.0, saved, chunk).orderBy("symbol", "ts").toPandas()
+    steps = cleaning.null_low_high_incompatible(cleaning.fill_open(cleaning.null_anomalous(bars, "open", 8.0, saved)))
+    want = cleaning.null_anomalous(steps, ["low", "high"], 8.0, saved).orderBy("symbol", "ts").toPandas()
+    assert want.low.isna().sum() > 10 and want.high.isna().sum() > 10
+    pd.testing.assert_frame_equal(got, want)
+
+
+def test_daily_cleaning_is_dealt_by_symbol_four_times_at_most(spark):
+    """Line items, repaired bars and judged prices are dealt once each; it took six exchanges of whole rows before."""
+    from panelforge.jobs.queries import QUERIES
+
+    plan = QUERIES["daily_clean_bars"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("MapInArrow") == 2
