@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import islice
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, cut, drawn_texts, small_batches
+from .common import as_text, cut, small_batches
 from .numbers import GROUP, Run
 
 KINDS = ["email", "ip", "card", "phone", "likely_address", "likely_number"]
@@ -30,11 +32,18 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 AT = re.compile(r"@|[(\[{]\s?(?i:at)\s?[)\]}]|(?<=[A-Za-z0-9])\s(?i:at)\s(?=[A-Za-z0-9.-]++\s(?i:dot)\s)")
 HOST = re.compile(r"\s?[\w-]++(?:(?:\.|\s?[(\[{]\s?(?i:dot)\s?[)\]}]\s?|\s(?i:dot)\s)[\w-]++)++")
 RUN = re.compile(r"[0-9](?:[\x20().\-/]{0,2}[0-9]){6,}+")
+#: In every text that proposes anything or has a base span (and in some others); read by Java and Python alike.
+TELLING = (
+    r"@|[(\[{][^A-Za-z0-9]?[aA][tT]|[aA][tT][^A-Za-z0-9.-][A-Za-z0-9.-]++[^A-Za-z0-9.-][dD][oO][tT]"
+    r"|[0-9](?:[\x20().\-/]*+[0-9]){6}|(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
+)
 LEAST_DIGITS, MOST_DIGITS = 7, 31  # digits of a proposal of several groups inside a longer run; whole runs and whole groups may have any number
 CONTEXT = 32
 LONG_RUN = 512  # characters of a run from which its proposals are made as arrays
 MOST_ROWS = 20_000  # feature rows that a worker holds at a time
 STEPS = 1_000  # score steps of the calibration
+#: Feature values that the fit tells apart: 64ths below 1, whole numbers to 64, then quarters of octaves.
+GRID = np.concatenate([np.arange(64) / 64, np.arange(1.0, 64.0), 2.0 ** np.arange(6, 32, 0.25)])
 HINTS = [re.compile(p) for p in (r"tel|phone|call|mobile|fax|cell", r"mail|contact|write", r"card|visa|account|iban|pay", r"\bip\b|addr|host|server")]
 
 
@@ -219,27 +228,58 @@ def _variants(text: str, kind: int, start: int, stop: int) -> Iterator[tuple[str
             yield f"{date}{new} {new}{right}", k, len(date), len(date) + len(new), label
 
 
-def _examples(text: str, most: int = 20_000) -> Iterator[tuple[list[float], float]]:
-    """Rows ``(features, label)`` of a text's proposals and of its base spans' other forms, with the parts and mergers of the true ones.
+def _clear(taken: list[tuple[int, int]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which spans meet none of disjoint ordered intervals."""
+    begins, ends = (np.array([s[k] for s in taken] or [1 << 62]) for k in (0, 1))
+    at = np.searchsorted(ends, a, side="right")
+    return (at >= len(ends)) | (begins[np.minimum(at, len(ends) - 1)] >= b)
+
+
+def _examples(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks ``(features, labels)`` of a text's proposals and of its base spans' other forms, with the parts and mergers of the true ones.
 
-    Of a text with room for more than ``most`` proposals of numbers, a table say, about so many are drawn by their place.
+    Every proposal counts, however many there are; those of runs of very many groups are made as arrays.
     """
     base = base_spans(text)
     taken, exact = _joined(base), {s[1:] for s in base}
-    share = most / max(1, sum(1 for _ in GROUP.finditer(text)) * MOST_DIGITS)
-    for k, a, b in candidates(text):
-        if share < 1 and k == 5 and (a * 2_654_435_761 + b * 40_503) % (1 << 32) >= share * (1 << 32) and (a, b) not in exact:
-            continue
-        met = any((x, b) in exact for x in (a - 1, a, a + 1))
-        if met or not _meets(taken, a, b):
-            yield features(text, k, a, b), float(met)
-    for s in base:
-        for t, k, a, b, label in _variants(text, *s):
-            yield features(t, k, a, b), label
-            if k == 5 and label:
-                for _, x, y in candidates(t):
-                    if x < b and a < y and not (abs(x - a) <= 1 and y == b):
-                        yield features(t, k, x, y), 0.0
+    vast = [s for s in runs(text) if s[1] - s[0] > LONG_RUN]
+
+    def proposed() -> Iterator[tuple[int, int, int]]:
+        yield from addresses(text)
+        for start, stop in runs(text):
+            own = _marked(text, start, stop) if stop - start > LONG_RUN else _pieces(text, start, stop)
+            yield from ((5, a, b) for a, b in own)
+
+    def single() -> Iterator[tuple[list[float], float]]:
+        for k, a, b in proposed():
+            met = any((x, b) in exact for x in (a - 1, a, a + 1))
+            if met or not _meets(taken, a, b):
+                yield features(text, k, a, b), float(met)
+        for s in base:
+            for t, k, a, b, label in _variants(text, *s):
+                yield features(t, k, a, b), label
+                if k == 5 and label:
+                    for _, x, y in candidates(t):
+                        if x < b and a < y and not (abs(x - a) <= 1 and y == b):
+                            yield features(t, k, x, y), 0.0
+
+    made = single()
+    while rows := list(islice(made, MOST_ROWS)):
+        yield np.array([x for x, _ in rows]), np.array([y for _, y in rows])
+    codes = np.array([a * (len(text) + 1) + b for a, b in exact], dtype=np.int64)
+    for run in vast:
+        for a, b, rows, _ in Run(text, *run).slices(LEAST_DIGITS, MOST_DIGITS, seen_before):
+            met = np.isin(np.stack([(a + d) * (len(text) + 1) + b for d in (-1, 0, 1)]), codes).any(axis=0)
+            kept = met | _clear(taken, a, b)
+            yield rows[kept], met[kept].astype(float)
+
+
+def _counted(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(rows, counts)``: a text's examples as steps of ``GRID`` with the label last, equal ones of a block together."""
+    for x, y in _examples(text):
+        if len(x):
+            steps = np.searchsorted(GRID, x, side="right") - 1
+            yield np.unique(np.column_stack([steps, y]).astype(np.uint8), axis=0, return_counts=True)
 
 
 @dataclass(frozen=True)
@@ -273,40 +313,64 @@ class Model:
         return 1 / (1 + np.exp(-2 * total))
 
 
-def labelled(docs: DataFrame, text_col: str = "text", sample_docs: int = 20_000) -> DataFrame:
-    """Rows ``(features, label, held)``: proposals of about ``sample_docs`` distinct texts (the documented bound of the fit).
+def labelled(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows ``(features, label, held, n)``: all examples of all distinct texts, with features rounded down to ``GRID`` and equal ones counted.
 
     A proposal that covers a valid base span alone is positive, one that meets none is negative, others are left out; valid
-    spans also give rewritten forms and near misses with known labels. ``held`` rows calibrate the thresholds.
+    spans also give rewritten forms and near misses with known labels. ``held`` rows, those of a quarter of the texts, calibrate the thresholds.
+    Texts without digits or signs that could make an example are not shuffled.
     """
-    drawn = drawn_texts(docs, text_col, sample_docs, "pii").withColumnRenamed(text_col, "text")
-    drawn = drawn.select("text", (F.pmod(F.xxhash64("text", F.lit("hold")), F.lit(4)) == 0).alias("held"))
+    texts = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike(TELLING)).distinct()
+    texts = texts.select("text", (F.pmod(F.xxhash64("text", F.lit("hold")), F.lit(4)) == 0).alias("held"))
+
+    def rows(counts: Counter) -> pa.RecordBatch:
+        steps = np.frombuffer(b"".join(k for k, _ in counts), dtype=np.uint8).reshape(len(counts), -1)
+        values = GRID[steps[:, :-1]]
+        offsets = pa.array(np.arange(len(counts) + 1, dtype=np.int32) * values.shape[1])
+        columns = [
+            pa.ListArray.from_arrays(offsets, pa.array(values.ravel())),
+            pa.array(steps[:, -1].astype(float)),
+            pa.array([held for _, held in counts], pa.bool_()),
+            pa.array(list(counts.values()), pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["features", "label", "held", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
         for batch in small_batches(batches, "text"):
-            made = ((x, y, held) for text, held in zip(as_text(batch, "text"), batch.column("held").to_pylist()) for x, y in _examples(text))
-            while rows := list(islice(made, MOST_ROWS)):
-                columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.list_(pa.float64()), pa.float64(), pa.bool_()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["features", "label", "held"])
-
-    return drawn.mapInArrow(run, "features array<double>, label double, held boolean")
-
-
-def train(docs: DataFrame, text_col: str = "text", sample_docs: int = 20_000, rounds: int = 12, depth: int = 4, precision: float = 0.99) -> Model:
-    """Boost trees on labelled proposals; each added kind's threshold is the least score from which its held rows are ``precision`` pure.
-
-    Held rows are scored in place and reach the driver as counts of a thousand score steps per kind and label. Without both labels in the sample
-    nothing is learned, and only the fixed formats count; a kind that no threshold makes pure enough is never accepted. Copies of a text count
-    once; null and empty texts teach nothing; an empty table gives the empty model.
+            for text, held in zip(as_text(batch, "text"), batch.column("held").to_pylist()):
+                for kinds, often in _counted(text):
+                    for k, n in zip(kinds, often.tolist()):
+                        counts[k.tobytes(), held] += n
+                    if len(counts) >= MOST_ROWS:
+                        yield rows(counts)
+                        counts.clear()
+        if counts:
+            yield rows(counts)
+
+    counted = texts.mapInArrow(run, "features array<double>, label double, held boolean, n long")
+    return counted.groupBy("features", "label", "held").agg(F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame, text_col: str = "text", rounds: int = 12, depth: int = 4, precision: float = 0.99) -> Model:
+    """Boost trees on all labelled proposals; each added kind's threshold is the least score from which its held rows are ``precision`` pure.
+
+    Equal examples are one row with their number as weight, and the trees may split between any two values of a feature (bins for all of ``GRID``, and
+    so many that Spark looks for splits in all rows). Held rows are scored in place and reach the driver as counts of a thousand score steps per kind
+    and label. Without both labels nothing is learned, and only the fixed formats count; a kind that no threshold makes pure enough is never accepted.
+    Copies of a text count once; null and empty texts teach nothing; an empty table gives the empty model.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = cut(labelled(docs, text_col, sample_docs).select(array_to_vector("features").alias("features"), "features", "label", "held").toDF("features", "raw", "label", "held"))
-    seen = {(x["held"], x["label"]) for x in rows.select("held", "label").distinct().collect()}
-    if not {(False, 0.0), (False, 1.0)} <= seen:
+    rows = cut(labelled(docs, text_col).withColumnRenamed("features", "raw"))
+    sizes = {(x["held"], x["label"]): x["count"] for x in rows.groupBy("held", "label").count().collect()}
+    if not {(False, 0.0), (False, 1.0)} <= set(sizes):
         return Model()
-    fit = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=7, maxBins=64).fit(rows.where("not held").select("features", "label").coalesce(4))
+    n = sum(v for (held, _), v in sizes.items() if not held)
+    given = rows.where("not held").repartition(1 + n // MOST_ROWS, "raw").sortWithinPartitions("raw", "label")  # equal sums in every run
+    bins = max(len(GRID) + 1, isqrt(n) + 1)
+    fit = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=7, maxBins=bins, weightCol="n").fit(given.select(array_to_vector("raw").alias("features"), "label", "n"))
     model = Model([_arrays(t.rootNode(), w) for t, w in zip(fit._java_obj.trees(), fit.treeWeights)])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,11 +378,11 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = 20_000, ro
             raw = batch.column("raw").to_pylist()
             if raw:
                 steps = np.floor(model.score(raw) * STEPS).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([int(r[0]) for r in raw], pa.int32()), pa.array(steps, pa.int32()), batch.column("label")], names=["kind", "step", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(r[0]) for r in raw], pa.int32()), pa.array(steps, pa.int32()), batch.column("label"), batch.column("n")], names=["kind", "step", "label", "n"])
 
-    scored = rows.where("held").select("raw", "label").mapInArrow(score, "kind int, step int, label double")
+    scored = rows.where("held").select("raw", "label", "n").mapInArrow(score, "kind int, step int, label double, n long")
     counts = np.zeros((len(KINDS), STEPS + 1, 2))
-    for x in scored.groupBy("kind", "step", "label").agg(F.count("*").alias("n")).collect():  # at most kinds x steps x 2 rows
+    for x in scored.groupBy("kind", "step", "label").agg(F.sum("n").alias("n")).collect():  # at most kinds x steps x 2 rows
         counts[x["kind"], x["step"], int(x["label"])] = x["n"]
     thresholds, held = {}, {}
     for kind in (4, 5):
@@ -333,7 +397,7 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = 20_000, ro
 
 
 def _arrays(root: object, weight: float) -> tuple[np.ndarray, ...]:
-    """A fitted tree's nodes as arrays."""
+    """A fitted tree's nodes as arrays; a threshold is set just below the next value of ``GRID``, so that features need no rounding to be scored."""
     rows: list[list[float]] = []
     todo = [(root, -1, 2)]
     while todo:
@@ -344,7 +408,7 @@ def _arrays(root: object, weight: float) -> tuple[np.ndarray, ...]:
             rows[parent][side] = at
         if node.subtreeDepth() > 0:
             split = node.split()
-            rows[at][0], rows[at][1] = split.featureIndex(), float(split.threshold())
+            rows[at][0], rows[at][1] = split.featureIndex(), np.nextafter(GRID[np.searchsorted(GRID, split.threshold(), side="right")], -np.inf)
             todo += [(node.leftChild(), at, 2), (node.rightChild(), at, 3)]
     f, t, left, right, value = zip(*rows)
     return np.array(f), np.array(t), np.array(left), np.array(right), np.array(value)
@@ -394,12 +458,10 @@ class _Choice:
 def _long_run(text: str, start: int, stop: int, taken: list[tuple[int, int]], model: Model, choice: _Choice) -> None:
     """Scores and settles the proposals of a run of very many groups slice by slice."""
     run = Run(text, start, stop)
-    begins, ends = (np.array([s[k] for s in taken] or [1 << 62]) for k in (0, 1))
 
     def scored() -> Iterator[tuple[list[tuple[float, int, int]], int]]:
         for a, b, rows, frontier in run.slices(LEAST_DIGITS, MOST_DIGITS, seen_before):
-            at = np.searchsorted(ends, a, side="right")
-            free = (at >= len(ends)) | (begins[np.minimum(at, len(ends) - 1)] >= b)
+            free = _clear(taken, a, b)
             a, b, rows = a[free], b[free], rows[free]
             good: list[tuple[float, int, int]] = []
             for k in range(0, len(a), MOST_ROWS):

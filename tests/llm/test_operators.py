@@ -854,3 +854,44 @@ def test_neighbouring_numbers_are_found(spark):
     cases = ["call 555-123-4567 555-987-6543 now", "12 555-123-4567", "2024-05-01 (555) 123-4567", "host 10.0.0.1 555-123-4567"]
     found = [[c[a:b].lstrip("(") for _, a, b, _ in f] for c, f in zip(cases, pii.find(cases, model))]
     assert found == [["555-123-4567", "555-987-6543"], ["555-123-4567"], ["555) 123-4567"], ["10.0.0.1", "555-123-4567"]]
+
+
+def by_grid(row):
+    """A feature row rounded down to the values that the fit tells apart."""
+    return tuple(pii.GRID[np.searchsorted(pii.GRID, row, side="right") - 1].tolist())
+
+
+def test_the_fit_counts_every_example_of_every_text(spark):
+    """30,000 texts with one number each, copies once, and a table whose proposals are more than any bound drew: none is left out."""
+    table = "tel " + "7 31-" * 400 + "10.0.0.255 " + "204 9 " * 100 + "x +1 (212) 555-0175 x 4539 1488 0343 6467"
+    rows_ = [(f"no {1_000_000 + i} end",) for i in range(30_000)] + [("no 1000000 end",)] * 50 + [(None,), ("",), ("only words at home",)]
+    got = pii.labelled(spark.createDataFrame(rows_, "text string").repartition(6)).agg({"n": "sum"}).first()[0]
+    assert got == 30_000
+    own = [(tuple(r["features"]), r["label"]) for r in pii.labelled(spark.createDataFrame([(table,)], "text string")).collect() for _ in range(r["n"])]
+    base = base_personal(table)
+    exact = {(x, b) for _, a, b in base for x in (a - 1, a, a + 1)}
+    want = Counter()
+    for k, a, b in pii.candidates(table):
+        if (a, b) in exact or not any(a < y and x < b for _, x, y in base):
+            want[by_grid(pii.features(table, k, a, b)), float((a, b) in exact)] += 1
+    assert len(base) == 3 and sum(want.values()) > 10_000
+    forms = Counter()
+    for s in base:
+        for t, k, a, b, label in pii._variants(table, *s):
+            forms[by_grid(pii.features(t, k, a, b)), label] += 1
+            for _, x, y in pii.candidates(t) if k == 5 and label else ():
+                if x < b and a < y and not (abs(x - a) <= 1 and y == b):
+                    forms[by_grid(pii.features(t, k, x, y)), 0.0] += 1
+    assert Counter(own) == want + forms
+
+
+def test_every_text_that_teaches_is_kept():
+    rng = np.random.default_rng(12)
+    parts = ["a", "@", ".", "1", "25", "256", " ", "+", "(", ")", "b.c", "[", "\n", "\x1c", "at", "AT", " dot ", "-", "/", "4952935900253052", "\xa0", "x"]
+    taught = 0
+    for _ in range(6000):
+        s = "".join(rng.choice(parts, rng.integers(0, 24)))
+        if any(len(x) for x, _ in pii._examples(s)):
+            taught += 1
+            assert re.search(pii.TELLING, s), s
+    assert taught > 500
