@@ -705,6 +705,15 @@ def test_landed_payloads_are_files(spark, monkeypatch, name):
     assert len(seen) == 2 and all("l_shipdate" not in p._jdf.queryExecution().executedPlan().toString() for p in seen)
 
 
+@pytest.mark.parametrize("name", ["market_job", "market_job_incremental"])
+def test_rates_are_made_once(spark, name):
+    """The panel with cash joins stored rates: orders are not read again wherever the plan names them."""
+    from panelforge.jobs.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "o_orderdate" not in plan and "orders.parquet" not in plan
+
+
 def test_provisional_bars_settle_once(spark, tmp_path):
     """A bar is there while it forms, changes with further ticks, and is settled and single once ticks have passed it."""
     schema = "symbol string, ts timestamp, price double, event_id long"
