@@ -771,6 +771,25 @@ def test_blocked_covariances_shuffle_no_pairs_and_subtract_nothing(spark):
         assert r.n == len(past) and r.value == pytest.approx(want, rel=1e-9, abs=1e-15)
 
 
+@pytest.mark.parametrize("block", [12, 6, 4, 3, 2, 1])
+def test_blocked_covariances_store_rows_once(spark, block):
+    """Rows are packed and stored once, however many blocks they meet, and are not dealt to pairs; every pair comes once."""
+    rng = np.random.default_rng(block)
+    rows = [(f"s{i:02d}", START + timedelta(days=d), float(rng.normal()), 1.0, 1.0) for d in range(30) for i in range(12) if (d + i) % 5]
+    dates = spark.createDataFrame([(START + timedelta(days=d),) for d in (20, 30)], "ts timestamp")
+    out = forecasts.covariance_blocked(spark.createDataFrame(rows, schemas.PANEL), dates, block=block, times=7)
+    assert "hashpartitioning(a" not in out._jdf.queryExecution().executedPlan().toString()
+    stored = spark.read.parquet(*out.inputFiles())
+    assert stored.select(F.explode("pieces.body").alias("body")).agg(F.sum(F.length("body"))).first()[0] == 12 * len(rows)
+    assert stored.count() == stored.select("g").distinct().count() <= 12 // block
+    wide = pd.DataFrame(rows, columns=["symbol", "ts", "ret", "v", "p"]).pivot(index="ts", columns="symbol", values="ret")
+    found = {(r.ts, r.sym_i, r.sym_j): (r.n, r.value) for r in out.collect()}
+    assert out.count() == len(found) == 2 * 78
+    for (ts, i, j), (n, value) in found.items():
+        past = wide[wide.index < ts][[i, j]].dropna().to_numpy()
+        assert i <= j and n == len(past) and value == pytest.approx((past[:, 0] * past[:, -1]).mean(), rel=1e-9, abs=1e-15)
+
+
 @pytest.mark.parametrize("threshold", [0.5, 1.0, 4.0, 20.0, float("inf")])
 def test_unlikely_rows_without_medians_for_most(threshold):
     rng = np.random.default_rng(4)
